@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arborel.llm.common import table
+from arborel.llm import langid
+from arborel.llm.common import fold, table
 from arborel.llm.packing import pack
 
 
@@ -13,5 +15,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op10_packing": op10_packing}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+QUERIES = {"op9_language": op9_language, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
