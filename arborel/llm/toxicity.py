@@ -160,12 +160,26 @@ def marginals(emission: np.ndarray, new: np.ndarray, start: np.ndarray, trans: n
 
 
 def _summary(p: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Of each document: its largest marginal, and the log of one plus the sum of those above a half."""
-    most, total = np.zeros(n), np.zeros(n)
+    """Of each document: the log odds of its largest marginal, and the log of one plus the sum of those over a tenth."""
+    most, total = np.full(n, 1e-5), np.zeros(n)
     np.maximum.at(most, of, p)
-    strong = p >= 0.5
-    total += np.bincount(of[strong], weights=p[strong], minlength=n)[:n]
-    return np.stack((most, np.log1p(total)), 1)
+    some = p >= 0.1
+    total += np.bincount(of[some], weights=p[some], minlength=n)[:n]
+    most = np.clip(most, 1e-5, 1 - 1e-5)
+    return np.stack((np.log(most / (1 - most)), np.log1p(total)), 1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
+    """Weights of the columns and of a constant, by Newton steps."""
+    x = np.hstack((x, np.ones((len(x), 1))))
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + l2 * len(x) ** 0.5 * np.eye(len(w)), x.T @ (y - q) - l2 * len(x) ** 0.5 * w)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def _token_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -207,15 +221,8 @@ def train(rows: list[tuple[int, list[int]]], *, epochs: int = 30, rate: float =
         start += rate * ds * np.sqrt(size) / np.sqrt(gs)
         trans += rate * dt * np.sqrt(size) / np.sqrt(gt)
     s = _summary(marginals(w[X].sum(1), new, start, trans), of, len(rows))
-    top, bias = np.zeros(2), -2.0
-    h = np.full(3, 1e-6)
-    for _ in range(400):
-        q = 1 / (1 + np.exp(-(s @ top + bias)))
-        g = np.append(s.T @ (toxic - q), (toxic - q).sum()) / max(1, len(rows)) - 1e-3 * np.append(top, 0)
-        h += g**2
-        step = 0.3 * g / np.sqrt(h)
-        top, bias = top + step[:2], bias + step[2]
-    return {"w": w.astype(np.float32), "start": start, "trans": trans, "top": top, "bias": float(bias)}
+    *top, bias = _logistic(s, toxic)
+    return {"w": w.astype(np.float32), "start": start, "trans": trans, "top": np.array(top), "bias": float(bias)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> dict | None:
