@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arborel.llm import langid, toxicity
 from arborel.llm.common import fold, table
+from arborel.llm.minhash import near_duplicates
 from arborel.llm.packing import pack
 
 
@@ -15,6 +16,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
     model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -27,5 +32,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op3_minhash": op3_minhash, "op6_toxicity": op6_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
