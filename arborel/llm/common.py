@@ -54,3 +54,16 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int =
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8; null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def drawn(sample: DataFrame, lists: list[str]) -> list[tuple[object, list[np.ndarray]]]:
+    """The rows (draw, label, lists) of a bounded sample on the driver, in the order of their draw: label and arrays."""
+    t = sample.toArrow().sort_by([(sample.columns[0], "ascending"), (sample.columns[1], "ascending")]).combine_chunks()
+    labels = t.column(1).to_pylist()
+    arrays = []
+    for name in lists:
+        column = t.column(name).combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+        arrays.append([values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    return [(label, [a[i] for a in arrays]) for i, label in enumerate(labels)]

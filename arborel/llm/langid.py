@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, text_chunks
+from arborel.llm.common import as_bytes, drawn, text_chunks
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
@@ -56,7 +56,7 @@ def gram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return idx.astype(np.int32), (total[idx] / max(total.sum(), 1)).astype(np.float32)
 
 
-def train(rows: list[tuple[str, list[int], list[float]]], *, dim: int = 16, epochs: int = 12, batch: int = 64, rate: float = 0.5, precision: float = 0.99, seed: int = 7) -> dict:
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epochs: int = 12, batch: int = 64, rate: float = 0.5, precision: float = 0.99, seed: int = 7) -> dict:
     """Stochastic gradient descent with AdaGrad steps; every fifth row is kept for the temperature and the rejection
     threshold: the lowest confidence from which on accepted rows are right with the given precision."""
     langs = sorted({r[0] for r in rows})
@@ -72,7 +72,6 @@ def train(rows: list[tuple[str, list[int], list[float]]], *, dim: int = 16, epoc
     def embed(i: int) -> np.ndarray:
         return rows[i][2] @ E[rows[i][1]]
 
-    rows = [(r[0], np.asarray(r[1], int), np.asarray(r[2], np.float32)) for r in rows]
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
             if not len(part):
@@ -119,15 +118,15 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
         return None
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(sample / n))))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("lang")), F.lit(1 << 20)) / float(1 << 20)
-    picked = usable.where(draw < share[F.col(lang_col)]).select(text_col, lang_col)
+    picked = usable.withColumn("_draw", draw).where(F.col("_draw") < share[F.col(lang_col)]).select(text_col, F.col(lang_col).alias("lang"), "_draw")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, text_col):
             found = [gram_counts(t) for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["lang", "bucket", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["draw", "lang", "bucket", "share"])
 
-    rows = [tuple(r) for r in picked.mapInArrow(count, "lang string, bucket array<int>, share array<float>").collect()]
-    return train(sorted(rows)) if rows else None
+    rows = drawn(picked.mapInArrow(count, "draw double, lang string, bucket array<int>, share array<float>"), ["bucket", "share"])
+    return train([(lang, *lists) for lang, lists in rows]) if rows else None
 
 
 def predict(docs: DataFrame, model: dict | None, *, text_col: str = "text") -> DataFrame:
