@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, text_chunks
+from arborel.llm.common import as_bytes, drawn, text_chunks
 
 BUCKETS = 1 << 18
 #: Lengths in bytes of a token's prefixes and of its suffix that are features beside the whole token.
 PREFIXES, SUFFIX = (4, 5, 6), 4
 #: Labelled documents of each kind that training may use, and tokens of one of them.
-SAMPLE_PER_LABEL, SAMPLE_TOKENS = 2_500, 20_000
+SAMPLE_PER_LABEL, SAMPLE_TOKENS = 1_500, 20_000
 _STEPS = 256
 
 _TOKEN = np.full(256, 32, np.uint8)
@@ -192,12 +192,12 @@ def _token_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return (seen[1] >= least) & (share[0] >= 20 * share[1]) & (seen[1] >= 10 * seen[0])
 
 
-def train(rows: list[tuple[int, list[int]]], *, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:
+def train(rows: list[tuple[int, np.ndarray]], *, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:
     """Tokens of toxic documents with a marking feature are labelled toxic, all others clean; AdaGrad on the
     conditional log likelihood of all chains at once; then a logistic score of a document's summary."""
     width = len(PREFIXES) + 2
     toxic = np.array([r[0] for r in rows], float)
-    feats = [np.asarray(r[1], np.int64).reshape(-1, width) for r in rows]
+    feats = [r[1].reshape(-1, width) for r in rows]
     marks = _token_labels(feats, toxic)
     X = np.concatenate(feats)
     of = np.repeat(np.arange(len(rows)), [len(f) for f in feats])
@@ -232,17 +232,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     counts = dict(known.groupBy("_y").count().collect())
     share = F.when(F.col("_y") == 1, sample / max(1, counts.get(1, 0))).otherwise(sample / max(1, counts.get(0, 0)))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("toxic")), F.lit(1 << 20)) / float(1 << 20)
-    picked = docs.select(id_col, text_col).join(known.where(draw < share), id_col).select(text_col, "_y")
+    picked = docs.select(id_col, text_col).join(known.withColumn("_draw", draw).where(F.col("_draw") < share), id_col).select(text_col, F.col("_y").cast("int").alias("_y"), "_draw")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, text_col, 1 << 20):
             found = [tokens([t])["features"] for t in as_bytes(batch.column(0))]
             keep = [i for i, f in enumerate(found) if 0 < len(f) <= SAMPLE_TOKENS]
-            ys = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([ys[i] for i in keep], pa.int32()), pa.array([found[i].ravel().astype(np.int32) for i in keep], pa.list_(pa.int32()))], names=["y", "features"])
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(1), pa.array([found[i].ravel().astype(np.int32) for i in keep], pa.list_(pa.int32()))], names=["draw", "y", "features"])
 
-    rows = [(r[0], r[1]) for r in picked.mapInArrow(count, "y int, features array<int>").collect()]
-    return train(sorted(rows)) if rows else None
+    rows = drawn(picked.mapInArrow(count, "draw double, y int, features array<int>"), ["features"])
+    return train([(y, f[0]) for y, f in rows]) if rows else None
 
 
 def score(docs: DataFrame, model: dict | None, *, text_col: str = "text", threshold: float = 0.3, spans: bool = True) -> DataFrame:
