@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborel.llm import langid, toxicity
+from arborel.llm import hmm, langid, toxicity
 from arborel.llm.common import fold, table
 from arborel.llm.minhash import near_duplicates
 from arborel.llm.packing import pack
@@ -16,6 +16,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -32,5 +36,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
-QUERIES = {"op3_minhash": op3_minhash, "op6_toxicity": op6_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op6_toxicity": op6_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
