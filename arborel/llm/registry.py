@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborel.llm import hmm, langid, toxicity
+from arborel.llm import hmm, langid, pii, toxicity
 from arborel.llm.common import fold, table
 from arborel.llm.minhash import near_duplicates
 from arborel.llm.packing import pack
@@ -30,11 +30,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "held_out", "text"), model)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs.select("doc_id", "text"), pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda c: c["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("found").alias("spans"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
-QUERIES = {"op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op6_toxicity": op6_toxicity, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op9_language": op9_language, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
