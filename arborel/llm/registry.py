@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborel.llm import hmm, langid, pii, toxicity
+from arborel.llm import hmm, langid, mixing, pii, toxicity, urls
 from arborel.llm.common import fold, table
 from arborel.llm.minhash import near_duplicates
 from arborel.llm.packing import pack
@@ -24,6 +24,15 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "weight", "sampled")
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
     model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -43,5 +52,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
-QUERIES = {"op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op9_language": op9_language, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
