@@ -108,9 +108,17 @@ def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[
         yield rest, np.array([0, len(rest)])
 
 
+def _first_key(wrong: np.ndarray) -> np.ndarray:
+    """Of pairs of signatures, given where they differ: the tag of the first key on which they agree."""
+    wrong = wrong.reshape(-1, CHUNKS, CHUNK_SIZE)
+    chunk = (wrong.sum(2) <= 1).argmax(1)
+    return chunk * CHUNK_SIZE + wrong[np.arange(len(wrong)), chunk].argmax(1)
+
+
 def _close_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) that connect all close signatures of each group. A small group gives each close pair once, under
-    the first key on which the two agree; a larger one a spanning forest of its close pairs."""
+    """Pairs (a, b) that connect all close signatures. A small group gives its close pairs, a larger one a spanning
+    forest of them, each only those pairs whose first common key is the group's: what a forest leaves out is connected
+    under an earlier key, so over all keys nothing is lost."""
     part, whole = similarity
 
     def near(S: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,11 +136,8 @@ def _close_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
                 spans = [np.arange(x, y - off) for x, y in zip(b[:-1][small & (size > off)], b[1:][small & (size > off)], strict=True)]
                 for a in np.array_split(np.concatenate(spans), max(1, sum(map(len, spans)) // 50_000)) if spans else ():
                     c = a + off
-                    wrong = (S[a] != S[c]).reshape(-1, CHUNKS, CHUNK_SIZE)
-                    errors = wrong.sum(2)
-                    chunk = (errors <= 1).argmax(1)
-                    place = wrong[np.arange(len(a)), chunk].argmax(1)
-                    ok = (errors.sum(1) <= MOST_ERRORS) & (tag[a] == chunk * CHUNK_SIZE + place) & (part * np.maximum(n[a], n[c]) <= whole * np.minimum(n[a], n[c]))
+                    wrong = S[a] != S[c]
+                    ok = (wrong.sum(1) <= MOST_ERRORS) & (tag[a] == _first_key(wrong)) & (part * np.maximum(n[a], n[c]) <= whole * np.minimum(n[a], n[c]))
                     left.append(a[ok])
                     right.append(c[ok])
             for x, y in zip(b[:-1][~small], b[1:][~small], strict=True):
@@ -144,8 +149,9 @@ def _close_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
                         hit = near(S, n, np.full(len(rest), at), rest)
                         if hit.any():
                             found = rest[hit]
-                            left.append(np.full(len(found), at))
-                            right.append(found)
+                            own = found[_first_key(S[at] != S[found]) == tag[found]]
+                            left.append(np.full(len(own), at))
+                            right.append(own)
                             todo.extend(found.tolist())
                             rest = rest[~hit]
             ids = t.column("id").combine_chunks()
