@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = met.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "n", "sig")
     families = stored(connected_components(_close_pairs(met, similarity)).toDF("id", "family"))
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(families, "id")
+    # families grow with the corpus: this join is a shuffle at every size
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(families.hint("merge"), "id")
     sets = stored(_sets(texts, width).where("n > 0"))
     hubs = sets.where("id = family").select("family", F.col("n").alias("hub_n"), F.col("shingles").alias("hub")).dropDuplicates(["family"])
     common = F.size(F.array_intersect("shingles", "hub"))
