@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, stored, text_chunks
+from arborel.llm.common import as_bytes, grouped, stored, text_chunks
 from arborel.llm.components import connected_components
 from arborel.llm.shingles import mixed, shingle_sets
 
@@ -84,30 +84,6 @@ def _keyed(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, f"key long, id {dict(reps.dtypes)['id']}")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows in tables that hold whole groups, with the groups' bounds; one group at least is held at a time."""
-    rest: pa.Table | None = None
-
-    def bounds(t: pa.Table) -> np.ndarray:
-        new = np.zeros(len(t) - 1, bool)
-        for c in by:
-            x = t.column(c).to_numpy()
-            new |= x[1:] != x[:-1]
-        return np.concatenate(([0], np.flatnonzero(new) + 1, [len(t)]))
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        b = bounds(t)
-        rest = t.slice(b[-2])
-        if len(b) > 2:
-            yield t.slice(0, b[-2]), b[:-1]
-    if rest is not None:
-        yield rest, np.array([0, len(rest)])
-
-
 def _first_key(wrong: np.ndarray) -> np.ndarray:
     """Of pairs of signatures, given where they differ: the tag of the first key on which they agree."""
     wrong = wrong.reshape(-1, CHUNKS, CHUNK_SIZE)

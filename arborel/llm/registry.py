@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from arborel.llm import hmm, langid, mixing, pii, toxicity, urls
 from arborel.llm.common import fold, table
 from arborel.llm.minhash import near_duplicates
+from arborel.llm.neighbours import nearest
 from arborel.llm.packing import pack
+from arborel.llm.vectordups import near_duplicate_vectors
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
 
@@ -46,11 +52,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("found").alias("spans"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
-QUERIES = {"op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op1_neighbours": op1_neighbours, "op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_vectors": op8_vectors, "op9_language": op9_language, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
