@@ -134,10 +134,10 @@ def predict(docs: DataFrame, model: dict | None, *, text_col: str = "text") -> D
     calibrated threshold).
 
     Null texts and texts without a letter: lang_pred und, score 0, not accepted; so all rows without a model. Whole
-    texts count. Repeated rows are judged each.
+    texts count. Repeated rows are judged each. Columns of the added names are replaced.
     """
-    kept = [c for c in docs.columns if c != text_col]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != text_col), "lang_pred string, score double, accepted boolean"])
+    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "accepted")]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes), "lang_pred string, score double, accepted boolean"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -241,3 +241,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = signed.join(reps.select("n", "h1", "h2", F.col("id").alias("rep")), ["n", "h1", "h2"], "left").join(found, "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "rep", "id"))
     return of.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of docs of which one document of each group of near-duplicates is left: that with the smallest id.
+
+    Of rows with one id one stays; rows with a null id all do.
+    """
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).where("kept").select(id_col)
+    named = docs.where(F.col(id_col).isNotNull()).join(kept.where(F.col(id_col).isNotNull()).hint("merge"), id_col, "left_semi")
+    return named.dropDuplicates([id_col]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,5 +63,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
-QUERIES = {"op1_neighbours": op1_neighbours, "op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_vectors": op8_vectors, "op9_language": op9_language, "op10_packing": op10_packing}
+QUERIES = {"op1_neighbours": op1_neighbours, "op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_vectors": op8_vectors, "op9_language": op9_language, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {}

@@ -245,15 +245,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     return train([(y, f[0]) for y, f in rows]) if rows else None
 
 
+def _scored(m: dict, t: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the tokens and scores of the n texts."""
+    p = marginals(m["w"][t["features"]].sum(1, dtype=np.float64), np.diff(t["of"], prepend=-1) != 0, m["start"], m["trans"])
+    return p, 1 / (1 + np.exp(-(_summary(p, t["of"], n) @ m["top"] + m["bias"])))
+
+
+def clean(docs: DataFrame, model: dict | None, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is under the threshold, with all their columns; all rows without a model."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in text_chunks(batches, text_col, 2 << 20):
+            if m is not None:
+                texts = as_bytes(batch.column(at))
+                batch = batch.filter(pa.array(_scored(m, tokens(texts), len(texts))[1] < threshold))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: dict | None, *, text_col: str = "text", threshold: float = 0.3, spans: bool = True) -> DataFrame:
     """docs without its text, with score, predicted, and the offending offsets: span_starts and span_ends in code
     points (end exclusive) of tokens whose marginal is at least a half, neighbours joined.
 
     Null and empty texts get the score of a text without offence; without a model all scores are 0. Whole texts
-    count; repeated rows are judged each.
+    count; repeated rows are judged each. Columns of the added names are replaced.
     """
-    kept = [c for c in docs.columns if c != text_col]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != text_col), "score double, predicted int", *(["span_starts array<int>, span_ends array<int>"] if spans else [])])
+    kept = [c for c in docs.columns if c not in (text_col, "score", "predicted", "span_starts", "span_ends")]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes), "score double, predicted int", *(["span_starts array<int>, span_ends array<int>"] if spans else [])])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +288,7 @@ def score(docs: DataFrame, model: dict | None, *, text_col: str = "text", thresh
             if m is not None:
                 t = tokens(texts)
                 of = t["of"]
-                p = marginals(m["w"][t["features"]].sum(1, dtype=np.float64), np.diff(of, prepend=-1) != 0, m["start"], m["trans"])
-                q = 1 / (1 + np.exp(-(_summary(p, of, len(texts)) @ m["top"] + m["bias"])))
+                p, q = _scored(m, t, len(texts))
                 last = None
                 for i in np.flatnonzero(p >= 0.5) if spans else ():
                     k, a, b = of[i], t["start"][i], t["end"][i]
