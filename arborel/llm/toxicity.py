@@ -227,12 +227,12 @@ def train(rows: list[tuple[int, np.ndarray]], *, epochs: int = 30, rate: float =
 
 def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> dict | None:
     """A model of the documents with a label of 0 or 1; None without any. About sample documents of either label are
-    used at most, by a hash of their ids, each whole; those of over SAMPLE_TOKENS tokens are left out."""
+    used, by a hash of their ids (so few that their ids can be broadcast), each whole; those of over SAMPLE_TOKENS tokens are left out."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     counts = dict(known.groupBy("_y").count().collect())
     share = F.when(F.col("_y") == 1, sample / max(1, counts.get(1, 0))).otherwise(sample / max(1, counts.get(0, 0)))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("toxic")), F.lit(1 << 20)) / float(1 << 20)
-    picked = docs.select(id_col, text_col).join(known.withColumn("_draw", draw).where(F.col("_draw") < share), id_col).select(text_col, F.col("_y").cast("int").alias("_y"), "_draw")
+    picked = docs.select(id_col, text_col).join(F.broadcast(known.withColumn("_draw", draw).where(F.col("_draw") < share)), id_col).select(text_col, F.col("_y").cast("int").alias("_y"), "_draw")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, text_col, 1 << 20):
