@@ -105,7 +105,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epoc
     confidence, right = p.max(1), p.argmax(1) == y[test]
     order = np.argsort(-confidence)
     share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(share >= precision)
+    last = np.append(np.diff(confidence[order]) < 0, True)  # of equal confidences all or none are accepted
+    good = np.flatnonzero((share >= precision) & last)
     return {"langs": langs, "P": P, "b": b, "t": float(t), "least": float(confidence[order[good[-1]]]) if len(good) else 1.0}
 
 

@@ -42,7 +42,8 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
-    model = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
+    model = toxicity.fit(docs.where(~F.col("held_out")), labels)
     return toxicity.score(docs.select("doc_id", "held_out", "text"), model)
 
 
