@@ -12,8 +12,9 @@ from arborel.functions.languages import language_of_path, rule_languages
 from arborel.functions.metadata import matches, overlap
 from arborel.functions.text import document_text, extract_code_block, flatten_metadata, tokenize
 from arborel.functions.vectors import feature_index, feature_sign, similarity
+from arborel.jobs.generate import repair
 from arborel.jobs.prompts import generate_prompt
-from arborel.operators import corpus, fingerprint, hybrid, lexical, nodes, rules
+from arborel.operators import corpus, fingerprint, hybrid, lexical, nodes, rules, verify
 from arborel.operators.rules import Rule
 
 QUERY = "the pathetic tion therThe XMLHttp stupid The"
@@ -246,7 +247,38 @@ def g6_prompts(spark, sf_dir):
     return prompts.select("doc_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (t1_tokenize_counts, t3_entry_text, t5_lexical_stats, t5_doc_lengths, t7_document_frequency, t8_bm25_search, t9_bm25_scores, s5_bm25_by_language, g1_retrieve_batch, v1_cosine, v1_cosine_top, s3_metadata_filter, s3_event_props, s4_metadata_overlap, s7_hybrid_search, s8_text_search, p4_markup_nodes, f2_structure_counts, f3_feature_hash, f5_fingerprints, v2_similar_pages, r3_forbid, r4_require, r5_require_in, r5_inside, r6_naming, r14_report, r15_applicable_rules, a5_duplicate_sets, c1_units, c3_content_dedup, c8_stats, c9_grouping, i4_language_of_path, i6_first_files, t12_code_blocks, g6_prompts)}
+def s2_self_verification(spark, sf_dir):
+    """Labelled documents as examples of a rule: toxic ones as bad, others as good."""
+    both = _docs(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id")
+    text = lambda toxic: F.when(F.col("toxic") == toxic, F.col("text"))
+    entries = both.select("doc_id", F.lit("idiot|loser|moron|scum|clown").alias("pattern"), text(0).alias("good_example"), text(1).alias("bad_example"))
+    return verify.verified(entries, "doc_id")
+
+
+def i11_upsert(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars")
+    new = docs.where("doc_id % 10 = 0").select((F.col("doc_id") * 2).alias("doc_id"), F.lit("xx").alias("lang"), "n_chars")
+    return corpus.upsert(docs, new, "doc_id", replace=True)
+
+
+def g2_repair(spark, sf_dir):
+    """Documents with findings, repaired by a scripted provider that mends one kind of them in each turn."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    of = [r for r in RULES if r.type == "forbid"]
+
+    def check(rows):
+        lines = rows.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("n", "text"))
+        return rules.violations(rows, lines.select("doc_id", "lang", (F.col("n") + 1).alias("start_line"), "text"), of, "doc_id", "lang")
+
+    def provider(rows):
+        calm = F.regexp_replace("text", "!!+", "!")
+        mended = F.when(F.contains("text", F.lit("!!")), calm).otherwise(F.regexp_replace("text", "(password|token|geheim) ?=", "_"))
+        return rows.select("doc_id", F.when(F.col("text").startswith("An"), F.col("text")).otherwise(F.concat(F.lit("```\n"), mended, F.lit("\n```"))).alias("reply"))
+
+    return repair(docs, "doc_id", "text", check, provider, rounds=2).select("doc_id", "iterations", "verified")
+
+
+QUERIES = {f.__name__: f for f in (t1_tokenize_counts, t3_entry_text, t5_lexical_stats, t5_doc_lengths, t7_document_frequency, t8_bm25_search, t9_bm25_scores, s5_bm25_by_language, g1_retrieve_batch, v1_cosine, v1_cosine_top, s3_metadata_filter, s3_event_props, s4_metadata_overlap, s7_hybrid_search, s8_text_search, p4_markup_nodes, f2_structure_counts, f3_feature_hash, f5_fingerprints, v2_similar_pages, r3_forbid, r4_require, r5_require_in, r5_inside, r6_naming, r14_report, r15_applicable_rules, a5_duplicate_sets, c1_units, c3_content_dedup, c8_stats, c9_grouping, i4_language_of_path, i6_first_files, t12_code_blocks, g6_prompts, s2_self_verification, i11_upsert, g2_repair)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -330,4 +362,7 @@ ORACLE_SQL = {
     "i6_first_files": "SELECT url, page_id FROM pages ORDER BY url LIMIT 500",
     "t12_code_blocks": r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN rtrim(text, chr(10)) || chr(10) END AS code FROM conversations",
     "g6_prompts": f"WITH {_LINES}, v AS ({_FORBID} UNION ALL {_REQUIRE}), s AS (SELECT doc_id, string_agg('- line ' || start_line || ': [' || rule_id || '] ' || message || CASE WHEN snippet <> '' THEN ' -> ' || chr(96) || snippet || chr(96) ELSE '' END, chr(10) ORDER BY start_line, start_col, rule_id) AS found FROM v GROUP BY doc_id), p AS (SELECT d.doc_id, '## Text' || chr(10) || coalesce(text, '') || chr(10) || '## Findings' || chr(10) || coalesce(found, '- none') AS prompt FROM documents d LEFT JOIN s USING (doc_id)) SELECT doc_id, md5(prompt) AS prompt_md5, length(prompt) AS n FROM p",
+    "s2_self_verification": "SELECT doc_id, toxic IN (0, 1) AND text <> '' AS checked, CASE WHEN toxic IN (0, 1) AND text <> '' THEN regexp_matches(text, 'idiot|loser|moron|scum|clown') = (toxic = 1) END AS ok FROM documents JOIN labels USING (doc_id)",
+    "i11_upsert": "WITH n AS (SELECT doc_id * 2 AS doc_id, 'xx' AS lang, n_chars FROM documents WHERE doc_id % 10 = 0) SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n",
+    "g2_repair": "WITH f AS (SELECT doc_id, text, lang, coalesce(lang = 'en' AND contains(text, '!!'), FALSE) AS loud, contains(text, '!!') AS marks, regexp_matches(text, '(password|token) ?=') OR (lang = 'de' AND regexp_matches(text, 'geheim ?=')) AS secret, text LIKE 'An%' AND NOT text LIKE '%```%' AS mute FROM documents) SELECT doc_id, CASE WHEN NOT (loud OR secret) THEN 0 WHEN mute THEN 1 WHEN marks AND secret THEN 2 ELSE 1 END::INT AS iterations, NOT (loud OR secret) OR NOT mute AS verified FROM f",
 }
