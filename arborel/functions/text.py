@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 # Token boundaries and the ranking constants.
 TOKEN_BREAK = r"[^a-zA-Z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+WORD_BREAK, CAMEL = r"[^a-zA-Z0-9]+", r"[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 SHORTEST_TOKEN = 2
 K1, B = 1.5, 0.75
 FENCE = r"(?s)```[^\n]*\n(.*?)```"
 
 
 def tokenize(text: Column) -> Column:
-    """[T1] Lower-cased runs of letters and digits, split where camel case changes; tokens of one character go."""
-    parts = F.split(F.coalesce(text, F.lit("")), TOKEN_BREAK)
+    """[T1] Lower-cased runs of letters and digits, split where camel case changes; tokens of one character go.
+
+    Looking around every character is slow, so only texts with such a change pay for it.
+    """
+    text = F.coalesce(text, F.lit(""))
+    parts = F.when(text.rlike(CAMEL), F.split(text, TOKEN_BREAK)).otherwise(F.split(text, WORD_BREAK))
     return F.transform(F.filter(parts, lambda t: F.length(t) >= SHORTEST_TOKEN), F.lower)
 
 

@@ -36,10 +36,10 @@ def markup_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return nodes.join(up, held, "left").select(id_col, "pre", "last", F.col("_pre").alias("parent"), "depth", "type")
 
 
-def line_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, start_line, text) of every line, from 1; a null text has none."""
-    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("n", "text"))
-    return lines.select(id_col, (F.col("n") + 1).alias("start_line"), "text")
+def line_nodes(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, start_line, text) of every line, from 1; a null text has none."""
+    lines = docs.select(*keep, F.posexplode(F.split(text_col, "\n", -1)).alias("n", "text"))
+    return lines.select(*keep, (F.col("n") + 1).alias("start_line"), "text")
 
 
 def units(nodes: DataFrame, id_col: str, kinds: tuple[str, ...], depth: int, least: int) -> DataFrame:

@@ -16,6 +16,7 @@ from arborel.jobs.generate import repair
 from arborel.jobs.prompts import generate_prompt
 from arborel.operators import corpus, fingerprint, hybrid, lexical, nodes, rules, verify
 from arborel.operators.rules import Rule
+from arborel.sources.tables import load
 
 QUERY = "the pathetic tion therThe XMLHttp stupid The"
 WANTED = {"lang": ["en", "de"], "quality": 1}
@@ -30,12 +31,8 @@ RULES = [
 TEMPLATE = "```text\n%s\n```"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents")
+    return load(spark, sf_dir, "documents")
 
 
 def _meta(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -65,7 +62,7 @@ def t7_document_frequency(spark, sf_dir):
 
 
 def t3_entry_text(spark, sf_dir):
-    docs = _meta(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    docs = _meta(_docs(spark, sf_dir), load(spark, sf_dir, "labels"))
     text = document_text(F.col("doc_id").cast("string"), F.col("lang"), flatten_metadata(F.col("meta")), F.col("text"))
     return docs.select("doc_id", F.md5(text).alias("text_md5"), F.length(text).cast("long").alias("n"))
 
@@ -88,12 +85,12 @@ def s5_bm25_by_language(spark, sf_dir):
 
 
 def g1_retrieve_batch(spark, sf_dir):
-    items = _table(spark, sf_dir, "benchmark")
+    items = load(spark, sf_dir, "benchmark")
     return lexical.score_queries(_docs(spark, sf_dir), "doc_id", F.col("text"), items, "item_id", F.col("text"), 5).select("item_id", "doc_id", "rank", F.round("raw", 4).alias("score"))
 
 
 def v1_cosine(spark, sf_dir):
-    vectors = _table(spark, sf_dir, "embeddings")
+    vectors = load(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id = 0").select(F.col("embedding").alias("asked"))
     return vectors.join(F.broadcast(asked)).select("vec_id", F.round(similarity(F.col("embedding"), F.col("asked")), 6).alias("score"))
 
@@ -103,19 +100,19 @@ def v1_cosine_top(spark, sf_dir):
 
 
 def s3_metadata_filter(spark, sf_dir):
-    docs = _meta(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    docs = _meta(_docs(spark, sf_dir), load(spark, sf_dir, "labels"))
     return docs.where(matches(F.col("meta"), WANTED)).select("doc_id", "lang", "quality")
 
 
 def s3_event_props(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
+    events = load(spark, sf_dir, "events")
     props = F.from_json("props", "map<string,string>")
     meta = F.transform_values(props, lambda _, v: F.array(v))
     return events.where(matches(meta, {"k": [str(x) for x in range(10)], "absent": "x"})).select("event_id", "event_type")
 
 
 def s4_metadata_overlap(spark, sf_dir):
-    docs = _meta(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    docs = _meta(_docs(spark, sf_dir), load(spark, sf_dir, "labels"))
     return docs.select("doc_id", F.round(overlap(F.col("meta"), WANTED), 6).alias("share"))
 
 
@@ -123,19 +120,19 @@ def s7_hybrid_search(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     text = lexical.score_query(docs, "doc_id", F.col("text"), QUERY)
     vector = v1_cosine(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("ast"))
-    entries = _meta(docs.select("doc_id", "lang", "source"), _table(spark, sf_dir, "labels"))
+    entries = _meta(docs.select("doc_id", "lang", "source"), load(spark, sf_dir, "labels"))
     return hybrid.blend(entries, id_col="doc_id", wanted=WANTED, text=text, vector=vector, least=0.05, k=25)
 
 
 def s8_text_search(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     text = lexical.score_query(docs, "doc_id", F.col("text"), QUERY)
-    entries = _meta(docs.select("doc_id", "lang", "source"), _table(spark, sf_dir, "labels"))
+    entries = _meta(docs.select("doc_id", "lang", "source"), load(spark, sf_dir, "labels"))
     return hybrid.blend(entries, id_col="doc_id", wanted={"source": "src3"}, text=text, k=8)
 
 
 def p4_markup_nodes(spark, sf_dir):
-    return nodes.markup_nodes(_table(spark, sf_dir, "pages"), "page_id", "html")
+    return nodes.markup_nodes(load(spark, sf_dir, "pages"), "page_id", "html")
 
 
 def f2_structure_counts(spark, sf_dir):
@@ -160,15 +157,9 @@ def v2_similar_pages(spark, sf_dir):
     return entries.join(asked, "idx").groupBy("page_id").agg(F.round(score, 5).alias("score"))
 
 
-def _lines(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return docs, nodes.line_nodes(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
-
-
 def _violations(spark, sf_dir, kinds=rules.TYPES):
     docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
-    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("n", "text")).select("doc_id", "lang", (F.col("n") + 1).alias("start_line"), "text")
-    return docs, rules.violations(docs, lines, [r for r in RULES if r.type in kinds], "doc_id", "lang")
+    return docs, rules.violations(docs, nodes.line_nodes(docs, "text", "doc_id", "lang"), [r for r in RULES if r.type in kinds], "doc_id", "lang")
 
 
 def r3_forbid(spark, sf_dir):
@@ -230,11 +221,11 @@ def i4_language_of_path(spark, sf_dir):
 
 
 def i6_first_files(spark, sf_dir):
-    return corpus.first_rows(_table(spark, sf_dir, "pages").select("url", "page_id"), "url", 500)
+    return corpus.first_rows(load(spark, sf_dir, "pages").select("url", "page_id"), "url", 500)
 
 
 def t12_code_blocks(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations")
+    turns = load(spark, sf_dir, "conversations")
     reply = F.concat("role", F.lit(":\n```text\n"), "text", F.lit("\n\n```\nrest ``` x"))
     reply = F.when(F.col("turn") % 2 == 0, reply).otherwise(F.col("text"))
     return turns.select("conv_id", "turn", extract_code_block(reply).alias("code"))
@@ -249,7 +240,7 @@ def g6_prompts(spark, sf_dir):
 
 def s2_self_verification(spark, sf_dir):
     """Labelled documents as examples of a rule: toxic ones as bad, others as good."""
-    both = _docs(spark, sf_dir).join(_table(spark, sf_dir, "labels"), "doc_id")
+    both = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
     text = lambda toxic: F.when(F.col("toxic") == toxic, F.col("text"))
     entries = both.select("doc_id", F.lit("idiot|loser|moron|scum|clown").alias("pattern"), text(0).alias("good_example"), text(1).alias("bad_example"))
     return verify.verified(entries, "doc_id")
@@ -267,8 +258,7 @@ def g2_repair(spark, sf_dir):
     of = [r for r in RULES if r.type == "forbid"]
 
     def check(rows):
-        lines = rows.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("n", "text"))
-        return rules.violations(rows, lines.select("doc_id", "lang", (F.col("n") + 1).alias("start_line"), "text"), of, "doc_id", "lang")
+        return rules.violations(rows, nodes.line_nodes(rows, "text", "doc_id", "lang"), of, "doc_id", "lang")
 
     def provider(rows):
         calm = F.regexp_replace("text", "!!+", "!")

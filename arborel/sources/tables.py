@@ -5,7 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table; one of fewer splits than the session has cores is dealt out to them, as a file of a single row group
+    would keep all but one idle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def written(df: DataFrame) -> DataFrame:

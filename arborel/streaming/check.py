@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arborel.operators import rules
+from arborel.operators.nodes import line_nodes
 
 
 def check_stream(docs: DataFrame, of: list[rules.Rule], out: str, checkpoint: str) -> StreamingQuery:
@@ -15,8 +15,6 @@ def check_stream(docs: DataFrame, of: list[rules.Rule], out: str, checkpoint: st
 
     def run(batch: DataFrame, number: int) -> None:
         rows = batch.select("doc_id", "lang", "text")
-        lines = rows.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("n", "text"))
-        lines = lines.select("doc_id", "lang", (F.col("n") + 1).alias("start_line"), "text")
-        rules.violations(rows, lines, of, "doc_id", "lang").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rules.violations(rows, line_nodes(rows, "text", "doc_id", "lang"), of, "doc_id", "lang").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

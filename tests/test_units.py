@@ -105,7 +105,7 @@ def test_markup_tree(spark):
 
 def test_rules_over_odd_rows(spark):
     docs = spark.createDataFrame([(1, "en", None), (2, "en", ""), (3, "de", "Ä geheim = 1\npassword=x"), (4, None, "The x\nno\nThe y, z\nWow!!")], "doc_id int, lang string, text string")
-    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("n", "text")).select("doc_id", "lang", (F.col("n") + 1).alias("start_line"), "text")
+    lines = nodes.line_nodes(docs, "text", "doc_id", "lang")
     found = rules.violations(docs, lines, RULES, "doc_id", "lang")
     got = Counter((r.doc_id, r.rule_id, r.start_line, r.start_col) for r in found.collect())
     assert got[(3, "no-secret-de", 1, 3)] == 1 and got[(3, "no-secret", 2, 0)] == 1 and got[(1, "needs-sentence", 1, 0)] == 1
