@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborel.functions.text import bm25_term, idf, tokenize
+from arborel.sources.tables import written
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -38,9 +39,9 @@ def document_frequency(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
 def score_query(docs: DataFrame, id_col: str, text: Column, query: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """[T8, T9] (id, keep, bm25): scores of all documents that hold a term, divided by the best one.
 
-    A term counts as often as the query holds it. Only the query's terms are counted in each document, so two scans
-    and one row of sums (documents, mean length, document frequencies, best score) are all there is; postings are
-    never shuffled.
+    A term counts as often as the query holds it. Texts are tokenized once: each document's length and counts of the
+    query's terms are written, and two rows of sums over them (documents, mean length and document frequencies; the
+    best score) are all that is gathered. Postings are never shuffled.
     """
     spark = docs.sparkSession
     terms = Counter(spark.range(1).select(tokenize(F.lit(query))).first()[0])
@@ -49,7 +50,7 @@ def score_query(docs: DataFrame, id_col: str, text: Column, query: str, keep: tu
     names = list(terms)
     of = docs.select(id_col, *keep, tokenize(text).alias("tokens"))
     counts = [F.size(F.array_remove("tokens", x)) for x in names]
-    of = of.select(id_col, *keep, F.size("tokens").alias("dl"), F.array(*(F.size("tokens") - c for c in counts)).alias("tf"))
+    of = written(of.select(id_col, *keep, F.size("tokens").alias("dl"), F.array(*(F.size("tokens") - c for c in counts)).alias("tf")))
     s = of.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(names)))).first()
     if not s["n"] or not s["avgdl"]:
         return docs.select(id_col, *keep, F.lit(0.0).alias("bm25")).where(F.lit(False))
@@ -69,7 +70,7 @@ def score_queries(docs: DataFrame, id_col: str, text: Column, queries: DataFrame
     wanted = asked.select("term").distinct()
     of = docs.select(id_col, tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens"))
     s = of.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    held = of.select(id_col, "dl", F.explode("tokens").alias("term")).join(wanted, "term").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    held = written(of.select(id_col, "dl", F.explode("tokens").alias("term")).join(wanted, "term").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
     weight = held.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.lit(s["n"]), F.col("df")).alias("weight"))
     asked = asked.join(weight, "term").select(query_col, "term", (F.col("weight") * F.col("times")).alias("weight"))
     part = bm25_term(F.col("tf"), F.col("dl"), F.lit(s["avgdl"] or 1.0), F.col("weight"))
