@@ -50,7 +50,7 @@ def tile(Q: np.ndarray, q_ids: np.ndarray, C: np.ndarray, c_ids: np.ndarray, k:
     for i in range(len(Q)):
         at = np.flatnonzero((lower[i] <= limit[i]) & ~own[i])
         if len(at):
-            exact = np.sqrt(((Q[i] - C[at]) ** 2).sum(1))
+            exact = np.sqrt(np.add.accumulate((Q[i] - C[at]) ** 2, axis=1)[:, -1])  # in the order of the components
             best = np.lexsort((c_ids[at], exact))[:k]
             yield i, list(zip(exact[best].tolist(), c_ids[at][best].tolist(), strict=True))
 

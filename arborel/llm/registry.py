@@ -65,4 +65,19 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_neighbours": op1_neighbours, "op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_vectors": op8_vectors, "op9_language": op9_language, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_REACHED = "r(x, y) AS (SELECT id, id FROM ids UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x), c AS (SELECT x, min(y) AS low FROM r GROUP BY x)"
+_WHOLE = "ok AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_neighbours": f"WITH {_WHOLE}, d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM d) SELECT query_id, n::INT AS rank, vec_id, score FROM o WHERE n <= 10",
+    "op3_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+ids AS (SELECT doc_id AS id FROM documents), {_REACHED}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, low AS component_id, low = doc_id AS kept FROM s JOIN c ON c.x = doc_id""",
+    "op8_vectors": f"""WITH RECURSIVE {_WHOLE}, p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ids AS (SELECT vec_id AS id FROM embeddings), {_REACHED}
+SELECT id AS vec_id, (SELECT count(*) FROM p WHERE p.x = id) AS n_links, low AS component_id, low = id AS kept FROM ids JOIN c ON c.x = id""",
+}

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from arborel.llm import neighbours, urls
+from arborel.llm import neighbours, registry, urls
 from arborel.llm.components import connected_components
 from arborel.llm.vectordups import near_duplicate_vectors
+from tests.oracle import database
+from tests.oracle import rows as rows_of
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, vector int"
 
@@ -149,6 +151,14 @@ def test_pipeline_stages(spark, sf):
     assert packed.select("doc_id").distinct().count() == size
 
 
-@pytest.mark.parametrize("name", ["op5_urls", "op7_pii", "op8_vectors", "op10_packing"])
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_matches_sql(spark, sf, name):
+    got = registry.QUERIES[name](spark, sf)
+    want = database(sf).execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["op5_urls", "op7_pii", "op10_packing"])
 def test_registered_queries_give_rows(spark, sf, name):
     assert __spark_entry__.queries()[name](spark, sf).count() > 0
