@@ -29,14 +29,15 @@ def sign_codes(X: np.ndarray, seed: int = 11) -> np.ndarray:
 
 def _coded(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, b in grouped(batches, ["dim"]):
-            for x, y in zip(b[:-1].tolist(), b[1:].tolist(), strict=True):
-                for a in range(x, y, 4096):
-                    part = t.slice(a, min(4096, y - a))
-                    codes = sign_codes(vector_blocks(part, "vector"))
-                    at = pa.array(np.repeat(np.arange(len(part)), TABLES))
-                    cols = [part.column(c).combine_chunks().take(at) for c in ("id", "label", "dim")]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(part))), pa.array(codes.ravel())], names=["id", "label", "dim", "tab", "code"])
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            cuts = sorted({0, len(dims), *(np.flatnonzero(np.diff(dims)) + 1).tolist(), *range(0, len(dims), 4096)})
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                part = pa.Table.from_batches([batch.slice(x, y - x)])
+                codes = sign_codes(vector_blocks(part, "vector"))
+                at = pa.array(np.repeat(np.arange(len(part)), TABLES))
+                cols = [batch.slice(x, y - x).column(k).take(at) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(part))), pa.array(codes.ravel())], names=["id", "label", "dim", "tab", "code"])
 
     kind = dict(reps.dtypes)["label"]
     return reps.select("id", "label", "dim", "vector").mapInArrow(run, f"id long, label {kind}, dim int, tab int, code int")
