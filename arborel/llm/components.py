@@ -14,13 +14,19 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Every round writes its edges to the shared folder, so lineage stays short and a lost executor costs one round.
     Nothing is collected but the number of edges that are not yet part of a star. Null ends and loops are left out.
     """
+    spark = edges.sparkSession
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """Dealt out evenly, so that the join on u shuffles both its sides and a node of very many edges can be split."""
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = stored(e)
     for _ in range(most_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        low = dealt(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = dealt(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = stored(moved.where("u <> v").distinct())
         # a forest of stars: no node with two parents, and no parent that has one
