@@ -15,7 +15,9 @@ BUCKETS = 1 << 18
 #: Lengths in bytes of a token's prefixes and of its suffix that are features beside the whole token.
 PREFIXES, SUFFIX = (4, 5, 6), 4
 #: Labelled documents of each kind that training may use, and tokens of one of them.
-SAMPLE_PER_LABEL, SAMPLE_TOKENS = 1_500, 20_000
+SAMPLE_PER_LABEL, SAMPLE_TOKENS = 1_200, 20_000
+#: Tokens that a step of training holds at once.
+_BLOCK = 200_000
 _STEPS = 256
 
 _TOKEN = np.full(256, 32, np.uint8)
@@ -169,13 +171,13 @@ def _summary(p: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.stack((np.log(most / (1 - most)), np.log1p(total)), 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
-    """Weights of the columns and of a constant, by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2) -> np.ndarray:
+    """Weights of the columns and of a constant, by Newton steps over weighted rows."""
     x = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(x.shape[1])
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + l2 * len(x) ** 0.5 * np.eye(len(w)), x.T @ (y - q) - l2 * len(x) ** 0.5 * w)
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + l2 * len(x) ** 0.5 * np.eye(len(w)), x.T @ (weight * (y - q)) - l2 * len(x) ** 0.5 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -192,37 +194,51 @@ def _token_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return (seen[1] >= least) & (share[0] >= 20 * share[1]) & (seen[1] >= 10 * seen[0])
 
 
-def train(rows: list[tuple[int, np.ndarray]], *, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:
+def train(rows: list[tuple[int, np.ndarray]], toxic_share: float | None = None, *, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:
     """Tokens of toxic documents with a marking feature are labelled toxic, all others clean; AdaGrad on the
-    conditional log likelihood of all chains at once; then a logistic score of a document's summary."""
+    conditional log likelihood of all chains at once, gathered block by block; then a logistic score of a document's
+    summary, whose rows weigh as much as their label among all documents (toxic_share)."""
     width = len(PREFIXES) + 2
     toxic = np.array([r[0] for r in rows], float)
     feats = [r[1].reshape(-1, width) for r in rows]
     marks = _token_labels(feats, toxic)
-    X = np.concatenate(feats)
-    of = np.repeat(np.arange(len(rows)), [len(f) for f in feats])
-    new = np.diff(of, prepend=-1) != 0
-    y = marks[X].any(1) & (toxic[of] > 0)
-    w, start, trans = np.zeros(BUCKETS), np.zeros(2), np.zeros((2, 2))
-    gw, gs, gt = np.full(BUCKETS, 1e-3), np.full(2, 1.0), np.full((2, 2), 1.0)
-    pairs = np.zeros((2, 2))
-    inner = np.flatnonzero(~new)
-    np.add.at(pairs, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
-    firsts = np.array([(new & ~y).sum(), (new & y).sum()], float)
-    size = max(1, len(X))
+    blocks, size = [], max(1, sum(map(len, feats)))
+    part: list[int] = []
+    for i in range(len(feats)):
+        part.append(i)
+        if sum(len(feats[j]) for j in part) >= _BLOCK or i == len(feats) - 1:
+            X = np.concatenate([feats[j] for j in part])
+            of = np.repeat(np.arange(len(part)), [len(feats[j]) for j in part])
+            y = marks[X].any(1) & (toxic[part][of] > 0)
+            blocks.append((X, of, np.diff(of, prepend=-1) != 0, y, len(part)))
+            part = []
+    feats.clear()
+    w, start, trans = np.zeros(BUCKETS, np.float32), np.zeros(2), np.zeros((2, 2))
+    gw, gs, gt = np.full(BUCKETS, 1e-3, np.float32), np.full(2, 1.0), np.full((2, 2), 1.0)
+    pairs, firsts = np.zeros((2, 2)), np.zeros(2)
+    for _, _, new, y, _ in blocks:
+        inner = np.flatnonzero(~new)
+        np.add.at(pairs, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
+        firsts += (new & ~y).sum(), (new & y).sum()
     for _ in range(epochs):
-        p, c, f = marginals(w[X].sum(1), new, start, trans, pairs=True)
-        d = np.bincount(X.ravel(), weights=np.repeat(y - p, width), minlength=BUCKETS) / size - l2 * w
-        ds, dt = (firsts - f) / size, (pairs - c) / size
-        gw += (d * size) ** 2
+        d, counts, begun = -size * l2 * w.astype(float), np.zeros((2, 2)), np.zeros(2)
+        for X, _, new, y, _ in blocks:
+            p, c, f = marginals(w[X].sum(1, dtype=float), new, start, trans, pairs=True)
+            d += np.bincount(X.ravel(), weights=np.repeat(y - p, width), minlength=BUCKETS)
+            counts += c
+            begun += f
+        ds, dt = (firsts - begun) / size, (pairs - counts) / size
+        gw += d**2
         gs += ds**2 * size
         gt += dt**2 * size
-        w += rate * d * size / np.sqrt(gw)
+        w += rate * d / np.sqrt(gw)
         start += rate * ds * np.sqrt(size) / np.sqrt(gs)
         trans += rate * dt * np.sqrt(size) / np.sqrt(gt)
-    s = _summary(marginals(w[X].sum(1), new, start, trans), of, len(rows))
-    *top, bias = _logistic(s, toxic)
-    return {"w": w.astype(np.float32), "start": start, "trans": trans, "top": np.array(top), "bias": float(bias)}
+    s = np.concatenate([_summary(marginals(w[X].sum(1, dtype=float), new, start, trans), of, n) for X, of, new, _, n in blocks])
+    share = toxic.mean() if toxic_share is None else toxic_share
+    weight = np.where(toxic > 0, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
+    *top, bias = _logistic(s, toxic, weight)
+    return {"w": w, "start": start, "trans": trans, "top": np.array(top), "bias": float(bias)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> dict | None:
@@ -242,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
             yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(1), pa.array([found[i].ravel().astype(np.int32) for i in keep], pa.list_(pa.int32()))], names=["draw", "y", "features"])
 
     rows = drawn(picked.mapInArrow(count, "draw double, y int, features array<int>"), ["features"])
-    return train([(y, f[0]) for y, f in rows]) if rows else None
+    return train([(y, f[0]) for y, f in rows], counts.get(1, 0) / sum(counts.values())) if rows else None
 
 
 def _scored(m: dict, t: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
