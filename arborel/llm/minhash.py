@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # families grow with the corpus: this join is a shuffle at every size
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(families.hint("merge"), "id")
     sets = stored(_sets(texts, width).where("n > 0"))
-    hubs = sets.where("id = family").select("family", F.col("n").alias("hub_n"), F.col("shingles").alias("hub")).dropDuplicates(["family"])
+    hubs = sets.where("id = family").select("family", F.col("n").alias("hub_n"), F.col("shingles").alias("hub"))
     common = F.size(F.array_intersect("shingles", "hub"))
     tried = sets.join(hubs, "family").withColumn("common", common)
     tried = tried.select("id", "family", ((F.col("id") == F.col("family")) | (whole * F.col("common") >= part * (F.col("n") + F.col("hub_n") - F.col("common")))).alias("linked"))
