@@ -231,6 +231,22 @@ def test_personal_data_base_spans_and_redaction(spark):
         assert r.clean == text
 
 
+def test_long_personal_data_is_found_whole(spark):
+    rng = random.Random(4)
+    made = {n: "".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (40, 129, 200, 5_000)}
+    texts = [f"see token={made[n]} and more" for n in made]
+    late, handle, number = "aB" * 40 + "7x", "m" * 90 + "1@" + "n.o" * 200, " ".join(["555 12.34"] * 50)
+    texts += [f"x {late} y", f"x {handle} y", f"x {number} y", *(f"plain words w{i}" for i in range(40))]
+    want = [*((f"token={x}".index(x) + 4, x, "secret") for x in made.values()), (2, late, "secret"), (2, handle, "handle"), (2, number, "number")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii._candidates(df, "text").where("doc_id < 7").collect():
+        s, x, kind = want[r.doc_id]
+        assert (s, s + len(x), x) in [(c.s, c.e, c.x) for c in r[f"_s_{kind}"]]
+    found = pii.find(df, pii.fit(df)).select("doc_id", pii.redacted(F.col("text"), F.col("found")).alias("clean"))
+    clean = {r.doc_id: r.clean for r in found.collect()}
+    assert [clean[i] for i in range(4)] == ["see token=[secret] and more"] * 4
+
+
 def test_trees_reach_their_precision_and_columns_agree(spark):
     rng = np.random.default_rng(2)
     X = rng.integers(0, 4, (200, len(pii.FEATURES)))
