@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from arborel.llm.common import as_bytes, stored, text_chunks
 
 CLASSES, STATES = 4096, 6
-#: Rounds of Baum-Welch on a bounded sample of documents, from which those over the corpus start, and over the corpus.
-SAMPLE_DOCS, SAMPLE_ROUNDS, ROUNDS = 600, 25, 2
+#: Rounds of Baum-Welch on a bounded sample of documents, from which those over the corpus start.
+SAMPLE_DOCS, SAMPLE_ROUNDS = 600, 25
+#: Rounds over the corpus end when one gains less than so many nats a token.
+CLOSE = 1e-3
 #: The most frequent words, whose counts every task holds; the other words' counts are joined.
 KNOWN_WORDS = 150_000
 _HELD_WORDS, _PIECE = 150_000, 2048
@@ -122,8 +124,8 @@ class Chains:
         return out, every, scales
 
     def expected(self, model: dict) -> dict:
-        """Expected counts of starts, transitions and emissions (forward-backward)."""
-        _, alpha, z = self.forward(model, keep=True)
+        """Expected counts of starts, transitions and emissions (forward-backward), and the texts' log likelihood."""
+        logp, alpha, z = self.forward(model, keep=True)
         E, A = model["emit"].T.copy(), model["trans"]
         states = A.shape[0]
         start, trans = np.zeros(states), np.zeros_like(A)
@@ -144,7 +146,7 @@ class Chains:
                 start += g.sum(0)
             beta = b
         emit = np.stack([np.bincount(self.tokens, weights=gamma[:, s], minlength=CLASSES + 1) for s in range(states)])
-        return {"start": start, "trans": trans, "emit": emit}
+        return {"start": start, "trans": trans, "emit": emit, "logp": logp.sum()}
 
 
 def maximized(counts: dict, mass: np.ndarray) -> dict:
@@ -174,12 +176,12 @@ def _slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Ite
 
 
 def _flat(counts: dict) -> np.ndarray:
-    return np.concatenate([counts[k].ravel() for k in ("start", "trans", "emit")])
+    return np.concatenate([np.ravel(counts[k]) for k in ("start", "trans", "emit", "logp")])
 
 
 def _unflat(x: np.ndarray, states: int) -> dict:
     a, b = states, states + states * states
-    return {"start": x[:a], "trans": x[a:b].reshape(states, states), "emit": x[b:].reshape(states, CLASSES + 1)}
+    return {"start": x[:a], "trans": x[a:b].reshape(states, states), "emit": x[b:-1].reshape(states, CLASSES + 1), "logp": float(x[-1])}
 
 
 def baum_welch_round(encoded: DataFrame, model: dict) -> dict:
@@ -208,10 +210,25 @@ def baum_welch_round(encoded: DataFrame, model: dict) -> dict:
     schema = "piece int, part binary"
     rows = encoded.select("classes").mapInArrow(run, schema).repartition("piece").mapInArrow(add, schema).collect()
     if not rows:
-        return _unflat(np.zeros(states + states * states + states * (CLASSES + 1)), states)
+        return _unflat(np.zeros(states + states * states + states * (CLASSES + 1) + 1), states)
     return _unflat(np.concatenate([np.frombuffer(r["part"]) for r in sorted(rows)]), states)
 
 
+def trained(train: DataFrame, model: dict, mass: np.ndarray, rounds: int | None = None) -> dict:
+    """Baum-Welch over all rows of train, for some rounds or until one gains less than CLOSE nats a token."""
+    before, done = None, 0
+    while rounds is None or done < rounds:
+        counts = baum_welch_round(train, model)
+        tokens = counts["emit"].sum()
+        if tokens == 0:
+            break
+        model, done = maximized(counts, mass), done + 1
+        if rounds is None and before is not None and counts["logp"] - before < CLOSE * tokens:
+            break
+        before = counts["logp"]
+    return model
+
+
 def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     """The counts of the most frequent words, most at most: those over a level that a histogram of the counts'
     logarithms gives, so that no task sorts or merges the vocabulary."""
@@ -226,9 +243,11 @@ def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(r["w"]): r["c"] for r in counts.where(level >= least).select(F.col("word").cast("binary").alias("w"), "c").toLocalIterator()}
 
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, known_words: int = KNOWN_WORDS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram, log10) and score (log10
-    probability of the text under the model) of every row; what held_out marks teaches nothing.
+    probability of the text under the model) of every row; what held_out marks teaches nothing. Training starts with
+    SAMPLE_ROUNDS rounds on about SAMPLE_DOCS documents of any length and then runs over all rows until it settles, or
+    for some rounds.
 
     Null and empty texts are an end alone. Rows with a null id are scored too; repeated rows and rows that share an
     id each. An empty table gives no rows; without training rows every word is unseen. Other columns are not used.
@@ -247,14 +266,8 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     train = encoded.where(~F.col("held_out"))
     size = train.count()
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("hmm")), F.lit(1 << 20)) / float(1 << 20)
-    sample = [np.frombuffer(r["classes"], np.uint16) for r in train.where((draw < SAMPLE_DOCS / max(size, 1)) & (F.col("n_tokens") <= 5000)).orderBy(draw, "_row").select("classes").toLocalIterator()]
-    model = initial(mass, states)
-    if sample:
-        chains = Chains(sample)
-        for _ in range(SAMPLE_ROUNDS):
-            model = maximized(chains.expected(model), mass)
-    for _ in range(rounds if size else 0):
-        model = maximized(baum_welch_round(train, model), mass)
+    sample = stored(train.where(draw < SAMPLE_DOCS / max(size, 1)).select("classes").repartition(8))
+    model = trained(train, trained(sample, initial(mass, states), mass, SAMPLE_ROUNDS), mass, rounds)
 
     rare = encoded.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("times"))
     rare = rare.join(counts, "word").groupBy("_row").agg(F.sum("times").alias("n_there"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("base_there"))

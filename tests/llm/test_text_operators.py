@@ -151,6 +151,19 @@ def test_hidden_markov_likelihood_is_that_of_all_paths():
     assert hmm.Chains(codes).forward(model)[0].sum() > before
 
 
+def test_hidden_markov_training_runs_over_all_rows_until_it_settles(spark):
+    rng = np.random.default_rng(3)
+    codes = [np.append(rng.integers(0, 20, n) * 2 + np.arange(n) % 2, hmm.CLASSES).astype(np.uint16) for n in (6_000, *[30] * 40)]
+    train = spark.createDataFrame([(c.tobytes(),) for c in codes], "classes binary").repartition(2).cache()
+    mass = 1 + np.bincount(np.concatenate(codes), minlength=hmm.CLASSES + 1).astype(float)
+    tokens = sum(map(len, codes))
+    model = hmm.trained(train, hmm.initial(mass, 2), mass, 25)
+    assert math.isclose(hmm.baum_welch_round(train, model)["logp"], hmm.Chains(codes).forward(model)[0].sum())
+    model = hmm.trained(train, model, mass)
+    before, after = (hmm.Chains(codes).forward(m)[0].sum() / tokens for m in (model, hmm.maximized(hmm.Chains(codes).expected(model), mass)))
+    assert after - before < hmm.CLOSE
+
+
 def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
