@@ -13,6 +13,7 @@ from arborel.functions.metadata import matches
 TYPES = ("forbid", "require", "require_in", "naming")
 #: Fixed value: characters of a violation's snippet.
 SNIPPET = 200
+_BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -66,27 +67,42 @@ def _violation(id_col: str, r: Rule, line: Column, column: Column, message: Colu
     return [id_col, F.lit(r.id).alias("rule_id"), message.alias("message"), F.lit(r.severity).alias("severity"), line.cast("int").alias("start_line"), column.cast("int").alias("start_col"), F.substring(snippet, 1, SNIPPET).alias("snippet")]
 
 
-def _byte(text: Column, chars: Column) -> Column:
-    return F.octet_length(F.substring(text, F.lit(1), chars))
-
-
-def violations(docs: DataFrame, lines: DataFrame, rules: list[Rule], id_col: str, language_col: str) -> DataFrame:
+def _matches(text: str, pattern: str, group: int, first: bool) -> Column:
+    """Array of (at, whole, got): every match of pattern in text (or the first), whole and its group, and the byte
+    where it starts. Starts are sums of what split leaves between matches and the matches; they go by blocks, so many
+    matches stay cheap."""
+    whole, got, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
+    # split leaves no piece before an empty match at the start
+    gaps = F.when(F.size(parts) <= F.size(whole), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), got.alias("got"))
+    rows = F.slice(rows, 1, 1) if first else rows
+    size = lambda x: F.octet_length(x["gap"]) + F.octet_length(x["whole"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda b: F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK)))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + size(x)))
+    before = F.transform(blocks, lambda _, i: F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    at = lambda b, i, x: F.aggregate(F.slice(b, F.lit(1), i), F.lit(0), lambda a, y: a + size(y)) + F.octet_length(x["gap"])
+    found = F.flatten(F.zip_with(blocks, before, lambda b, a: F.transform(b, lambda x, i: F.struct((a + at(b, i, x)).alias("at"), x["whole"].alias("whole"), x["got"].alias("got")))))
+    return F.when(F.size(whole) > 0, found)
+
+
+def violations(docs: DataFrame, lines: DataFrame, rules: list[Rule], id_col: str, language_col: str, *, first: bool = False) -> DataFrame:
     """[R3-R6, R12] (id, rule_id, message, severity, start_line, start_col, snippet). Lines: (id, language, start_line,
-    text). Columns are bytes from 0. Forbid and naming rules share one pass over the lines; a require rule is an anti
+    text). Columns are bytes from 0. Every match of a forbid rule and every capture of a naming rule counts, with first
+    only the first of each line. Forbid and naming rules share one pass over the lines; a require rule is an anti
     join; a scope runs from its line to the line before the next scope and must hold a match."""
     out = []
     fits = lambda r: F.lit(True) if r.language is None else F.coalesce(F.col(language_col) == r.language, F.lit(False))
     for r in rules:
         of, text = lines.where(fits(r)), F.col("text")
         if r.type == "forbid":
-            at = F.regexp_instr("text", F.lit(r.pattern))
-            out.append(of.where(text.rlike(r.pattern)).select(*_violation(id_col, r, F.col("start_line"), _byte(text, at - 1), F.lit(r.message), text)))
+            hits = of.where(text.rlike(r.pattern)).withColumn("_hit", F.explode(_matches("text", r.pattern, 0, first)))
+            out.append(hits.select(*_violation(id_col, r, F.col("start_line"), F.col("_hit.at"), F.lit(r.message), text)))
         elif r.type == "naming":
-            got = F.regexp_extract("text", r.capture, 1)
-            bad = text.rlike(r.capture) & ~got.rlike(rf"\A(?:{r.pattern})\z")
+            hits = of.where(text.rlike(r.capture)).withColumn("_hit", F.explode(_matches("text", r.capture, 1, first)))
+            got = F.col("_hit.got")
             message = F.concat(F.lit(f"{r.message} (got '"), got, F.lit("')"))
-            at = F.instr(text, got)
-            out.append(of.where(bad).select(*_violation(id_col, r, F.col("start_line"), _byte(text, at - 1), message, got)))
+            inner = F.octet_length(F.substring(F.col("_hit.whole"), F.lit(1), F.instr(F.col("_hit.whole"), got) - 1))
+            out.append(hits.where(~got.rlike(rf"\A(?:{r.pattern})\z")).select(*_violation(id_col, r, F.col("start_line"), F.col("_hit.at") + inner, message, got)))
         elif r.type == "require":
             met = of.where(text.rlike(r.pattern)).select(id_col)
             missing = docs.where(fits(r)).join(met, id_col, "left_anti")

@@ -157,12 +157,18 @@ def v2_similar_pages(spark, sf_dir):
     return entries.join(asked, "idx").groupBy("page_id").agg(F.round(score, 5).alias("score"))
 
 
-def _violations(spark, sf_dir, kinds=rules.TYPES):
+def _violations(spark, sf_dir, kinds=rules.TYPES, first=False):
     docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
-    return docs, rules.violations(docs, nodes.line_nodes(docs, "text", "doc_id", "lang"), [r for r in RULES if r.type in kinds], "doc_id", "lang")
+    return docs, rules.violations(docs, nodes.line_nodes(docs, "text", "doc_id", "lang"), [r for r in RULES if r.type in kinds], "doc_id", "lang", first=first)
 
 
 def r3_forbid(spark, sf_dir):
+    """The first match of each line."""
+    return _violations(spark, sf_dir, ("forbid",), first=True)[1]
+
+
+def r3_forbid_all(spark, sf_dir):
+    """Every match."""
     return _violations(spark, sf_dir, ("forbid",))[1]
 
 
@@ -183,6 +189,13 @@ def r6_naming(spark, sf_dir):
 
 
 def r14_report(spark, sf_dir):
+    """Counts the first match of each line."""
+    docs, found = _violations(spark, sf_dir, first=True)
+    return rules.report(docs, found, "doc_id")
+
+
+def r14_report_all(spark, sf_dir):
+    """Counts every match."""
     docs, found = _violations(spark, sf_dir)
     return rules.report(docs, found, "doc_id")
 
@@ -231,13 +244,18 @@ def t12_code_blocks(spark, sf_dir):
     return turns.select("conv_id", "turn", extract_code_block(reply).alias("code"))
 
 
-def g6_prompts(spark, sf_dir):
-    """A prompt for each label: the document's text with what the rules found in it."""
-    docs, found = _violations(spark, sf_dir, ("forbid", "require"))
+def g6_prompts(spark, sf_dir, first=True):
+    """A prompt for each label: the document's text with what the rules found in it, the first match of each line."""
+    docs, found = _violations(spark, sf_dir, ("forbid", "require"), first)
     prompts = generate_prompt(docs, found, "doc_id", "text")
     return prompts.select("doc_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n"))
 
 
+def g6_prompts_all(spark, sf_dir):
+    """The prompts with every match."""
+    return g6_prompts(spark, sf_dir, first=False)
+
+
 def s2_self_verification(spark, sf_dir):
     """Labelled documents as examples of a rule: toxic ones as bad, others as good."""
     both = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
@@ -268,7 +286,7 @@ def g2_repair(spark, sf_dir):
     return repair(docs, "doc_id", "text", check, provider, rounds=2).select("doc_id", "iterations", "verified")
 
 
-QUERIES = {f.__name__: f for f in (t1_tokenize_counts, t3_entry_text, t5_lexical_stats, t5_doc_lengths, t7_document_frequency, t8_bm25_search, t9_bm25_scores, s5_bm25_by_language, g1_retrieve_batch, v1_cosine, v1_cosine_top, s3_metadata_filter, s3_event_props, s4_metadata_overlap, s7_hybrid_search, s8_text_search, p4_markup_nodes, f2_structure_counts, f3_feature_hash, f5_fingerprints, v2_similar_pages, r3_forbid, r4_require, r5_require_in, r5_inside, r6_naming, r14_report, r15_applicable_rules, a5_duplicate_sets, c1_units, c3_content_dedup, c8_stats, c9_grouping, i4_language_of_path, i6_first_files, t12_code_blocks, g6_prompts, s2_self_verification, i11_upsert, g2_repair)}
+QUERIES = {f.__name__: f for f in (t1_tokenize_counts, t3_entry_text, t5_lexical_stats, t5_doc_lengths, t7_document_frequency, t8_bm25_search, t9_bm25_scores, s5_bm25_by_language, g1_retrieve_batch, v1_cosine, v1_cosine_top, s3_metadata_filter, s3_event_props, s4_metadata_overlap, s7_hybrid_search, s8_text_search, p4_markup_nodes, f2_structure_counts, f3_feature_hash, f5_fingerprints, v2_similar_pages, r3_forbid, r3_forbid_all, r4_require, r5_require_in, r5_inside, r6_naming, r14_report, r14_report_all, r15_applicable_rules, a5_duplicate_sets, c1_units, c3_content_dedup, c8_stats, c9_grouping, i4_language_of_path, i6_first_files, t12_code_blocks, g6_prompts, g6_prompts_all, s2_self_verification, i11_upsert, g2_repair)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -307,6 +325,14 @@ def _forbid(r: Rule) -> str:
     return f"SELECT doc_id, '{r.id}' AS rule_id, '{r.message}' AS message, '{r.severity}' AS severity, start_line::INT AS start_line, strlen(string_split_regex(text, '{pattern}')[1])::INT AS start_col, substr(text, 1, 200) AS snippet FROM ln0 WHERE regexp_matches(text, '{pattern}'){own}"
 
 
+def _forbid_all(r: Rule) -> str:
+    own = f" AND lang = '{r.language}'" if r.language else ""
+    pattern = r.pattern.replace("'", "''")
+    pieces = f"SELECT *, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM ln0 WHERE regexp_matches(text, '{pattern}'){own}"
+    return f"SELECT doc_id, '{r.id}' AS rule_id, '{r.message}' AS message, '{r.severity}' AS severity, start_line::INT AS start_line, strlen(concat(array_to_string(gaps[1:k], ''), array_to_string(hits[1:k - 1], '')))::INT AS start_col, substr(text, 1, 200) AS snippet FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM ({pieces}))"
+
+
+_FORBID_ALL = " UNION ALL ".join(_forbid_all(r) for r in RULES if r.type == "forbid")
 _FORBID = " UNION ALL ".join(_forbid(r) for r in RULES if r.type == "forbid")
 _REQUIRE = r"SELECT doc_id, 'needs-sentence' AS rule_id, 'a document holds a sentence' AS message, 'error' AS severity, 1::INT AS start_line, 0::INT AS start_col, '' AS snippet FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ln0 WHERE regexp_matches(text, '[a-z]\.'))"
 _REQUIRE_IN = "SELECT doc_id, 'scope-has-comma' AS rule_id, 'a part that begins with The holds a comma' AS message, 'error' AS severity, min(start_line)::INT AS start_line, 0::INT AS start_col, substr(arg_min(text, start_line), 1, 200) AS snippet FROM (SELECT *, sum(CASE WHEN text LIKE 'The %' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_line) AS scope FROM ln0 WHERE lang = 'en') WHERE scope > 0 GROUP BY doc_id, scope HAVING NOT bool_or(contains(text, ','))"
@@ -356,3 +382,5 @@ ORACLE_SQL = {
     "i11_upsert": "WITH n AS (SELECT doc_id * 2 AS doc_id, 'xx' AS lang, n_chars FROM documents WHERE doc_id % 10 = 0) SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n",
     "g2_repair": "WITH f AS (SELECT doc_id, text, lang, coalesce(lang = 'en' AND contains(text, '!!'), FALSE) AS loud, contains(text, '!!') AS marks, regexp_matches(text, '(password|token) ?=') OR (lang = 'de' AND regexp_matches(text, 'geheim ?=')) AS secret, text LIKE 'An%' AND NOT text LIKE '%```%' AS mute FROM documents) SELECT doc_id, CASE WHEN NOT (loud OR secret) THEN 0 WHEN mute THEN 1 WHEN marks AND secret THEN 2 ELSE 1 END::INT AS iterations, NOT (loud OR secret) OR NOT mute AS verified FROM f",
 }
+# The same with every match in place of the first of each line
+ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(_FORBID, _FORBID_ALL) for name in ("r3_forbid", "r14_report", "g6_prompts")}

@@ -171,3 +171,12 @@ def test_stream(spark, sf, tmp_path):
     from arborel.registry import _violations
 
     assert 0 < first < spark.read.parquet(str(tmp_path / "out")).count() == _violations(spark, sf)[1].count()
+
+
+def test_every_match_of_a_line_counts(spark):
+    lines = spark.createDataFrame([(1, "en", 1, "é password = token=x " + "!!" * 600), (2, "en", 1, "é id Ok id bad id Fine id worse")], "doc_id long, lang string, start_line int, text string")
+    of = [rules.Rule("s", "forbid", r"(password|token) ?=", "m"), rules.Rule("b", "forbid", "!!", "m"), rules.Rule("n", "naming", "[A-Z][a-z]+", "m", capture=r"id (\w+)")]
+    found = rules.violations(lines.select("doc_id", "lang"), lines, of, "doc_id", "lang")
+    got = sorted((r.doc_id, r.rule_id, r.start_col, r.message) for r in found.select("doc_id", "rule_id", "start_col", "message").collect())
+    want = [(1, "b", 22 + 2 * i, "m") for i in range(600)] + [(1, "s", 3, "m"), (1, "s", 14, "m")] + [(2, "n", 12, "m (got 'bad')"), (2, "n", 27, "m (got 'worse')")]
+    assert got == sorted(want)
