@@ -15,7 +15,7 @@ BUCKETS = 1 << 18
 #: Lengths in bytes of a token's prefixes and of its suffix that are features beside the whole token.
 PREFIXES, SUFFIX = (4, 5, 6), 4
 #: Labelled documents of each kind that training may use, and tokens of one of them.
-SAMPLE_PER_LABEL, SAMPLE_TOKENS = 1_200, 20_000
+SAMPLE_PER_LABEL, SAMPLE_TOKENS = 2_500, 20_000
 #: Tokens that a step of training holds at once.
 _BLOCK = 200_000
 _STEPS = 256
@@ -190,8 +190,7 @@ def _token_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     for f, y in zip(rows, toxic, strict=True):
         seen[int(y), np.unique(f)] += 1
     share = (seen[1] + 0.5) / (toxic.sum() + 1), (seen[0] + 0.5) / ((1 - toxic).sum() + 1)
-    least = 5 if toxic.sum() >= 200 else 3
-    return (seen[1] >= least) & (share[0] >= 20 * share[1]) & (seen[1] >= 10 * seen[0])
+    return (seen[1] >= 3) & (share[0] >= 20 * share[1]) & (seen[1] >= 10 * seen[0])
 
 
 def train(rows: list[tuple[int, np.ndarray]], toxic_share: float | None = None, *, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:

@@ -323,6 +323,13 @@ def test_marginals_are_those_of_all_paths():
     assert np.allclose(whole, want)
 
 
+@pytest.mark.parametrize("size", [20, 199, 200, 1_000])
+def test_marking_features_are_the_same_at_every_size(size):
+    rows = [*(np.array([7 if i < 3 else 8]) for i in range(size)), *(np.array([9]) for _ in range(5 * size))]
+    marks = toxicity._token_labels(rows, np.repeat([1.0, 0.0], [size, 5 * size]))
+    assert np.flatnonzero(marks).tolist() == [7, 8]
+
+
 def test_toxic_documents_and_offsets(spark):
     rng = random.Random(3)
     made, marks = [], []
