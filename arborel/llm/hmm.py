@@ -11,9 +11,11 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ CLOSE = 1e-3
 #: The most frequent words, whose counts every task holds; the other words' counts are joined.
 KNOWN_WORDS = 150_000
 _HELD_WORDS, _PIECE = 150_000, 2048
+#: Groups of tasks whose expected counts are summed before those of all.
+SHARES = 64
 END = b"\n"
 
 
@@ -69,23 +73,29 @@ def _encode(docs: DataFrame, text_col: str, known: dict[bytes, int]) -> DataFram
     other words, and the classes of all tokens."""
     kept = [c for c in docs.columns if c != text_col]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != text_col), "n_tokens long, n_here long, base_here double, rare array<string>, classes binary"])
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    # the last entry stands for a word that is not at hand
+    logs = np.log10(np.fromiter((*known.values(), 0), np.int64, len(known) + 1) + 1)
+    in_class = np.fromiter((*map(word_class, known), 0), np.uint16, len(known) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(known)}, logs, in_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        classes: dict[bytes, int] = {w: word_class(w) for w in counts}
+        number, logs, in_class = shared.value
         for batch in text_chunks(batches, text_col):
-            n, here, base, rare, codes = [], [], [], [], []
+            words, ends = [], []
             for text in as_bytes(batch.column(0)):
-                words = _words(text)
-                c = np.fromiter((counts.get(w, -1) for w in words), np.int64, len(words))
-                known_here = c >= 0
-                n.append(len(words))
-                here.append(int(known_here.sum()))
-                base.append(float(np.log10(c[known_here] + 1).sum()))
-                rare.append([words[i].decode() for i in np.flatnonzero(~known_here)])
-                codes.append(np.fromiter((classes[w] if w in classes else word_class(w) for w in words), np.uint16, len(words)).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(here, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.string())), pa.array(codes, pa.binary())], names=[*kept, "n_tokens", "n_here", "base_here", "rare", "classes"])
+                words += _words(text)
+                ends.append(len(words))
+            ends = np.array(ends)
+            starts = np.concatenate(([0], ends[:-1]))
+            at = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
+            codes = in_class[at]
+            miss = np.flatnonzero(at < 0)
+            codes[miss] = [word_class(words[i]) for i in miss]
+            raw = codes.tobytes()
+            rare = pa.ListArray.from_arrays(np.append(0, np.searchsorted(miss, ends)).astype(np.int32), pa.array([words[i] for i in miss], pa.binary()).cast(pa.string()))
+            classes = pa.array([raw[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+            here = np.add.reduceat(at >= 0, starts, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ends - starts), pa.array(here), pa.array(np.add.reduceat(logs[at], starts)), rare, classes], names=[*kept, "n_tokens", "n_here", "base_here", "rare", "classes"])
 
     return docs.select(text_col, *kept).mapInArrow(run, schema)
 
@@ -99,54 +109,58 @@ class Chains:
         self.steps = int(lengths[0]) if len(lengths) else 0
         self.active = np.searchsorted(-lengths, -np.arange(self.steps), side="left")
         self.first = np.concatenate(([0], np.cumsum(self.active)))
-        self.tokens = np.empty(int(self.first[-1]), np.int64)
+        self.tokens = np.empty(int(self.first[-1]), np.uint16)
         for row, i in enumerate(self.order):
             self.tokens[self.first[: len(codes[i])] + row] = codes[i]
 
+    def _spans(self) -> list[tuple[int, int]]:
+        return list(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True))
+
     def forward(self, model: dict, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """Natural log likelihood of each text (in its given order), the scaled forward vectors and the scales."""
-        E, A = model["emit"].T.copy(), model["trans"]
-        logp = np.zeros(len(self.order))
-        every = np.empty((len(self.tokens), E.shape[1])) if keep else None
-        scales = np.empty(len(self.tokens)) if keep else np.zeros(0)
+        E, A = np.ascontiguousarray(model["emit"].T), model["trans"]
+        ones = np.ones(len(A))
+        every = np.empty((len(self.tokens), len(A))) if keep else None
+        scales = np.empty(len(self.tokens))
         v = None
-        for t in range(self.steps):
-            k, a = self.active[t], self.first[t]
-            e = E[self.tokens[a : a + k]]
-            v = e * model["start"] if t == 0 else (v[:k] @ A) * e
-            z = v.sum(1)
+        for a, b in self._spans():
+            v = E.take(self.tokens[a:b], axis=0) * model["start"] if v is None else v[: b - a] @ A * E.take(self.tokens[a:b], axis=0)
+            z = np.dot(v, ones, out=scales[a:b])
             v /= z[:, None]
-            logp[:k] += np.log(z)
             if keep:
-                every[a : a + k], scales[a : a + k] = v, z
+                every[a:b] = v
+        logs = np.log(scales)
+        logp = np.zeros(len(self.order))
+        for a, b in self._spans():
+            logp[: b - a] += logs[a:b]
         out = np.empty(len(self.order))
         out[self.order] = logp
         return out, every, scales
 
     def expected(self, model: dict) -> dict:
-        """Expected counts of starts, transitions and emissions (forward-backward), and the texts' log likelihood."""
-        logp, alpha, z = self.forward(model, keep=True)
-        E, A = model["emit"].T.copy(), model["trans"]
+        """Expected counts of starts, transitions and emissions (forward-backward), and the texts' log likelihood. With
+        both recursions scaled alike, a token's forward and backward vectors multiply to its states' probabilities."""
+        logp, gamma, z = self.forward(model, keep=True)
+        E, A = np.ascontiguousarray(model["emit"].T), model["trans"]
+        back = np.ascontiguousarray(A.T)
         states = A.shape[0]
         start, trans = np.zeros(states), np.zeros_like(A)
-        beta = np.ones((0, states))
-        gamma = np.empty_like(alpha)
-        for t in range(self.steps - 1, -1, -1):
-            k, a = self.active[t], self.first[t]
-            b = np.ones((k, states))
-            if t + 1 < self.steps and (m := self.active[t + 1]):
-                n = self.first[t + 1]
-                w = E[self.tokens[n : n + m]] * beta / z[n : n + m, None]
-                trans += alpha[a : a + m].T @ w * A
-                b[:m] = w @ A.T
-            g = alpha[a : a + k] * b
-            g /= g.sum(1, keepdims=True)
-            gamma[a : a + k] = g
-            if t == 0:
-                start += g.sum(0)
-            beta = b
+        after, w = None, None
+        for a, b in reversed(self._spans()):
+            beta = np.ones((b - a, states))
+            if after is not None:
+                m = len(after)
+                trans += gamma[a : a + m].T @ w
+                np.matmul(w, back, out=beta[:m])
+            w = E.take(self.tokens[a:b], axis=0)
+            w *= beta
+            w /= z[a:b, None]
+            gamma[a:b] *= beta
+            after = beta
+        if self.steps:
+            start += gamma[: self.active[0]].sum(0)
         emit = np.stack([np.bincount(self.tokens, weights=gamma[:, s], minlength=CLASSES + 1) for s in range(states)])
-        return {"start": start, "trans": trans, "emit": emit, "logp": logp.sum()}
+        return {"start": start, "trans": trans * A, "emit": emit, "logp": logp.sum()}
 
 
 def maximized(counts: dict, mass: np.ndarray) -> dict:
@@ -171,7 +185,7 @@ def _codes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     yield from text_chunks(batches, "classes", most_bytes)
 
 
@@ -186,7 +200,7 @@ def _unflat(x: np.ndarray, states: int) -> dict:
 
 def baum_welch_round(encoded: DataFrame, model: dict) -> dict:
     """Expected counts over all rows: each task sums those of its texts, then each piece of the vector is summed over
-    tasks; the driver gets one vector of fixed length."""
+    tasks, first those of SHARES groups of tasks; the driver gets one vector of fixed length."""
     states = len(model["start"])
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
@@ -197,18 +211,21 @@ def baum_welch_round(encoded: DataFrame, model: dict) -> dict:
             total = x if total is None else total + x
         if total is not None:
             pieces = [total[a : a + _PIECE].tobytes() for a in range(0, len(total), _PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "part"])
+            share = TaskContext.get().partitionId() % SHARES
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([share] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "share", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for *key, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(part)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "part"])
+                sums[tuple(key)] = sums[tuple(key)] + x if tuple(key) in sums else x
+        piece, share = zip(*sums, strict=True) if sums else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(share, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "share", "part"])
 
-    schema = "piece int, part binary"
-    rows = encoded.select("classes").mapInArrow(run, schema).repartition("piece").mapInArrow(add, schema).collect()
+    schema = "piece int, share int, part binary"
+    sums = encoded.select("classes").mapInArrow(run, schema).repartition("piece", "share").mapInArrow(add, schema)
+    rows = sums.withColumn("share", F.lit(0)).repartition("piece").mapInArrow(add, schema).collect()
     if not rows:
         return _unflat(np.zeros(states + states * states + states * (CLASSES + 1) + 1), states)
     return _unflat(np.concatenate([np.frombuffer(r["part"]) for r in sorted(rows)]), states)
