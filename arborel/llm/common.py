@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one where none is set."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where none is set a local session, as in
+    tests, gets a temporary one; on a cluster this is an error, as executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-arborel-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/arborel-{uuid.uuid4().hex}"
@@ -37,6 +41,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly. A sum over a key is small but lies where the key's rows are; dealt out anew, it makes a join
+    with those rows shuffle both sides, and Spark can split a key of very many rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fold(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo buckets; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(buckets)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import stored
+from arborel.llm.common import dealt, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,12 +14,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Every round writes its edges to the shared folder, so lineage stays short and a lost executor costs one round.
     Nothing is collected but the number of edges that are not yet part of a star. Null ends and loops are left out.
     """
-    spark = edges.sparkSession
-
-    def dealt(df: DataFrame) -> DataFrame:
-        """Dealt out evenly, so that the join on u shuffles both its sides and a node of very many edges can be split."""
-        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = stored(e)
     for _ in range(most_rounds):

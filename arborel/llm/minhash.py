@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, grouped, stored, text_chunks
+from arborel.llm.common import as_bytes, dealt, grouped, stored, text_chunks
 from arborel.llm.components import connected_components
 from arborel.llm.shingles import mixed, shingle_sets
 
@@ -203,7 +203,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents are linked if whole * |A and B| >= part * |A or B| for their sets of distinct shingles of width words;
     component_id is the smallest id that links reach, kept whether it is the row's own. Copies of a set become one
     first. Candidates are joined by their signatures' chunks; connected candidates form families. Each member is
-    compared with its family's first document; only members without this link are compared with the others.
+    compared with its family's first document; only members without this link are compared with the others. What a key
+    or a family adds up to is dealt out anew before it meets the rows it comes from, so that joins shuffle both sides
+    and Spark can split a large one.
 
     Null and empty texts, and those of white space, have no shingles and no links. A row with a null id is linked
     with nothing and kept; its component is null. Rows with one id count as linked. Other columns are not used.
@@ -213,7 +215,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = stored(_signed(docs, id_col, text_col, width))
     reps = stored(signed.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     keys = _keyed(reps)
-    shared = keys.groupBy("key").count().where("count > 1")
+    shared = dealt(keys.groupBy("key").count().where("count > 1"))
     blocks = F.ceil(F.col("count") / KEY_BLOCK).cast("int")
     met = keys.join(shared, "key").join(reps.select("id", "n", "sig"), "id").withColumn("blocks", blocks)
     met = met.withColumn("own", _block(F.col("id"), F.col("blocks"), "key")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -223,31 +225,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # families grow with the corpus: this join is a shuffle at every size
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(families.hint("merge"), "id")
     sets = stored(_sets(texts, width).where("n > 0"))
-    hubs = sets.where("id = family").select("family", F.col("n").alias("hub_n"), F.col("shingles").alias("hub"))
+    hubs = stored(sets.where("id = family").groupBy("family").agg(F.min(F.struct("n", "shingles")).alias("hub")).select("family", F.col("hub.n").alias("hub_n"), F.col("hub.shingles").alias("hub")))
     common = F.size(F.array_intersect("shingles", "hub"))
     tried = sets.join(hubs, "family").withColumn("common", common)
     tried = tried.select("id", "family", ((F.col("id") == F.col("family")) | (whole * F.col("common") >= part * (F.col("n") + F.col("hub_n") - F.col("common")))).alias("linked"))
-    tried = stored(tried.groupBy("id", "family").agg(F.max("linked").alias("linked")))
+    # dealt by id: a sum over id and family would stay where the join is, and keep Spark from splitting a large family
+    tried = stored(tried.repartition("id").groupBy("id", "family").agg(F.max("linked").alias("linked")))
     links = tried.where("linked and id <> family").select(F.col("id").alias("a"), F.col("family").alias("b"))
 
     open_ = tried.groupBy("family").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("askers")).where("askers > 0 and members > 2")
-    rest = sets.join(tried.join(open_, "family"), ["id", "family"])
+    rest = sets.join(tried.join(dealt(open_), "family"), ["id", "family"])
     rest = rest.withColumn("ask_blocks", F.ceil(F.col("askers") / FAMILY_BLOCK).cast("int")).withColumn("all_blocks", F.ceil(F.col("members") / FAMILY_BLOCK).cast("int"))
     answers = rest.select("id", "family", "n", "shingles", "linked", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("bi"), _block(F.col("id"), F.col("all_blocks"), "all").alias("bj"))
     asks = rest.where("not linked").select("id", "family", "n", "shingles", "linked", F.lit(True).alias("asks"), _block(F.col("id"), F.col("ask_blocks"), "ask").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("bj"))
     links = links.unionByName(_rest_links(answers.unionByName(asks), similarity))
     found = connected_components(links).toDF("rep", "found")
 
-    of = signed.join(reps.select("n", "h1", "h2", F.col("id").alias("rep")), ["n", "h1", "h2"], "left").join(found, "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("found", "rep", "id"))
-    return of.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    has_set = F.expr("n > 0 and id is not null")
+    low = reps.select("n", "h1", "h2", F.col("id").alias("rep")).join(found, "rep", "left").select("n", "h1", "h2", F.coalesce("found", "rep").alias("low"))
+    of = signed.where(has_set).join(dealt(low), ["n", "h1", "h2"]).select("id", "n", "low").union(signed.where(~has_set).select("id", "n", "id"))
+    return of.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("low").cast(kind).alias("component_id"), F.coalesce(F.col("low") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of docs of which one document of each group of near-duplicates is left: that with the smallest id.
 
-    Of rows with one id one stays; rows with a null id all do.
+    Of rows with one id the first by its text and then by its other columns stays; rows with a null id all do.
     """
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).where("kept").select(id_col)
     named = docs.where(F.col(id_col).isNotNull()).join(kept.where(F.col(id_col).isNotNull()).hint("merge"), id_col, "left_semi")
-    return named.dropDuplicates([id_col]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    hidden = [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) for c in rest]
+    first = Window.partitionBy(id_col).orderBy(text_col, *hidden)
+    return named.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
