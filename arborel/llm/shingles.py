@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
+ODD = 0x9E3779B97F4A7C15
+INVERSE = pow(ODD, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
-_powers = {_ODD: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
+_powers = {ODD: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """1, base, its square and so on, n of them, modulo 2 ** 64."""
     have = _powers[base]
     while len(have) < n:
         with np.errstate(over="ignore"):
@@ -28,20 +29,36 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def stretches(blank: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """First and last place of stretches of about most bytes that begin and end with a blank and cover all. What is
+    worked out for each byte is so held for a stretch only, however long a text is."""
+    cuts = [0]
+    while len(blank) - cuts[-1] > 2 * most:
+        at = cuts[-1] + most
+        while not blank[at : at + 4096].any():
+            at += 4096
+        cuts.append(at + int(blank[at : at + 4096].argmax()))
+    return list(zip(cuts, [*cuts[1:], len(blank) - 1], strict=True))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text's number, hash) of each word: a run of bytes other than space, tab, line feed, vertical tab, form feed
-    and carriage return, with A-Z lower-cased. All are found at once by differences of one rolling sum."""
+    and carriage return, with A-Z lower-cased. All of a stretch are found at once by differences of one rolling sum."""
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    inside = ~_SPACE[raw]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    start, end = edge[::2], edge[1::2]
+    blank = _SPACE[raw]
     first = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1] if texts else np.zeros(0, int)
-    of = np.searchsorted(first, start, side="right") - 1
-    with np.errstate(over="ignore"):
-        rolled = np.cumsum(_BYTE[raw] * powers(_ODD, len(raw)), dtype=np.uint64)
-        # a word is never at the very beginning, so start - 1 exists
-        h = (rolled[end - 1] - rolled[start - 1]) * powers(_INVERSE, len(raw))[start]
-    return of, mixed(h)
+    of, hashes = [], []
+    for a, b in stretches(blank):
+        part, inside = raw[a : b + 1], ~blank[a : b + 1]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            rolled = np.cumsum(_BYTE[part] * powers(ODD, len(part)), dtype=np.uint64)
+            # a word is never at the very beginning, so start - 1 exists
+            h = (rolled[end - 1] - rolled[start - 1]) * powers(INVERSE, len(part))[start]
+        of.append(np.searchsorted(first, start + a, side="right") - 1)
+        hashes.append(mixed(h))
+    return np.concatenate(of), np.concatenate(hashes)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, drawn, text_chunks
+from arborel.llm.common import as_bytes, drawn, stored, text_chunks
+from arborel.llm.shingles import INVERSE, ODD, powers, stretches
 
 BUCKETS = 1 << 18
 #: Lengths in bytes of a token's prefixes and of its suffix that are features beside the whole token.
 PREFIXES, SUFFIX = (4, 5, 6), 4
-#: Labelled documents of each kind that training may use, and tokens of one of them.
-SAMPLE_PER_LABEL, SAMPLE_TOKENS = 2_500, 20_000
+#: Labelled documents of each kind that training may use (about), tokens of a chain, into which longer ones are cut, and
+#: tokens of all chains of a kind.
+SAMPLE_PER_LABEL, CHAIN_TOKENS, SAMPLE_TOKENS = 2_500, 20_000, 2_000_000
 #: Tokens that a step of training holds at once.
 _BLOCK = 200_000
 _STEPS = 256
@@ -25,26 +29,34 @@ _TOKEN[97:123] = np.arange(97, 123)
 _TOKEN[65:91] = np.arange(97, 123)
 _TOKEN[48:58] = np.arange(48, 58)
 _TOKEN[128:] = np.arange(128, 256)
-_POWERS = np.ones(64, np.uint64)
-with np.errstate(over="ignore"):
-    for _i in range(1, 64):
-        _POWERS[_i] = _POWERS[_i - 1] * np.uint64(0x9E3779B97F4A7C15)
+_POWERS = powers(ODD, 64)
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29)) ^ np.uint64(salt * 0x9E3779B9)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(32))) >> np.uint64(8)).astype(np.int64) & (BUCKETS - 1)
+    return ((h ^ (h >> np.uint64(32))) >> np.uint64(8)).astype(np.int32) & (BUCKETS - 1)
 
 
 def tokens(texts: list[bytes]) -> dict[str, np.ndarray]:
     """Runs of letters and digits: the text's number, first and last byte (exclusive, in the text) and feature buckets."""
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     low = _TOKEN[raw]
+    first = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1] if texts else np.zeros(0, int)
+    starts, ends, features = [], [], []
+    for a, b in stretches(low == 32):
+        start, end, found = _stretch_tokens(low[a : b + 1])
+        starts.append(start + a)
+        ends.append(end + a)
+        features.append(found)
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    of = np.searchsorted(first, start, side="right") - 1
+    return {"of": of, "start": start - first[of], "end": end - first[of], "features": np.concatenate(features)}
+
+
+def _stretch_tokens(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = low != 32
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    first = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1] if texts else np.zeros(0, int)
-    of = np.searchsorted(first, start, side="right") - 1
     with np.errstate(over="ignore"):
         wide = low.astype(np.uint64) + np.uint64(1)
         padded = np.concatenate((wide, np.zeros(64, np.uint64)))
@@ -59,32 +71,10 @@ def tokens(texts: list[bytes]) -> dict[str, np.ndarray]:
         for j in range(SUFFIX):
             tail = tail + np.where(end - 1 - j >= start, padded[end - 1 - j], np.uint64(0)) * _POWERS[j + 1]
         found.append(_mixed(tail, 77))
-        rolled = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide * _cycle(len(wide)), dtype=np.uint64)))
-        whole = (rolled[end] - rolled[start]) * _inverse_cycle(start)
+        rolled = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide * powers(ODD, len(wide)), dtype=np.uint64)))
+        whole = (rolled[end] - rolled[start]) * powers(INVERSE, len(wide))[start]
         found.append(_mixed(whole, 99))
-    return {"of": of, "start": start - first[of], "end": end - first[of], "features": np.stack(found, 1) if len(start) else np.zeros((0, len(PREFIXES) + 2), np.int64)}
-
-
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_cycles: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(which: int, base: int, n: int) -> np.ndarray:
-    have = _cycles[which]
-    while len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.concatenate((have, have * np.uint64(pow(base, len(have), 1 << 64))))
-    _cycles[which] = have
-    return have
-
-
-def _cycle(n: int) -> np.ndarray:
-    return _grown(0, _ODD, n)[:n]
-
-
-def _inverse_cycle(at: np.ndarray) -> np.ndarray:
-    return _grown(1, _INVERSE, int(at.max()) + 1 if len(at) else 1)[at]
+    return start, end, np.stack(found, 1)
 
 
 def marginals(emission: np.ndarray, new: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: bool = False):
@@ -207,7 +197,7 @@ def train(rows: list[tuple[int, np.ndarray]], toxic_share: float | None = None,
         part.append(i)
         if sum(len(feats[j]) for j in part) >= _BLOCK or i == len(feats) - 1:
             X = np.concatenate([feats[j] for j in part])
-            of = np.repeat(np.arange(len(part)), [len(feats[j]) for j in part])
+            of = np.repeat(np.arange(len(part), dtype=np.int32), [len(feats[j]) for j in part])
             y = marks[X].any(1) & (toxic[part][of] > 0)
             blocks.append((X, of, np.diff(of, prepend=-1) != 0, y, len(part)))
             part = []
@@ -242,21 +232,34 @@ def train(rows: list[tuple[int, np.ndarray]], toxic_share: float | None = None,
 
 def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> dict | None:
     """A model of the documents with a label of 0 or 1; None without any. About sample documents of either label are
-    used, by a hash of their ids (so few that their ids can be broadcast), each whole; those of over SAMPLE_TOKENS tokens are left out."""
+    used, by a hash of their ids (so few that their ids can be broadcast), each whole: those of over CHAIN_TOKENS tokens
+    as several chains. Of the chains of a label the first by the hash count that hold SAMPLE_TOKENS tokens together."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     counts = dict(known.groupBy("_y").count().collect())
     share = F.when(F.col("_y") == 1, sample / max(1, counts.get(1, 0))).otherwise(sample / max(1, counts.get(0, 0)))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("toxic")), F.lit(1 << 20)) / float(1 << 20)
-    picked = docs.select(id_col, text_col).join(F.broadcast(known.withColumn("_draw", draw).where(F.col("_draw") < share)), id_col).select(text_col, F.col("_y").cast("int").alias("_y"), "_draw")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, text_col, 1 << 20):
-            found = [tokens([t])["features"] for t in as_bytes(batch.column(0))]
-            keep = [i for i, f in enumerate(found) if 0 < len(f) <= SAMPLE_TOKENS]
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(1), pa.array([found[i].ravel().astype(np.int32) for i in keep], pa.list_(pa.int32()))], names=["draw", "y", "features"])
-
-    rows = drawn(picked.mapInArrow(count, "draw double, y int, features array<int>"), ["features"])
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known.select(F.col(id_col).alias("_id"), "_y", draw.alias("_draw")).where(F.col("_draw") < share)), "_id")
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "_text", 1 << 20):
+            rows = []
+            for text, y, place in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = tokens([text])["features"]
+                for a in range(0, len(found), CHAIN_TOKENS):
+                    part = found[a : a + CHAIN_TOKENS]
+                    rows.append((zlib.crc32(f"{place} {a}".encode()), y, len(part), part.ravel()))
+            order, y, size, features = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(y, pa.int32()), pa.array(size, pa.int64()), pa.array(features, pa.list_(pa.int32()))], names=["order", "y", "size", "features"])
+
+    made = stored(picked.select("_text", F.col("_y").cast("int"), "_draw").mapInArrow(chains, "order long, y int, size long, features array<int>"))
+    within = F.lit(False)
+    sizes = made.select("y", "order", "size").toArrow().sort_by([("order", "ascending")])
+    for label in (0, 1):
+        of = sizes.filter(pa.compute.equal(sizes["y"], label))
+        fits = np.flatnonzero(np.cumsum(of["size"].to_numpy()) <= SAMPLE_TOKENS)
+        if len(fits):
+            within |= (F.col("y") == label) & (F.col("order") <= of["order"][int(fits[-1])].as_py())
+    rows = drawn(made.where(within).select("order", "y", "features"), ["features"])
     return train([(y, f[0]) for y, f in rows], counts.get(1, 0) / sum(counts.values())) if rows else None
 
 
@@ -302,18 +305,16 @@ def score(docs: DataFrame, model: dict | None, *, text_col: str = "text", thresh
             q = np.zeros(len(texts))
             if m is not None:
                 t = tokens(texts)
-                of = t["of"]
                 p, q = _scored(m, t, len(texts))
-                last = None
-                for i in np.flatnonzero(p >= 0.5) if spans else ():
-                    k, a, b = of[i], t["start"][i], t["end"][i]
-                    a, b = (len(texts[k][:x].decode(errors="ignore")) for x in (a, b))
-                    if last == i - 1 and ends[k]:
-                        ends[k][-1] = b
-                    else:
-                        starts[k].append(a)
-                        ends[k].append(b)
-                    last = i
+                bad = np.flatnonzero(p >= 0.5) if spans else np.zeros(0, int)
+                of = t["of"][bad]
+                for k in np.unique(of):
+                    at = bad[slice(*np.searchsorted(of, (k, k + 1)))]
+                    apart = np.flatnonzero(np.diff(at) > 1)
+                    points = np.cumsum((np.frombuffer(texts[k], np.uint8) & 0xC0) != 0x80, dtype=np.int32)
+                    place = lambda x, points=points: np.where(x > 0, points[x - 1], 0).tolist()
+                    starts[k] = place(t["start"][at[np.append(0, apart + 1)]])
+                    ends[k] = place(t["end"][at[np.append(apart, len(at) - 1)]])
             more = [pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))] if spans else []
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(q), pa.array((q >= threshold).astype(np.int32)), *more], names=[*kept, "score", "predicted", *(["span_starts", "span_ends"] if spans else [])])
 
