@@ -32,7 +32,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), bounded=True, keep_text=False)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "weight", "sampled")
 
 
