@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from arborel.llm import minhash, mixing, packing, pii, toxicity
 from arborel.llm.common import stored, table
@@ -21,13 +20,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans are replaced by their kind; n_chars follows the text."""
-    found = pii.find(docs, pii.fit(docs)).withColumn("text", pii.redacted(F.col("text"), F.col("found")))
-    chars = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", chars).select(*docs.columns)
+    return pii.redact(docs, pii.fit(docs), size_col="n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where("sampled").select(*docs.columns)
+    return mixing.mix(docs, bounded=True).where("sampled").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
