@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 LANGUAGES = ("go", "java", "javascript", "python", "rust", "tsx", "typescript")
-ALIASES = {"py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "golang": "go", "rs": "rust"}
+ALIASES = {"py": "python", "python3": "python", "js": "javascript", "jsx": "javascript", "node": "javascript", "ts": "typescript", "golang": "go", "rs": "rust"}
 EXTENSIONS = {".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".mts": "typescript", ".tsx": "tsx", ".go": "go", ".java": "java", ".rs": "rust"}
 DIALECT_BASE = {"tsx": "typescript"}
 
@@ -16,12 +16,17 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
 
 
-def normalize_language(name: Column) -> Column:
-    """[P1] An unknown language is an error."""
-    key = F.lower(F.trim(name))
+def known_language(name: Column) -> Column:
+    """[P1] The language that a name or alias stands for, whatever its case and the white space around it; null for others."""
+    key = F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
     key = F.coalesce(_lookup(key, ALIASES), key)
-    unknown = F.raise_error(F.concat(F.lit("unsupported language: "), name, F.lit(f"; one of {', '.join(LANGUAGES)}")))
-    return F.when(name.isNull() | key.isin(*LANGUAGES), key).otherwise(unknown.cast("string"))
+    return F.when(key.isin(*LANGUAGES), key)
+
+
+def normalize_language(name: Column) -> Column:
+    """[P1] known_language, with an error for a name that stands for none."""
+    wrong = F.raise_error(F.concat(F.lit("no such language: "), name, F.lit(f" (known are {', '.join(LANGUAGES)})")))
+    return F.when(name.isNull(), name).otherwise(F.coalesce(known_language(name), wrong.cast("string")))
 
 
 def language_of_path(path: Column) -> Column:

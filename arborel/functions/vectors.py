@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 DIM = 256
 
 
+def _product(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def dot(a: Column, b: Column) -> Column:
     """In double precision; vectors of different lengths are an error."""
-    product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.size(a) == F.size(b), product).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
+    return F.when(F.size(a) == F.size(b), _product(a, b)).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
+
+
+def comparable(a: Column, b: Column) -> Column:
+    """[V1, V3] Whether two vectors are there and of one length; a scan leaves the others out."""
+    return F.coalesce(F.size(a) == F.size(b), F.lit(False)) & a.isNotNull() & b.isNotNull()
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """[V1] The inner product within 0 and 1."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b)))
+    """[V1] The inner product within 0 and 1; null if the vectors are not comparable."""
+    return F.when(comparable(a, b), F.least(F.lit(1.0), F.greatest(F.lit(0.0), _product(a, b))))
 
 
 def feature_index(feature: Column) -> Column:

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborel.functions.vectors import DIM, feature_index, feature_sign
 
 
 def features(nodes: DataFrame, id_col: str) -> DataFrame:
-    """(id, feature, n): types, and parent>child types."""
-    parents = nodes.select(F.col(id_col).alias("_of"), F.col("pre").alias("_pre"), F.col("type").alias("_type"))
-    pairs = nodes.join(parents, (F.col(id_col) == F.col("_of")) & (F.col("parent") == F.col("_pre")))
-    pairs = pairs.select(id_col, F.concat("_type", F.lit(">"), "type").alias("feature"))
-    single = nodes.select(id_col, F.col("type").alias("feature"))
-    return single.union(pairs).groupBy(id_col, "feature").agg(F.count("*").alias("n"))
+    """(id, feature, n): types, and parent>child types. Nodes carry their parent's type, so none are joined."""
+    pair = F.when(F.col("parent").isNotNull(), F.concat("parent_type", F.lit(">"), "type"))
+    both = nodes.select(id_col, F.explode(F.array_compact(F.array("type", pair))).alias("feature"))
+    return both.groupBy(id_col, "feature").agg(F.count("*").alias("n"))
 
 
 def components(counted: DataFrame, id_col: str) -> DataFrame:
@@ -30,3 +28,8 @@ def vectors(entries: DataFrame, id_col: str) -> DataFrame:
     maps = entries.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)).cast("float"))
     return maps.select(id_col, dense.alias("fingerprint"))
+
+
+def example_text(good: Column, bad: Column) -> Column:
+    """What an entry's fingerprint is made from: its good example, or else its bad one; null without either."""
+    return F.coalesce(F.nullif(good, F.lit("")), F.nullif(bad, F.lit("")))

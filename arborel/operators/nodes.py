@@ -14,10 +14,10 @@ VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 def markup_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """[P4] (id, pre, last, parent, depth, type) of every element; parent is null at the top.
+    """[P4] (id, pre, last, parent, depth, type, parent_type) of every element; parent is null at the top.
 
-    An element ends where the count of open ones falls back to what it was before it, or with the page. All comes from
-    window sums within a page; the parent is the element one level up whose interval holds the node.
+    An element ends where the count of open ones falls back to what it was before it, or with the page. The parent is the
+    element that was opened last one level up. All comes from window sums within a page, so pages are shuffled once.
     """
     tags = pages.select(id_col, F.posexplode(F.regexp_extract_all(html_col, F.lit(TAG), F.lit(1))).alias("pos", "tag"))
     name = F.lower(F.ltrim("tag", F.lit("/")))
@@ -30,10 +30,14 @@ def markup_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     level = Window.partitionBy(id_col, "depth").orderBy("pos")
     every = F.max("pre").over(Window.partitionBy(id_col))
     tags = tags.withColumn("last", F.when(F.col("step") == 0, F.col("pre")).otherwise(F.coalesce(F.lead("pre").over(level), every)))
-    nodes = tags.where("step >= 0").select(id_col, F.col("pre").cast("int").alias("pre"), F.col("last").cast("int").alias("last"), F.col("depth").cast("int").alias("depth"), "type")
-    up = nodes.select(F.col(id_col).alias("_of"), F.col("pre").alias("_pre"), F.col("last").alias("_last"), (F.col("depth") + 1).alias("_depth"))
-    held = (F.col(id_col) == F.col("_of")) & (F.col("depth") == F.col("_depth")) & (F.col("pre") > F.col("_pre")) & (F.col("pre") <= F.col("_last"))
-    return nodes.join(up, held, "left").select(id_col, "pre", "last", F.col("_pre").alias("parent"), "depth", "type")
+    # an element stands at its own level, and those that are opened also one further down, for their children
+    own = F.struct(F.col("depth").alias("level"), F.lit(None).cast("struct<pre:bigint,type:string>").alias("up"))
+    below = F.struct((F.col("depth") + 1).alias("level"), F.struct("pre", "type").cast("struct<pre:bigint,type:string>").alias("up"))
+    both = tags.where("step >= 0").withColumn("at", F.explode(F.when(F.col("step") == 1, F.array(own, below)).otherwise(F.array(own))))
+    before = Window.partitionBy(id_col, "at.level").orderBy("pos")
+    both = both.withColumn("up", F.last("at.up", ignorenulls=True).over(before)).where("at.up is null")
+    whole = lambda c: F.col(c).cast("int")
+    return both.select(id_col, whole("pre").alias("pre"), whole("last").alias("last"), whole("up.pre").alias("parent"), whole("depth").alias("depth"), "type", F.col("up.type").alias("parent_type"))
 
 
 def line_nodes(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
@@ -46,3 +50,15 @@ def units(nodes: DataFrame, id_col: str, kinds: tuple[str, ...], depth: int, lea
     """[C1] The elements of the given kinds at a depth that hold at least so many nodes."""
     size = F.col("last") - F.col("pre") + 1
     return nodes.where((F.col("depth") == depth) & F.col("type").isin(*kinds) & (size >= least)).select(id_col, "pre", "type", size.alias("nodes"))
+
+
+def unit_shapes(nodes: DataFrame, units: DataFrame, id_col: str) -> DataFrame:
+    """[C2] units with shape, the types of all elements in a unit in document order, and name, the type of its first
+    heading or else its own. A node lies in the last unit that begins before it, as units of one depth never overlap."""
+    of = nodes.join(units.select(id_col, "pre", F.col("nodes").alias("_size")), [id_col, "pre"], "left")
+    start = F.last(F.when(F.col("_size").isNotNull(), F.struct("pre", "_size", "type")), ignorenulls=True).over(Window.partitionBy(id_col).orderBy("pre"))
+    of = of.withColumn("_unit", start).where(F.col("pre") < F.col("_unit.pre") + F.col("_unit._size"))
+    row = F.struct("pre", "type")
+    per = of.groupBy(id_col, F.col("_unit.pre").alias("pre"), F.col("_unit.type").alias("type"), F.col("_unit._size").alias("nodes")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    heading = F.get(F.filter("rows", lambda r: r["type"].rlike("^h[1-6]$")), F.lit(0))["type"]
+    return per.select(id_col, "pre", "type", "nodes", F.array_join(F.col("rows.type"), " ").alias("shape"), F.coalesce(heading, F.col("type")).alias("name"))
