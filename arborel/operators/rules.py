@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arborel.functions.languages import rule_languages
 from arborel.functions.metadata import matches
 
 TYPES = ("forbid", "require", "require_in", "naming")
@@ -39,6 +41,11 @@ class Rule:
             raise ValueError(f"rule {self.id}: require_in needs a scope")
         if self.type == "naming" and not self.capture:
             raise ValueError(f"rule {self.id}: naming needs a capture")
+        for pattern in filter(None, (self.pattern, self.scope, self.capture)):
+            try:
+                re.compile(pattern)
+            except re.error as e:
+                raise ValueError(f"rule {self.id}: {pattern} is no pattern: {e}") from e
 
 
 def applicable(rules: list[Rule], language: str | None = None, wanted: dict | None = None) -> list[Rule]:
@@ -63,8 +70,28 @@ def applicable_to(docs: DataFrame, rules: list[Rule], id_col: str, language: Col
     return docs.select(id_col, F.array_compact(F.array(*kept)).alias("rule_ids"))
 
 
-def _violation(id_col: str, r: Rule, line: Column, column: Column, message: Column, snippet: Column) -> list:
-    return [id_col, F.lit(r.id).alias("rule_id"), message.alias("message"), F.lit(r.severity).alias("severity"), line.cast("int").alias("start_line"), column.cast("int").alias("start_col"), F.substring(snippet, 1, SNIPPET).alias("snippet")]
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(id, kind, language, title, meta, overrides) of rules as entries that a search can rank."""
+    meta = lambda r: {k: [str(x) for x in (v if isinstance(v, (list, tuple)) else [v])] for k, v in r.metadata.items()}
+    return spark.createDataFrame([(r.id, "rule", r.language, r.message, meta(r), list(r.overrides)) for r in rules], "id string, kind string, language string, title string, meta map<string,array<string>>, overrides array<string>")
+
+
+def rules_from_hits(hits: DataFrame, entries: DataFrame, group_col: str, language: Column) -> DataFrame:
+    """[R17] (group, id): the rules among the hits (group, id, further columns) of each group that hold for its language
+    (a column of hits) or its base, without those that another hit of the language overrides. entries is small."""
+    of = hits.withColumn("_language", language).join(F.broadcast(entries.where("kind = 'rule'").withColumnRenamed("language", "_of")), "id")
+    of = of.where(F.col("_of").isNull() | F.coalesce(F.array_contains(rule_languages(F.col("_language")), F.col("_of")), F.lit(False)))
+    of = of.groupBy(group_col).agg(F.collect_set("id").alias("ids"), F.flatten(F.collect_list("overrides")).alias("over"))
+    return of.select(group_col, F.explode(F.array_except("ids", "over")).alias("id"))
+
+
+def chosen(rules: list[Rule], ids: list[str]) -> list[Rule]:
+    """[R18] The rules of the given ids, whatever metadata and overrides say."""
+    return [r for r in rules if r.id in set(ids)]
+
+
+def _violation(r: Rule, line: Column, column: Column, message: Column, snippet: Column) -> Column:
+    return F.struct(F.lit(r.id).alias("rule_id"), message.alias("message"), F.lit(r.severity).alias("severity"), line.cast("int").alias("start_line"), column.cast("int").alias("start_col"), F.substring(snippet, 1, SNIPPET).alias("snippet"))
 
 
 def _matches(text: str, pattern: str, group: int, first: bool) -> Column:
@@ -88,33 +115,44 @@ def _matches(text: str, pattern: str, group: int, first: bool) -> Column:
 def violations(docs: DataFrame, lines: DataFrame, rules: list[Rule], id_col: str, language_col: str, *, first: bool = False) -> DataFrame:
     """[R3-R6, R12] (id, rule_id, message, severity, start_line, start_col, snippet). Lines: (id, language, start_line,
     text). Columns are bytes from 0. Every match of a forbid rule and every capture of a naming rule counts, with first
-    only the first of each line. Forbid and naming rules share one pass over the lines; a require rule is an anti
-    join; a scope runs from its line to the line before the next scope and must hold a match."""
+    only the first of each line.
+
+    All forbid and naming rules share one pass over the lines, which gives an array of violations for each line; all
+    require rules one sum for each document; all scoped rules one window, in which a scope runs from its line to the line
+    before the next and must hold a match. So the lines are read three times at most, however many rules there are."""
     out = []
     fits = lambda r: F.lit(True) if r.language is None else F.coalesce(F.col(language_col) == r.language, F.lit(False))
-    for r in rules:
-        of, text = lines.where(fits(r)), F.col("text")
-        if r.type == "forbid":
-            hits = of.where(text.rlike(r.pattern)).withColumn("_hit", F.explode(_matches("text", r.pattern, 0, first)))
-            out.append(hits.select(*_violation(id_col, r, F.col("start_line"), F.col("_hit.at"), F.lit(r.message), text)))
-        elif r.type == "naming":
-            hits = of.where(text.rlike(r.capture)).withColumn("_hit", F.explode(_matches("text", r.capture, 1, first)))
-            got = F.col("_hit.got")
-            message = F.concat(F.lit(f"{r.message} (got '"), got, F.lit("')"))
-            inner = F.octet_length(F.substring(F.col("_hit.whole"), F.lit(1), F.instr(F.col("_hit.whole"), got) - 1))
-            out.append(hits.where(~got.rlike(rf"\A(?:{r.pattern})\z")).select(*_violation(id_col, r, F.col("start_line"), F.col("_hit.at") + inner, message, got)))
-        elif r.type == "require":
-            met = of.where(text.rlike(r.pattern)).select(id_col)
-            missing = docs.where(fits(r)).join(met, id_col, "left_anti")
-            out.append(missing.select(*_violation(id_col, r, F.lit(1), F.lit(0), F.lit(r.message), F.lit(""))))
-        else:
-            from pyspark.sql import Window
-
-            order = Window.partitionBy(id_col).orderBy("start_line")
-            part = of.withColumn("_scope", F.sum(text.rlike(r.scope).cast("int")).over(order)).where("_scope > 0")
-            per = part.groupBy(id_col, "_scope").agg(F.max(text.rlike(r.pattern)).alias("_met"), F.min_by("text", "start_line").alias("text"), F.min("start_line").alias("start_line"))
-            out.append(per.where("not _met").select(*_violation(id_col, r, F.col("start_line"), F.lit(0), F.lit(r.message), F.col("text"))))
-    return reduce(DataFrame.unionByName, out)
+    kinds = {t: [r for r in rules if r.type == t] for t in TYPES}
+    text, line = F.col("text"), F.col("start_line")
+
+    def forbidden(r: Rule) -> Column:
+        hits = F.transform(_matches("text", r.pattern, 0, first), lambda hit: _violation(r, line, hit["at"], F.lit(r.message), text))
+        return F.when(fits(r) & text.rlike(r.pattern), hits)
+
+    def misnamed(r: Rule) -> Column:
+        def one(hit: Column) -> Column:
+            inner = F.octet_length(F.substring(hit["whole"], F.lit(1), F.instr(hit["whole"], hit["got"]) - 1))
+            return _violation(r, line, hit["at"] + inner, F.concat(F.lit(f"{r.message} (got '"), hit["got"], F.lit("')")), hit["got"])
+
+        wrong = F.filter(_matches("text", r.capture, 1, first), lambda hit: ~hit["got"].rlike(rf"\A(?:{r.pattern})\z"))
+        return F.when(fits(r) & text.rlike(r.capture), F.transform(wrong, one))
+
+    each = [*map(forbidden, kinds["forbid"]), *map(misnamed, kinds["naming"])]
+    if each:
+        out.append(lines.select(id_col, F.explode(F.flatten(F.array_compact(F.array(*each)))).alias("v")))
+    if kinds["require"]:
+        met = lines.groupBy(id_col).agg(*(F.max(text.rlike(r.pattern)).alias(f"_met{i}") for i, r in enumerate(kinds["require"])))
+        of = docs.select(id_col, language_col).join(met, id_col, "left")
+        missing = (F.when(fits(r) & ~F.coalesce(f"_met{i}", F.lit(False)), _violation(r, F.lit(1), F.lit(0), F.lit(r.message), F.lit(""))) for i, r in enumerate(kinds["require"]))
+        out.append(of.select(id_col, F.explode(F.array_compact(F.array(*missing))).alias("v")))
+    if kinds["require_in"]:
+        at = (F.when(fits(r), F.struct(F.lit(i).alias("i"), text.rlike(r.scope).cast("int").alias("opens"), text.rlike(r.pattern).alias("met"))) for i, r in enumerate(kinds["require_in"]))
+        of = lines.select(id_col, "start_line", "text", F.explode(F.array_compact(F.array(*at))).alias("r"))
+        of = of.withColumn("_scope", F.sum("r.opens").over(Window.partitionBy(id_col, "r.i").orderBy("start_line"))).where("_scope > 0")
+        per = of.groupBy(id_col, F.col("r.i").alias("i"), "_scope").agg(F.max("r.met").alias("met"), F.min_by("text", "start_line").alias("text"), F.min("start_line").alias("start_line")).where("not met")
+        found = [_violation(r, line, F.lit(0), F.lit(r.message), text) for r in kinds["require_in"]]
+        out.append(per.select(id_col, F.get(F.array(*found), F.col("i")).alias("v")))
+    return reduce(DataFrame.unionByName, out).select(id_col, "v.*")
 
 
 def report(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
@@ -125,14 +163,29 @@ def report(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     return docs.select(id_col).join(per, id_col, "left").select(id_col, (n == 0).alias("passed"), n.alias("n_violations"), ids.alias("rule_ids"), "first_line")
 
 
+def reports(docs: DataFrame, found: DataFrame, rules: list[Rule], id_col: str, language_col: str) -> DataFrame:
+    """[R9, R11, R14] (id, language, passed, checked_rules, violations): each document's report in one row, the rules of
+    its language in their order and its violations by line, column and rule."""
+    row = F.struct("start_line", "start_col", "rule_id", "message", "severity", "snippet")
+    per = found.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("violations"))
+    checked = F.array_compact(F.array(*(F.when(F.lit(True) if r.language is None else F.col(language_col) == r.language, F.lit(r.id)) for r in rules)))
+    kind = dict(per.dtypes)["violations"]
+    of = docs.select(id_col, language_col).join(per, id_col, "left").withColumn("violations", F.coalesce("violations", F.array().cast(kind)))
+    return of.select(id_col, F.col(language_col).alias("language"), (F.size("violations") == 0).alias("passed"), checked.alias("checked_rules"), "violations")
+
+
 def inside(nodes: DataFrame, id_col: str, scope: str, inner: str) -> DataFrame:
-    """[R5] (id, pre) of the scope nodes without an inner node anywhere below: an anti join by interval."""
-    low = nodes.where(F.col("type") == inner).select(F.col(id_col).alias("_of"), F.col("pre").alias("_pre"))
-    held = (F.col(id_col) == F.col("_of")) & F.col("_pre").between(F.col("pre"), F.col("last"))
-    return nodes.where(F.col("type") == scope).join(low, held, "left_anti").select(id_col, "pre")
+    """[R5] (id, pre) of the scope nodes without an inner node anywhere below: the next inner node of the tree, which a
+    window finds, lies beyond their interval."""
+    after = Window.partitionBy(id_col).orderBy("pre").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    following = F.min(F.when(F.col("type") == inner, F.col("pre"))).over(after)
+    of = nodes.where(F.col("type").isin(scope, inner)).withColumn("_next", following)
+    return of.where((F.col("type") == scope) & F.coalesce(F.col("_next") > F.col("last"), F.lit(True))).select(id_col, "pre")
 
 
 def duplicate_sets(nodes: DataFrame, id_col: str) -> DataFrame:
-    """[A5] (id, members, first, n): sets of child types that two parents at least of one tree have, by the set."""
+    """[A5] (id, members, first, n, occurrences): sets of child types that two parents at least of one tree have, by the
+    set, with the parents in document order."""
     sets = nodes.where("parent is not null").groupBy(id_col, "parent").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("members"), F.count("*").alias("size")).where("size >= 2")
-    return sets.groupBy(id_col, "members").agg(F.min("parent").alias("first"), F.count("*").alias("n")).where("n >= 2")
+    per = sets.groupBy(id_col, "members").agg(F.array_sort(F.collect_list("parent")).alias("of")).where(F.size("of") >= 2)
+    return per.select(id_col, "members", F.col("of")[0].alias("first"), F.size("of").cast("long").alias("n"), F.array_join("of", ",").alias("occurrences"))
