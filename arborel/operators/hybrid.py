@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborel.functions.metadata import matches, overlap
+from arborel.operators.lexical import score_query
 
 # The weights of the signals.
 WEIGHTS = {"meta": 0.20, "ast": 0.45, "text": 0.35}
@@ -30,3 +31,16 @@ def blend(entries: DataFrame, *, id_col: str, wanted: dict[str, object], text: D
     reason = [F.format_string(f"{name}=%.3f", F.col(f"s_{x}")) for x, name in (("text", "bm25"), ("ast", "ast_similarity"), ("meta", "metadata_overlap")) if x in present]
     of = of.withColumn("score", F.round(score, 6)).withColumn("match_reason", F.concat_ws(", ", *reason))
     return of.select(id_col, "score", "match_reason").orderBy(F.desc("score"), id_col).limit(k)
+
+
+def search(entries: DataFrame, corpus: DataFrame, *, id_col: str, text: Column, query: str | None, wanted: dict[str, object], vector: DataFrame | None = None, least: float = 0.0, k: int = 8) -> DataFrame:
+    """[S6, S13] blend with scores of query over the whole corpus. An empty query is an absent signal, as null is: hits
+    are then ranked by what else is given."""
+    return blend(entries, id_col=id_col, wanted=wanted, text=score_query(corpus, id_col, text, query) if query else None, vector=vector, least=least, k=k)
+
+
+def summaries(entries: DataFrame, *, id_col: str) -> DataFrame:
+    """[S14] What a listing shows of entries: id, kind, language, title and the metadata as JSON, keys in order."""
+    items = F.array_sort(F.map_entries("meta"))
+    one = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.to_json(e["value"]))
+    return entries.select(id_col, "kind", "language", "title", F.concat(F.lit("{"), F.array_join(F.transform(items, one), ","), F.lit("}")).alias("metadata"))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborel.functions.text import bm25_term, idf, tokenize
+from arborel.functions.text import K1, B, bm25_term, idf, tokenize
 from arborel.sources.tables import written
 
+#: Query terms that one batch of score_queries holds.
+BATCH_TERMS = 5_000
+
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """[T4] (id, term, tf)."""
@@ -62,18 +71,72 @@ def score_query(docs: DataFrame, id_col: str, text: Column, query: str, keep: tu
 
 
 def score_queries(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_col: str, query_text: Column, k: int) -> DataFrame:
-    """[T8, S11] (query, id, rank, raw): the k best documents of each of many queries, by a join of query terms with
-    postings. Documents are cut to k for each query before they are shuffled by query."""
-    from pyspark.sql import Window
+    """[G1, T8, S11] (query, id, rank, raw): the k best documents of each of many queries. Scores are rounded to six
+    places, and ties go to smaller ids.
 
-    asked = postings(queries, query_col, query_text).withColumnRenamed("tf", "times")
-    wanted = asked.select("term").distinct()
-    of = docs.select(id_col, tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens"))
+    Queries go in batches of about BATCH_TERMS terms, dealt by a hash, which a task can hold. Texts are tokenized once;
+    then a batch's documents are scored where they lie, a block of them against all its queries in one product of
+    matrices, and each task hands on its k best of a query only, so a frequent term is no hot key.
+    """
+    spark = docs.sparkSession
+    of = written(docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long")))
     s = of.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    held = written(of.select(id_col, "dl", F.explode("tokens").alias("term")).join(wanted, "term").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
-    weight = held.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.lit(s["n"]), F.col("df")).alias("weight"))
-    asked = asked.join(weight, "term").select(query_col, "term", (F.col("weight") * F.col("times")).alias("weight"))
-    part = bm25_term(F.col("tf"), F.col("dl"), F.lit(s["avgdl"] or 1.0), F.col("weight"))
-    scores = held.join(asked, "term").groupBy(query_col, id_col).agg(F.sum(part).alias("raw")).withColumn("raw", F.round("raw", 6))
-    order = Window.partitionBy(query_col).orderBy(F.desc("raw"), id_col)
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_col, id_col, "rank", "raw")
+    asked = postings(queries, query_col, query_text).select(F.col(query_col).alias("query"), "term", "tf")
+    # tasks count the terms of their documents before any are shuffled
+    df = of.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = written(asked.join(df, "term"))
+    batches = -(-asked.count() // BATCH_TERMS)
+    kinds = dict(of.dtypes)["id"], dict(asked.dtypes)["query"]
+    schema = f"query {kinds[1]}, id {kinds[0]}, raw double"
+    found = []
+    for batch in range(batches):
+        mine = asked.where(F.pmod(F.xxhash64("query"), F.lit(batches)) == batch).toArrow()
+        found.append(of.mapInArrow(_scorer(spark, mine, s["n"], s["avgdl"] or 1.0, k), schema))
+    if not found:
+        return of.select(F.lit(None).cast(kinds[1]).alias(query_col), F.col("id").alias(id_col), F.lit(0).alias("rank"), F.lit(0.0).alias("raw")).where(F.lit(False))
+    order = Window.partitionBy("query").orderBy(F.desc("raw"), "id")
+    best = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select(F.col("query").alias(query_col), F.col("id").alias(id_col), "rank", "raw")
+
+
+def _scorer(spark: SparkSession, asked: pa.Table, n: int, avgdl: float, k: int) -> Callable:
+    """The function of a task that scores its documents (id, tokens, dl) for the terms asked (query, term, tf, df) and
+    keeps k a query."""
+    terms, queries = (list(dict.fromkeys(asked[c].to_pylist())) for c in ("term", "query"))
+    place, column = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(queries)}
+    W = np.zeros((len(terms), len(queries)))
+    for q, t, times, df in zip(*(asked[c].to_pylist() for c in ("query", "term", "tf", "df")), strict=True):
+        W[place[t], column[q]] = times * math.log(1 + (n - df + 0.5) / (df + 0.5))
+    shared = spark.sparkContext.broadcast((pa.array(terms, pa.string()), pa.array(queries, asked["query"].type), W))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, queries, W = shared.value
+        block = max(1, 4_000_000 // max(*W.shape, 1))
+        best: pa.Table | None = None
+        for batch in batches:
+            for a in range(0, len(batch), block):
+                part = batch.slice(a, block)
+                tokens = part.column(1)
+                of = np.repeat(np.arange(len(part)), np.diff(tokens.offsets.to_numpy()))
+                term = pa.compute.fill_null(pa.compute.index_in(tokens.flatten(), value_set=terms), -1).to_numpy()
+                tf = np.bincount(of[term >= 0] * len(terms) + term[term >= 0], minlength=len(part) * len(terms)).reshape(len(part), -1)
+                length = K1 * (1 - B + B * part.column(2).to_numpy() / avgdl)
+                raw = (tf * (K1 + 1) / (tf + length[:, None])) @ W
+                doc, query = np.nonzero(raw)
+                some = pa.table([queries.take(pa.array(query)), part.column(0).take(pa.array(doc)), pa.array(np.round(raw[doc, query], 6))], names=["query", "id", "raw"])
+                best = best_rows(some if best is None else pa.concat_tables([best, some]), k)
+        if best is not None:
+            yield from best.to_batches()
+
+    return run
+
+
+def best_rows(t: pa.Table, k: int) -> pa.Table:
+    """Of each query the k rows of the highest score, ties by id."""
+    t = t.sort_by([("query", "ascending"), ("raw", "descending"), ("id", "ascending")]).combine_chunks()
+    if not len(t):
+        return t
+    query = pa.compute.fill_null(t["query"].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+    nth = np.arange(len(t)) - np.repeat(first, np.diff(np.append(first, len(t))))
+    return t.filter(pa.array(nth < k))
