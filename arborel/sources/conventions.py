@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborel.functions.languages import normalize_language
+from arborel.functions.languages import known_language
 
 RULE = "id string, language string, type string, query string, message string, capture string, regex string, scope_query string, severity string, analyzer string"
 #: Metadata stays text until it is normalized: its values are single or lists.
@@ -19,12 +19,14 @@ def metadata_map(metadata: Column) -> Column:
     return F.coalesce(F.map_filter(lists, lambda k, v: v[0].isNotNull() | (F.size(v) == 0)), F.create_map().cast("map<string,array<string>>"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """[I1, I2, D2] Entries of the JSON files under path, each a list or one object, with their file. Kind is rule if
-    a rule is given, else pattern; the title defaults to the id; a rule takes its entry's language and an error's
-    severity."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    language = normalize_language(F.col("language"))
+def read(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
+    """[I1, I2, D2] Entries of the files under path, each a list or one object in JSON, with their file. Kind is rule if a
+    rule is given, else pattern; the title defaults to the id; a rule takes its entry's language and an error's severity.
+
+    What can't be read does not stop the rest: an unknown language is null with its name in declared, and a file that is
+    not JSON gives a row with broken set; quarantined tells them from good entries."""
+    raw = spark.read.schema(f"{SCHEMA}, _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(path)
+    language = known_language(F.col("language"))
     rule = F.when(F.col("rule").isNotNull(), F.col("rule").withField("language", language).withField("severity", F.coalesce("rule.severity", F.lit("error"))))
     return raw.select(
         "id",
@@ -37,6 +39,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         "good_example",
         "bad_example",
         F.col("_metadata.file_path").alias("file"),
+        F.col("language").alias("declared"),
+        F.col("_corrupt_record").isNotNull().alias("broken"),
     )
 
 
@@ -50,7 +54,9 @@ def listed(entries: DataFrame, languages: tuple[str, ...] | None = None, kind: s
 def quarantined(entries: DataFrame) -> DataFrame:
     """[S1] entries with error: null, or why the entry can't be kept."""
     reason = (
-        F.when(F.col("id").isNull() | (F.col("id") == ""), "no id")
+        F.when(F.col("broken"), "not JSON")
+        .when(F.col("id").isNull() | (F.col("id") == ""), "no id")
+        .when(F.col("language").isNull(), F.concat(F.lit("unknown language "), F.coalesce("declared", F.lit("(none)"))))
         .when(~F.col("kind").isin("rule", "pattern"), "unknown kind")
         .when((F.col("kind") == "rule") & F.col("rule").isNull(), "a rule entry needs a rule")
         .when((F.col("kind") == "pattern") & (F.coalesce("good_example", F.lit("")) == ""), "a pattern needs a good example")
@@ -60,4 +66,22 @@ def quarantined(entries: DataFrame) -> DataFrame:
 
 def export(entries: DataFrame) -> DataFrame:
     """[I10] One JSON text for each entry."""
-    return entries.select(F.to_json(F.struct(*(c for c in entries.columns if c not in ("file", "fingerprint")))).alias("value"))
+    own = ("file", "fingerprint", "declared", "broken", "error")
+    return entries.select(F.to_json(F.struct(*(c for c in entries.columns if c not in own))).alias("value"))
+
+
+def exported_groups(entries: DataFrame, path: str, *, category: str = "category") -> bool:
+    """[I13] One JSON text for each category under path, the largest first, with its entries in order of their ids; false,
+    and nothing is written, if an entry has an error."""
+    if not entries.where("error is not null").isEmpty():
+        return False
+    groups(entries, category=category).select(F.to_json(F.struct("slug", "count", "languages", "entries")).alias("value"), "count", "slug").orderBy(F.desc("count"), "slug").select("value").write.mode("overwrite").text(path)
+    return True
+
+
+def groups(entries: DataFrame, *, category: str = "category") -> DataFrame:
+    """[C9, I14] (slug, count, rules, patterns, languages, entries) of each category of the metadata."""
+    slug = F.coalesce(F.nullif(F.col("meta")[category][0], F.lit("")), F.lit("uncategorized"))
+    row = F.struct("id", "kind", "language", "title", "guideline", "good_example", "bad_example")
+    per = entries.groupBy(slug.alias("slug")).agg(F.count("*").alias("count"), F.count_if(F.col("kind") == "rule").alias("rules"), F.count_if(F.col("kind") == "pattern").alias("patterns"), F.array_sort(F.collect_set("language")).alias("languages"), F.array_sort(F.collect_list(row)).alias("entries"))
+    return per

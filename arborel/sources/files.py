@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborel.functions.languages import language_of_path
+from arborel.sources.tables import written
 
 # Folders that a scan leaves out.
 SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target", ".next", ".tox", "vendor")
@@ -25,3 +26,12 @@ def scan(spark: SparkSession, root: str, language: str | None = None, most: int
     code = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     of = of.select("path", "language", code.alias("code"))
     return of if most is None else of.orderBy("path").limit(most)
+
+
+def counted(found: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """[I6, I7] The files of a scan that are read, and one row (files, skipped): the first most by path count as files;
+    those beyond, and those of them that are no UTF-8, as skipped."""
+    of = written(found.select("path").orderBy("path").limit(most)).withColumn("_within", F.lit(True))
+    marked = found.join(of, "path", "left")
+    files = F.count_if(F.col("_within")).alias("files")
+    return marked.where("_within and code is not null").drop("_within"), marked.agg(files, F.count_if(F.col("_within").isNull() | F.col("code").isNull()).alias("skipped"))

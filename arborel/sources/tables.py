@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster shares and read again: lineage ends here, and any executor can read
-    it. Where spark.checkpoint.dir is unset, as in tests, a temporary folder takes its place."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares. Where spark.checkpoint.dir is unset a local session, as in tests,
+    takes a temporary folder; on a cluster, whose executors would write to their own disks, this is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-arborel-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/arborel-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/arborel-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the folder that the cluster shares and read again: lineage ends here, and any executor can read it."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
