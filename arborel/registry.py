@@ -8,15 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborel.functions.languages import language_of_path, rule_languages
+from arborel.functions.languages import known_language, language_of_path, rule_languages
 from arborel.functions.metadata import matches, overlap
 from arborel.functions.text import document_text, extract_code_block, flatten_metadata, tokenize
 from arborel.functions.vectors import feature_index, feature_sign, similarity
-from arborel.jobs.generate import repair
+from arborel.jobs import build, prompts
+from arborel.jobs.generate import repair, reviewed, traced_repair
 from arborel.jobs.prompts import generate_prompt
 from arborel.operators import corpus, fingerprint, hybrid, lexical, nodes, rules, verify
 from arborel.operators.rules import Rule
-from arborel.sources.tables import load
+from arborel.operators.similar import similar
+from arborel.sources import conventions
+from arborel.sources.tables import fresh_path, load
 
 QUERY = "the pathetic tion therThe XMLHttp stupid The"
 WANTED = {"lang": ["en", "de"], "quality": 1}
@@ -28,7 +31,7 @@ RULES = [
     Rule("first-word-plain", "naming", r"[A-Z]?[a-zà-ÿß]+", "a line begins with a plain word", capture=r"^(\S+) "),
     Rule("no-secret-de", "forbid", r"(password|token|geheim) ?=", "keine Geheimnisse im Text", language="de", overrides=("no-secret",)),
 ]
-TEMPLATE = "```text\n%s\n```"
+UNIT_KINDS = ("article", "nav", "table", "section")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +95,8 @@ def g1_retrieve_batch(spark, sf_dir):
 def v1_cosine(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id = 0").select(F.col("embedding").alias("asked"))
-    return vectors.join(F.broadcast(asked)).select("vec_id", F.round(similarity(F.col("embedding"), F.col("asked")), 6).alias("score"))
+    scored = vectors.join(F.broadcast(asked)).select("vec_id", F.round(similarity(F.col("embedding"), F.col("asked")), 6).alias("score"))
+    return scored.where("score is not null")
 
 
 def v1_cosine_top(spark, sf_dir):
@@ -132,11 +136,15 @@ def s8_text_search(spark, sf_dir):
 
 
 def p4_markup_nodes(spark, sf_dir):
+    return _tree(spark, sf_dir).drop("parent_type")
+
+
+def _tree(spark, sf_dir):
     return nodes.markup_nodes(load(spark, sf_dir, "pages"), "page_id", "html")
 
 
 def f2_structure_counts(spark, sf_dir):
-    return fingerprint.features(p4_markup_nodes(spark, sf_dir), "page_id").select("page_id", "feature", "n")
+    return fingerprint.features(_tree(spark, sf_dir), "page_id").select("page_id", "feature", "n")
 
 
 def f3_feature_hash(spark, sf_dir):
@@ -145,13 +153,13 @@ def f3_feature_hash(spark, sf_dir):
 
 
 def f5_fingerprints(spark, sf_dir):
-    found = fingerprint.components(fingerprint.features(p4_markup_nodes(spark, sf_dir), "page_id"), "page_id")
+    found = fingerprint.components(fingerprint.features(_tree(spark, sf_dir), "page_id"), "page_id")
     return found.select("page_id", "idx", F.round("value", 6).alias("value"))
 
 
 def v2_similar_pages(spark, sf_dir):
     """Pages by the similarity of their structure to that of the first page."""
-    entries = fingerprint.components(fingerprint.features(p4_markup_nodes(spark, sf_dir), "page_id"), "page_id")
+    entries = fingerprint.components(fingerprint.features(_tree(spark, sf_dir), "page_id"), "page_id")
     asked = entries.where("page_id = 0").select("idx", F.col("value").alias("asked"))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.sum(F.col("value") * F.col("asked"))))
     return entries.join(asked, "idx").groupBy("page_id").agg(F.round(score, 5).alias("score"))
@@ -181,7 +189,7 @@ def r5_require_in(spark, sf_dir):
 
 
 def r5_inside(spark, sf_dir):
-    return rules.inside(p4_markup_nodes(spark, sf_dir), "page_id", "article", "h2")
+    return rules.inside(_tree(spark, sf_dir), "page_id", "article", "h2")
 
 
 def r6_naming(spark, sf_dir):
@@ -207,11 +215,11 @@ def r15_applicable_rules(spark, sf_dir):
 
 
 def a5_duplicate_sets(spark, sf_dir):
-    return rules.duplicate_sets(p4_markup_nodes(spark, sf_dir), "page_id")
+    return rules.duplicate_sets(_tree(spark, sf_dir), "page_id")
 
 
 def c1_units(spark, sf_dir):
-    return nodes.units(p4_markup_nodes(spark, sf_dir), "page_id", ("article", "nav", "table", "section"), 2, 3)
+    return nodes.units(_tree(spark, sf_dir), "page_id", UNIT_KINDS, 1, 3)
 
 
 def c3_content_dedup(spark, sf_dir):
@@ -270,23 +278,221 @@ def i11_upsert(spark, sf_dir):
     return corpus.upsert(docs, new, "doc_id", replace=True)
 
 
+def _mend(rows):
+    """A scripted provider that mends one kind of findings in each turn."""
+    calm = F.regexp_replace("text", "!!+", "!")
+    mended = F.when(F.contains("text", F.lit("!!")), calm).otherwise(F.regexp_replace("text", "(password|token|geheim) ?=", "_"))
+    return rows.select("doc_id", F.when(F.col("text").startswith("An"), F.col("text")).otherwise(F.concat(F.lit("```\n"), mended, F.lit("\n```"))).alias("reply"))
+
+
 def g2_repair(spark, sf_dir):
-    """Documents with findings, repaired by a scripted provider that mends one kind of them in each turn."""
+    """Documents with findings, repaired by a scripted provider."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    return repair(docs, "doc_id", "text", _check_forbidden, _mend, rounds=2).select("doc_id", "iterations", "verified")
+
+
+def g5_trace(spark, sf_dir):
+    """What happened to each document in its repair, in order."""
     docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    return traced_repair(docs, "doc_id", "text", _check_forbidden, _mend, rounds=2)[1]
+
+
+def p1_languages(spark, sf_dir):
+    """Names and aliases of languages, one for each document; unknown ones are null."""
+    names = F.array(*map(F.lit, (" PY", "Node ", "python3", "TSX", "cobol", "rs", "golang")))
+    name = F.get(names, (F.col("doc_id") % 7).cast("int"))
+    return _docs(spark, sf_dir).select("doc_id", known_language(name).alias("language"))
+
+
+def _odd_vectors(spark, sf_dir):
+    """The embeddings, of which some lack their last component and some are null."""
+    short = F.slice("embedding", 1, 63)
+    vector = F.when(F.col("vec_id") % 10 == 7, F.lit(None)).when(F.col("vec_id") % 10 == 3, short).otherwise(F.col("embedding"))
+    return load(spark, sf_dir, "embeddings").select("vec_id", vector.alias("embedding"))
+
+
+def v3_comparable_vectors(spark, sf_dir):
+    """A scan leaves out null vectors and those of another length."""
+    vectors = _odd_vectors(spark, sf_dir)
+    asked = vectors.where("vec_id = 0").select(F.col("embedding").alias("asked"))
+    return vectors.join(F.broadcast(asked)).select("vec_id", F.round(similarity(F.col("embedding"), F.col("asked")), 6).alias("score")).where("score is not null")
+
+
+def v1_similar_batch(spark, sf_dir):
+    """Every vector whose id is divisible by 100 asks all others."""
+    return similar(_odd_vectors(spark, sf_dir), F.col("vec_id") % 100 == 0, id_col="vec_id", vector_col="embedding", k=10)
+
+
+def s13_empty_query(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    entries = _meta(docs.select("doc_id", "lang", "source"), load(spark, sf_dir, "labels"))
+    return hybrid.search(entries, docs, id_col="doc_id", text=F.col("text"), query="", wanted=WANTED, k=30)
+
+
+def f7_example_text(spark, sf_dir):
+    """Labelled documents as entries: good examples, bad ones, and some with neither or both."""
+    both = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    good = F.when(F.col("quality") == 1, F.col("text")).otherwise("")
+    bad = F.when(F.col("toxic") == 1, F.col("text"))
+    return both.select("doc_id", F.md5(fingerprint.example_text(good, bad)).alias("text_md5"))
+
+
+def f8_float_vectors(spark, sf_dir):
+    """Fingerprints as stored vectors of floats, read back in double precision."""
+    entries = fingerprint.components(fingerprint.features(_tree(spark, sf_dir), "page_id"), "page_id")
+    values = F.transform("fingerprint", lambda x: x.cast("double"))
+    return fingerprint.vectors(entries, "page_id").select("page_id", F.posexplode(values).alias("idx", "value")).where("value <> 0").select("page_id", "idx", F.round("value", 6).alias("value"))
+
+
+def r11_reports(spark, sf_dir):
+    """Nested reports: the rules that were checked, and the violations in order."""
+    docs, found = _violations(spark, sf_dir)
+    of = rules.reports(docs, found, RULES, "doc_id", "lang")
+    line = lambda v: F.concat_ws(":", v["start_line"].cast("string"), v["start_col"].cast("string"), v["rule_id"])
+    return of.select("doc_id", "passed", F.array_join("checked_rules", ",").alias("checked"), F.md5(F.array_join(F.transform("violations", line), ",")).alias("violations_md5"))
+
+
+def r17_rules_from_hits(spark, sf_dir):
+    """The rules that a document breaks are its hits; those that another one overrides go."""
+    docs, found = _violations(spark, sf_dir, first=True)
+    hits = found.select("doc_id", F.col("rule_id").alias("id")).distinct().join(docs.select("doc_id", "lang"), "doc_id")
+    return rules.rules_from_hits(hits, rules.rule_table(spark, RULES), "doc_id", F.col("lang"))
+
+
+def r18_chosen_rules(spark, sf_dir):
+    """Rules asked for by their ids, overridden ones too."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    of = rules.chosen(RULES, ["no-secret", "no-secret-de"])
+    found = rules.violations(docs, nodes.line_nodes(docs, "text", "doc_id", "lang"), of, "doc_id", "lang")
+    return found.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"), F.min("start_line").alias("first_line"))
+
+
+def _check_forbidden(rows):
     of = [r for r in RULES if r.type == "forbid"]
+    return rules.violations(rows, nodes.line_nodes(rows, "text", "doc_id", "lang"), of, "doc_id", "lang")
 
-    def check(rows):
-        return rules.violations(rows, nodes.line_nodes(rows, "text", "doc_id", "lang"), of, "doc_id", "lang")
+
+def g3_review(spark, sf_dir):
+    """Documents reviewed by a scripted provider that mends them, but answers those that begin with An without a block."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
 
     def provider(rows):
-        calm = F.regexp_replace("text", "!!+", "!")
-        mended = F.when(F.contains("text", F.lit("!!")), calm).otherwise(F.regexp_replace("text", "(password|token|geheim) ?=", "_"))
-        return rows.select("doc_id", F.when(F.col("text").startswith("An"), F.col("text")).otherwise(F.concat(F.lit("```\n"), mended, F.lit("\n```"))).alias("reply"))
+        mended = F.regexp_replace(F.regexp_replace("text", "!!+", "!"), "(password|token|geheim) ?=", "_")
+        fix = F.concat(F.lit("Mended.\n```\n"), mended, F.lit("\n```"))
+        return rows.select("doc_id", F.when(F.col("text").startswith("An"), F.lit("As it should be.")).otherwise(fix).alias("reply"))
+
+    got = reviewed(docs, "doc_id", "text", "lang", _check_forbidden, provider)
+    return got.select("doc_id", "violations", F.md5("fix").alias("fix_md5"), "fix_violations", "fix_verified")
+
+
+def g6_review_prompts(spark, sf_dir):
+    """Prompts for a review: each document with what was found and the rules of its language."""
+    docs, found = _violations(spark, sf_dir, ("forbid", "require"))
+    row = F.struct("start_line", "start_col", "rule_id", "message", "snippet")
+    per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("found"))
+    hit = lambda r: F.struct(F.lit("rule").alias("kind"), F.lit(r.id).alias("id"), F.lit(r.message).alias("title"), F.lit(r.severity).alias("guideline"), F.lit("").alias("example"), F.lit("").alias("language"), F.lit(1.0).alias("score"))
+    hits = F.array_compact(F.array(*(F.when(F.lit(r.language is None) | (F.col("lang") == (r.language or "")), hit(r)) for r in sorted(RULES, key=lambda r: r.id))))
+    prompt = prompts.review(F.coalesce("text", F.lit("")), F.col("lang"), F.col("found"), hits, F.when(F.col("source") == "src1", F.lit("shorter")))
+    of = docs.join(per, "doc_id", "left").join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    return of.select("doc_id", F.md5(prompt).alias("prompt_md5"), F.length(prompt).cast("long").alias("n"))
+
+
+def c2_unit_shapes(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return nodes.unit_shapes(tree, nodes.units(tree, "page_id", UNIT_KINDS, 1, 3), "page_id").select("page_id", "pre", "name", F.md5("shape").alias("shape_md5"))
+
+
+def _indexed(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    shapes = nodes.unit_shapes(tree, nodes.units(tree, "page_id", UNIT_KINDS, 1, 3), "page_id")
+    return build.indexed_units(shapes, language=F.lit("html"), name=F.col("name"), snippet=F.col("shape"), source=F.format_string("page %09d", "page_id"))
+
+
+def c5_indexed_units(spark, sf_dir):
+    """Units of pages as patterns: of units of one shape the first page's stays."""
+    return _indexed(spark, sf_dir).select("id", "title", "guideline", F.col("meta")["source"][0].alias("source"), F.md5("good_example").alias("md5"))
+
+
+def c6_index_summary(spark, sf_dir):
+    found = build.index_summary(_indexed(spark, sf_dir), 20)
+    return found.select("indexed", F.array_join("ids", ",").alias("ids"))
+
+
+def _convention_files(spark, sf_dir):
+    """Labelled documents, written as convention files of up to 500 documents each; one file in seven is cut off."""
+    both = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    language = F.get(F.array(*map(F.lit, ("py", "typescript", "cobol", "go", "Node"))), (F.col("doc_id") % 5).cast("int"))
+    toxic = F.col("toxic") == 1
+    rule = F.when(toxic & (F.col("doc_id") % 2 == 0), F.struct(F.lit("r").alias("id"), F.lit("forbid").alias("type"), F.lit("(call)").alias("query")))
+    meta = F.struct(F.col("source").alias("category"), F.array("lang").alias("tags"))
+    entry = F.struct(F.concat(F.lit("d"), "doc_id").alias("id"), F.when(toxic & (F.col("doc_id") % 2 == 1), "rule").alias("kind"), language.alias("language"), meta.alias("metadata"), rule.alias("rule"), F.when(F.col("quality") == 1, F.substring("text", 1, 200)).alias("good_example"))
+    per = both.groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    cut = F.when(F.col("part") % 7 == 1, F.substring("value", F.lit(1), F.length("value") - 5)).otherwise(F.col("value"))
+    path = fresh_path(spark)
+    per.select(cut.alias("value"), "part").write.partitionBy("part").text(path)
+    return conventions.read(spark, path, "*.txt")
+
+
+def _part(file):
+    return F.regexp_extract(file, r"part=(\d+)/", 1).cast("long")
+
 
-    return repair(docs, "doc_id", "text", check, provider, rounds=2).select("doc_id", "iterations", "verified")
+def i1_convention_files(spark, sf_dir):
+    """Entries read back from files, good or with what is wrong; a file that is cut off is one row."""
+    found = conventions.quarantined(_convention_files(spark, sf_dir))
+    return found.select(_part("file").alias("part"), "id", F.when(~F.col("broken"), F.col("kind")).alias("kind"), "language", F.col("meta")["category"][0].alias("category"), "error")
 
 
-QUERIES = {f.__name__: f for f in (t1_tokenize_counts, t3_entry_text, t5_lexical_stats, t5_doc_lengths, t7_document_frequency, t8_bm25_search, t9_bm25_scores, s5_bm25_by_language, g1_retrieve_batch, v1_cosine, v1_cosine_top, s3_metadata_filter, s3_event_props, s4_metadata_overlap, s7_hybrid_search, s8_text_search, p4_markup_nodes, f2_structure_counts, f3_feature_hash, f5_fingerprints, v2_similar_pages, r3_forbid, r3_forbid_all, r4_require, r5_require_in, r5_inside, r6_naming, r14_report, r14_report_all, r15_applicable_rules, a5_duplicate_sets, c1_units, c3_content_dedup, c8_stats, c9_grouping, i4_language_of_path, i6_first_files, t12_code_blocks, g6_prompts, g6_prompts_all, s2_self_verification, i11_upsert, g2_repair)}
+def i9_listed(spark, sf_dir):
+    return conventions.listed(_convention_files(spark, sf_dir), ("python", "go"), "pattern").select("id", "language")
+
+
+def i10_export(spark, sf_dir):
+    """Good entries to JSON texts and back."""
+    good = conventions.quarantined(_convention_files(spark, sf_dir)).where("error is null")
+    back = F.from_json("value", "id string, kind string, language string, title string, meta map<string,array<string>>, good_example string")
+    return conventions.export(good).select(back.alias("e")).select("e.id", "e.kind", "e.language", "e.title", F.col("e.meta")["tags"][0].alias("tag"), F.md5("e.good_example").alias("md5"))
+
+
+def i12_delete(spark, sf_dir):
+    return corpus.delete(_docs(spark, sf_dir).select("doc_id", "lang", "n_chars"), 10, "doc_id")[0]
+
+
+def s14_summaries(spark, sf_dir):
+    return hybrid.summaries(conventions.quarantined(_convention_files(spark, sf_dir)).where("error is null"), id_col="id")
+
+
+def i14_groups(spark, sf_dir):
+    """Totals of rules and patterns for each category, with their entries."""
+    good = conventions.quarantined(_convention_files(spark, sf_dir)).where("error is null")
+    found = conventions.groups(good)
+    return found.select("slug", "count", "rules", "patterns", F.array_join("languages", ",").alias("languages"), F.md5(F.array_join("entries.id", ",")).alias("ids_md5"))
+
+
+def i13_sink(spark, sf_dir):
+    """The groups written as JSON and read back: of entries of which none has an error, and of all, of which nothing is."""
+    found, rows = conventions.quarantined(_convention_files(spark, sf_dir)), []
+    for name, of in (("good", found.where("error is null")), ("all", found)):
+        path = fresh_path(spark)
+        done = conventions.exported_groups(of, path)
+        back = spark.read.text(path) if done else spark.createDataFrame([], "value string")
+        rows.append(back.select(F.lit(name).alias("of"), F.get_json_object("value", "$.slug").alias("slug"), F.get_json_object("value", "$.count").cast("long").alias("count")))
+    return rows[0].union(rows[1])
+
+
+def c7_build(spark, sf_dir):
+    """What a build reports: entries and errors of each file, and the units."""
+    _, report = build.build(_convention_files(spark, sf_dir), _indexed(spark, sf_dir))
+    source = F.when(F.col("source") == "units", F.col("source")).otherwise(_part("source").cast("string"))
+    return report.select(source.alias("source"), "loaded", "errors", "error")
+
+
+def c7_corpus(spark, sf_dir):
+    built, _ = build.build(_convention_files(spark, sf_dir), _indexed(spark, sf_dir))
+    return corpus.stats(built, "language", "kind")
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "acfgiprstv" and name[1].isdigit()}
 
 # ---------------------------------------------------------------- SQL
 
@@ -369,8 +575,8 @@ ORACLE_SQL = {
     "r6_naming": f"WITH {_LINES} {_NAMING}",
     "r14_report": f"WITH {_LINES}, v AS ({_ALL}) SELECT d.doc_id, count(rule_id) = 0 AS passed, count(rule_id) AS n_violations, coalesce(array_to_string(list_sort(list_distinct(list(rule_id))), ','), '') AS rule_ids, min(start_line) AS first_line FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id",
     "r15_applicable_rules": "SELECT doc_id, CASE lang WHEN 'en' THEN 'first-word-plain,needs-sentence,no-secret,no-shouting,scope-has-comma' WHEN 'de' THEN 'first-word-plain,needs-sentence,no-secret-de' ELSE 'first-word-plain,needs-sentence,no-secret' END AS rule_ids FROM documents",
-    "a5_duplicate_sets": f"WITH {_NODES}, s AS (SELECT page_id, parent, array_to_string(list_sort(list_distinct(list(type))), ',') AS members FROM nodes WHERE parent IS NOT NULL GROUP BY page_id, parent HAVING count(*) >= 2) SELECT page_id, members, min(parent) AS first, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 2",
-    "c1_units": f"WITH {_NODES} SELECT page_id, pre, type, (last - pre + 1)::INT AS nodes FROM nodes WHERE depth = 2 AND type IN ('article', 'nav', 'table', 'section') AND last - pre + 1 >= 3",
+    "a5_duplicate_sets": f"WITH {_NODES}, s AS (SELECT page_id, parent, array_to_string(list_sort(list_distinct(list(type))), ',') AS members FROM nodes WHERE parent IS NOT NULL GROUP BY page_id, parent HAVING count(*) >= 2) SELECT page_id, members, min(parent) AS first, count(*) AS n, string_agg(parent, ',' ORDER BY parent) AS occurrences FROM s GROUP BY page_id, members HAVING count(*) >= 2",
+    "c1_units": f"WITH {_NODES} SELECT page_id, pre, type, (last - pre + 1)::INT AS nodes FROM nodes WHERE depth = 1 AND type IN ('article', 'nav', 'table', 'section') AND last - pre + 1 >= 3",
     "c3_content_dedup": "SELECT 'pattern:' || lang || ':' || source || ':' || substr(md5(text), 1, 10) AS content_id, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "c8_stats": "SELECT 'language' AS \"by\", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'kind', source, count(*) FROM documents GROUP BY source",
     "c9_grouping": "SELECT coalesce(nullif(source, ''), 'uncategorized') AS category, count(*) AS n, array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages FROM documents GROUP BY 1",
@@ -384,3 +590,44 @@ ORACLE_SQL = {
 }
 # The same with every match in place of the first of each line
 ORACLE_SQL |= {f"{name}_all": ORACLE_SQL[name].replace(_FORBID, _FORBID_ALL) for name in ("r3_forbid", "r14_report", "g6_prompts")}
+
+_NAMES = "CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'python' WHEN 3 THEN 'tsx' WHEN 5 THEN 'rust' WHEN 6 THEN 'go' END"
+_ODD = "od AS (SELECT vec_id, CASE WHEN vec_id % 10 = 7 THEN NULL WHEN vec_id % 10 = 3 THEN embedding[1:63] ELSE embedding END::DOUBLE[] AS e FROM embeddings)"
+_CLIPPED = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_inner_product(a.e, b.e)))"
+_EVERY = " UNION ALL ".join((_FORBID_ALL, _REQUIRE, _REQUIRE_IN, _NAMING))
+_RULES = "ru(id, language, message, severity, n) AS (VALUES " + ", ".join(f"('{r.id}', {repr(r.language) if r.language else 'NULL'}, '{r.message}', '{r.severity}', {i})" for i, r in enumerate(RULES)) + ")"
+_MENDED = "regexp_replace(regexp_replace(text, '!!+', '!', 'g'), '(password|token|geheim) ?=', '_', 'g')"
+_COUNTED = f"fb AS ({_FORBID_ALL}), cn AS (SELECT d.doc_id, text, count(rule_id) AS n0, count_if(rule_id <> 'no-shouting') AS secrets, coalesce(contains(text, '!!'), FALSE) AS marks, coalesce(text LIKE 'An%', FALSE) AS mute FROM documents d LEFT JOIN fb USING (doc_id) GROUP BY d.doc_id, text)"
+_UNITS = _NODES + """, u AS (SELECT page_id, pre, last, type FROM nodes WHERE depth = 1 AND type IN ('article', 'nav', 'table', 'section') AND last - pre + 1 >= 3),
+us AS (SELECT u.page_id, u.pre, any_value(u.type) AS type, string_agg(n.type, ' ' ORDER BY n.pre) AS shape, coalesce(arg_min(n.type, n.pre) FILTER (regexp_matches(n.type, '^h[1-6]$')), any_value(u.type)) AS name FROM u JOIN nodes n ON n.page_id = u.page_id AND n.pre BETWEEN u.pre AND u.last GROUP BY u.page_id, u.pre),
+ix AS (SELECT 'pattern:html:' || name || ':' || substr(md5(shape), 1, 10) AS id, 'unit ' || any_value(name) AS title, min(printf('page %09d', page_id)) AS source, any_value(shape) AS shape FROM us GROUP BY 1)"""
+_ENTRIES = """e0 AS (SELECT doc_id // 500 AS part, doc_id // 500 % 7 = 1 AS cut, 'd' || doc_id AS id, CASE WHEN toxic = 1 THEN 'rule' ELSE 'pattern' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 3 THEN 'go' WHEN 4 THEN 'javascript' END AS language, source AS category, lang, CASE WHEN quality = 1 THEN substr(text, 1, 200) END AS good, CASE WHEN doc_id % 5 = 2 THEN 'unknown language cobol' WHEN toxic = 1 AND doc_id % 2 = 1 THEN 'a rule entry needs a rule' WHEN toxic = 0 AND coalesce(CASE WHEN quality = 1 THEN substr(text, 1, 200) END, '') = '' THEN 'a pattern needs a good example' END AS error FROM documents JOIN labels USING (doc_id)),
+en AS (SELECT part, id, kind, language, category, lang, good, error FROM e0 WHERE NOT cut UNION ALL SELECT DISTINCT part, NULL, NULL, NULL, NULL, NULL, NULL, 'not JSON' FROM e0 WHERE cut),
+ok AS (SELECT * FROM en WHERE error IS NULL)"""
+
+ORACLE_SQL |= {
+    "p1_languages": f"SELECT doc_id, {_NAMES} AS language FROM documents",
+    "v3_comparable_vectors": f"WITH {_ODD} SELECT b.vec_id, round({_CLIPPED}, 6) AS score FROM od a JOIN od b ON len(a.e) = len(b.e) WHERE a.vec_id = 0",
+    "v1_similar_batch": f"WITH {_ODD}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round({_CLIPPED}, 6) AS score FROM od a JOIN od b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p) SELECT query_id, n::INT AS rank, vec_id, score FROM o WHERE n <= 10",
+    "s13_empty_query": f"WITH {_META} SELECT doc_id, round({_SHARE}, 6) AS score, printf('metadata_overlap=%.3f', {_SHARE}) AS match_reason FROM m WHERE {_MATCH} ORDER BY 2 DESC, 1 LIMIT 30",
+    "f7_example_text": "SELECT doc_id, md5(coalesce(nullif(CASE WHEN quality = 1 THEN text END, ''), nullif(CASE WHEN toxic = 1 THEN text END, ''))) AS text_md5 FROM documents JOIN labels USING (doc_id)",
+    "f8_float_vectors": f"WITH {_PRINTS} SELECT page_id, idx, round(value::FLOAT::DOUBLE, 6) AS value FROM fp",
+    "r11_reports": f"WITH {_LINES}, v AS ({_EVERY}), {_RULES}, ch AS (SELECT doc_id, string_agg(id, ',' ORDER BY n) AS checked FROM documents JOIN ru ON ru.language IS NULL OR ru.language = lang GROUP BY doc_id), vs AS (SELECT doc_id, string_agg(start_line || ':' || start_col || ':' || rule_id, ',' ORDER BY start_line, start_col, rule_id) AS found FROM v GROUP BY doc_id) SELECT d.doc_id, found IS NULL AS passed, coalesce(checked, '') AS checked, md5(coalesce(found, '')) AS violations_md5 FROM documents d LEFT JOIN ch USING (doc_id) LEFT JOIN vs USING (doc_id)",
+    "r17_rules_from_hits": f"WITH {_LINES}, v AS (SELECT DISTINCT doc_id, rule_id FROM ({_ALL})) SELECT doc_id, rule_id AS id FROM v WHERE NOT (rule_id = 'no-secret' AND doc_id IN (SELECT doc_id FROM v WHERE rule_id = 'no-secret-de'))",
+    "r18_chosen_rules": f"WITH {_LINES} SELECT doc_id, rule_id, count(*) AS n, min(start_line) AS first_line FROM ({_FORBID_ALL}) WHERE rule_id <> 'no-shouting' GROUP BY doc_id, rule_id",
+    "g3_review": f"WITH {_LINES}, {_COUNTED} SELECT doc_id, n0 AS violations, CASE WHEN NOT mute THEN md5(rtrim({_MENDED}, chr(10)) || chr(10)) END AS fix_md5, CASE WHEN NOT mute AND text IS NOT NULL THEN 0::BIGINT END AS fix_violations, NOT mute AND text IS NOT NULL AS fix_verified FROM cn",
+    "g5_trace": f"WITH {_LINES}, {_COUNTED}, t AS (SELECT doc_id, 0 AS seq, CASE WHEN n0 = 0 THEN 'passed' ELSE n0 || ' found' END AS message FROM cn UNION ALL SELECT doc_id, 1, CASE WHEN mute THEN 'no code block' ELSE 'answered' END FROM cn WHERE n0 > 0 UNION ALL SELECT doc_id, 2, CASE WHEN marks AND secrets > 0 THEN secrets || ' found' ELSE 'passed' END FROM cn WHERE n0 > 0 AND NOT mute UNION ALL SELECT doc_id, 3, 'answered' FROM cn WHERE n0 > 0 AND NOT mute AND marks AND secrets > 0 UNION ALL SELECT doc_id, 4, 'passed' FROM cn WHERE n0 > 0 AND NOT mute AND marks AND secrets > 0) SELECT doc_id, seq::INT AS seq, CASE seq % 2 WHEN 0 THEN 'verify#' || seq // 2 ELSE 'repair#' || (seq + 1) // 2 END AS stage, message FROM t",
+    "g6_review_prompts": f"WITH {_LINES}, {_RULES}, v AS ({_FORBID_ALL} UNION ALL {_REQUIRE}), s AS (SELECT doc_id, string_agg('- line ' || start_line || ': [' || rule_id || '] ' || message || CASE WHEN snippet <> '' THEN ' -> ' || chr(96) || snippet || chr(96) ELSE '' END, chr(10) ORDER BY start_line, start_col, rule_id) AS found FROM v GROUP BY doc_id), h AS (SELECT doc_id, '## Rules' || chr(10) || string_agg('- ' || id || ': ' || message || chr(10) || '  ' || severity, chr(10) ORDER BY id) AS rules FROM documents JOIN ru ON ru.language IS NULL OR ru.language = lang GROUP BY doc_id), p AS (SELECT doc_id, concat_ws(chr(10), 'Review this text; take the findings as given.', CASE WHEN source = 'src1' THEN '## Change' || chr(10) || 'shorter' END, '## Text' || chr(10) || '```' || coalesce(lang, '') || chr(10) || coalesce(text, '') || chr(10) || '```', '## Findings' || chr(10) || coalesce(found, '- none'), rules, 'Answer with a review and the mended text in one fenced block.') AS prompt FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN h USING (doc_id)) SELECT doc_id, md5(prompt) AS prompt_md5, length(prompt) AS n FROM p",
+    "c2_unit_shapes": f"WITH {_UNITS} SELECT page_id, pre, name, md5(shape) AS shape_md5 FROM us",
+    "c5_indexed_units": f"WITH {_UNITS} SELECT id, title, 'As written in ' || source || '; keep to its shape.' AS guideline, source, md5(shape) AS md5 FROM ix",
+    "c6_index_summary": f"WITH {_UNITS} SELECT (SELECT count(*) FROM ix) AS indexed, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM ix ORDER BY id LIMIT 20)) AS ids",
+    "i1_convention_files": f"WITH {_ENTRIES} SELECT part, id, kind, language, category, error FROM en",
+    "i9_listed": f"WITH {_ENTRIES} SELECT id, language FROM en WHERE language IN ('python', 'go') AND kind = 'pattern' ORDER BY id",
+    "i10_export": f"WITH {_ENTRIES} SELECT id, kind, language, id AS title, lang AS tag, md5(good) AS md5 FROM ok",
+    "i12_delete": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id <> 10",
+    "s14_summaries": f"""WITH {_ENTRIES} SELECT id, kind, language, id AS title, '{{"category":["' || category || '"],"tags":["' || lang || '"]}}' AS metadata FROM ok""",
+    "i14_groups": f"WITH {_ENTRIES} SELECT category AS slug, count(*) AS count, count_if(kind = 'rule') AS rules, count_if(kind = 'pattern') AS patterns, array_to_string(list_sort(list_distinct(list(language))), ',') AS languages, md5(string_agg(id, ',' ORDER BY id)) AS ids_md5 FROM ok GROUP BY category",
+    "i13_sink": f"WITH {_ENTRIES} SELECT 'good' AS of, category AS slug, count(*) AS count FROM ok GROUP BY category",
+    "c7_build": f"WITH {_UNITS}, {_ENTRIES} SELECT part::VARCHAR AS source, count_if(error IS NULL) AS loaded, count(error) AS errors, min(error) AS error FROM en GROUP BY part UNION ALL SELECT 'units', (SELECT count(*) FROM ix), 0, NULL",
+    "c7_corpus": f"WITH {_UNITS}, {_ENTRIES}, al AS (SELECT language, kind FROM ok UNION ALL SELECT 'html', 'pattern' FROM ix) SELECT 'language' AS \"by\", language AS value, count(*) AS n FROM al GROUP BY language UNION ALL SELECT 'kind', kind, count(*) FROM al GROUP BY kind",
+}
