@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import stored
+from arborel.llm.common import dealt, stored
 
 #: (host, path, verdict)
 RULES = (
@@ -17,6 +17,10 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
+#: Rounds between two looks at what they add, and the share of the mass below which that ends the propagation.
+ROUNDS, CLOSE = 4, 1e-4
+#: Distrust from which on a host's pages without a rule are blocked; a host that is blocked altogether has about 1.
+SHARE = 0.25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"(?i)href\s{0,8}=\s{0,8}[\"']?((?:https?:)?//[^\"'\s<>]+)"
 
@@ -41,52 +45,79 @@ def rule_of(of_host: Column, of_path: Column, rules: tuple = RULES) -> Column:
     return reduce(lambda chain, x: chain.when(*x), list(zip(fits, found, strict=True))[1:], F.when(fits[0], found[0]))
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame, html_col: str) -> DataFrame:
-    """(src, dst, share): of what a host passes on, the part for each host. Every page's links to other hosts count,
-    each page counts once for its own host, and so does each host's tie with its parent domain, both ways."""
+def host_links(pages: DataFrame, hosts: DataFrame, html_col: str) -> DataFrame:
+    """(src, dst, n): how often a host refers to another: by links of its pages, and by its tie with its parent domain,
+    which counts once for each of its pages, both ways."""
     target = F.concat(F.lit("x://"), F.regexp_replace(F.col("link"), r"(?i)^(?:https?:)?//", ""))
     links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(_HREF), F.lit(1))).alias("link"))
-    links = links.select(F.col("host").alias("src"), host(target).alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    own = hosts.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.col("pages").alias("n"))
-    up = hosts.where(F.size(F.split("host", r"\.")) > 2).select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.*)$", 1).alias("dst"), F.lit(1).cast("long").alias("n"))
+    links = links.select(F.col("host").alias("src"), host(target).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    up = hosts.where(F.size(F.split("host", r"\.")) > 2).select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.*)$", 1).alias("dst"), F.col("pages").alias("n"))
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    edges = links.union(own).union(up).union(down).groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    return edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
-
-
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, mass): personalised PageRank from seeds (host, mass); the mass is that of the seeds."""
-    rank = seeds
-    restart = seeds.select("host", (F.col("mass") * (1 - damping)).alias("mass"))
-    for k in range(1, rounds + 1):
-        passed = edges.join(rank, edges["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        rank = passed.union(restart).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if k % 4 == 0 and k < rounds:
-            rank = stored(rank)
-    return rank
-
-
-def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, damping: float = 0.85, rounds: int = 8, share: float = 0.5) -> DataFrame:
+    return links.union(up).union(down).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
+def flows(links: DataFrame, hosts: DataFrame, damping: float) -> tuple[DataFrame, DataFrame]:
+    """(kind, src, dst, share) and (kind, host, mass): what a host's mass adds to another's in a round, and what each has
+    to begin with. Trust follows links from hosts with allowed pages, distrust goes against them from hosts with blocked
+    ones; a host is seeded with the share of its pages. Hosts also refer to themselves, once a page; what comes back to a
+    host in this way again and again is summed in closed form (a geometric series), so no edge stands for it."""
+    zero = F.lit(0).cast("long")
+    own = hosts.select("host", "pages", "allowed", "blocked", zero.alias("out"), zero.alias("into"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("src").alias("host"), F.col("n").alias("out"), zero.alias("into")), F.struct(F.col("dst").alias("host"), zero.alias("out"), F.col("n").alias("into")))).alias("e"))
+    parts = own.union(ends.select("e.host", zero, zero, zero, "e.out", "e.into"))
+    nodes = parts.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("pages", "allowed", "blocked", "out", "into")))
+    again = lambda all_: 1 / (1 - damping * F.col("pages") / all_)
+    out, into = F.col("pages") + F.col("out"), F.col("pages") + F.col("into")
+    nodes = stored(nodes.select("host", "pages", "allowed", "blocked", out.alias("all_out"), into.alias("all_in"), again(out).alias("again_out"), again(into).alias("again_in")))
+    src = nodes.select(F.col("host").alias("src"), "all_out", "again_in")
+    dst = nodes.select(F.col("host").alias("dst"), "all_in", "again_out")
+    both = links.join(src, "src").join(dst, "dst")
+    row = lambda kind, a, b, share: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), share.alias("share"))
+    forth = row("trust", "src", "dst", damping * F.col("n") / F.col("all_out") * F.col("again_out"))
+    back = row("distrust", "dst", "src", damping * F.col("n") / F.col("all_in") * F.col("again_in"))
+    edges = stored(both.select(F.explode(F.array(forth, back)).alias("e")).select("e.*"))
+    seed = lambda kind, c, again: F.struct(F.lit(kind).alias("kind"), F.col("host"), ((1 - damping) * F.col(c) / F.col("pages") * F.col(again)).alias("mass"))
+    start = nodes.where("allowed + blocked > 0").select(F.explode(F.array(seed("trust", "allowed", "again_out"), seed("distrust", "blocked", "again_in"))).alias("s")).select("s.*")
+    return edges, stored(start.where("mass > 0"))
+
+
+def settled(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(kind, host, mass): start and all that edges pass on of it, until ROUNDS more rounds add less than CLOSE of the
+    mass. Mass only ever grows towards its limit, so what is added is also how far hosts have moved, all together."""
+    mass, before = start, start.agg(F.sum("mass")).first()[0] or 0.0
+    while before:
+        for _ in range(ROUNDS):
+            # dealt out anew, so that the join shuffles both sides and Spark can split a host of very many edges
+            of = dealt(mass.withColumnRenamed("host", "src"))
+            passed = edges.join(of, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
+            mass = passed.union(start).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        mass = stored(mass)
+        now = mass.agg(F.sum("mass")).first()[0]
+        if now - before <= CLOSE * now:
+            break
+        before = now
+    return mass
+
+
+def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, damping: float = 0.85, share: float = SHARE) -> DataFrame:
     """id_col, host, path, rule (null if none fits), verdict, trust and distrust of each page's host.
 
-    Hosts are seeded with their pages that a rule allows (trust) and blocks (distrust). Trust follows the edges,
-    distrust goes against them. Pages without a rule are blocked if their host's distrust exceeds its trust and is at
-    least share of its pages; otherwise allowed. Null urls and those without :// have an empty host and path, which no
-    rule fits and no graph holds: allowed. Null html has no links; repeated rows count each; other columns are unused.
+    Personalised PageRank, to convergence: hosts are seeded with the share of their pages that a rule allows (trust) or
+    blocks (distrust), trust follows links, distrust goes against them. A host that only refers to itself keeps its seed,
+    so 1 is the mass of a host that is allowed or blocked altogether, however many pages it has. Pages without a rule are
+    blocked if their host's distrust exceeds its trust and is share at least; otherwise allowed. Null urls and those
+    without :// have an empty host and path, which no rule fits and no graph holds: allowed. Null html has no links;
+    repeated rows count each; other columns are unused.
     """
     of = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.col(html_col).alias("_html"))
     of = of.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     hosts = stored(of.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("_rule.verdict") == "allow").alias("allowed"), F.count_if(F.col("_rule.verdict") == "block").alias("blocked")))
-    edges = stored(host_edges(of, hosts, "_html"))
-    trust = propagated(edges, hosts.where("allowed > 0").select("host", F.col("allowed").cast("double").alias("mass")), damping, rounds)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
-    out = back.groupBy("src").agg(F.sum("share").alias("all"))
-    back = back.join(out, "src").select("src", "dst", (F.col("share") / F.col("all")).alias("share"))
-    distrust = propagated(back, hosts.where("blocked > 0").select("host", F.col("blocked").cast("double").alias("mass")), damping, rounds)
-    mass = hosts.join(trust.withColumnRenamed("mass", "trust"), "host", "left").join(distrust.withColumnRenamed("mass", "distrust"), "host", "left")
-    mass = stored(mass.select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= share * F.col("pages"))
-    verdict = F.coalesce("_rule.verdict", F.when(bad, "block").otherwise("allow"))
+    links = stored(host_links(of, hosts, "_html"))
+    mass = settled(*flows(links, hosts, damping))
+    one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
+    mass = stored(mass.groupBy("host").agg(one("trust"), one("distrust")))
     zero = F.lit(0.0)
-    return of.drop("_html").join(mass, "host", "left").select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
+    out = of.drop("_html").join(mass, "host", "left").withColumns({c: F.coalesce(c, zero) for c in ("trust", "distrust")})
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= share)
+    verdict = F.coalesce("_rule.verdict", F.when(bad, "block").otherwise("allow"))
+    return out.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
