@@ -12,14 +12,22 @@ from pyspark.sql import functions as F
 
 from arborel.llm.common import grouped, stored, usable, vector_blocks
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 512
+#: Queries and candidates of a tile. A candidate is sent once for each block of queries, so these are the larger ones.
+QUERY_BLOCK, CANDIDATE_BLOCK, _STRIP = 4096, 512, 512
 #: Dimensions whose int8 products a float32 sum holds exactly.
 _SLAB = 1024
 
 
+def power_of_two(X: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """A power of two about the largest component of X (of each row, with axis 1): dividing by it is exact, and keeps
+    squares of very large or small vectors within the range of numbers."""
+    most = np.abs(X).max(axis, initial=0.0)
+    return np.ldexp(1.0, np.clip(np.frexp(most)[1], -1000, 1000))
+
+
 def quantized(X: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales, norms of what the codes stand for, and norms of what they miss."""
-    scale = np.abs(X).max(1) / 127
+    scale = np.maximum(np.abs(X).max(1) / 127, np.finfo(float).tiny)
     codes = np.rint(X / scale[:, None]).astype(np.int8)
     back = codes * scale[:, None]
     return codes, scale, np.sqrt((back**2).sum(1)), np.sqrt(((X - back) ** 2).sum(1))
@@ -35,24 +43,35 @@ def products(A: np.ndarray, B: np.ndarray) -> np.ndarray:
 
 def tile(Q: np.ndarray, q_ids: np.ndarray, C: np.ndarray, c_ids: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """(query's row, its k nearest of the tile as (distance, id)). The int8 product bounds each distance from both
-    sides; pairs whose lower bound is within the k-th smallest upper bound are computed in double precision."""
-    qa, qs, qn, qe = quantized(Q)
-    ca, cs, cn, ce = quantized(C)
-    dot = products(qa, ca) * qs[:, None] * cs
-    slack = qn[:, None] * ce + qe[:, None] * cn + qe[:, None] * ce
-    square = (Q**2).sum(1)[:, None] + (C**2).sum(1)
-    slack += 1e-9 * square
-    upper = square - 2 * (dot - slack)
-    lower = square - 2 * (dot + slack)
-    own = q_ids[:, None] == c_ids
-    upper[own] = lower[own] = np.inf
-    limit = np.partition(upper, k - 1, 1)[:, k - 1] if len(C) > k else np.full(len(Q), np.inf)
-    for i in range(len(Q)):
-        at = np.flatnonzero((lower[i] <= limit[i]) & ~own[i])
-        if len(at):
-            exact = np.sqrt(np.add.accumulate((Q[i] - C[at]) ** 2, axis=1)[:, -1])  # in the order of the components
-            best = np.lexsort((c_ids[at], exact))[:k]
-            yield i, list(zip(exact[best].tolist(), c_ids[at][best].tolist(), strict=True))
+    sides; pairs whose lower bound is within the k-th smallest upper bound are computed in double precision. The queries
+    go in strips, so that the bounds of a strip only are held."""
+    unit = max(power_of_two(Q), power_of_two(C))
+    ca, cs, cn, ce = quantized(C / unit)
+    c_square = ((C / unit) ** 2).sum(1)
+    for a in range(0, len(Q), _STRIP):
+        q = Q[a : a + _STRIP] / unit
+        qa, qs, qn, qe = quantized(q)
+        dot = products(qa, ca) * qs[:, None] * cs
+        slack = qn[:, None] * ce + qe[:, None] * cn + qe[:, None] * ce
+        square = (q**2).sum(1)[:, None] + c_square
+        slack += 1e-9 * square
+        upper = square - 2 * (dot - slack)
+        lower = square - 2 * (dot + slack)
+        own = q_ids[a : a + _STRIP, None] == c_ids
+        upper[own] = lower[own] = np.inf
+        limit = np.partition(upper, k - 1, 1)[:, k - 1] if len(C) > k else np.full(len(q), np.inf)
+        for i in range(len(q)):
+            at = np.flatnonzero((lower[i] <= limit[i]) & ~own[i])
+            if len(at):
+                exact = distances(Q[a + i] - C[at])
+                best = np.lexsort((c_ids[at], exact))[:k]
+                yield a + i, list(zip(exact[best].tolist(), c_ids[at][best].tolist(), strict=True))
+
+
+def distances(D: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, their squares added in the order of the components."""
+    unit = power_of_two(D, 1)
+    return np.sqrt(np.add.accumulate((D / unit[:, None]) ** 2, axis=1)[:, -1]) * unit
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
