@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,58 +10,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import grouped, stored, usable, vector_blocks
+from arborel.llm.common import dealt, grouped, stored, usable, vector_blocks
 from arborel.llm.components import connected_components
+from arborel.llm.neighbours import power_of_two
 
-#: At a cosine of 0.93 two vectors agree on a hyperplane with a probability of 0.88, so a pair meets in no table with
-#: one of 4e-4; at 0.96 with one of 2e-6.
-TABLES, BITS = 32, 12
+#: Bits of a code, and the vectors of a label for which the least of them do; each doubling of these adds a bit, so that
+#: buckets of unlike vectors do not grow with the input.
+LEAST_BITS, MOST_BITS, ROWS = 12, 30, 1 << 20
+#: The probability that a pair just at the least cosine meets in no table.
+MISSED = 5e-4
 #: Members of a bucket that meet in one task; larger buckets meet block by block.
 BLOCK = 512
 _SMALL = 24
 
 
-def sign_codes(X: np.ndarray, seed: int = 11) -> np.ndarray:
+def tables_of(bits: int, cosine: float) -> int:
+    """Tables with which a pair at this cosine is missed with a probability of MISSED: 32 of 12 bits at 0.93."""
+    agree = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-agree))) if agree < 1 else 1
+
+
+def sign_codes(X: np.ndarray, bits: int, tables: int, seed: int = 11) -> np.ndarray:
     """A code for each row and table."""
-    planes = np.random.default_rng(seed + X.shape[1]).normal(size=(X.shape[1], TABLES * BITS))
-    bits = (X @ planes > 0).reshape(len(X), TABLES, BITS)
-    return (bits << np.arange(BITS)).sum(2).astype(np.int32)
+    planes = np.random.default_rng(seed + X.shape[1]).normal(size=(X.shape[1], tables * bits))
+    signs = (X @ planes > 0).reshape(len(X), tables, bits)
+    return (signs << np.arange(bits)).sum(2).astype(np.int32)
+
 
+def units(X: np.ndarray) -> np.ndarray:
+    """Rows of length one; the division by a power of two keeps squares of very large and small ones within range."""
+    X = X / power_of_two(X, 1)[:, None]
+    return X / np.sqrt((X**2).sum(1))[:, None]
 
-def _coded(reps: DataFrame) -> DataFrame:
+
+def _coded(reps: DataFrame, cosine: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(2).to_numpy()
-            cuts = sorted({0, len(dims), *(np.flatnonzero(np.diff(dims)) + 1).tolist(), *range(0, len(dims), 4096)})
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                part = pa.Table.from_batches([batch.slice(x, y - x)])
-                codes = sign_codes(vector_blocks(part, "vector"))
-                at = pa.array(np.repeat(np.arange(len(part)), TABLES))
-                cols = [batch.slice(x, y - x).column(k).take(at) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(part))), pa.array(codes.ravel())], names=["id", "label", "dim", "tab", "code"])
+            for x, y in _alike(batch.column(2).to_numpy(), batch.column(3).to_numpy(), 2048):
+                part = batch.slice(x, y - x)
+                bits = part.column(3)[0].as_py()
+                tables = tables_of(bits, cosine)
+                codes = sign_codes(units(vector_blocks(pa.Table.from_batches([part]), "vector")), bits, tables)
+                at = pa.array(np.repeat(np.arange(len(part)), tables))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(at) for k in range(4)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(codes.ravel())], names=["id", "label", "dim", "bits", "tab", "code"])
 
     kind = dict(reps.dtypes)["label"]
-    return reps.select("id", "label", "dim", "vector").mapInArrow(run, f"id long, label {kind}, dim int, tab int, code int")
+    return reps.select("id", "label", "dim", "bits", "vector").mapInArrow(run, f"id long, label {kind}, dim int, bits int, tab int, code int")
+
+
+def _alike(dims: np.ndarray, bits: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Stretches of rows, most at most, that agree in dimensions and bits."""
+    new = np.flatnonzero((np.diff(dims) != 0) | (np.diff(bits) != 0)) + 1
+    cuts = sorted({0, len(dims), *new.tolist(), *range(0, len(dims), most)})
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def _links(meeting: DataFrame, cosine: float) -> DataFrame:
     """Partial results of each group: a row (a, null, n) for n vectors linked with a, and (a, b, 0) for pairs that
     connect what is linked. A pair counts in the first table where its codes agree, and of a split bucket only where
     its two blocks meet, so it counts once."""
-    by = ["label", "dim", "tab", "code", "bi", "bj"]
+    by = ["label", "dim", "bits", "tab", "code", "bi", "bj"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, b in grouped(batches, by):
             ids, weight, own = (t.column(c).to_numpy() for c in ("id", "copies", "own"))
             cross, table = t.column("bi").to_numpy() != t.column("bj").to_numpy(), t.column("tab").to_numpy()
-            dims = t.column("dim").to_numpy()
             degree = np.zeros(len(t), np.int64)
             left, right = [], []
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(dims)) + 1, [len(t)]))
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                X = vector_blocks(t.slice(lo, hi - lo), "vector")
-                codes = sign_codes(X)
-                X /= np.sqrt((X**2).sum(1))[:, None]
+            for lo, hi in _alike(t.column("dim").to_numpy(), t.column("bits").to_numpy(), len(t)):
+                X = units(vector_blocks(t.slice(lo, hi - lo), "vector"))
+                bits = t.column("bits")[lo].as_py()
+                codes = sign_codes(X, bits, tables_of(bits, cosine))
                 mine = b[(b >= lo) & (b <= hi)] - lo
                 size = np.diff(mine)
 
@@ -120,10 +140,13 @@ def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector
     one = stored(one.select("id", "_v.vector", "_v.label"))
     part = one.where(F.col("label").isNotNull() & usable(F.col("vector")))
     reps = stored(part.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")))
-    lean = reps.select(F.col("rep").alias("id"), "label", "dim", "vector")
-    coded = _coded(lean)
-    bucket = ["label", "dim", "tab", "code"]
-    shared = coded.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    # a label's vectors set the length of its codes
+    sizes = reps.groupBy("label").agg(F.count("*").alias("size"))
+    bits = F.least(F.greatest(F.ceil(F.log2(F.col("size") / ROWS)).cast("int"), F.lit(0)) + LEAST_BITS, F.lit(MOST_BITS))
+    reps = stored(reps.join(dealt(sizes.select("label", bits.alias("bits"))), "label"))
+    coded = _coded(reps.select(F.col("rep").alias("id"), "label", "dim", "bits", "vector"), cosine)
+    bucket = ["label", "dim", "bits", "tab", "code"]
+    shared = dealt(coded.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")))
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")
     met = coded.join(shared, bucket).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.join(reps.select(F.col("rep").alias("id"), "vector", "copies"), "id")
