@@ -7,6 +7,7 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -165,50 +166,73 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     tier (the window's length), step_group, and with with_ids the piece's ids.
 
     Each task packs the documents that it reads: nothing is shuffled, and what a task holds is bounded by BLOCK_IDS
-    and its longest document. Windows of each tier are dealt in turn to groups of group_windows, so each step group
-    of a task and tier holds equally many ids. Windows carry the task's number, so a repeated task gives the same ones.
+    and its longest document. A step group has as many ids as group_windows windows of the longest tier: windows of a
+    tier fill a group together, and what is left of all tiers fills groups too, the longest windows first. As windows are
+    powers of two, every group is full but a task's last. Windows carry the task's number, so a repeated task gives the
+    same ones.
 
     A null text is empty and has the end id alone; a row with a null id keeps it; repeated rows are packed each; an
     empty table gives no rows; further columns are left out.
     """
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, tier int, step_group long"
     schema += ", ids array<int>" if with_ids else ""
-    end = end_id.to_bytes(4, "little")
+    end, group_ids = end_id.to_bytes(4, "little"), group_windows * tiers[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path)
         base, made = TaskContext.get().partitionId() << 33, 0
-        of_tier: dict[int, int] = {}
+        open_groups: dict[int, list[list[tuple]]] = {}  # windows of a tier that do not fill a group yet
+        groups = 0
         held: dict[int, tuple[object, bytes, int]] = {}
         pool, size, count = Pool([]), 0, 0
         out_type = None
 
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            arrays = [pa.array(cols[0], out_type), *(pa.array(c, pa.int64()) for c in cols[1:7]), pa.array(cols[7], pa.int32())]
+            arrays.append(pa.array(cols[-1], pa.int64()))
+            if with_ids:
+                arrays.append(pa.array([np.frombuffer(x, "<i4") for x in cols[8]], pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(arrays, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", *(["ids"] if with_ids else [])])
+
+        def grouped(closed: list[list[tuple]]) -> list[tuple]:
+            """The rows of windows that make up a group."""
+            nonlocal groups
+            groups += 1
+            return [(*row, base + groups - 1) for window in closed for row in window]
+
         def emit(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal made, size
             rows = []
-            left: dict[int, int] = {}
             for tier, pieces in windows(pool, tiers, last):
-                nth = of_tier[tier] = of_tier.get(tier, -1) + 1
-                at = 0
+                at, window = 0, []
                 for key, start, n in pieces:
                     doc, ids, total = held[key]
                     part = ids[4 * start : 4 * (start + n)]
-                    rows.append((doc, start, n, zlib.crc32(part), total, base + made, at, tier, base + ((tier.bit_length() << 26) | nth // group_windows), *([part] if with_ids else [])))
+                    window.append((doc, start, n, zlib.crc32(part), total, base + made, at, tier, *([part] if with_ids else [])))
                     at += n
                 made += 1
-            for item in pool.items:
-                left[item[2]] = 1
+                waiting = open_groups.setdefault(tier, [])
+                waiting.append(window)
+                if len(waiting) * tier >= group_ids:
+                    rows += grouped(waiting)
+                    open_groups[tier] = []
+            if last:
+                rest, full = [], 0
+                for tier in sorted(open_groups, reverse=True):
+                    for window in open_groups[tier]:
+                        rest.append(window)
+                        full += tier
+                        if full >= group_ids:
+                            rows += grouped(rest)
+                            rest, full = [], 0
+                rows += grouped(rest) if rest else []
+            left = {item[2] for item in pool.items}
             for key in [k for k in held if k not in left]:
                 del held[key]
             size = sum(x[0] for x in pool.items)
             for a in range(0, len(rows), 20_000):
-                cols = list(zip(*rows[a : a + 20_000], strict=True))
-                arrays = [pa.array(cols[0], out_type), *(pa.array(c, pa.int64()) for c in cols[1:7]), pa.array(cols[7], pa.int32()), pa.array(cols[8], pa.int64())]
-                if with_ids:
-                    import numpy as np
-
-                    arrays.append(pa.array([np.frombuffer(x, "<i4") for x in cols[9]], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", *(["ids"] if with_ids else [])])
+                yield batch_of(rows[a : a + 20_000])
 
         for batch in text_chunks(batches, text_col):
             keys = batch.column(0)
@@ -222,8 +246,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
             if size >= BLOCK_IDS:
                 pool.items.sort()
                 yield from emit(False)
-        if pool:
-            pool.items.sort()
-            yield from emit(True)
+        pool.items.sort()
+        yield from emit(True)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
