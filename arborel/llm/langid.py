@@ -13,8 +13,8 @@ from arborel.llm.common import as_bytes, drawn, text_chunks
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
-#: Labelled documents of each language that training may use, and languages at most (the most frequent).
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 800, 500
+#: Labelled documents of each language that training may use.
+SAMPLE_PER_LANGUAGE = 800
 UNDETERMINED = "und"
 _SEGMENT = 1 << 19
 
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     """A model of the labelled rows; None if there are none. At most about sample rows of a language are used, by a
     hash of their ids; each is whole."""
     usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = dict(usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect())
+    counts = dict(usable.groupBy(lang_col).count().collect())  # a row for each language
     if not counts:
         return None
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(sample / n))))
