@@ -233,7 +233,8 @@ def train(rows: list[tuple[int, np.ndarray]], toxic_share: float | None = None,
 def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> dict | None:
     """A model of the documents with a label of 0 or 1; None without any. About sample documents of either label are
     used, by a hash of their ids (so few that their ids can be broadcast), each whole: those of over CHAIN_TOKENS tokens
-    as several chains. Of the chains of a label the first by the hash count that hold SAMPLE_TOKENS tokens together."""
+    as several chains. Of the chains of a label those count, in the order of a hash, that begin within the first
+    SAMPLE_TOKENS tokens."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     counts = dict(known.groupBy("_y").count().collect())
     share = F.when(F.col("_y") == 1, sample / max(1, counts.get(1, 0))).otherwise(sample / max(1, counts.get(0, 0)))
@@ -256,9 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     sizes = made.select("y", "order", "size").toArrow().sort_by([("order", "ascending")])
     for label in (0, 1):
         of = sizes.filter(pa.compute.equal(sizes["y"], label))
-        fits = np.flatnonzero(np.cumsum(of["size"].to_numpy()) <= SAMPLE_TOKENS)
-        if len(fits):
-            within |= (F.col("y") == label) & (F.col("order") <= of["order"][int(fits[-1])].as_py())
+        size = of["size"].to_numpy()
+        if len(size):
+            last = np.flatnonzero(np.cumsum(size) - size < SAMPLE_TOKENS)[-1]
+            within |= (F.col("y") == label) & (F.col("order") <= of["order"][int(last)].as_py())
     rows = drawn(made.where(within).select("order", "y", "features"), ["features"])
     return train([(y, f[0]) for y, f in rows], counts.get(1, 0) / sum(counts.values())) if rows else None
 
