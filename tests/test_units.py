@@ -10,7 +10,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from arborel.functions import languages, metadata, text, vectors
+from arborel.jobs import build, prompts
+from arborel.jobs.generate import reviewed
 from arborel.operators import corpus, fingerprint, hybrid, lexical, nodes, rules
+from arborel.operators.similar import similar
 from arborel.registry import RULES
 from arborel.sources import conventions, files
 from arborel.streaming.check import check_stream
@@ -180,3 +183,105 @@ def test_every_match_of_a_line_counts(spark):
     got = sorted((r.doc_id, r.rule_id, r.start_col, r.message) for r in found.select("doc_id", "rule_id", "start_col", "message").collect())
     want = [(1, "b", 22 + 2 * i, "m") for i in range(600)] + [(1, "s", 3, "m"), (1, "s", 14, "m")] + [(2, "n", 12, "m (got 'bad')"), (2, "n", 27, "m (got 'worse')")]
     assert got == sorted(want)
+
+
+def test_names_of_languages(spark):
+    for name, want in ((" PY\t", "python"), ("Python3", "python"), ("node", "javascript"), ("GoLang", "go"), ("cobol", None), ("", None), (None, None)):
+        assert one(spark, languages.known_language(F.col("t")), t=name) == want
+
+
+def test_patterns_must_compile():
+    for bad in ({"type": "forbid", "pattern": "("}, {"type": "naming", "pattern": "[", "capture": "x"}, {"type": "require_in", "pattern": "x", "scope": "*"}):
+        with pytest.raises(ValueError):
+            rules.Rule("r", message="", **bad)
+
+
+def test_comparable_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, []), (5, [-1.0, 0.0]), (6, [0.5, 0.25])], "vec_id long, v array<double>")
+    asked = F.array(F.lit(1.0), F.lit(0.0))
+    assert {r.vec_id: r.s for r in df.select("vec_id", vectors.similarity(F.col("v"), asked).alias("s")).collect()} == {1: 1.0, 2: None, 3: None, 4: None, 5: 0.0, 6: 0.5}
+    got = [tuple(r) for r in similar(df, F.col("vec_id") > 4, id_col="vec_id", vector_col="v", k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(5, 1, 1, 0.0), (5, 2, 6, 0.0), (6, 1, 1, 1.0), (6, 2, 5, 0.0)]
+    assert similar(df, F.lit(False), id_col="vec_id", vector_col="v", k=2).count() == 0
+
+
+def test_batches_of_queries_give_what_one_batch_gives(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
+    ask = lambda: sorted(map(tuple, lexical.score_queries(docs, "doc_id", F.col("text"), items, "item_id", F.col("text"), 4).collect()))
+    want = ask()
+    monkeypatch.setattr(lexical, "BATCH_TERMS", 300)
+    assert ask() == want and len(want) > 100
+
+
+def test_conventions_in_prompts(spark):
+    kind = "array<struct<kind:string,id:string,title:string,guideline:string,example:string,language:string,score:double>>"
+    rows = [(1, [("rule", "r1", "Say so", "as told", "x = 1", "py", 0.5), ("pattern", "p1", "Shape", "", "y\nz", "py", 0.256)]), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, f"id int, hits {kind}")
+    got = {r.id: r.c for r in df.select("id", prompts.conventions(F.col("hits")).alias("c")).collect()}
+    assert got == {1: "## Rules\n- r1: Say so\n  as told\n```py\nx = 1\n```\n## Patterns\n- Shape (0.26)\n```py\ny\nz\n```", 2: None, 3: None}
+    asks = df.select("id", prompts.generation(F.lit("T"), F.lit("py"), F.col("hits"), F.lit("")).alias("g"), prompts.correction(F.lit("T"), F.lit("py"), F.lit("old"), F.lit(None).cast("array<struct<start_line:int,rule_id:string,message:string,snippet:string>>"), F.col("hits")).alias("c"))
+    got = {r.id: r for r in asks.collect()}
+    assert "## Around it" not in got[1].g and got[1].g.index("## Task\nT") < got[1].g.index("## Patterns") and got[2].g == "Write this text.\n## Task\nT\nAnswer with one fenced block."
+    assert "## Patterns" not in got[1].c and "## Text\n```py\nold\n```\n## Findings\n- none" in got[1].c
+
+
+def test_reviews(spark):
+    docs = spark.createDataFrame([(1, "en", "a!! b!!"), (2, "en", "fine"), (3, "en", None), (4, "en", "no!!"), (5, "en", "keep!!")], "doc_id long, lang string, text string")
+    of = [rules.Rule("loud", "forbid", "!!", "calm")]
+    check = lambda d: rules.violations(d, nodes.line_nodes(d, "text", "doc_id", "lang"), of, "doc_id", "lang")
+    seen = []
+
+    def provider(rows):
+        seen.extend(rows.collect())
+        fix = F.when(F.col("doc_id") == 5, F.col("text")).otherwise(F.regexp_replace("text", "!!", "!"))
+        return rows.select("doc_id", F.when(F.col("doc_id") == 4, "no block").otherwise(F.concat(F.lit("so\n```\n"), F.coalesce(fix, F.lit("")), F.lit("\n```"))).alias("reply"))
+
+    hits = docs.where("doc_id = 1").select("doc_id", F.array(F.struct(F.lit("rule").alias("kind"), F.lit("loud").alias("id"), F.lit("calm").alias("title"), F.lit("").alias("guideline"), F.lit("").alias("example"), F.lit("").alias("language"), F.lit(1.0).alias("score"))).alias("h"))
+    got = {r.doc_id: r for r in reviewed(docs, "doc_id", "text", "lang", check, provider, hits).collect()}
+    assert {i: (r.violations, r.fix, r.fix_violations, r.fix_verified) for i, r in got.items()} == {1: (2, "a! b!\n", 0, True), 2: (0, "fine\n", 0, True), 3: (0, "\n", 0, True), 4: (1, None, None, False), 5: (1, "keep!!\n", 1, False)}
+    asked = {r.doc_id: r.prompt for r in seen}
+    assert "## Rules\n- loud: calm" in asked[1] and "## Rules" not in asked[2] and "- line 1: [loud] calm" in asked[1]
+
+
+def test_broken_convention_files_do_not_stop_a_build(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "x", "language": "py", "good_example": "1", "metadata": {"category": "c"}}, {"id": "y", "language": "klingon", "good_example": "1"}]))
+    (tmp_path / "b.json").write_text('[{"id": "z", ')
+    (tmp_path / "c.json").write_text(json.dumps({"id": "x", "language": "go", "good_example": "2"}))
+    entries = conventions.read(spark, str(tmp_path))
+    units = spark.createDataFrame([("n", "s1", "f1"), ("n", "s1", "f0"), ("m", "s2", "f1"), ("m", None, "f2")], "name string, snippet string, source string")
+    indexed = build.indexed_units(units, language=F.lit("go"), name=F.col("name"), snippet=F.col("snippet"), source=F.col("source"))
+    assert sorted((r.title, r.meta["source"][0]) for r in indexed.collect()) == [("unit m", "f1"), ("unit n", "f0")]
+    corpus_, report = build.build(entries, indexed)
+    assert sorted((r.source.rsplit("/", 1)[-1], r.loaded, r.errors, r.error) for r in report.collect()) == [("a.json", 1, 1, "unknown language klingon"), ("b.json", 0, 1, "not JSON"), ("c.json", 1, 0, None), ("units", 2, 0, None)]
+    assert sorted((r.id, r.language) for r in corpus_.where("kind = 'pattern' and id = 'x'").collect()) == [("x", "go")] and corpus_.count() == 3
+    again = build.indexed_units(units, language=F.lit("go"), name=F.col("name"), snippet=F.col("snippet"), source=F.col("source"), existing=indexed)
+    assert again.count() == 0
+    checked = conventions.quarantined(entries)
+    assert not conventions.exported_groups(checked, str(tmp_path / "out")) and not (tmp_path / "out").exists()
+    assert conventions.exported_groups(checked.where("error is null"), str(tmp_path / "out")) and (tmp_path / "out").exists()
+
+
+def test_files_beyond_the_limit_are_counted(spark, tmp_path):
+    for name, body in (("a.py", b"x"), ("b.py", b"\xff"), ("c.py", b"y"), ("d.py", b"z"), ("e.txt", b"-")):
+        (tmp_path / name).write_bytes(body)
+    read, counts = files.counted(files.scan(spark, str(tmp_path)), most=3)
+    assert [r.code for r in read.orderBy("path").collect()] == ["x", "y"] and tuple(counts.first()) == (3, 2)
+
+
+def test_units_and_parents_on_odd_markup(spark):
+    html = "</p><nav><ul><li>a</li></ul></nav></div></div><article><h2>t</h2><p>x<br></p></article><p>"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<article><p></p><i></i></article>")], "id int, html string")
+    tree = nodes.markup_nodes(pages, "id", "html")
+    plain, open_, pre = [], [], 0
+    for closing, name in re.findall(r"<(/?)([a-z0-9]+)[^>]*>", html):
+        if closing:
+            open_ = open_[:-1] if open_ else []
+            continue
+        pre += 1
+        plain.append((pre, open_[-1] if open_ else None))
+        if name != "br":
+            open_.append(pre)
+    got = {r.pre: r.parent for r in tree.where("id = 1").collect()}
+    assert {p: got[p] for p in (1, 2, 3)} == {1: None, 2: 1, 3: 2} and all(got[a] is None or got[a] < a for a in got) and len(got) == len(plain)
+    shapes = nodes.unit_shapes(tree, nodes.units(tree, "id", ("article", "nav"), 0, 2), "id").where("id = 3").collect()
+    assert [(r.pre, r.shape, r.name) for r in shapes] == [(1, "article p i", "article")]
