@@ -18,7 +18,7 @@ from arborel.jobs.prompts import generate_prompt
 from arborel.operators import corpus, fingerprint, hybrid, lexical, nodes, rules, verify
 from arborel.operators.rules import Rule
 from arborel.operators.similar import similar
-from arborel.sources import conventions
+from arborel.sources import conventions, files
 from arborel.sources.tables import fresh_path, load
 
 QUERY = "the pathetic tion therThe XMLHttp stupid The"
@@ -443,6 +443,31 @@ def i1_convention_files(spark, sf_dir):
     return found.select(_part("file").alias("part"), "id", F.when(~F.col("broken"), F.col("kind")).alias("kind"), "language", F.col("meta")["category"][0].alias("category"), "error")
 
 
+def _source_tree(spark, sf_dir):
+    """A tree of files, each with the ids of up to 500 documents: of several languages, of none, below a folder that is
+    left out, and some that are no UTF-8."""
+    root, part = fresh_path(spark), F.floor(F.col("doc_id") / 500)
+    per = _docs(spark, sf_dir).groupBy(part.alias("part")).agg(F.concat_ws(" ", F.lit("é"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), " ")).alias("value"))
+    for of, folder, end, encoding in (("part % 2 = 0", "src", "py", "UTF-8"), ("part % 2 = 1", "lib", "ts", "UTF-8"), ("true", "docs", "txt", "UTF-8"), ("part % 2 = 0", "vendor", "go", "UTF-8"), ("part % 3 = 0", "old", "go", "ISO-8859-1")):
+        per.where(of).write.partitionBy("part").option("extension", end).option("encoding", encoding).csv(f"{root}/{folder}")
+    return root
+
+
+def i3_source_tree(spark, sf_dir):
+    found = files.scan(spark, _source_tree(spark, sf_dir))
+    return found.select("language", _part("path").alias("part"), F.md5("code").alias("md5"))
+
+
+def i5_language_filter(spark, sf_dir):
+    return files.scan(spark, _source_tree(spark, sf_dir), "python").select("language", _part("path").alias("part"))
+
+
+def i7_file_counts(spark, sf_dir):
+    """Files that are read, and that are skipped: beyond the limit, or no UTF-8."""
+    found = files.scan(spark, _source_tree(spark, sf_dir))
+    return files.counted(found, 1)[1].select(F.lit(1).alias("most"), "*").union(files.counted(found)[1].select(F.lit(500), "*"))
+
+
 def i9_listed(spark, sf_dir):
     return conventions.listed(_convention_files(spark, sf_dir), ("python", "go"), "pattern").select("id", "language")
 
@@ -604,6 +629,7 @@ ix AS (SELECT 'pattern:html:' || name || ':' || substr(md5(shape), 1, 10) AS id,
 _ENTRIES = """e0 AS (SELECT doc_id // 500 AS part, doc_id // 500 % 7 = 1 AS cut, 'd' || doc_id AS id, CASE WHEN toxic = 1 THEN 'rule' ELSE 'pattern' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 3 THEN 'go' WHEN 4 THEN 'javascript' END AS language, source AS category, lang, CASE WHEN quality = 1 THEN substr(text, 1, 200) END AS good, CASE WHEN doc_id % 5 = 2 THEN 'unknown language cobol' WHEN toxic = 1 AND doc_id % 2 = 1 THEN 'a rule entry needs a rule' WHEN toxic = 0 AND coalesce(CASE WHEN quality = 1 THEN substr(text, 1, 200) END, '') = '' THEN 'a pattern needs a good example' END AS error FROM documents JOIN labels USING (doc_id)),
 en AS (SELECT part, id, kind, language, category, lang, good, error FROM e0 WHERE NOT cut UNION ALL SELECT DISTINCT part, NULL, NULL, NULL, NULL, NULL, NULL, 'not JSON' FROM e0 WHERE cut),
 ok AS (SELECT * FROM en WHERE error IS NULL)"""
+_FILES = "fl AS (SELECT doc_id // 500 AS part, 'é ' || string_agg(doc_id, ' ' ORDER BY doc_id) AS value FROM documents GROUP BY 1), sf AS (SELECT part, value, CASE WHEN part % 2 = 0 THEN 'python' ELSE 'typescript' END AS language FROM fl UNION ALL SELECT part, value, 'go' FROM fl WHERE part % 3 = 0)"
 
 ORACLE_SQL |= {
     "p1_languages": f"SELECT doc_id, {_NAMES} AS language FROM documents",
@@ -622,6 +648,9 @@ ORACLE_SQL |= {
     "c5_indexed_units": f"WITH {_UNITS} SELECT id, title, 'As written in ' || source || '; keep to its shape.' AS guideline, source, md5(shape) AS md5 FROM ix",
     "c6_index_summary": f"WITH {_UNITS} SELECT (SELECT count(*) FROM ix) AS indexed, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM ix ORDER BY id LIMIT 20)) AS ids",
     "i1_convention_files": f"WITH {_ENTRIES} SELECT part, id, kind, language, category, error FROM en",
+    "i3_source_tree": f"WITH {_FILES} SELECT language, part, CASE WHEN language <> 'go' THEN md5(value || chr(10)) END AS md5 FROM sf",
+    "i5_language_filter": f"WITH {_FILES} SELECT language, part FROM sf WHERE language = 'python'",
+    "i7_file_counts": f"WITH {_FILES} SELECT most, least(n, most) AS files, CASE WHEN most = 1 THEN n - 1 + (ts = 0)::INT ELSE old END AS skipped FROM (SELECT count(*) AS n, count_if(language = 'go') AS old, count_if(language = 'typescript') AS ts FROM sf), (VALUES (1::INT), (500::INT)) m(most)",
     "i9_listed": f"WITH {_ENTRIES} SELECT id, language FROM en WHERE language IN ('python', 'go') AND kind = 'pattern' ORDER BY id",
     "i10_export": f"WITH {_ENTRIES} SELECT id, kind, language, id AS title, lang AS tag, md5(good) AS md5 FROM ok",
     "i12_delete": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id <> 10",
