@@ -2,43 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table; one of fewer splits than the session has cores is dealt out to them, as a file of a single row group
-    would keep all but one idle."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where none is set a local session, as in
-    tests, gets a temporary one; on a cluster this is an error, as executors would write to their own disks."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-arborel-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/arborel-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read again: a cut in the lineage that any executor can read."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from arborel.sources.tables import load as table  # noqa: F401
+from arborel.sources.tables import written as stored  # noqa: F401
 
 
 def dealt(df: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborel.llm import common, hmm, langid, mixing, pii, shingles, toxicity
+from arborel.llm import hmm, langid, mixing, pii, shingles, toxicity
 from arborel.llm.minhash import keep_one
 from arborel.llm.packing import pack
+from arborel.sources.tables import fresh_path
 
 WORDS = [a + b for a in ("the", "ou", "er", "sh", "que") for b in ("ti", "on", "re", "xa", "mo", "li", "pa", "nu")]
 TOKEN = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -338,4 +339,4 @@ def test_one_of_the_rows_of_an_id_stays_whatever_their_order(spark):
 def test_a_cluster_needs_a_shared_folder():
     conf = types.SimpleNamespace(get=lambda *a: None)
     with pytest.raises(ValueError, match="checkpoint"):
-        common.shared_dir(types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://host:7077")))
+        fresh_path(types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://host:7077")))
