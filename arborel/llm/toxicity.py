@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, drawn, stored, text_chunks
+from arborel.llm.common import as_bytes, stored, text_chunks
 from arborel.llm.shingles import INVERSE, ODD, powers, stretches
 
 BUCKETS = 1 << 18
@@ -183,25 +183,29 @@ def _token_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return (seen[1] >= 3) & (share[0] >= 20 * share[1]) & (seen[1] >= 10 * seen[0])
 
 
-def train(rows: list[tuple[int, np.ndarray]], toxic_share: float | None = None, *, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:
-    """Tokens of toxic documents with a marking feature are labelled toxic, all others clean; AdaGrad on the
-    conditional log likelihood of all chains at once, gathered block by block; then a logistic score of a document's
-    summary, whose rows weigh as much as their label among all documents (toxic_share)."""
+def train(rows: pa.Table, toxic_share: float | None = None, *, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:
+    """A model of chains (y, features), whose features are never copied. Tokens of toxic documents with a marking feature
+    are labelled toxic, all others clean; AdaGrad on the conditional log likelihood of all chains at once, gathered block
+    by block; then a logistic score of a document's summary, whose rows weigh as much as their label among all documents
+    (toxic_share)."""
     width = len(PREFIXES) + 2
-    toxic = np.array([r[0] for r in rows], float)
-    feats = [r[1].reshape(-1, width) for r in rows]
+    toxic = rows["y"].to_numpy().astype(float)
+    feats, cuts, size = [], [], 0
+    for chunk in rows["features"].chunks:
+        offsets, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        cuts += [(values, a, b) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    feats = [values[a:b].reshape(-1, width) for values, a, b in cuts]
     marks = _token_labels(feats, toxic)
-    blocks, size = [], max(1, sum(map(len, feats)))
-    part: list[int] = []
-    for i in range(len(feats)):
-        part.append(i)
-        if sum(len(feats[j]) for j in part) >= _BLOCK or i == len(feats) - 1:
-            X = np.concatenate([feats[j] for j in part])
-            of = np.repeat(np.arange(len(part), dtype=np.int32), [len(feats[j]) for j in part])
-            y = marks[X].any(1) & (toxic[part][of] > 0)
-            blocks.append((X, of, np.diff(of, prepend=-1) != 0, y, len(part)))
-            part = []
-    feats.clear()
+    blocks, first = [], 0
+    for i, (values, _, b) in enumerate(cuts):
+        whole = i + 1 == len(cuts) or cuts[i + 1][0] is not values
+        if whole or b - cuts[first][1] >= _BLOCK * width:
+            X = values[cuts[first][1] : b].reshape(-1, width)
+            of = np.repeat(np.arange(i + 1 - first, dtype=np.int32), [len(f) for f in feats[first : i + 1]])
+            y = marks[X].any(1) & (toxic[first : i + 1][of] > 0)
+            blocks.append((X, of, np.diff(of, prepend=-1) != 0, y, i + 1 - first))
+            first, size = i + 1, size + len(X)
+    size = max(1, size)
     w, start, trans = np.zeros(BUCKETS, np.float32), np.zeros(2), np.zeros((2, 2))
     gw, gs, gt = np.full(BUCKETS, 1e-3, np.float32), np.full(2, 1.0), np.full((2, 2), 1.0)
     pairs, firsts = np.zeros((2, 2)), np.zeros(2)
@@ -261,8 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
         if len(size):
             last = np.flatnonzero(np.cumsum(size) - size < SAMPLE_TOKENS)[-1]
             within |= (F.col("y") == label) & (F.col("order") <= of["order"][int(last)].as_py())
-    rows = drawn(made.where(within).select("order", "y", "features"), ["features"])
-    return train([(y, f[0]) for y, f in rows], counts.get(1, 0) / sum(counts.values())) if rows else None
+    rows = made.where(within).orderBy("order", "y").select("y", "features").toArrow()
+    return train(rows, counts.get(1, 0) / sum(counts.values())) if len(rows) else None
 
 
 def _scored(m: dict, t: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
