@@ -3,7 +3,6 @@
 import math
 import random
 import re
-import types
 import zlib
 from collections import Counter
 
@@ -15,7 +14,6 @@ import corpus_pipeline
 from arborel.llm import hmm, langid, mixing, pii, shingles, toxicity
 from arborel.llm.minhash import keep_one
 from arborel.llm.packing import pack
-from arborel.sources.tables import fresh_path
 
 WORDS = [a + b for a in ("the", "ou", "er", "sh", "que") for b in ("ti", "on", "re", "xa", "mo", "li", "pa", "nu")]
 TOKEN = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -334,9 +332,3 @@ def test_one_of_the_rows_of_an_id_stays_whatever_their_order(spark):
     for order in (rows, rows[::-1]):
         got = keep_one(spark.createDataFrame(order, "doc_id long, text string, extra string").repartition(2)).collect()
         assert sorted(map(tuple, got)) == [(1, "a c", "y"), (2, None, "q")]
-
-
-def test_a_cluster_needs_a_shared_folder():
-    conf = types.SimpleNamespace(get=lambda *a: None)
-    with pytest.raises(ValueError, match="checkpoint"):
-        fresh_path(types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="spark://host:7077")))
