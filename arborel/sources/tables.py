@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,16 +18,39 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def fresh_path(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares. Where spark.checkpoint.dir is unset a local session, as in tests,
-    takes a temporary folder; on a cluster, whose executors would write to their own disks, this is an error."""
+#: Paths that this process has written for each application.
+_paths: dict[str, list[str]] = {}
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-arborel-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, spark.checkpoint.dir. Where it is unset a local session, as in tests, has a
+    temporary one; on a cluster, whose executors would write to their own disks, this is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-arborel-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/arborel-{uuid.uuid4().hex}"
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return base or _own_folder()
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_folder(spark).rstrip('/')}/arborel-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that this session's jobs have written between steps, and says how many paths these were. For
+    the end of a job, when its result is stored: DataFrames that still read such tables fail afterwards."""
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        of = spark._jvm.org.apache.hadoop.fs.Path(path)
+        of.getFileSystem(spark._jsc.hadoopConfiguration()).delete(of, True)
+    return len(paths)
 
 
 def written(df: DataFrame) -> DataFrame:

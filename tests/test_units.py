@@ -3,6 +3,7 @@
 import json
 import math
 import re
+import types
 from collections import Counter
 
 import pytest
@@ -15,7 +16,7 @@ from arborel.jobs.generate import reviewed
 from arborel.operators import corpus, fingerprint, hybrid, lexical, nodes, rules
 from arborel.operators.similar import similar
 from arborel.registry import RULES
-from arborel.sources import conventions, files
+from arborel.sources import conventions, files, tables
 from arborel.streaming.check import check_stream
 
 
@@ -285,3 +286,19 @@ def test_units_and_parents_on_odd_markup(spark):
     assert {p: got[p] for p in (1, 2, 3)} == {1: None, 2: 1, 3: 2} and all(got[a] is None or got[a] < a for a in got) and len(got) == len(plain)
     shapes = nodes.unit_shapes(tree, nodes.units(tree, "id", ("article", "nav"), 0, 2), "id").where("id = 3").collect()
     assert [(r.pre, r.shape, r.name) for r in shapes] == [(1, "article p i", "article")]
+
+
+def test_tables_between_steps_can_be_discarded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(tables, "_paths", {})
+    assert tables.written(spark.range(3)).count() == 3 and len(list(tmp_path.iterdir())) == 1
+    assert tables.discard(spark) == 1 and not list(tmp_path.iterdir()) and tables.discard(spark) == 0
+
+
+def test_where_tables_between_steps_go():
+    session = lambda master, folder: types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *a: folder), sparkContext=types.SimpleNamespace(master=master))
+    assert tables.shared_folder(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    assert tables.shared_folder(session("local[4]", None)) == tables.shared_folder(session("local", None)) != ""
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            tables.shared_folder(session(master, None))
