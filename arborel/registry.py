@@ -28,7 +28,7 @@ RULES = [
     Rule("no-shouting", "forbid", r"!!", "no double exclamation marks", language="en", severity="warning"),
     Rule("needs-sentence", "require", r"[a-z]\.", "a document holds a sentence"),
     Rule("scope-has-comma", "require_in", r",", "a part that begins with The holds a comma", language="en", scope=r"^The "),
-    Rule("first-word-plain", "naming", r"[A-Z]?[a-zà-ÿß]+", "a line begins with a plain word", capture=r"^(\S+) "),
+    Rule("first-word-plain", "naming", r"[A-Z]?[a-zà-ÿß]+", "a line begins with a plain word", capture=r"^(\S+) ", metadata={"source": ["src1", "src2", "src5", "src8"]}),
     Rule("no-secret-de", "forbid", r"(password|token|geheim) ?=", "keine Geheimnisse im Text", language="de", overrides=("no-secret",)),
 ]
 UNIT_KINDS = ("article", "nav", "table", "section")
@@ -272,6 +272,12 @@ def s2_self_verification(spark, sf_dir):
     return verify.verified(entries, "doc_id")
 
 
+def s2_rule_examples(spark, sf_dir):
+    """The same for rules of every type: each labelled document against each rule of its language."""
+    both = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    return verify.verified_rules(both, RULES, id_col="doc_id", language_col="lang", text_col="text", bad=F.col("toxic") == 1)
+
+
 def i11_upsert(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars")
     new = docs.where("doc_id % 10 = 0").select((F.col("doc_id") * 2).alias("doc_id"), F.lit("xx").alias("lang"), "n_chars")
@@ -599,7 +605,6 @@ ORACLE_SQL = {
     "r5_inside": f"WITH {_NODES} SELECT page_id, pre FROM nodes s WHERE type = 'article' AND NOT EXISTS (SELECT 1 FROM nodes i WHERE i.page_id = s.page_id AND i.type = 'h2' AND i.pre BETWEEN s.pre AND s.last)",
     "r6_naming": f"WITH {_LINES} {_NAMING}",
     "r14_report": f"WITH {_LINES}, v AS ({_ALL}) SELECT d.doc_id, count(rule_id) = 0 AS passed, count(rule_id) AS n_violations, coalesce(array_to_string(list_sort(list_distinct(list(rule_id))), ','), '') AS rule_ids, min(start_line) AS first_line FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id",
-    "r15_applicable_rules": "SELECT doc_id, CASE lang WHEN 'en' THEN 'first-word-plain,needs-sentence,no-secret,no-shouting,scope-has-comma' WHEN 'de' THEN 'first-word-plain,needs-sentence,no-secret-de' ELSE 'first-word-plain,needs-sentence,no-secret' END AS rule_ids FROM documents",
     "a5_duplicate_sets": f"WITH {_NODES}, s AS (SELECT page_id, parent, array_to_string(list_sort(list_distinct(list(type))), ',') AS members FROM nodes WHERE parent IS NOT NULL GROUP BY page_id, parent HAVING count(*) >= 2) SELECT page_id, members, min(parent) AS first, count(*) AS n, string_agg(parent, ',' ORDER BY parent) AS occurrences FROM s GROUP BY page_id, members HAVING count(*) >= 2",
     "c1_units": f"WITH {_NODES} SELECT page_id, pre, type, (last - pre + 1)::INT AS nodes FROM nodes WHERE depth = 1 AND type IN ('article', 'nav', 'table', 'section') AND last - pre + 1 >= 3",
     "c3_content_dedup": "SELECT 'pattern:' || lang || ':' || source || ':' || substr(md5(text), 1, 10) AS content_id, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1",
@@ -631,7 +636,11 @@ en AS (SELECT part, id, kind, language, category, lang, good, error FROM e0 WHER
 ok AS (SELECT * FROM en WHERE error IS NULL)"""
 _FILES = "fl AS (SELECT doc_id // 500 AS part, 'é ' || string_agg(doc_id, ' ' ORDER BY doc_id) AS value FROM documents GROUP BY 1), sf AS (SELECT part, value, CASE WHEN part % 2 = 0 THEN 'python' ELSE 'typescript' END AS language FROM fl UNION ALL SELECT part, value, 'go' FROM fl WHERE part % 3 = 0)"
 
+_HELD = "hr(id, language, sources, over) AS (VALUES " + ", ".join(f"('{r.id}', {repr(r.language) if r.language else 'NULL'}, {list(r.metadata['source']) if r.metadata else 'NULL'}, {repr(r.overrides[0]) if r.overrides else 'NULL'})" for r in RULES) + "), ho AS (SELECT doc_id, id, over FROM documents JOIN hr ON (language IS NULL OR language = lang) AND (sources IS NULL OR source IS NULL OR list_contains(sources, source)))"
+
 ORACLE_SQL |= {
+    "r15_applicable_rules": f"WITH {_HELD}, kp AS (SELECT doc_id, id FROM ho WHERE NOT EXISTS (SELECT 1 FROM ho o WHERE o.doc_id = ho.doc_id AND o.over = ho.id)) SELECT d.doc_id, coalesce(string_agg(id, ',' ORDER BY id), '') AS rule_ids FROM documents d LEFT JOIN kp USING (doc_id) GROUP BY d.doc_id",
+    "s2_rule_examples": f"WITH {_LINES}, {_RULES}, v AS (SELECT DISTINCT doc_id, rule_id FROM ({_ALL})) SELECT d.doc_id, id AS rule_id, (v.rule_id IS NOT NULL) = (toxic = 1) AS ok FROM documents d JOIN labels l ON l.doc_id = d.doc_id JOIN ru ON ru.language IS NULL OR ru.language = d.lang LEFT JOIN v ON v.doc_id = d.doc_id AND v.rule_id = id WHERE coalesce(text, '') <> ''",
     "p1_languages": f"SELECT doc_id, {_NAMES} AS language FROM documents",
     "v3_comparable_vectors": f"WITH {_ODD} SELECT b.vec_id, round({_CLIPPED}, 6) AS score FROM od a JOIN od b ON len(a.e) = len(b.e) WHERE a.vec_id = 0",
     "v1_similar_batch": f"WITH {_ODD}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round({_CLIPPED}, 6) AS score FROM od a JOIN od b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p) SELECT query_id, n::INT AS rank, vec_id, score FROM o WHERE n <= 10",
