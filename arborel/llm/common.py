@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,42 @@ def vector_blocks(t: pa.Table, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector is not null or empty, and all its components are finite numbers."""
+    every = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
+    return F.coalesce((F.size(vector) > 0) & every, F.lit(False))
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null or empty, all components finite numbers, not all zero."""
-    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
-    return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    return finite(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+#: Groups of tasks whose vectors are summed before those of all, and numbers of a piece.
+SHARES, PIECE = 64, 2048
+PARTS = "piece int, share int, part binary"
+
+
+def pieces(total: np.ndarray) -> pa.RecordBatch:
+    """A task's vector of doubles, cut into pieces that added_up sums over all tasks."""
+    cut = [total[a : a + PIECE].tobytes() for a in range(0, len(total), PIECE)]
+    share = TaskContext.get().partitionId() % SHARES
+    return pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([share] * len(cut), pa.int32()), pa.array(cut, pa.binary())], names=["piece", "share", "part"])
+
+
+def added_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' vectors of a fixed size, made of PARTS: each piece is summed over tasks, first those of
+    SHARES groups of tasks. The driver gets one vector."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for *key, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(part)
+                sums[tuple(key)] = sums[tuple(key)] + x if tuple(key) in sums else x
+        piece, share = zip(*sums, strict=True) if sums else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(share, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "share", "part"])
+
+    sums = parts.repartition("piece", "share").mapInArrow(add, PARTS)
+    rows = sums.withColumn("share", F.lit(0)).repartition("piece").mapInArrow(add, PARTS).collect()
+    return np.concatenate([np.frombuffer(r["part"]) for r in sorted(rows)]) if rows else np.zeros(size)

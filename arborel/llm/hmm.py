@@ -15,11 +15,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, stored, text_chunks
+from arborel.llm.common import PARTS, added_up, as_bytes, pieces, stored, text_chunks
 
 CLASSES, STATES = 4096, 6
 #: Rounds of Baum-Welch on a bounded sample of documents, from which those over the corpus start.
@@ -28,9 +27,7 @@ SAMPLE_DOCS, SAMPLE_ROUNDS = 600, 25
 CLOSE = 1e-3
 #: The most frequent words, whose counts every task holds; the other words' counts are joined.
 KNOWN_WORDS = 150_000
-_HELD_WORDS, _PIECE = 150_000, 2048
-#: Groups of tasks whose expected counts are summed before those of all.
-SHARES = 64
+_HELD_WORDS = 150_000
 END = b"\n"
 
 
@@ -199,8 +196,8 @@ def _unflat(x: np.ndarray, states: int) -> dict:
 
 
 def baum_welch_round(encoded: DataFrame, model: dict) -> dict:
-    """Expected counts over all rows: each task sums those of its texts, then each piece of the vector is summed over
-    tasks, first those of SHARES groups of tasks; the driver gets one vector of fixed length."""
+    """Expected counts over all rows: each task sums those of its texts, and their sum is one vector of fixed
+    length."""
     states = len(model["start"])
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
@@ -210,25 +207,10 @@ def baum_welch_round(encoded: DataFrame, model: dict) -> dict:
             x = _flat(Chains(_codes(batch.column(0))).expected(shared.value))
             total = x if total is None else total + x
         if total is not None:
-            pieces = [total[a : a + _PIECE].tobytes() for a in range(0, len(total), _PIECE)]
-            share = TaskContext.get().partitionId() % SHARES
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([share] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "share", "part"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for *key, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(part)
-                sums[tuple(key)] = sums[tuple(key)] + x if tuple(key) in sums else x
-        piece, share = zip(*sums, strict=True) if sums else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(share, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "share", "part"])
-
-    schema = "piece int, share int, part binary"
-    sums = encoded.select("classes").mapInArrow(run, schema).repartition("piece", "share").mapInArrow(add, schema)
-    rows = sums.withColumn("share", F.lit(0)).repartition("piece").mapInArrow(add, schema).collect()
-    if not rows:
-        return _unflat(np.zeros(states + states * states + states * (CLASSES + 1) + 1), states)
-    return _unflat(np.concatenate([np.frombuffer(r["part"]) for r in sorted(rows)]), states)
+            yield pieces(total)
+
+    size = states + states * states + states * (CLASSES + 1) + 1
+    return _unflat(added_up(encoded.select("classes").mapInArrow(run, PARTS), size), states)
 
 
 def trained(train: DataFrame, model: dict, mass: np.ndarray, rounds: int | None = None) -> dict:

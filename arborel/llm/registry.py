@@ -7,12 +7,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborel.llm import hmm, langid, mixing, pii, toxicity, urls
+from arborel.llm import gam, hmm, langid, mixing, pii, toxicity, urls
 from arborel.llm.common import fold, table
 from arborel.llm.minhash import near_duplicates
 from arborel.llm.neighbours import nearest
 from arborel.llm.packing import pack
+from arborel.llm.ranked import search
 from arborel.llm.vectordups import near_duplicate_vectors
+from arborel.llm.whitening import whiten
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +66,24 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
-QUERIES = {"op1_neighbours": op1_neighbours, "op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_vectors": op8_vectors, "op9_language": op9_language, "op10_packing": op10_packing, "pipeline": corpus_pipeline.run}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    model = gam.fit(docs.where(~F.col("held_out")), labels)
+    return gam.score(docs.select("doc_id", "held_out", "text"), model)
+
+
+QUERIES = {"op1_neighbours": op1_neighbours, "op2_hmm": op2_hmm, "op3_minhash": op3_minhash, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_toxicity": op6_toxicity, "op7_pii": op7_pii, "op8_vectors": op8_vectors, "op9_language": op9_language, "op10_packing": op10_packing, "op11_whitening": op11_whitening, "op12_ranked": op12_ranked, "op13_quality": op13_quality, "pipeline": corpus_pipeline.run}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 _REACHED = "r(x, y) AS (SELECT id, id FROM ids UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x), c AS (SELECT x, min(y) AS low FROM r GROUP BY x)"
 _WHOLE = "ok AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
 
@@ -80,4 +98,11 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, low AS component_id, low = doc_id A
     "op8_vectors": f"""WITH RECURSIVE {_WHOLE}, p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 ids AS (SELECT vec_id AS id FROM embeddings), {_REACHED}
 SELECT id AS vec_id, (SELECT count(*) FROM p WHERE p.x = id) AS n_links, low AS component_id, low = id AS kept FROM ids JOIN c ON c.x = id""",
+    "op12_ranked": rf"""WITH tk AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS t FROM documents),
+st AS (SELECT count_if(len(t) > 0)::BIGINT AS N, sum(len(t))::BIGINT AS L FROM tk), tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(N) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, st GROUP BY term),
+m AS (SELECT doc_id, 50 + (50 * len(t) * N) // greatest(L, 1) AS m FROM tk, st),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s) SELECT item_id, n::INT AS rank, doc_id, score FROM o WHERE n <= 50""",
 }
