@@ -18,9 +18,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), _product(a, b)).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
 
 
+def finite(vector: Column) -> Column:
+    """[V1, V3] Whether a vector is there and all its components are finite numbers; a search leaves the others out."""
+    return F.coalesce(F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)), F.lit(False))
+
+
 def comparable(a: Column, b: Column) -> Column:
-    """[V1, V3] Whether two vectors are there and of one length; a scan leaves the others out."""
-    return F.coalesce(F.size(a) == F.size(b), F.lit(False)) & a.isNotNull() & b.isNotNull()
+    """[V1, V3] Whether two vectors are finite and of one length; a scan leaves the others out."""
+    return F.coalesce(F.size(a) == F.size(b), F.lit(False)) & finite(a) & finite(b)
 
 
 def similarity(a: Column, b: Column) -> Column:

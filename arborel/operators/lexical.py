@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborel.functions.batches import largest
 from arborel.functions.text import K1, B, bm25_term, idf, tokenize
+from arborel.operators.blocks import best_of_blocks
 from arborel.sources.tables import written
 
-#: Query terms that one batch of score_queries holds.
-BATCH_TERMS = 5_000
+#: Query terms of a block, documents and terms of a block, and cells of a matrix that a step holds.
+BATCH_TERMS, BLOCK_DOCS, BLOCK_TERMS, _CELLS = 2_000, 16_384, 1_000_000, 2_000_000
+#: Bits of the filter of the terms that are asked.
+FILTER_BITS, _BUCKET = 1 << 22, 1 << 15
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -70,73 +73,80 @@ def score_query(docs: DataFrame, id_col: str, text: Column, query: str, keep: tu
     return raw.select(id_col, *keep, (F.col("raw") / F.lit(best)).alias("bm25"))
 
 
+def term_counts(docs: DataFrame, id_col: str, text: Column, asked: DataFrame) -> DataFrame:
+    """(id, dl, terms, tf) of each document: the distinct terms that asked (term) may hold, with their counts. A filter of
+    FILTER_BITS bits tells them, of a fixed size whatever is asked; it lets some other terms pass too."""
+    at = F.crc32(F.col("term").cast("binary")) % FILTER_BITS
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in asked.select("term").distinct().groupBy(F.floor(at / _BUCKET).cast("int").alias("b")).agg(F.bitmap_construct_agg(at % _BUCKET).alias("bits")).collect():
+        bits[r["b"] * _BUCKET // 8 : (r["b"] + 1) * _BUCKET // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            tokens = batch.column(1)
+            size = np.diff(tokens.offsets.to_numpy())
+            coded = tokens.flatten().dictionary_encode()
+            hashed = np.fromiter((zlib.crc32(t.encode()) % FILTER_BITS for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            passed = (bits[hashed >> 3] >> (hashed & 7) & 1).astype(bool)
+            code = coded.indices.to_numpy()
+            kept = passed[code] if len(code) else np.zeros(0, bool)
+            of = np.repeat(np.arange(len(batch)), size)[kept]
+            width = max(1, len(passed))
+            key, tf = np.unique(of * width + code[kept], return_counts=True)
+            ends = np.searchsorted(key, np.arange(len(batch) + 1) * width).astype(np.int32)
+            terms = coded.dictionary.take(pa.array(key % width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), terms), pa.ListArray.from_arrays(pa.array(ends), pa.array(tf.astype(np.float64)))], names=["id", "dl", "terms", "tf"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).mapInArrow(run, f"id {kind}, dl long, terms array<string>, tf array<double>")
+
+
 def score_queries(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_col: str, query_text: Column, k: int) -> DataFrame:
     """[G1, T8, S11] (query, id, rank, raw): the k best documents of each of many queries. Scores are rounded to six
     places, and ties go to smaller ids.
 
-    Queries go in batches of about BATCH_TERMS terms, dealt by a hash, which a task can hold. Texts are tokenized once;
-    then a batch's documents are scored where they lie, a block of them against all its queries in one product of
-    matrices, and each task hands on its k best of a query only, so a frequent term is no hot key.
+    Texts are tokenized once, and of each document the counts of terms that are asked are written. Then blocks of
+    documents are scored against blocks of queries, and each task hands on its k best of a query only, so a frequent term
+    is no hot key.
     """
-    spark = docs.sparkSession
-    of = written(docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long")))
+    asked = written(postings(queries, query_col, query_text).select(F.col(query_col).alias("query"), "term", "tf"))
+    of = written(term_counts(docs, id_col, text, asked))
     s = of.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    asked = postings(queries, query_col, query_text).select(F.col(query_col).alias("query"), "term", "tf")
     # tasks count the terms of their documents before any are shuffled
-    df = of.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    asked = written(asked.join(df, "term"))
-    batches = -(-asked.count() // BATCH_TERMS)
-    kinds = dict(of.dtypes)["id"], dict(asked.dtypes)["query"]
-    schema = f"query {kinds[1]}, id {kinds[0]}, raw double"
-    found = []
-    for batch in range(batches):
-        mine = asked.where(F.pmod(F.xxhash64("query"), F.lit(batches)) == batch).toArrow()
-        found.append(of.mapInArrow(_scorer(spark, mine, s["n"], s["avgdl"] or 1.0, k), schema))
-    if not found:
-        return of.select(F.lit(None).cast(kinds[1]).alias(query_col), F.col("id").alias(id_col), F.lit(0).alias("rank"), F.lit(0.0).alias("raw")).where(F.lit(False))
-    order = Window.partitionBy("query").orderBy(F.desc("raw"), "id")
-    best = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(F.col("query").alias(query_col), F.col("id").alias(id_col), "rank", "raw")
-
-
-def _scorer(spark: SparkSession, asked: pa.Table, n: int, avgdl: float, k: int) -> Callable:
-    """The function of a task that scores its documents (id, tokens, dl) for the terms asked (query, term, tf, df) and
-    keeps k a query."""
-    terms, queries = (list(dict.fromkeys(asked[c].to_pylist())) for c in ("term", "query"))
-    place, column = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(queries)}
-    W = np.zeros((len(terms), len(queries)))
-    for q, t, times, df in zip(*(asked[c].to_pylist() for c in ("query", "term", "tf", "df")), strict=True):
-        W[place[t], column[q]] = times * math.log(1 + (n - df + 0.5) / (df + 0.5))
-    shared = spark.sparkContext.broadcast((pa.array(terms, pa.string()), pa.array(queries, asked["query"].type), W))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, queries, W = shared.value
-        block = max(1, 4_000_000 // max(*W.shape, 1))
-        best: pa.Table | None = None
-        for batch in batches:
-            for a in range(0, len(batch), block):
-                part = batch.slice(a, block)
-                tokens = part.column(1)
-                of = np.repeat(np.arange(len(part)), np.diff(tokens.offsets.to_numpy()))
-                term = pa.compute.fill_null(pa.compute.index_in(tokens.flatten(), value_set=terms), -1).to_numpy()
-                tf = np.bincount(of[term >= 0] * len(terms) + term[term >= 0], minlength=len(part) * len(terms)).reshape(len(part), -1)
-                length = K1 * (1 - B + B * part.column(2).to_numpy() / avgdl)
-                raw = (tf * (K1 + 1) / (tf + length[:, None])) @ W
-                doc, query = np.nonzero(raw)
-                some = pa.table([queries.take(pa.array(query)), part.column(0).take(pa.array(doc)), pa.array(np.round(raw[doc, query], 6))], names=["query", "id", "raw"])
-                best = best_rows(some if best is None else pa.concat_tables([best, some]), k)
-        if best is not None:
-            yield from best.to_batches()
-
-    return run
-
-
-def best_rows(t: pa.Table, k: int) -> pa.Table:
-    """Of each query the k rows of the highest score, ties by id."""
-    t = t.sort_by([("query", "ascending"), ("raw", "descending"), ("id", "ascending")]).combine_chunks()
-    if not len(t):
-        return t
-    query = pa.compute.fill_null(t["query"].combine_chunks().dictionary_encode().indices, -1).to_numpy()
-    first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
-    nth = np.arange(len(t)) - np.repeat(first, np.diff(np.append(first, len(t))))
-    return t.filter(pa.array(nth < k))
+    df = of.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return best_documents(of, asked, df, s["n"], s["avgdl"] or 1.0, k).toDF(query_col, id_col, "rank", "raw")
+
+
+def best_documents(of: DataFrame, asked: DataFrame, df: DataFrame, n: int, avgdl: float, k: int) -> DataFrame:
+    """(query, id, rank, raw) for documents (id, dl, terms, tf) among n of a mean length, queries (query, term, tf) and
+    document frequencies (term, df)."""
+    term = F.struct("term", (F.col("tf") * idf(F.lit(n), F.col("df"))).alias("w"))
+    asks = asked.join(df, "term").groupBy("query").agg(F.array_sort(F.collect_list(term)).alias("of"))
+    asks = written(asks.select(F.col("query").alias("id"), F.lit(0).cast("long").alias("dl"), F.col("of.term").alias("terms"), F.col("of.w").alias("tf")))
+    sized = lambda d: d.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
+    q, d = sized(asks), sized(of)
+
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = asked["terms"].combine_chunks()
+        vocabulary = names.flatten().unique()
+        W = np.zeros((len(vocabulary), len(asked)))
+        column = np.repeat(np.arange(len(asked)), np.diff(names.offsets.to_numpy()))
+        W[pa.compute.index_in(names.flatten(), value_set=vocabulary).to_numpy(), column] = asked["tf"].combine_chunks().flatten().to_numpy()
+        block, found = max(1, _CELLS // max(W.shape)), []
+        for a in range(0, len(held), block):
+            part = held.slice(a, block)
+            terms = part["terms"].combine_chunks()
+            of = np.repeat(np.arange(len(part)), np.diff(terms.offsets.to_numpy()))
+            term = pa.compute.fill_null(pa.compute.index_in(terms.flatten(), value_set=vocabulary), -1).to_numpy()
+            tf = np.zeros((len(part), len(vocabulary)))
+            tf[of[term >= 0], term[term >= 0]] = part["tf"].combine_chunks().flatten().to_numpy()[term >= 0]
+            length = K1 * (1 - B + B * part["dl"].to_numpy() / avgdl)
+            raw = np.round((tf * (K1 + 1) / (tf + length[:, None])) @ W, 6)
+            row, column = largest(np.where(raw > 0, raw, -np.inf), k)
+            found.append(pa.table([asked["query"].take(pa.array(column)), part["id"].take(pa.array(row)), pa.array(raw[row, column])], names=["query", "id", "raw"]))
+        return pa.concat_tables(found)
+
+    blocks = -(-q["terms"] // BATCH_TERMS), max(-(-d["n"] // BLOCK_DOCS), -(-d["terms"] // BLOCK_TERMS))
+    return best_of_blocks(asks, of.select("id", "dl", "terms", "tf").where(F.size("terms") > 0), *blocks, score, k).select("query", "id", "rank", "raw")

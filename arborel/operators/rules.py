@@ -46,6 +46,39 @@ class Rule:
                 re.compile(pattern)
             except re.error as e:
                 raise ValueError(f"rule {self.id}: {pattern} is no pattern: {e}") from e
+        if self.type == "naming":
+            before_and_group(self.capture)
+
+
+def before_and_group(capture: str) -> str:
+    """[R6] capture with a group more, 1, around what stands before its own first group, so that the text it matches tells
+    where the capture begins. The group must not be within another or an alternation, as it would not always be there."""
+    at, depth, listed, escaped = None, 0, False, False
+    for i, c in enumerate(capture):
+        if escaped:
+            escaped = False
+            if c in "123456789":
+                raise ValueError(f"{capture}: a capture can't refer back to its groups")
+        elif c == "\\":
+            escaped = True
+        elif listed:
+            listed = c != "]" or capture[i - 1] == "[" or capture[i - 2 : i] == "[^"
+        elif c == "[":
+            listed = True
+        elif c == "(":
+            if capture[i + 1 : i + 2] != "?" and at is None:
+                if depth:
+                    raise ValueError(f"{capture}: the captured group is within another")
+                at = i
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and not depth:
+            raise ValueError(f"{capture}: a capture can't be one of several alternatives")
+    if at is None:
+        raise ValueError(f"{capture}: a capture needs a group")
+    flags = re.match(r"(?:\(\?[a-zA-Z]+\))*", capture).end()
+    return f"{capture[:flags]}({capture[flags:at]}){capture[at:]}"
 
 
 def applicable(rules: list[Rule], language: str | None = None, wanted: dict | None = None) -> list[Rule]:
@@ -67,7 +100,7 @@ def applicable_to(docs: DataFrame, rules: list[Rule], id_col: str, language: Col
     for r in sorted(rules, key=lambda r: r.id):
         over = [holds[o.id] for o in rules if r.id in o.overrides]
         kept.append(F.when(reduce(lambda a, b: a & ~b, over, holds[r.id]), F.lit(r.id)))
-    return docs.select(id_col, F.array_compact(F.array(*kept)).alias("rule_ids"))
+    return docs.select(id_col, F.array_compact(F.array(*kept).cast("array<string>")).alias("rule_ids"))
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
@@ -78,8 +111,9 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 def rules_from_hits(hits: DataFrame, entries: DataFrame, group_col: str, language: Column) -> DataFrame:
     """[R17] (group, id): the rules among the hits (group, id, further columns) of each group that hold for its language
-    (a column of hits) or its base, without those that another hit of the language overrides. entries is small."""
-    of = hits.withColumn("_language", language).join(F.broadcast(entries.where("kind = 'rule'").withColumnRenamed("language", "_of")), "id")
+    (a column of hits) or its base, without those that another hit of the language overrides. Spark broadcasts entries if
+    they are few."""
+    of = hits.withColumn("_language", language).join(entries.where("kind = 'rule'").withColumnRenamed("language", "_of"), "id")
     of = of.where(F.col("_of").isNull() | F.coalesce(F.array_contains(rule_languages(F.col("_language")), F.col("_of")), F.lit(False)))
     of = of.groupBy(group_col).agg(F.collect_set("id").alias("ids"), F.flatten(F.collect_list("overrides")).alias("over"))
     return of.select(group_col, F.explode(F.array_except("ids", "over")).alias("id"))
@@ -94,22 +128,24 @@ def _violation(r: Rule, line: Column, column: Column, message: Column, snippet:
     return F.struct(F.lit(r.id).alias("rule_id"), message.alias("message"), F.lit(r.severity).alias("severity"), line.cast("int").alias("start_line"), column.cast("int").alias("start_col"), F.substring(snippet, 1, SNIPPET).alias("snippet"))
 
 
-def _matches(text: str, pattern: str, group: int, first: bool) -> Column:
-    """Array of (at, whole, got): every match of pattern in text (or the first), whole and its group, and the byte
-    where it starts. Starts are sums of what split leaves between matches and the matches; they go by blocks, so many
-    matches stay cheap."""
-    whole, got, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
+def _matches(text: str, pattern: str, first: bool, before: bool = False) -> Column:
+    """Array of (at, whole, got): every match of pattern in text (or the first), and the byte where it starts. With before
+    the pattern has two groups: at is where the second starts, after what the first matches, and got is what it holds.
+    Starts are sums of what split leaves between matches and the matches; they go by blocks, so many matches stay cheap."""
+    found = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    whole, parts = found(0), F.split(text, pattern, -1)
     # split leaves no piece before an empty match at the start
     gaps = F.when(F.size(parts) <= F.size(whole), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), got.alias("got"))
+    lead = F.transform(found(1), lambda x: F.octet_length(x)) if before else F.transform(whole, lambda _: F.lit(0))
+    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), (found(2) if before else whole).alias("got"), lead.alias("lead"))
     rows = F.slice(rows, 1, 1) if first else rows
     size = lambda x: F.octet_length(x["gap"]) + F.octet_length(x["whole"])
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda b: F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK)))
     sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + size(x)))
-    before = F.transform(blocks, lambda _, i: F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    at = lambda b, i, x: F.aggregate(F.slice(b, F.lit(1), i), F.lit(0), lambda a, y: a + size(y)) + F.octet_length(x["gap"])
-    found = F.flatten(F.zip_with(blocks, before, lambda b, a: F.transform(b, lambda x, i: F.struct((a + at(b, i, x)).alias("at"), x["whole"].alias("whole"), x["got"].alias("got")))))
-    return F.when(F.size(whole) > 0, found)
+    start = F.transform(blocks, lambda _, i: F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    at = lambda b, i, x: F.aggregate(F.slice(b, F.lit(1), i), F.lit(0), lambda a, y: a + size(y)) + F.octet_length(x["gap"]) + x["lead"]
+    each = F.flatten(F.zip_with(blocks, start, lambda b, a: F.transform(b, lambda x, i: F.struct((a + at(b, i, x)).alias("at"), x["whole"].alias("whole"), x["got"].alias("got")))))
+    return F.when(F.size(whole) > 0, each)
 
 
 def violations(docs: DataFrame, lines: DataFrame, rules: list[Rule], id_col: str, language_col: str, *, first: bool = False) -> DataFrame:
@@ -119,22 +155,22 @@ def violations(docs: DataFrame, lines: DataFrame, rules: list[Rule], id_col: str
 
     All forbid and naming rules share one pass over the lines, which gives an array of violations for each line; all
     require rules one sum for each document; all scoped rules one window, in which a scope runs from its line to the line
-    before the next and must hold a match. So the lines are read three times at most, however many rules there are."""
+    before the next and must hold a match. So the lines are read three times at most, however many rules there are; without
+    rules nothing is found."""
     out = []
     fits = lambda r: F.lit(True) if r.language is None else F.coalesce(F.col(language_col) == r.language, F.lit(False))
     kinds = {t: [r for r in rules if r.type == t] for t in TYPES}
     text, line = F.col("text"), F.col("start_line")
 
     def forbidden(r: Rule) -> Column:
-        hits = F.transform(_matches("text", r.pattern, 0, first), lambda hit: _violation(r, line, hit["at"], F.lit(r.message), text))
+        hits = F.transform(_matches("text", r.pattern, first), lambda hit: _violation(r, line, hit["at"], F.lit(r.message), text))
         return F.when(fits(r) & text.rlike(r.pattern), hits)
 
     def misnamed(r: Rule) -> Column:
         def one(hit: Column) -> Column:
-            inner = F.octet_length(F.substring(hit["whole"], F.lit(1), F.instr(hit["whole"], hit["got"]) - 1))
-            return _violation(r, line, hit["at"] + inner, F.concat(F.lit(f"{r.message} (got '"), hit["got"], F.lit("')")), hit["got"])
+            return _violation(r, line, hit["at"], F.concat(F.lit(f"{r.message} (got '"), hit["got"], F.lit("')")), hit["got"])
 
-        wrong = F.filter(_matches("text", r.capture, 1, first), lambda hit: ~hit["got"].rlike(rf"\A(?:{r.pattern})\z"))
+        wrong = F.filter(_matches("text", before_and_group(r.capture), first, before=True), lambda hit: ~hit["got"].rlike(rf"\A(?:{r.pattern})\z"))
         return F.when(fits(r) & text.rlike(r.capture), F.transform(wrong, one))
 
     each = [*map(forbidden, kinds["forbid"]), *map(misnamed, kinds["naming"])]
@@ -152,6 +188,9 @@ def violations(docs: DataFrame, lines: DataFrame, rules: list[Rule], id_col: str
         per = of.groupBy(id_col, F.col("r.i").alias("i"), "_scope").agg(F.max("r.met").alias("met"), F.min_by("text", "start_line").alias("text"), F.min("start_line").alias("start_line")).where("not met")
         found = [_violation(r, line, F.lit(0), F.lit(r.message), text) for r in kinds["require_in"]]
         out.append(per.select(id_col, F.get(F.array(*found), F.col("i")).alias("v")))
+    if not out:
+        none = _violation(Rule("", "forbid", "", ""), F.lit(0), F.lit(0), F.lit(""), F.lit(""))
+        out.append(docs.where(F.lit(False)).select(id_col, none.alias("v")))
     return reduce(DataFrame.unionByName, out).select(id_col, "v.*")
 
 
@@ -168,7 +207,7 @@ def reports(docs: DataFrame, found: DataFrame, rules: list[Rule], id_col: str, l
     its language in their order and its violations by line, column and rule."""
     row = F.struct("start_line", "start_col", "rule_id", "message", "severity", "snippet")
     per = found.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("violations"))
-    checked = F.array_compact(F.array(*(F.when(F.lit(True) if r.language is None else F.col(language_col) == r.language, F.lit(r.id)) for r in rules)))
+    checked = F.array_compact(F.array(*(F.when(F.lit(True) if r.language is None else F.col(language_col) == r.language, F.lit(r.id)) for r in rules)).cast("array<string>"))
     kind = dict(per.dtypes)["violations"]
     of = docs.select(id_col, language_col).join(per, id_col, "left").withColumn("violations", F.coalesce("violations", F.array().cast(kind)))
     return of.select(id_col, F.col(language_col).alias("language"), (F.size("violations") == 0).alias("passed"), checked.alias("checked_rules"), "violations")

@@ -2,58 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborel.operators.lexical import best_rows
+from arborel.functions.batches import largest
+from arborel.functions.vectors import finite
+from arborel.operators.blocks import best_of_blocks
 from arborel.sources.tables import written
 
-#: Queries that a task holds at once.
-BATCH = 2_000
+#: Queries and vectors of a block, and scores that a step holds.
+BATCH, BLOCK, _CELLS = 2_000, 16_384, 2_000_000
 
 
 def similar(vectors: DataFrame, is_query: Column, *, id_col: str, vector_col: str, k: int) -> DataFrame:
     """[V1, V3] (query_id, rank, id, score): for each query the k other vectors of the largest inner product, clipped to
     0 and 1 and rounded to six places; ties go to smaller ids.
 
-    Queries go in batches, dealt by a hash, that a task can hold; for each batch all vectors are scored where they lie and
-    each task hands on its k best of a query. Vectors of another length than a query's, null ones and null ids are left
-    out. Null and non-finite components are not expected.
+    Blocks of queries and of vectors meet once each, and a task hands on its k best of a query. Vectors of another length
+    than a query's, null ones, those with null or non-finite components and null ids are left out.
     """
-    spark = vectors.sparkSession
-    of = written(vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")))
-    asked = of.where("q")
-    batches = -(-asked.count() // BATCH)
-    found = []
-    for batch in range(batches):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch).select("id", "v").toArrow()
-        shared = spark.sparkContext.broadcast(_by_length(mine["id"].to_numpy(), mine["v"].combine_chunks()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best: pa.Table | None = None
-            for batch in batches:
-                for length, (ids, X) in _by_length(batch.column(0).to_numpy(), batch.column(1)).items():
-                    if length not in shared.value:
-                        continue
-                    queries, Q = shared.value[length]
-                    for a in range(0, len(ids), 1024):
-                        part = np.round(np.clip(X[a : a + 1024] @ Q.T, 0, 1), 6)
-                        row, column = np.nonzero(ids[a : a + 1024, None] != queries)
-                        some = pa.table([pa.array(queries[column]), pa.array(ids[a + row]), pa.array(part[row, column])], names=["query", "id", "raw"])
-                        best = best_rows(some if best is None else pa.concat_tables([best, some]), k)
-            if best is not None:
-                yield from best.to_batches()
-
-        found.append(of.select("id", "v").mapInArrow(run, "query long, id long, raw double"))
-    if not found:
-        found.append(spark.createDataFrame([], "query long, id long, raw double"))
-    order = Window.partitionBy("query").orderBy(F.desc("raw"), "id")
-    top = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    of = vectors.where(F.col(id_col).isNotNull() & finite(F.col(vector_col)))
+    of = written(of.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")))
+    s = of.agg(F.count_if("q").alias("queries"), F.count("*").alias("n")).first()
+
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = []
+        queries = _by_length(asked["query"].to_numpy(), asked["v"].combine_chunks())
+        for length, (ids, X) in _by_length(held["id"].to_numpy(), held["v"].combine_chunks()).items():
+            asks, Q = queries.get(length, ((), None))
+            step = max(1, _CELLS // max(1, len(asks)))
+            for a in range(0, len(ids) if len(asks) else 0, step):
+                part = np.round(np.clip(X[a : a + step] @ Q.T, 0, 1), 6)
+                part[ids[a : a + step, None] == asks] = -np.inf
+                row, column = largest(part, k)
+                found.append(pa.table([pa.array(asks[column]), pa.array(ids[a + row]), pa.array(part[row, column])], names=["query", "id", "raw"]))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query", "id", "raw"])
+
+    top = best_of_blocks(of.where("q").select("id", "v"), of.select("id", "v"), -(-s["queries"] // BATCH), -(-s["n"] // BLOCK), score, k)
     return top.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), F.col("raw").alias("score"))
 
 

@@ -15,10 +15,10 @@ from arborel.functions.vectors import feature_index, feature_sign, similarity
 from arborel.jobs import build, prompts
 from arborel.jobs.generate import repair, reviewed, traced_repair
 from arborel.jobs.prompts import generate_prompt
-from arborel.operators import corpus, fingerprint, hybrid, lexical, nodes, rules, verify
+from arborel.operators import corpus, fingerprint, hybrid, index, lexical, nodes, rules, verify
 from arborel.operators.rules import Rule
 from arborel.operators.similar import similar
-from arborel.sources import conventions, files
+from arborel.sources import conventions, files, versions
 from arborel.sources.tables import fresh_path, load
 
 QUERY = "the pathetic tion therThe XMLHttp stupid The"
@@ -31,6 +31,8 @@ RULES = [
     Rule("first-word-plain", "naming", r"[A-Z]?[a-zà-ÿß]+", "a line begins with a plain word", capture=r"^(\S+) ", metadata={"source": ["src1", "src2", "src5", "src8"]}),
     Rule("no-secret-de", "forbid", r"(password|token|geheim) ?=", "keine Geheimnisse im Text", language="de", overrides=("no-secret",)),
 ]
+#: A naming rule whose captures stand within a line, behind a lead of one or several bytes.
+AFTER = Rule("word-after", "naming", r"[a-z]+", "a word after a sign is plain", capture=r"[,;é] ?([^ ,;]+)")
 UNIT_KINDS = ("article", "nav", "table", "section")
 
 
@@ -81,10 +83,12 @@ def t9_bm25_scores(spark, sf_dir):
 
 
 def s5_bm25_by_language(spark, sf_dir):
-    """Scores and their normalizer are those of the whole corpus; the languages are filtered afterwards."""
-    found = lexical.score_query(_docs(spark, sf_dir), "doc_id", F.col("text"), QUERY, keep=("lang",))
-    asked = F.array_contains(rule_languages(F.lit("fr")), F.col("lang"))
-    return found.where(asked).select("doc_id", F.round("bm25", 6).alias("score"))
+    """Scores and their normalizer are those of the whole corpus; the languages are filtered afterwards. A dialect is asked
+    for, which sees its base too."""
+    language = F.get(F.array(*map(F.lit, ("typescript", "python", "tsx", "javascript"))), (F.col("doc_id") % 4).cast("int"))
+    found = lexical.score_query(_docs(spark, sf_dir).withColumn("of", language), "doc_id", F.col("text"), QUERY, keep=("of",))
+    asked = F.array_contains(rule_languages(F.lit("tsx")), F.col("of"))
+    return found.where(asked).select("doc_id", "of", F.round("bm25", 6).alias("score"))
 
 
 def g1_retrieve_batch(spark, sf_dir):
@@ -196,6 +200,18 @@ def r6_naming(spark, sf_dir):
     return _violations(spark, sf_dir, ("naming",))[1]
 
 
+def r6_captures(spark, sf_dir):
+    """Every capture of a line, wherever it stands, after what leads to it."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    return rules.violations(docs, nodes.line_nodes(docs, "text", "doc_id", "lang"), [AFTER], "doc_id", "lang")
+
+
+def r14_no_rules(spark, sf_dir):
+    """Without a rule every document passes."""
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    return rules.report(docs, rules.violations(docs, nodes.line_nodes(docs, "text", "doc_id", "lang"), [], "doc_id", "lang"), "doc_id")
+
+
 def r14_report(spark, sf_dir):
     """Counts the first match of each line."""
     docs, found = _violations(spark, sf_dir, first=True)
@@ -242,7 +258,7 @@ def i4_language_of_path(spark, sf_dir):
 
 
 def i6_first_files(spark, sf_dir):
-    return corpus.first_rows(load(spark, sf_dir, "pages").select("url", "page_id"), "url", 500)
+    return corpus.first_rows(load(spark, sf_dir, "pages").select("url", "page_id"), "url", 40)
 
 
 def t12_code_blocks(spark, sf_dir):
@@ -329,6 +345,14 @@ def v1_similar_batch(spark, sf_dir):
     return similar(_odd_vectors(spark, sf_dir), F.col("vec_id") % 100 == 0, id_col="vec_id", vector_col="embedding", k=10)
 
 
+def v1_odd_components(spark, sf_dir):
+    """Vectors with components that are null, infinite or no number are in no result."""
+    odd = F.when(F.col("vec_id") % 9 == 1, float("nan")).when(F.col("vec_id") % 9 == 3, float("-inf")).otherwise(F.lit(None)).cast("float")
+    part = lambda x, i: F.when((i == F.col("vec_id") % 64) & (F.col("vec_id") % 9).isin(1, 2, 3), odd).otherwise(x)
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", part).alias("embedding"))
+    return similar(vectors, F.col("vec_id") % 100 == 0, id_col="vec_id", vector_col="embedding", k=10)
+
+
 def s13_empty_query(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     entries = _meta(docs.select("doc_id", "lang", "source"), load(spark, sf_dir, "labels"))
@@ -500,6 +524,18 @@ def i14_groups(spark, sf_dir):
     return found.select("slug", "count", "rules", "patterns", F.array_join("languages", ",").alias("languages"), F.md5(F.array_join("entries.id", ",")).alias("ids_md5"))
 
 
+def i14_empty_lists(spark, sf_dir):
+    """Groups of entries in files, of which some have empty lists as their metadata."""
+    one, none = F.array("source"), F.array().cast("array<string>")
+    category = F.when(F.col("doc_id") % 3 == 1, none).when(F.col("doc_id") % 3 == 0, one)
+    meta = F.struct(category.alias("category"), F.when(F.col("doc_id") % 2 == 0, none).otherwise(F.array("lang")).alias("tags"))
+    entry = F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("py").alias("language"), meta.alias("metadata"), F.lit("x").alias("good_example"))
+    path = fresh_path(spark)
+    _docs(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value")).select("value").write.text(path)
+    found = conventions.groups(conventions.quarantined(conventions.read(spark, path, "*.txt")).where("error is null"))
+    return found.select("slug", "count", F.md5(F.array_join("entries.id", ",")).alias("ids_md5"))
+
+
 def i13_sink(spark, sf_dir):
     """The groups written as JSON and read back: of entries of which none has an error, and of all, of which nothing is."""
     found, rows = conventions.quarantined(_convention_files(spark, sf_dir)), []
@@ -511,6 +547,71 @@ def i13_sink(spark, sf_dir):
     return rows[0].union(rows[1])
 
 
+def _changes(docs):
+    """What the queries on changing tables change: texts of every tenth document, new documents, and ids that go."""
+    longer = F.concat(F.lit("The route logs "), F.coalesce("text", F.lit("")), F.lit(" XMLHttp"))
+    new = docs.where("doc_id % 10 = 0").withColumn("text", longer).unionByName(docs.where("doc_id % 50 = 7").withColumn("doc_id", F.col("doc_id") + 10_000_000))
+    return new, docs.where("doc_id % 10 = 3").select("doc_id")
+
+
+def i11_sink(spark, sf_dir):
+    """A table of versions: as it was made, after an upsert, and after rows were deleted from that."""
+    docs, path = _docs(spark, sf_dir).select("doc_id", "lang", "text"), fresh_path(spark)
+    new, gone = _changes(docs)
+    versions.create(docs, path, "doc_id")
+    versions.upsert(new, path, replace=True)
+    versions.delete(gone, path)
+    found = [versions.rows(spark, versions.version(spark, path, n)).select(F.lit(n).alias("version"), "doc_id", "lang", F.md5("text").alias("text_md5")) for n in (1, 2, 3)]
+    return found[0].union(found[1]).union(found[2])
+
+
+def i12_sink(spark, sf_dir):
+    """Rows of the ids that a delete takes away, read by their buckets before and after it."""
+    docs, path = _docs(spark, sf_dir).select("doc_id", "lang"), fresh_path(spark)
+    gone = docs.where("doc_id % 10 = 3").select("doc_id")
+    first = versions.create(docs, path, "doc_id", buckets=200)
+    after, _ = versions.delete(gone.unionByName(gone.withColumn("doc_id", -1 - F.col("doc_id"))), path)
+    kept = lambda v: versions.rows(spark, v, versions.buckets_of(gone, v)).join(gone, "doc_id", "left_semi").select(F.lit(v.number).alias("version"), "doc_id", "lang")
+    return kept(first).union(kept(after)).union(versions.rows(spark, after).where("doc_id % 10 = 4").select(F.lit(0), "doc_id", "lang"))
+
+
+def _stored_index(spark, sf_dir):
+    """An index of the documents, and what it is after a change."""
+    docs, path = _docs(spark, sf_dir).select("doc_id", "text"), fresh_path(spark)
+    new, gone = _changes(docs)
+    index.build(docs, path, "doc_id", F.col("text"))
+    index.change(spark, path, new=new, id_col="doc_id", text=F.col("text"))
+    index.change(spark, path, id_col="doc_id", gone=gone)
+    return path
+
+
+def s12_index_search(spark, sf_dir):
+    """The best documents of each version of a stored index."""
+    path = _stored_index(spark, sf_dir)
+    best = lambda n: index.score_query(spark, path, QUERY, n).select(F.lit(n).alias("version"), F.col("id").alias("doc_id"), F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return best(1).union(best(2)).union(best(3))
+
+
+def s12_index_scores(spark, sf_dir):
+    """All scores after all changes."""
+    return index.score_query(spark, _stored_index(spark, sf_dir), QUERY).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("score"))
+
+
+def s12_index_hybrid(spark, sf_dir):
+    """Hybrid search with the scores of the changed index."""
+    text = index.score_query(spark, _stored_index(spark, sf_dir), QUERY).withColumnRenamed("id", "doc_id")
+    vector = v1_cosine(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("ast"))
+    entries = _meta(_docs(spark, sf_dir).select("doc_id", "lang", "source"), load(spark, sf_dir, "labels"))
+    return hybrid.blend(entries, id_col="doc_id", wanted=WANTED, text=text, vector=vector, least=0.05, k=25)
+
+
+def s12_index_batch(spark, sf_dir):
+    """The best documents of each benchmark item, by the index before and after its changes."""
+    path, items = _stored_index(spark, sf_dir), load(spark, sf_dir, "benchmark")
+    best = lambda n: index.score_queries(spark, path, items, "item_id", F.col("text"), 5, n).select(F.lit(n).alias("version"), "item_id", F.col("id").alias("doc_id"), "rank", F.round("raw", 4).alias("score"))
+    return best(1).union(best(3))
+
+
 def c7_build(spark, sf_dir):
     """What a build reports: entries and errors of each file, and the units."""
     _, report = build.build(_convention_files(spark, sf_dir), _indexed(spark, sf_dir))
@@ -585,7 +686,7 @@ ORACLE_SQL = {
     "t7_document_frequency": f"WITH {_TOKENS}, st AS (SELECT count(*) AS n FROM tok), d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM tok) GROUP BY term) SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM d, st",
     "t8_bm25_search": f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS score FROM bm ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20",
     "t9_bm25_scores": f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS score FROM bm",
-    "s5_bm25_by_language": f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS score FROM bm JOIN dl USING (doc_id) WHERE lang = 'fr'",
+    "s5_bm25_by_language": f"WITH {_BM25} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'typescript' ELSE 'tsx' END AS of, round(bm25, 6) AS score FROM bm WHERE doc_id % 4 IN (0, 2)",
     "g1_retrieve_batch": f"WITH {_TOKENS}, {_TOKENS.replace('tok AS', 'qt AS').replace('doc_id, lang, source', 'item_id').replace('FROM documents', 'FROM benchmark')}, dl AS (SELECT doc_id, len(tokens) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(tokens) AS term FROM qt) GROUP BY ALL), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), r AS (SELECT item_id, tf.doc_id, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS raw FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, doc_id) AS rank FROM r) SELECT item_id, doc_id, rank::INT AS rank, round(raw, 4) AS score FROM o WHERE rank <= 5",
     "v1_cosine": f"SELECT e.vec_id, round({_SIM}, 6) AS score FROM embeddings e, embeddings a WHERE a.vec_id = 0",
     "v1_cosine_top": f"SELECT e.vec_id, round({_SIM}, 6) AS score FROM embeddings e, embeddings a WHERE a.vec_id = 0 ORDER BY 2 DESC, 1 LIMIT 10",
@@ -611,7 +712,7 @@ ORACLE_SQL = {
     "c8_stats": "SELECT 'language' AS \"by\", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'kind', source, count(*) FROM documents GROUP BY source",
     "c9_grouping": "SELECT coalesce(nullif(source, ''), 'uncategorized') AS category, count(*) AS n, array_to_string(list_sort(list_distinct(list(lang))), ',') AS languages FROM documents GROUP BY 1",
     "i4_language_of_path": "SELECT doc_id, source || '/' || lang || '/f.' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.JS' WHEN 2 THEN '.tsx' WHEN 3 THEN '.md' WHEN 4 THEN '.Go' ELSE '' END AS path, CASE doc_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'tsx' WHEN 4 THEN 'go' END AS language FROM documents",
-    "i6_first_files": "SELECT url, page_id FROM pages ORDER BY url LIMIT 500",
+    "i6_first_files": "SELECT url, page_id FROM pages ORDER BY url LIMIT 40",
     "t12_code_blocks": r"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN rtrim(text, chr(10)) || chr(10) END AS code FROM conversations",
     "g6_prompts": f"WITH {_LINES}, v AS ({_FORBID} UNION ALL {_REQUIRE}), s AS (SELECT doc_id, string_agg('- line ' || start_line || ': [' || rule_id || '] ' || message || CASE WHEN snippet <> '' THEN ' -> ' || chr(96) || snippet || chr(96) ELSE '' END, chr(10) ORDER BY start_line, start_col, rule_id) AS found FROM v GROUP BY doc_id), p AS (SELECT d.doc_id, '## Text' || chr(10) || coalesce(text, '') || chr(10) || '## Findings' || chr(10) || coalesce(found, '- none') AS prompt FROM documents d LEFT JOIN s USING (doc_id)) SELECT doc_id, md5(prompt) AS prompt_md5, length(prompt) AS n FROM p",
     "s2_self_verification": "SELECT doc_id, toxic IN (0, 1) AND text <> '' AS checked, CASE WHEN toxic IN (0, 1) AND text <> '' THEN regexp_matches(text, 'idiot|loser|moron|scum|clown') = (toxic = 1) END AS ok FROM documents JOIN labels USING (doc_id)",
@@ -669,3 +770,33 @@ ORACLE_SQL |= {
     "c7_build": f"WITH {_UNITS}, {_ENTRIES} SELECT part::VARCHAR AS source, count_if(error IS NULL) AS loaded, count(error) AS errors, min(error) AS error FROM en GROUP BY part UNION ALL SELECT 'units', (SELECT count(*) FROM ix), 0, NULL",
     "c7_corpus": f"WITH {_UNITS}, {_ENTRIES}, al AS (SELECT language, kind FROM ok UNION ALL SELECT 'html', 'pattern' FROM ix) SELECT 'language' AS \"by\", language AS value, count(*) AS n FROM al GROUP BY language UNION ALL SELECT 'kind', kind, count(*) FROM al GROUP BY kind",
 }
+
+_CHANGED = "n1 AS (SELECT doc_id, 'The route logs ' || coalesce(text, '') || ' XMLHttp' AS text, lang, source FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id + 10000000, text, lang, source FROM documents WHERE doc_id % 50 = 7), d2 AS (SELECT doc_id, text, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n1) UNION ALL SELECT * FROM n1), d3 AS (SELECT * FROM d2 WHERE doc_id % 10 <> 3 OR doc_id >= 10000000)"
+_AFTER = r"regexp_extract_all(text, '([,;é] ?)([^ ,;]+)', {})"
+
+
+def _bm25_of(docs: str) -> str:
+    return f"{_CHANGED}, " + _BM25.replace("FROM documents", f"FROM {docs}")
+
+
+def _best_of(number: int, docs: str) -> str:
+    return f"SELECT * FROM (WITH {_bm25_of(docs)} SELECT {number}::INT AS version, doc_id, round(bm25, 6) AS score FROM bm ORDER BY 3 DESC, 2 LIMIT 20)"
+
+
+def _batch_of(number: int, docs: str) -> str:
+    body = ORACLE_SQL["g1_retrieve_batch"].replace("FROM documents", f"FROM {docs}").replace("WITH ", f"WITH {_CHANGED}, ", 1)
+    return f"SELECT {number}::INT AS version, * FROM ({body})"
+
+
+ORACLE_SQL |= {
+    "r6_captures": f"WITH {_LINES}, c AS (SELECT *, string_split_regex(text, '[,;é] ?[^ ,;]+') AS gaps, regexp_extract_all(text, '[,;é] ?[^ ,;]+') AS hits, {_AFTER.format(1)} AS leads, {_AFTER.format(2)} AS got FROM ln0), e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM c) SELECT doc_id, 'word-after' AS rule_id, 'a word after a sign is plain (got ''' || got[k] || ''')' AS message, 'error' AS severity, start_line::INT AS start_line, (strlen(array_to_string(gaps[1:k], '')) + strlen(array_to_string(hits[1:k - 1], '')) + strlen(leads[k]))::INT AS start_col, substr(got[k], 1, 200) AS snippet FROM e WHERE NOT regexp_full_match(got[k], '[a-z]+')",
+    "r14_no_rules": "SELECT doc_id, TRUE AS passed, 0::BIGINT AS n_violations, '' AS rule_ids, NULL::INT AS first_line FROM documents",
+    "v1_odd_components": f"WITH od AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 9 NOT IN (1, 2, 3)), p AS (SELECT a.vec_id AS query_id, b.vec_id, round({_CLIPPED}, 6) AS score FROM od a JOIN od b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p) SELECT query_id, n::INT AS rank, vec_id, score FROM o WHERE n <= 10",
+    "i14_empty_lists": "SELECT CASE WHEN doc_id % 3 = 0 THEN coalesce(nullif(source, ''), 'uncategorized') ELSE 'uncategorized' END AS slug, count(*) AS count, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS ids_md5 FROM documents GROUP BY 1",
+    "i11_sink": f"WITH {_CHANGED} SELECT 1::INT AS version, doc_id, lang, md5(text) AS text_md5 FROM documents UNION ALL SELECT 2, doc_id, lang, md5(text) FROM d2 UNION ALL SELECT 3, doc_id, lang, md5(text) FROM d3",
+    "i12_sink": "SELECT 1::INT AS version, doc_id, lang FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT 0, doc_id, lang FROM documents WHERE doc_id % 10 = 4",
+    "s12_index_search": " UNION ALL ".join(_best_of(n, d) for n, d in ((1, "documents"), (2, "d2"), (3, "d3"))),
+    "s12_index_scores": f"WITH {_bm25_of('d3')} SELECT doc_id, round(bm25, 6) AS score FROM bm",
+    "s12_index_hybrid": ORACLE_SQL["s7_hybrid_search"].replace(_BM25, _bm25_of("d3")),
+    "s12_index_batch": f"{_batch_of(1, 'documents')} UNION ALL {_batch_of(3, 'd3')}",
+}

@@ -16,7 +16,7 @@ def metadata_map(metadata: Column) -> Column:
     """map<string, array<string>> of a JSON object: a single value becomes a list of one, null values go."""
     raw = F.from_json(metadata, "map<string,string>")
     lists = F.transform_values(raw, lambda _, v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)))
-    return F.coalesce(F.map_filter(lists, lambda k, v: v[0].isNotNull() | (F.size(v) == 0)), F.create_map().cast("map<string,array<string>>"))
+    return F.coalesce(F.map_filter(lists, lambda k, v: F.get(v, F.lit(0)).isNotNull() | (F.size(v) == 0)), F.create_map().cast("map<string,array<string>>"))
 
 
 def read(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
@@ -80,8 +80,9 @@ def exported_groups(entries: DataFrame, path: str, *, category: str = "category"
 
 
 def groups(entries: DataFrame, *, category: str = "category") -> DataFrame:
-    """[C9, I14] (slug, count, rules, patterns, languages, entries) of each category of the metadata."""
-    slug = F.coalesce(F.nullif(F.col("meta")[category][0], F.lit("")), F.lit("uncategorized"))
+    """[C9, I14] (slug, count, rules, patterns, languages, entries) of each category of the metadata; entries without one, or
+    with an empty list of them, are uncategorized."""
+    slug = F.coalesce(F.nullif(F.get(F.col("meta")[category], F.lit(0)), F.lit("")), F.lit("uncategorized"))
     row = F.struct("id", "kind", "language", "title", "guideline", "good_example", "bad_example")
     per = entries.groupBy(slug.alias("slug")).agg(F.count("*").alias("count"), F.count_if(F.col("kind") == "rule").alias("rules"), F.count_if(F.col("kind") == "pattern").alias("patterns"), F.array_sort(F.collect_set("language")).alias("languages"), F.array_sort(F.collect_list(row)).alias("entries"))
     return per
