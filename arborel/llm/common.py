@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborel.functions.batches import grouped  # noqa: F401
 from arborel.sources.tables import load as table  # noqa: F401
 from arborel.sources.tables import written as stored  # noqa: F401
 
@@ -57,30 +58,6 @@ def drawn(sample: DataFrame, lists: list[str]) -> list[tuple[object, list[np.nda
     return [(label, [a[i] for a in arrays]) for i, label in enumerate(labels)]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows in tables that hold whole groups, with the groups' bounds; one group at least is held at a time."""
-    rest: pa.Table | None = None
-
-    def bounds(t: pa.Table) -> np.ndarray:
-        new = np.zeros(len(t) - 1, bool)
-        for c in by:
-            x = t.column(c).to_numpy()
-            new |= x[1:] != x[:-1]
-        return np.concatenate(([0], np.flatnonzero(new) + 1, [len(t)]))
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        b = bounds(t)
-        rest = t.slice(b[-2])
-        if len(b) > 2:
-            yield t.slice(0, b[-2]), b[:-1]
-    if rest is not None:
-        yield rest, np.array([0, len(rest)])
-
-
 def vector_blocks(t: pa.Table, name: str) -> np.ndarray:
     """A column of lists of equal length as a matrix in double precision."""
     column = t.column(name).combine_chunks()

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, drawn, text_chunks
+from arborel.llm.common import as_bytes, dealt, drawn, stored, text_chunks
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 #: Labelled documents of each language that training may use.
 SAMPLE_PER_LANGUAGE = 800
+#: Languages whose shares are broadcast; more are joined by a shuffle.
+HELD_LANGUAGES = 10_000
 UNDETERMINED = "und"
 _SEGMENT = 1 << 19
 
@@ -113,16 +115,14 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, dim: int = 16, epoc
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE) -> dict | None:
     """A model of the labelled rows; None if there are none. At most about sample rows of a language are used, by a
     hash of their ids; each is whole."""
-    usable = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = dict(usable.groupBy(lang_col).count().collect())  # a row for each language
-    if not counts:
-        return None
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(sample / n))))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("lang")), F.lit(1 << 20)) / float(1 << 20)
-    picked = usable.withColumn("_draw", draw).where(F.col("_draw") < share[F.col(lang_col)]).select(text_col, F.col(lang_col).alias("lang"), "_draw")
+    of = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("_id")).where(F.col("lang").isNotNull() & (F.length("_text") > 0))
+    counts = stored(of.groupBy("lang").agg((sample / F.count("*")).alias("_share")))  # a row for each language
+    counts = F.broadcast(counts) if counts.count() <= HELD_LANGUAGES else dealt(counts)
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit("lang")), F.lit(1 << 20)) / float(1 << 20)
+    picked = of.withColumn("_draw", draw).join(counts, "lang").where("_draw < _share").select("_text", "lang", "_draw")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, text_col):
+        for batch in text_chunks(batches, "_text"):
             found = [gram_counts(t) for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["draw", "lang", "bucket", "share"])
 
@@ -135,15 +135,19 @@ def predict(docs: DataFrame, model: dict | None, *, text_col: str = "text") -> D
     calibrated threshold).
 
     Null texts and texts without a letter: lang_pred und, score 0, not accepted; so all rows without a model. Whole
-    texts count. Repeated rows are judged each. Columns of the added names are replaced.
+    texts count. Repeated rows are judged each. Columns of the added names are replaced, further ones kept,
+    however they are named.
     """
-    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "accepted")]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes), "lang_pred string, score double, accepted boolean"])
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index(text_col)]
+    kept = {o: c for o, c in zip(own, docs.columns, strict=True) if c not in (text_col, "lang_pred", "score", "accepted")}
+    of = docs.toDF(*own).select(text, *kept)
+    schema = ", ".join([*(f"{c} {t}" for c, t in of.dtypes[1:]), "lang_pred string, score double, accepted boolean"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in text_chunks(batches, text_col):
+        for batch in text_chunks(batches, text):
             texts = as_bytes(batch.column(0))
             lettered = np.array([any(map(str.isalpha, t.decode())) for t in texts], bool)
             if m is None:
@@ -151,11 +155,11 @@ def predict(docs: DataFrame, model: dict | None, *, text_col: str = "text") -> D
             else:
                 k = len(m["langs"])
                 z, n = np.zeros((len(texts), k)), np.zeros(len(texts))
-                for of, bucket in grams(texts):
-                    n += np.bincount(of, minlength=len(texts) + 1)[: len(texts)]
+                for at, bucket in grams(texts):
+                    n += np.bincount(at, minlength=len(texts) + 1)[: len(texts)]
                     w = m["P"][bucket]
                     for j in range(k):
-                        z[:, j] += np.bincount(of, weights=w[:, j], minlength=len(texts) + 1)[: len(texts)]
+                        z[:, j] += np.bincount(at, weights=w[:, j], minlength=len(texts) + 1)[: len(texts)]
                 z = (z / np.maximum(n, 1)[:, None] + m["b"]) * m["t"]
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
@@ -164,4 +168,4 @@ def predict(docs: DataFrame, model: dict | None, *, text_col: str = "text") -> D
                 good = lettered & (score >= m["least"])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score), pa.array(good)], names=[*kept, "lang_pred", "score", "accepted"])
 
-    return docs.select(text_col, *kept).mapInArrow(run, schema)
+    return of.mapInArrow(run, schema).toDF(*kept.values(), "lang_pred", "score", "accepted")

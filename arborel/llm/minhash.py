@@ -252,9 +252,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows with one id the first by its text and then by its other columns stays; rows with a null id all do.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).where("kept").select(id_col)
-    named = docs.where(F.col(id_col).isNotNull()).join(kept.where(F.col(id_col).isNotNull()).hint("merge"), id_col, "left_semi")
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    hidden = [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) for c in rest]
-    first = Window.partitionBy(id_col).orderBy(text_col, *hidden)
-    return named.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    of, at, text = docs.toDF(*own), own[docs.columns.index(id_col)], own[docs.columns.index(text_col)]
+    kept = near_duplicates(of, id_col=at, text_col=text, width=width, similarity=similarity).where(F.col("kept") & F.col(at).isNotNull()).select(at)
+    named = of.where(F.col(at).isNotNull()).join(kept.hint("merge"), at, "left_semi")
+    hidden = [F.to_json(F.struct(F.col(c).alias("c"))) for c in own if c not in (at, text)]
+    first = Window.partitionBy(at).orderBy(text, *hidden)
+    named = named.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*own)
+    return named.union(of.where(F.col(at).isNull())).toDF(*docs.columns)

@@ -278,17 +278,19 @@ def _scored(m: dict, t: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.n
 def clean(docs: DataFrame, model: dict | None, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score is under the threshold, with all their columns; all rows without a model."""
     at = docs.columns.index(text_col)
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    of = docs.toDF(*own)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in text_chunks(batches, text_col, 2 << 20):
+        for batch in text_chunks(batches, own[at], 2 << 20):
             if m is not None:
                 texts = as_bytes(batch.column(at))
                 batch = batch.filter(pa.array(_scored(m, tokens(texts), len(texts))[1] < threshold))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return of.mapInArrow(run, of.schema).toDF(*docs.columns)
 
 
 def score(docs: DataFrame, model: dict | None, *, text_col: str = "text", threshold: float = 0.3, spans: bool = True) -> DataFrame:
@@ -296,15 +298,20 @@ def score(docs: DataFrame, model: dict | None, *, text_col: str = "text", thresh
     points (end exclusive) of tokens whose marginal is at least a half, neighbours joined.
 
     Null and empty texts get the score of a text without offence; without a model all scores are 0. Whole texts
-    count; repeated rows are judged each. Columns of the added names are replaced.
+    count; repeated rows are judged each. Columns of the added names are replaced, further ones kept, however they are
+    named.
     """
-    kept = [c for c in docs.columns if c not in (text_col, "score", "predicted", "span_starts", "span_ends")]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes), "score double, predicted int", *(["span_starts array<int>, span_ends array<int>"] if spans else [])])
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index(text_col)]
+    added = ["score", "predicted", *(["span_starts", "span_ends"] if spans else [])]
+    kept = {o: c for o, c in zip(own, docs.columns, strict=True) if c not in (text_col, "score", "predicted", "span_starts", "span_ends")}
+    of = docs.toDF(*own).select(text, *kept)
+    schema = ", ".join([*(f"{c} {t}" for c, t in of.dtypes[1:]), "score double, predicted int", *(["span_starts array<int>, span_ends array<int>"] if spans else [])])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in text_chunks(batches, text_col, 2 << 20):
+        for batch in text_chunks(batches, text, 2 << 20):
             texts = as_bytes(batch.column(0))
             starts: list[list[int]] = [[] for _ in texts]
             ends: list[list[int]] = [[] for _ in texts]
@@ -322,6 +329,6 @@ def score(docs: DataFrame, model: dict | None, *, text_col: str = "text", thresh
                     starts[k] = place(t["start"][at[np.append(0, apart + 1)]])
                     ends[k] = place(t["end"][at[np.append(apart, len(at) - 1)]])
             more = [pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))] if spans else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(q), pa.array((q >= threshold).astype(np.int32)), *more], names=[*kept, "score", "predicted", *(["span_starts", "span_ends"] if spans else [])])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(q), pa.array((q >= threshold).astype(np.int32)), *more], names=[*kept, *added])
 
-    return docs.select(text_col, *kept).mapInArrow(run, schema)
+    return of.mapInArrow(run, schema).toDF(*kept.values(), *added)

@@ -19,7 +19,7 @@ RULES = (
 )
 #: Rounds between two looks at what they add, and the share of the mass below which that ends the propagation.
 ROUNDS, CLOSE = 4, 1e-4
-#: Distrust from which on a host's pages without a rule are blocked; a host that is blocked altogether has about 1.
+#: Distrust from which on a host's pages without a rule are blocked; a host that is blocked altogether has 1.
 SHARE = 0.25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"(?i)href\s{0,8}=\s{0,8}[\"']?((?:https?:)?//[^\"'\s<>]+)"
@@ -58,27 +58,34 @@ def host_links(pages: DataFrame, hosts: DataFrame, html_col: str) -> DataFrame:
 
 def flows(links: DataFrame, hosts: DataFrame, damping: float) -> tuple[DataFrame, DataFrame]:
     """(kind, src, dst, share) and (kind, host, mass): what a host's mass adds to another's in a round, and what each has
-    to begin with. Trust follows links from hosts with allowed pages, distrust goes against them from hosts with blocked
-    ones; a host is seeded with the share of its pages. Hosts also refer to themselves, once a page; what comes back to a
-    host in this way again and again is summed in closed form (a geometric series), so no edge stands for it."""
+    to begin with.
+
+    Of what a host refers to, its own pages are a part (a reference each) and its links are the rest. Trust follows
+    links from hosts with allowed pages, seeded with their share of the host's pages; what comes back to a host from its own
+    pages again and again is summed in closed form (a geometric series), so no edge stands for it. Distrust goes against
+    links from hosts with blocked pages: a host has their share of its pages, and for the rest of them so much of the
+    distrust of the hosts it links to as these links are of all that it refers to."""
     zero = F.lit(0).cast("long")
-    own = hosts.select("host", "pages", "allowed", "blocked", zero.alias("out"), zero.alias("into"))
-    ends = links.select(F.explode(F.array(F.struct(F.col("src").alias("host"), F.col("n").alias("out"), zero.alias("into")), F.struct(F.col("dst").alias("host"), zero.alias("out"), F.col("n").alias("into")))).alias("e"))
-    parts = own.union(ends.select("e.host", zero, zero, zero, "e.out", "e.into"))
-    nodes = parts.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("pages", "allowed", "blocked", "out", "into")))
-    again = lambda all_: 1 / (1 - damping * F.col("pages") / all_)
-    out, into = F.col("pages") + F.col("out"), F.col("pages") + F.col("into")
-    nodes = stored(nodes.select("host", "pages", "allowed", "blocked", out.alias("all_out"), into.alias("all_in"), again(out).alias("again_out"), again(into).alias("again_in")))
-    src = nodes.select(F.col("host").alias("src"), "all_out", "again_in")
-    dst = nodes.select(F.col("host").alias("dst"), "all_in", "again_out")
+    own = hosts.select("host", "pages", "allowed", "blocked", zero.alias("out"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("src").alias("host"), F.col("n").alias("out")), F.struct(F.col("dst").alias("host"), zero.alias("out")))).alias("e"))
+    parts = own.union(ends.select("e.host", zero, zero, zero, "e.out"))
+    nodes = parts.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("pages", "allowed", "blocked", "out")))
+    # a host that is only linked to has no pages here and refers to nothing
+    of = lambda c, whole: F.coalesce(F.try_divide(F.col(c), whole), F.lit(0.0))
+    every = F.col("pages") + F.col("out")
+    nodes = nodes.select("host", every.alias("all_out"), of("allowed", F.col("pages")).alias("allowed"), of("blocked", F.col("pages")).alias("blocked"), (1 / (1 - damping * of("pages", every))).alias("again"))
+    nodes = stored(nodes)
+    src = nodes.select(F.col("host").alias("src"), "all_out", "blocked")
+    dst = nodes.select(F.col("host").alias("dst"), "again")
     both = links.join(src, "src").join(dst, "dst")
     row = lambda kind, a, b, share: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), share.alias("share"))
-    forth = row("trust", "src", "dst", damping * F.col("n") / F.col("all_out") * F.col("again_out"))
-    back = row("distrust", "dst", "src", damping * F.col("n") / F.col("all_in") * F.col("again_in"))
-    edges = stored(both.select(F.explode(F.array(forth, back)).alias("e")).select("e.*"))
-    seed = lambda kind, c, again: F.struct(F.lit(kind).alias("kind"), F.col("host"), ((1 - damping) * F.col(c) / F.col("pages") * F.col(again)).alias("mass"))
-    start = nodes.where("allowed + blocked > 0").select(F.explode(F.array(seed("trust", "allowed", "again_out"), seed("distrust", "blocked", "again_in"))).alias("s")).select("s.*")
-    return edges, stored(start.where("mass > 0"))
+    passed = damping * F.col("n") / F.col("all_out")
+    forth = row("trust", "src", "dst", passed * F.col("again"))
+    back = row("distrust", "dst", "src", passed * (1 - F.col("blocked")))
+    edges = stored(both.select(F.explode(F.array(forth, back)).alias("e")).select("e.*").where("share > 0"))
+    seed = lambda kind, mass: F.struct(F.lit(kind).alias("kind"), F.col("host"), mass.alias("mass"))
+    seeds = F.array(seed("trust", (1 - damping) * F.col("allowed") * F.col("again")), seed("distrust", F.col("blocked")))
+    return edges, stored(nodes.select(F.explode(seeds).alias("s")).select("s.*").where("mass > 0"))
 
 
 def settled(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -102,12 +109,14 @@ def settled(edges: DataFrame, start: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, damping: float = 0.85, share: float = SHARE) -> DataFrame:
     """id_col, host, path, rule (null if none fits), verdict, trust and distrust of each page's host.
 
-    Personalised PageRank, to convergence: hosts are seeded with the share of their pages that a rule allows (trust) or
-    blocks (distrust), trust follows links, distrust goes against them. A host that only refers to itself keeps its seed,
-    so 1 is the mass of a host that is allowed or blocked altogether, however many pages it has. Pages without a rule are
-    blocked if their host's distrust exceeds its trust and is share at least; otherwise allowed. Null urls and those
-    without :// have an empty host and path, which no rule fits and no graph holds: allowed. Null html has no links;
-    repeated rows count each; other columns are unused.
+    Trust is a personalised PageRank, to convergence: hosts are seeded with the share of their pages that a rule allows,
+    and pass it on along links; a host that only refers to itself keeps its seed. Distrust goes against links, from hosts
+    with pages that a rule blocks: 1 is a host that is blocked altogether, whatever it links to, and a host that links to
+    it has less, by the share of these links among all that it refers to. Pages without a rule are blocked if their
+    host's distrust exceeds its trust and is share at least; otherwise allowed.
+
+    Null urls and those without :// have an empty host and path, which no rule fits and no graph holds: allowed. Links may
+    go to hosts without a page here. Null html has no links; repeated rows count each; other columns are unused.
     """
     of = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.col(html_col).alias("_html"))
     of = of.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))

@@ -160,6 +160,29 @@ def test_languages_are_those_of_a_plain_version(spark):
         assert r.lang_pred == lang and abs(r.score - score) < 0.02
 
 
+def test_scores_keep_columns_of_any_name(spark, toxic_rows):
+    df = spark.createDataFrame([(i, t, i) for i, t, _ in toxic_rows], "doc_id long, text string, `a.b` int").withColumns({"c`d": F.lit("x"), "score": F.lit("old"), "_text": F.lit(2)})
+    model = toxicity.fit(df, spark.createDataFrame([(i, y) for i, _, y in toxic_rows], "doc_id long, toxic int"))
+    got = toxicity.score(df, model)
+    assert got.columns == ["doc_id", "a.b", "c`d", "_text", "score", "predicted", "span_starts", "span_ends"]
+    assert all(r[0] == r[1] and r[2] == "x" and r[3] == 2 and 0 <= r[4] <= 1 for r in got.collect())
+    assert toxicity.score(df, model, spans=False).columns == got.columns[:6]
+    assert toxicity.clean(df, model).columns == df.columns and toxicity.clean(df, None).count() == df.count()
+    of = df.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "p").otherwise("q"))
+    found = langid.predict(of, langid.fit(of))
+    assert found.columns == ["doc_id", "a.b", "c`d", "_text", "lang", "lang_pred", "score", "accepted"]
+    assert all(r[0] == r[1] and r.lang_pred in ("p", "q") for r in found.collect())
+
+
+def test_many_languages_are_joined(spark, monkeypatch):
+    rows = [(i, text(random.Random(i), 9), f"l{i % 40}") for i in range(200)] + [(None, "x y z", "l1"), (300, None, "l2"), (301, "", "l3"), (302, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = langid.fit(df)
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 3)
+    got = langid.fit(df)
+    assert want["langs"] == got["langs"] == sorted({f"l{i}" for i in range(40)}) and (want["P"] == got["P"]).all()
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -254,15 +277,15 @@ def test_columns_of_any_name_and_many_spans(spark):
 # ---------------------------------------------------------------- pipeline
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found int, base string, topic string, score double, probability string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found int, base string, topic string, score double, probability string, `a.b` int, `c``d` string, _nth int"
 
 
 def test_stages_are_the_plain_ones_on_hard_rows(spark, tmp_path, toxic_rows):
     rng = random.Random(11)
     base = [text(rng, rng.randint(20, 80)) for _ in range(40)]
     texts = [*(t for _, t, _ in toxic_rows[:120]), *base, *base[:10], *(b + " mo" for b in base[10:20]), "x a.b@c.de y", None, "", " ", text(rng, 9000)]
-    rows = [(1000 + i, t, rng.choice(["en", None]), rng.choice(["s", "t", None]), len(t or ""), i, "b", rng.choice(["p", None]), 0.5, "q") for i, t in enumerate(texts)]
-    rows += [rows[3], rows[3], (rows[4][0], "another text for one id", *rows[4][2:]), (None, "no id", "en", "s", 5, 1, "b", "p", 0.5, "q")]
+    rows = [(1000 + i, t, rng.choice(["en", None]), rng.choice(["s", "t", None]), len(t or ""), i, "b", rng.choice(["p", None]), 0.5, "q", i, "d", 7) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (rows[4][0], "another text for one id", *rows[4][2:]), (None, "no id", "en", "s", 5, 1, "b", "p", 0.5, "q", None, None, 7)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     labels = spark.createDataFrame([(1000 + i, y) for i, (_, _, y) in enumerate(toxic_rows[:120])] + [(None, 1)], "doc_id long, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")

@@ -140,13 +140,24 @@ def plain_ranks(links, pages, seeds, damping=0.85):
     return dict(zip(hosts, v, strict=True))
 
 
+def plain_distrust(links, pages, blocked, damping=0.85):
+    """What a host's blocked pages and the hosts it links to make of it, round by round."""
+    hosts, out = {h for e in links for h in e[:2]} | set(pages), dict(pages)
+    for a, _, n in links:
+        out[a] = out.get(a, 0) + n
+    d = dict.fromkeys(hosts, 0.0)
+    for _ in range(500):
+        d = {h: blocked.get(h, 0.0) + (1 - blocked.get(h, 0.0)) * damping * sum(n * d[b] for a, b, n in links if a == h) / max(out.get(h, 0), 1) for h in hosts}
+    return d
+
+
 def test_undecided_hosts_are_judged_by_ranks_at_convergence(spark):
     link = lambda h, n=1: f'<a href="http://{h}/p">' * n
     rows = [("http://b.net/es/1", ""), ("http://b.net/es/2", ""), ("http://x.org/1", link("b.net", 9)), ("http://y.org/1", link("b.net") + link("a.com", 9)), ("http://a.com/1", link("z.org")), ("http://z.org/1", link("y.org") + link("z.org")), ("http://m.c.org/1", link("z.org")), ("http://c.org/1", None), ("http://c.org/2", "")]
     got = {r.host: r for r in urls.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id int, url string, html string")).collect()}
     links = [("x.org", "b.net", 9), ("y.org", "b.net", 1), ("y.org", "a.com", 9), ("a.com", "z.org", 1), ("z.org", "y.org", 1), ("m.c.org", "z.org", 1), ("m.c.org", "c.org", 1), ("c.org", "m.c.org", 1)]
     pages = {"b.net": 2, "x.org": 1, "y.org": 1, "a.com": 1, "z.org": 1, "m.c.org": 1, "c.org": 2}
-    trust, distrust = plain_ranks(links, pages, {"a.com": 1.0}), plain_ranks([(b, a, n) for a, b, n in links], pages, {"b.net": 1.0})
+    trust, distrust = plain_ranks(links, pages, {"a.com": 1.0}), plain_distrust(links, pages, {"b.net": 1.0})
     for h, r in got.items():
         assert abs(r.trust - trust[h]) < 1e-3 and abs(r.distrust - distrust[h]) < 1e-3
         if r.rule is None:
@@ -154,6 +165,26 @@ def test_undecided_hosts_are_judged_by_ranks_at_convergence(spark):
     assert got["x.org"].verdict == "block" and got["y.org"].verdict == got["z.org"].verdict == "allow" and distrust["y.org"] > 0
 
 
+def test_links_to_hosts_without_pages_and_few_bad_links(spark):
+    """Hosts that are only linked to, sinks, an offender with many good links, and one bad link in 1,500."""
+    link = lambda h, n=1: f'<a href="http://{h}/p">' * n
+    rows = [("http://bad.net/es/1", link("good.org", 50)), ("http://bad.net/es/2", ""), ("http://half.net/fr/1", ""), ("http://half.net/en/1", ""), ("http://a.com/1", link("elsewhere.org", 3)), ("http://sink.org/1", None), ("http://x.org/1", link("bad.net", 4) + link("sink.org")), ("http://away.org/1", link("nowhere.org", 9)), ("http://good.org/1", "")]
+    rows += [(f"http://big.org/{i}", link("good.org", 50) + (link("bad.net") if i == 0 else "")) for i in range(30)]
+    every = urls.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id int, url string, html string")).collect()
+    got = {r.host: r for r in every}
+    pages = {"bad.net": 2, "half.net": 2, "a.com": 1, "sink.org": 1, "x.org": 1, "away.org": 1, "good.org": 1, "big.org": 30}
+    links = [("bad.net", "good.org", 50), ("a.com", "elsewhere.org", 3), ("x.org", "bad.net", 4), ("x.org", "sink.org", 1), ("away.org", "nowhere.org", 9), ("big.org", "good.org", 1500), ("big.org", "bad.net", 1)]
+    trust, distrust = plain_ranks(links, pages, {"a.com": 1.0}), plain_distrust(links, pages, {"bad.net": 1.0, "half.net": 0.5})
+    assert set(got) == set(pages)
+    for h, r in got.items():
+        assert abs(r.trust - trust[h]) < 1e-3 and abs(r.distrust - distrust[h]) < 1e-3
+    assert got["bad.net"].distrust == 1 > got["x.org"].distrust > 0.25 > got["big.org"].distrust > 0
+    want = {"x.org": "block", "half.net": "block", "sink.org": "allow", "away.org": "allow", "good.org": "allow", "big.org": "allow"}
+    assert len(every) == len(rows) and {r.host: r.verdict for r in every if r.rule is None} == want
+    only = urls.judge(spark.createDataFrame([(1, "http://p.org/", link("elsewhere.org")), (2, "http://q.org/", "")], "page_id int, url string, html string")).collect()
+    assert [r.verdict for r in only] == ["allow", "allow"]
+
+
 def test_very_large_and_small_vectors(spark):
     rng = np.random.default_rng(2)
     X = rng.normal(size=(300, 8)) * np.repeat([1e200, 1e-200, 1.0], 100)[:, None]
