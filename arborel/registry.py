@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborel import registry_trees
 from arborel.functions.languages import known_language, language_of_path, rule_languages
 from arborel.functions.metadata import matches, overlap
 from arborel.functions.text import document_text, extract_code_block, flatten_metadata, tokenize
@@ -624,7 +625,7 @@ def c7_corpus(spark, sf_dir):
     return corpus.stats(built, "language", "kind")
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "acfgiprstv" and name[1].isdigit()}
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "acfgiprstv" and name[1].isdigit()} | registry_trees.QUERIES
 
 # ---------------------------------------------------------------- SQL
 
@@ -678,7 +679,7 @@ _FIRST = r"regexp_extract(text, '^([^\t\n\v\f\r ]+) ', 1)"
 _NAMING = rf"SELECT doc_id, 'first-word-plain' AS rule_id, 'a line begins with a plain word (got ''' || {_FIRST} || ''')' AS message, 'error' AS severity, start_line::INT AS start_line, 0::INT AS start_col, substr({_FIRST}, 1, 200) AS snippet FROM ln0 WHERE regexp_matches(text, '^[^\t\n\v\f\r ]+ ') AND NOT regexp_full_match({_FIRST}, '[A-Z]?[a-zà-ÿß]+')"
 _ALL = " UNION ALL ".join((_FORBID, _REQUIRE, _REQUIRE_IN, _NAMING))
 
-ORACLE_SQL = {
+ORACLE_SQL = registry_trees.ORACLE_SQL | {
     "t1_tokenize_counts": f"WITH {_TOKENS} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL",
     "t3_entry_text": f"WITH {_META}, x AS (SELECT d.doc_id, concat_ws(chr(10), d.doc_id::VARCHAR, nullif(d.lang, ''), concat_ws(' ', 'lang', m.lang, CASE WHEN m.quality IS NOT NULL THEN 'quality ' || m.quality END, 'source', m.source), nullif(d.text, '')) AS t FROM documents d JOIN m USING (doc_id)) SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM x",
     "t5_lexical_stats": f"WITH {_TOKENS} SELECT count(*) AS docs, (SELECT count(DISTINCT term) FROM (SELECT unnest(tokens) AS term FROM tok)) AS terms, coalesce(round(avg(len(tokens)), 1), 0) AS avg_doc_len FROM tok",
