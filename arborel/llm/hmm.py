@@ -28,6 +28,8 @@ CLOSE = 1e-3
 #: The most frequent words, whose counts every task holds; the other words' counts are joined.
 KNOWN_WORDS = 150_000
 _HELD_WORDS = 150_000
+#: Tokens of a text from which on it is cut into lanes, of a lane, and of all rows that are worked on together.
+CUT, LANE, BLOCK = 4096, 512, 1_000_000
 END = b"\n"
 
 
@@ -97,45 +99,65 @@ def _encode(docs: DataFrame, text_col: str, known: dict[bytes, int]) -> DataFram
     return docs.select(text_col, *kept).mapInArrow(run, schema)
 
 
-class Chains:
-    """Texts of different lengths, longest first: at each step those that still run are the first rows."""
+class Lanes:
+    """Rows of tokens of different lengths, longest first: at each step those that still run are the first rows. A row is a
+    text, or a lane of one: then into has the distribution of states that enters it, and after the direction of the
+    backward vector at its end."""
 
-    def __init__(self, codes: list[np.ndarray]):
-        self.order = sorted(range(len(codes)), key=lambda i: -len(codes[i]))
-        lengths = np.array([len(codes[i]) for i in self.order])
-        self.steps = int(lengths[0]) if len(lengths) else 0
+    def __init__(self, codes: list[np.ndarray], starts: np.ndarray, into: np.ndarray, after: np.ndarray):
+        """In the order of the lengths; starts tells which rows begin a text."""
+        lengths = np.array([len(c) for c in codes])
+        self.starts, self.into, self.after = starts, into, after
+        self.steps = int(lengths[0])
         self.active = np.searchsorted(-lengths, -np.arange(self.steps), side="left")
         self.first = np.concatenate(([0], np.cumsum(self.active)))
         self.tokens = np.empty(int(self.first[-1]), np.uint16)
-        for row, i in enumerate(self.order):
-            self.tokens[self.first[: len(codes[i])] + row] = codes[i]
+        for row, c in enumerate(codes):
+            self.tokens[self.first[: len(c)] + row] = c
 
     def _spans(self) -> list[tuple[int, int]]:
         return list(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True))
 
+    def products(self, model: dict) -> np.ndarray:
+        """Of each row the product of its steps' matrices, each a transition (but none into a text's first token) and an
+        emission; scaled, as only directions count."""
+        E, A = np.ascontiguousarray(model["emit"].T), model["trans"]
+        states = len(A)
+        P = np.tile(np.eye(states), (len(self.starts), 1, 1))
+        for t, (a, b) in enumerate(self._spans()):
+            k = b - a
+            e = E.take(self.tokens[a:b], axis=0)[:, None, :]
+            if t:
+                np.multiply((P[:k].reshape(-1, states) @ A).reshape(k, states, states), e, out=P[:k])
+            else:
+                P[:k] = np.where(self.starts[:k, None, None], np.eye(states), A) * e
+            # eight emissions stay far within the range of numbers
+            if t % 8 == 7:
+                P[:k] /= P[:k].sum((1, 2), keepdims=True)
+        return P / P.sum((1, 2), keepdims=True)
+
     def forward(self, model: dict, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-        """Natural log likelihood of each text (in its given order), the scaled forward vectors and the scales."""
+        """Natural log likelihood of each row given what enters it, the scaled forward vectors and the scales."""
         E, A = np.ascontiguousarray(model["emit"].T), model["trans"]
         ones = np.ones(len(A))
         every = np.empty((len(self.tokens), len(A))) if keep else None
         scales = np.empty(len(self.tokens))
         v = None
         for a, b in self._spans():
-            v = E.take(self.tokens[a:b], axis=0) * model["start"] if v is None else v[: b - a] @ A * E.take(self.tokens[a:b], axis=0)
+            before = np.where(self.starts[:, None], model["start"], self.into @ A) if v is None else v[: b - a] @ A
+            v = before * E.take(self.tokens[a:b], axis=0)
             z = np.dot(v, ones, out=scales[a:b])
             v /= z[:, None]
             if keep:
                 every[a:b] = v
         logs = np.log(scales)
-        logp = np.zeros(len(self.order))
+        logp = np.zeros(len(self.starts))
         for a, b in self._spans():
             logp[: b - a] += logs[a:b]
-        out = np.empty(len(self.order))
-        out[self.order] = logp
-        return out, every, scales
+        return logp, every, scales
 
     def expected(self, model: dict) -> dict:
-        """Expected counts of starts, transitions and emissions (forward-backward), and the texts' log likelihood. With
+        """Expected counts of starts, transitions and emissions (forward-backward), and the rows' log likelihood. With
         both recursions scaled alike, a token's forward and backward vectors multiply to its states' probabilities."""
         logp, gamma, z = self.forward(model, keep=True)
         E, A = np.ascontiguousarray(model["emit"].T), model["trans"]
@@ -144,9 +166,12 @@ class Chains:
         start, trans = np.zeros(states), np.zeros_like(A)
         after, w = None, None
         for a, b in reversed(self._spans()):
-            beta = np.ones((b - a, states))
-            if after is not None:
-                m = len(after)
+            beta = np.empty((b - a, states))
+            m = 0 if after is None else len(after)
+            # rows that end here
+            beta[m:] = self.after[m : b - a]
+            beta[m:] /= (gamma[a + m : b] * beta[m:]).sum(1, keepdims=True)
+            if m:
                 trans += gamma[a : a + m].T @ w
                 np.matmul(w, back, out=beta[:m])
             w = E.take(self.tokens[a:b], axis=0)
@@ -154,28 +179,72 @@ class Chains:
             w /= z[a:b, None]
             gamma[a:b] *= beta
             after = beta
-        if self.steps:
-            start += gamma[: self.active[0]].sum(0)
+        start += gamma[: self.active[0]][self.starts].sum(0)
+        trans += self.into[~self.starts].T @ w[~self.starts]
         emit = np.stack([np.bincount(self.tokens, weights=gamma[:, s], minlength=CLASSES + 1) for s in range(states)])
         return {"start": start, "trans": trans * A, "emit": emit, "logp": logp.sum()}
 
 
-def maximized(counts: dict, mass: np.ndarray) -> dict:
-    """The parameters that the expected counts give; a state keeps one token's weight of the classes' overall shares."""
-    share = mass / mass.sum()
-    emit = counts["emit"] + share + 1e-3 * share * counts["emit"].sum(1, keepdims=True)
-    return {
-        "start": (counts["start"] + 1) / (counts["start"] + 1).sum(),
-        "trans": (counts["trans"] + 1) / (counts["trans"] + 1).sum(1, keepdims=True),
-        "emit": emit / emit.sum(1, keepdims=True),
-    }
+class Chains:
+    """Texts as rows that advance together. A text of over CUT tokens is cut into lanes of LANE, and the products of the
+    lanes' matrices tell what enters each from either side, so that all lanes advance together and every sum is that of
+    the whole text. Rows go in blocks of about BLOCK tokens, which bounds what is held for a text of any length."""
 
+    def __init__(self, codes: list[np.ndarray]):
+        self.texts = len(codes)
+        rows = [(i, a, c[a : a + size]) for i, c in enumerate(codes) for size in (LANE if len(c) > CUT else max(len(c), 1),) for a in range(0, len(c), size)]
+        self.text = np.array([i for i, _, _ in rows], int)
+        self.starts = np.array([a == 0 for _, a, _ in rows], bool)
+        self.rows = [c for _, _, c in rows]
+
+    def _blocks(self, at: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows at, longest first, in blocks."""
+        size = np.array([len(self.rows[i]) for i in at], int)
+        order = np.argsort(-size, kind="stable")
+        cut = np.cumsum(size[order]) // BLOCK
+        for part in np.split(at[order], np.flatnonzero(np.diff(cut)) + 1) if len(at) else ():
+            yield part
+
+    def _ends(self, model: dict) -> tuple[np.ndarray, np.ndarray]:
+        """What enters each row: the states before it, and the direction of the backward vector after it."""
+        states = len(model["trans"])
+        into, after = np.zeros((len(self.rows), states)), np.ones((len(self.rows), states))
+        cut = np.flatnonzero(~self.starts | np.append(~self.starts[1:], False))
+        P = np.empty((len(self.rows) if len(cut) else 0, states, states))
+        for part in self._blocks(cut):
+            P[part] = self._lanes(part, into, after).products(model)
+        v = None
+        for i in cut.tolist():
+            if not self.starts[i]:
+                into[i] = v
+            v = (model["start"] if self.starts[i] else v) @ P[i]
+            v = v / v.sum()
+        for i in cut[::-1].tolist():
+            if not self.starts[i]:
+                r = P[i] @ after[i]
+                after[i - 1] = r / r.sum()
+        return into, after
+
+    def _lanes(self, part: np.ndarray, into: np.ndarray, after: np.ndarray) -> Lanes:
+        return Lanes([self.rows[i] for i in part], self.starts[part], into[part], after[part])
+
+    def log_likelihood(self, model: dict) -> np.ndarray:
+        """Natural, of each text."""
+        into, after = self._ends(model)
+        out = np.zeros(self.texts)
+        for part in self._blocks(np.arange(len(self.rows))):
+            np.add.at(out, self.text[part], self._lanes(part, into, after).forward(model)[0])
+        return out
 
-def initial(mass: np.ndarray, states: int, seed: int = 5) -> dict:
-    rng = np.random.default_rng(seed)
-    emit = mass / mass.sum() * rng.uniform(0.5, 1.5, (states, len(mass)))
-    trans = np.full((states, states), 0.2 / max(1, states - 1)) + np.eye(states) * (0.8 - 0.2 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
-    return {"start": np.full(states, 1 / states), "trans": trans / trans.sum(1, keepdims=True), "emit": emit / emit.sum(1, keepdims=True)}
+    def expected(self, model: dict) -> dict:
+        """Expected counts over all texts, and their log likelihood."""
+        into, after = self._ends(model)
+        states = len(model["trans"])
+        total = {"start": np.zeros(states), "trans": np.zeros((states, states)), "emit": np.zeros((states, CLASSES + 1)), "logp": 0.0}
+        for part in self._blocks(np.arange(len(self.rows))):
+            for k, x in self._lanes(part, into, after).expected(model).items():
+                total[k] = total[k] + x
+        return total
 
 
 def _codes(column: pa.Array) -> list[np.ndarray]:
@@ -195,6 +264,24 @@ def _unflat(x: np.ndarray, states: int) -> dict:
     return {"start": x[:a], "trans": x[a:b].reshape(states, states), "emit": x[b:-1].reshape(states, CLASSES + 1), "logp": float(x[-1])}
 
 
+def maximized(counts: dict, mass: np.ndarray) -> dict:
+    """The parameters that the expected counts give; a state keeps one token's weight of the classes' overall shares."""
+    share = mass / mass.sum()
+    emit = counts["emit"] + share + 1e-3 * share * counts["emit"].sum(1, keepdims=True)
+    return {
+        "start": (counts["start"] + 1) / (counts["start"] + 1).sum(),
+        "trans": (counts["trans"] + 1) / (counts["trans"] + 1).sum(1, keepdims=True),
+        "emit": emit / emit.sum(1, keepdims=True),
+    }
+
+
+def initial(mass: np.ndarray, states: int, seed: int = 5) -> dict:
+    rng = np.random.default_rng(seed)
+    emit = mass / mass.sum() * rng.uniform(0.5, 1.5, (states, len(mass)))
+    trans = np.full((states, states), 0.2 / max(1, states - 1)) + np.eye(states) * (0.8 - 0.2 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
+    return {"start": np.full(states, 1 / states), "trans": trans / trans.sum(1, keepdims=True), "emit": emit / emit.sum(1, keepdims=True)}
+
+
 def baum_welch_round(encoded: DataFrame, model: dict) -> dict:
     """Expected counts over all rows: each task sums those of its texts, and their sum is one vector of fixed
     length."""
@@ -278,7 +365,7 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
         m, lm = shared.value
         for batch in _slices(batches):
             codes = _codes(batch.column(0))
-            logp = Chains(codes).forward(m)[0] / math.log(10) - np.array([lm[c].sum() for c in codes])
+            logp = Chains(codes).log_likelihood(m) / math.log(10) - np.array([lm[c].sum() for c in codes])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logp)], names=[*kept, "chain"])
 
     kinds = dict(encoded.dtypes)
