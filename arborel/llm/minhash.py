@@ -138,6 +138,41 @@ def _close_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return meeting.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _asked_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(family, a, b): pairs of close signatures, of which a is not linked yet, each under its first common key only. Rows
+    of one block meet where both blocks are it, those of two where these two meet."""
+    part, whole = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in grouped(batches, ["key", "bi", "bj"]):
+            S = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            n, tag, own, linked = t.column("n").to_numpy(), t.column("key").to_numpy() & 63, t.column("own").to_numpy(), t.column("linked").to_numpy(zero_copy_only=False)
+            crossed = t.column("bi").to_numpy() != t.column("bj").to_numpy()
+            left, right = [], []
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                asks = x + np.flatnonzero(~linked[x:y])
+                rows = np.arange(x, y)
+                for a in np.array_split(asks, -(-len(asks) // 64)) if len(asks) else ():
+                    fits = part * np.maximum(n[a][:, None], n[rows]) <= whole * np.minimum(n[a][:, None], n[rows])
+                    # of two that are not linked the first asks
+                    fits &= linked[rows] | (a[:, None] < rows)
+                    if crossed[x]:
+                        fits &= own[a][:, None] != own[rows]
+                    i, j = np.nonzero(fits)
+                    for k in range(0, len(i), 50_000):
+                        q, r = a[i[k : k + 50_000]], rows[j[k : k + 50_000]]
+                        wrong = S[q] != S[r]
+                        ok = (wrong.sum(1) <= MOST_ERRORS) & (_first_key(wrong) == tag[q])
+                        left.append(q[ok])
+                        right.append(r[ok])
+            ids, family = t.column("id").combine_chunks(), t.column("family").combine_chunks()
+            a, b = (np.concatenate(z) if z else np.zeros(0, int) for z in (left, right))
+            yield pa.RecordBatch.from_arrays([family.take(pa.array(a)), ids.take(pa.array(a)), ids.take(pa.array(b))], names=["family", "a", "b"])
+
+    kind = dict(meeting.dtypes)["id"]
+    return meeting.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, f"family {kind}, a {kind}, b {kind}")
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "text", 2 << 20):
@@ -197,13 +232,25 @@ def _block(key: Column, blocks: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), blocks).cast("int")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """rows (id, n, sig, further columns) by their keys that others have too, with key, own (a block of the key's rows) and
+    bi and bj, a pair of blocks that meets."""
+    keys = _keyed(rows)
+    shared = dealt(keys.groupBy("key").count().where("count > 1"))
+    met = keys.join(shared, "key").join(rows, "id").withColumn("blocks", F.ceil(F.col("count") / KEY_BLOCK).cast("int"))
+    met = met.withColumn("own", _block(F.col("id"), F.col("blocks"), "key")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("count", "blocks", "other")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """id_col, n_shingles, component_id and kept of every row of docs.
 
     Documents are linked if whole * |A and B| >= part * |A or B| for their sets of distinct shingles of width words;
     component_id is the smallest id that links reach, kept whether it is the row's own. Copies of a set become one
     first. Candidates are joined by their signatures' chunks; connected candidates form families. Each member is
-    compared with its family's first document; only members without this link are compared with the others. What a key
+    compared with its family's first document; only members without this link are compared with others: with those whose
+    signatures are close, or, where these pairs are so many that it is less work, with all of the family, block by block.
+    What a key
     or a family adds up to is dealt out anew before it meets the rows it comes from, so that joins shuffle both sides
     and Spark can split a large one.
 
@@ -214,12 +261,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     signed = stored(_signed(docs, id_col, text_col, width))
     reps = stored(signed.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    keys = _keyed(reps)
-    shared = dealt(keys.groupBy("key").count().where("count > 1"))
-    blocks = F.ceil(F.col("count") / KEY_BLOCK).cast("int")
-    met = keys.join(shared, "key").join(reps.select("id", "n", "sig"), "id").withColumn("blocks", blocks)
-    met = met.withColumn("own", _block(F.col("id"), F.col("blocks"), "key")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "n", "sig")
+    met = _met(reps.select("id", "n", "sig"))
     families = stored(connected_components(_close_pairs(met, similarity)).toDF("id", "family"))
 
     # families grow with the corpus: this join is a shuffle at every size
@@ -233,9 +275,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tried = stored(tried.repartition("id").groupBy("id", "family").agg(F.max("linked").alias("linked")))
     links = tried.where("linked and id <> family").select(F.col("id").alias("a"), F.col("family").alias("b"))
 
+    blocks = lambda c: F.ceil(F.col(c) / FAMILY_BLOCK).cast("int")
     open_ = tried.groupBy("family").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("askers")).where("askers > 0 and members > 2")
-    rest = sets.join(tried.join(dealt(open_), "family"), ["id", "family"])
-    rest = rest.withColumn("ask_blocks", F.ceil(F.col("askers") / FAMILY_BLOCK).cast("int")).withColumn("all_blocks", F.ceil(F.col("members") / FAMILY_BLOCK).cast("int"))
+    open_ = stored(open_.withColumns({"ask_blocks": blocks("askers"), "all_blocks": blocks("members")}))
+    opened = stored(tried.join(dealt(open_.select("family")), "family"))
+    pairs = stored(_asked_pairs(_met(reps.select("id", "n", "sig").join(opened, "id")), similarity))
+    # sets that are sent, by pairs and by blocks
+    counts = pairs.groupBy("family").agg(F.count("*").alias("pairs"))
+    open_ = open_.join(counts, "family", "left").withColumn("by_pairs", 2 * F.coalesce("pairs", F.lit(0)) <= F.col("members") * F.col("ask_blocks") + F.col("askers") * F.col("all_blocks"))
+    open_ = stored(open_)
+    mine = lambda side: sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}"))
+    few = pairs.join(dealt(open_.where("by_pairs").select("family")), "family").select("a", "b")
+    few = few.join(mine("a"), "a").join(mine("b"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    links = links.union(few.where(whole * F.col("common") >= part * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
+
+    rest = sets.join(opened.join(dealt(open_.where("not by_pairs")), "family"), ["id", "family"])
     answers = rest.select("id", "family", "n", "shingles", "linked", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("bi"), _block(F.col("id"), F.col("all_blocks"), "all").alias("bj"))
     asks = rest.where("not linked").select("id", "family", "n", "shingles", "linked", F.lit(True).alias("asks"), _block(F.col("id"), F.col("ask_blocks"), "ask").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("bj"))
     links = links.unionByName(_rest_links(answers.unionByName(asks), similarity))

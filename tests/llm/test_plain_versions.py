@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborel.llm import hmm, langid, mixing, pii, shingles, toxicity
+from arborel.llm import hmm, langid, minhash, mixing, pii, shingles, toxicity
 from arborel.llm.minhash import keep_one
 from arborel.llm.packing import pack
 
@@ -355,3 +355,43 @@ def test_one_of_the_rows_of_an_id_stays_whatever_their_order(spark):
     for order in (rows, rows[::-1]):
         got = keep_one(spark.createDataFrame(order, "doc_id long, text string, extra string").repartition(2)).collect()
         assert sorted(map(tuple, got)) == [(1, "a c", "y"), (2, None, "q")]
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+def test_a_chain_of_documents_takes_work_in_proportion(spark, monkeypatch):
+    """2,000 documents, each near the next only: one component, by a few pairs of each document and no blocks of all."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000 * 8 + 200)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(2000) if i not in (700, 701)] + [(5000, " ".join(reversed(words)))]
+    seen = {}
+    for name in ("_asked_pairs", "_rest_links"):
+        made = getattr(minhash, name)
+        monkeypatch.setattr(minhash, name, lambda df, s, name=name, made=made: seen.update({name: (df.count(), made(df, s).count())}) or made(df, s))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=4).collect()}
+    assert got == {i: 0 if i < 700 else 5000 if i == 5000 else 702 for i, _ in rows}
+    assert 1_900 < seen["_asked_pairs"][1] < 2_000 * 10 and seen["_rest_links"][0] == 0
+
+
+@pytest.mark.parametrize("block", [minhash.KEY_BLOCK, 5])
+def test_dense_families_go_by_blocks_and_lose_no_link(spark, monkeypatch, block):
+    """Texts of one template: most are close to all others, few are linked."""
+    monkeypatch.setattr(minhash, "KEY_BLOCK", block)
+    rng = random.Random(10)
+    form = [text(rng, 60) for _ in range(4)]
+    rows = []
+    for i in range(160):
+        w = form[i % 4].split(" ")
+        for _ in range(rng.choice([1, 2, 4, 5])):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split(" ")[j : j + 4]) for j in range(57)} for _, t in rows]
+    low = list(range(160))
+    for _ in range(8):
+        for a in range(160):
+            for b in range(160):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == dict(enumerate(low)) and 4 < len(set(low)) < 150
