@@ -3,15 +3,17 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborel.llm import hmm, langid, minhash, mixing, pii, shingles, toxicity
+from arborel.llm import hmm, langid, minhash, mixing, pii, shingles, topics, toxicity
 from arborel.llm.minhash import keep_one
 from arborel.llm.packing import pack
 
@@ -26,29 +28,65 @@ def text(rng, n):
 # ---------------------------------------------------------------- language model
 
 
-def test_language_model_score_is_the_plain_forward_sum(spark, monkeypatch):
-    rng = random.Random(2)
-    rows = [(i, text(rng, rng.randint(0, 40)) or None) for i in range(120)] + [(500, "unseen words ONLY"), (501, "the " * 9000)]
-    models = []
-    trained = hmm.trained
-    monkeypatch.setattr(hmm, "trained", lambda *a: models.append(trained(*a)) or models[-1])
-    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 7 == 2, states=3, known_words=10).collect()
+def check_language_model(got, texts, held_out, models):
+    """Rows of hmm.score against one step for each token, with the model that was trained."""
     m = models[-1]
     words = lambda t: [*TOKEN.findall((t or "").encode().lower()), hmm.END]
-    counts = Counter(w for i, t in rows if i % 7 != 2 for w in words(t))
+    counts = Counter(w for i, t in texts.items() if not held_out(i) for w in words(t))
     mass = np.ones(hmm.CLASSES + 1)
     for w, c in counts.items():
         mass[hmm.word_class(w)] += c + 1
-    texts = dict(rows)
-    assert len(got) == len(rows)
+    n, v = sum(counts.values()), len(counts)
+    assert len(got) == len(texts)
     for r in got:
-        total, v = 0.0, m["start"]
-        for t, w in enumerate(words(texts[r.doc_id])):
+        own = words(texts[r.doc_id])
+        total, state = 0.0, m["start"]
+        for t, w in enumerate(own):
             k = hmm.word_class(w)
-            v = (v if t == 0 else v @ m["trans"]) * m["emit"][:, k]
-            total += math.log10(v.sum()) + math.log10((counts[w] + 1) / mass[k])
-            v = v / v.sum()
-        assert math.isclose(r.score, total, rel_tol=1e-9)
+            state = (state if t == 0 else state @ m["trans"]) * m["emit"][:, k]
+            total += math.log10(state.sum()) + math.log10((counts[w] + 1) / mass[k])
+            state = state / state.sum()
+        assert math.isclose(r.score, total, rel_tol=1e-9) and (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in counts for w in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9) and r.held_out == held_out(r.doc_id)
+
+
+def test_language_model_score_is_the_plain_forward_sum(spark, monkeypatch):
+    """Also of texts that are cut into lanes."""
+    rng = random.Random(2)
+    rows = [(i, text(rng, rng.randint(0, 40)) or None) for i in range(120)] + [(500, "unseen words ONLY"), (501, "the " * 9000), (502, text(rng, 5000))]
+    models = []
+    trained = hmm.trained
+    monkeypatch.setattr(hmm, "trained", lambda *a: models.append(trained(*a)) or models[-1])
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 7 == 2, states=3, known_words=10).collect()
+    check_language_model(got, dict(rows), lambda i: i % 7 == 2, models)
+
+
+def test_lanes_give_the_sums_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = hmm.initial(rng.uniform(1, 5, hmm.CLASSES + 1), 4)
+    codes = [rng.integers(0, hmm.CLASSES + 1, n).astype(np.uint16) for n in (1, 60, 500, 7, 14, 0, 21, 333)]
+    whole = hmm.Chains(codes)
+    want, logp = whole.expected(model), whole.log_likelihood(model)
+    for cut, lane, block in ((20, 7, 50), (6, 7, 10_000), (20, 1, 13)):
+        monkeypatch.setattr(hmm, "CUT", cut)
+        monkeypatch.setattr(hmm, "LANE", lane)
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        got = hmm.Chains(codes)
+        assert max(map(len, got.rows)) <= max(cut, lane) and np.allclose(got.log_likelihood(model), logp, rtol=1e-10)
+        assert all(np.allclose(x, want[k], rtol=1e-9, atol=1e-12) for k, x in got.expected(model).items())
+
+
+def test_one_long_text_takes_about_as_long_as_many_short_ones():
+    rng = np.random.default_rng(4)
+    model = hmm.initial(rng.uniform(1, 5, hmm.CLASSES + 1), hmm.STATES)
+    tokens = rng.integers(0, hmm.CLASSES, 400_000).astype(np.uint16)
+
+    def seconds(codes):
+        began = time.perf_counter()
+        hmm.Chains(codes).expected(model)
+        return time.perf_counter() - began
+
+    assert min(seconds([tokens]) for _ in range(3)) < 5 * min(seconds(list(tokens.reshape(1000, 400))) for _ in range(3))
 
 
 # ---------------------------------------------------------------- toxicity
@@ -132,31 +170,32 @@ def test_long_texts_by_stretches():
 # ---------------------------------------------------------------- languages
 
 
+def plain_language(model, t):
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in ("  " + t + "    ").encode())
+    z, n = np.zeros(len(model["langs"])), 0
+    for a in range(len(raw) - 3):
+        for order in (2, 3, 4):
+            g = raw[a : a + order]
+            if g.count(32) > 1 or a >= len(raw) - 4 - 1 + 2:
+                continue
+            h = 0x9E3779B1 * order & 0xFFFFFFFF
+            for b in g:
+                h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+            h ^= h >> 15
+            z, n = z + model["P"][(h * 0x85EBCA6B & 0xFFFFFFFF) >> 17], n + 1
+    z = (z / max(n, 1) + model["b"]) * model["t"]
+    p = np.exp(z - z.max())
+    return model["langs"][int(p.argmax())], float(p.max() / p.sum())
+
+
 def test_languages_are_those_of_a_plain_version(spark):
     rng = random.Random(5)
     made = [(i, text(rng, 30) if i % 2 else " ".join(rng.choice(["eau", "oû", "aire"]) + rng.choice(["é", "ment", "ch"]) for _ in range(30)), "en" if i % 2 else "fr") for i in range(200)]
     df = spark.createDataFrame(made, "doc_id long, text string, lang string")
     model = langid.fit(df)
 
-    def plain(t):
-        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in ("  " + t + "    ").encode())
-        z, n = np.zeros(len(model["langs"])), 0
-        for a in range(len(raw) - 3):
-            for order in (2, 3, 4):
-                g = raw[a : a + order]
-                if g.count(32) > 1 or a >= len(raw) - 4 - 1 + 2:
-                    continue
-                h = 0x9E3779B1 * order & 0xFFFFFFFF
-                for b in g:
-                    h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-                h ^= h >> 15
-                z, n = z + model["P"][(h * 0x85EBCA6B & 0xFFFFFFFF) >> 17], n + 1
-        z = (z / max(n, 1) + model["b"]) * model["t"]
-        p = np.exp(z - z.max())
-        return model["langs"][int(p.argmax())], float(p.max() / p.sum())
-
     for r in langid.predict(df.select("doc_id", "text"), model).where("doc_id < 40").collect():
-        lang, score = plain(made[r.doc_id][1])
+        lang, score = plain_language(model, made[r.doc_id][1])
         assert r.lang_pred == lang and abs(r.score - score) < 0.02
 
 
@@ -208,6 +247,43 @@ def plain_raking(tokens, keys, exponents, kept):
     return now, goals
 
 
+def plain_topic(model, t):
+    """The largest sum of a text's words over the topics' weights."""
+    z = np.zeros(0 if model is None else model["centres"].shape[1])
+    for w in TOKEN.findall((t or "").encode()):
+        z = z + (model["centres"][int(shingles.word_hashes([w])[1][0]) % topics.DIMS] if len(z) else 0)
+    return f"t{int(z.argmax())}" if len(z) and z.max() > 0 else topics.NO_TOPIC
+
+
+def plain_mixing(rows, model):
+    """Of rows (id, text, source, lang): (cell, tokens, probability, draw) of each, by plain raking."""
+    cells = [(s or mixing.NONE, g or mixing.NONE, plain_topic(model, t)) for _, t, s, g in rows]
+    size = [len(TOKEN.findall((t or "").encode())) for _, t, _, _ in rows]
+    tokens = Counter()
+    for c, n in zip(cells, size, strict=True):
+        tokens[c] += n
+    now, _ = plain_raking({c: n for c, n in tokens.items() if n}, None, (0.7, 0.8, 0.9), 0.7)
+    draw = lambda i: xxhash.xxh64(b"mix", seed=xxhash.xxh64(b"" if i is None else str(i).encode(), seed=42).intdigest()).intdigest() % (1 << 30) / (1 << 30)
+    return [(c, n, now[c] / tokens[c] if tokens[c] else 0.0, draw(i)) for (i, *_), c, n in zip(rows, cells, size, strict=True)]
+
+
+def test_topics_are_clusters_of_words(spark):
+    rng = random.Random(12)
+    lists = [[f"{k}{i}" for i in range(60)] for k in "abc"]
+    rows = [(i, " ".join([*rng.choices(lists[i % 3], k=30), *["common"] * 5])) for i in range(300)] + [(900, None), (901, ""), (902, " \n"), (903, "common"), (904, "absent")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, topic int, `a.b` string").repartition(3)
+    model = topics.fit(df, topics=3)
+    got = topics.with_topics(df, model)
+    assert got.columns == ["doc_id", "text", "a.b", "n_tokens", "topic"] and topics.with_topics(df, model, keep_text=False).columns == ["doc_id", "a.b", "n_tokens", "topic"]
+    found = {r.doc_id: r for r in got.collect()}
+    assert {i: r.topic for i, r in found.items()} == {i: plain_topic(model, t) for i, t in rows}
+    assert all(len({found[i].topic for i in range(k, 300, 3)}) == 1 for k in range(3)) and len({found[i].topic for i in range(3)}) == 3
+    assert [found[i].topic for i in (900, 901, 902)] == [topics.NO_TOPIC] * 3 and [found[i].n_tokens for i in (900, 903, 0)] == [0, 1, 35]
+    assert topics.fit(df.where("doc_id in (900, 901)")) is None and topics.fit(df.where("false")) is None
+    assert {r.topic for r in topics.with_topics(df, None).collect()} == {topics.NO_TOPIC}
+    assert topics.train([(np.array([1]), np.array([2]))] * 3) is None
+
+
 @pytest.mark.parametrize("held", [mixing.HELD_CELLS, 0])
 def test_bounded_mixing_is_plain_raking_and_its_sample_meets_the_targets(spark, monkeypatch, held):
     monkeypatch.setattr(mixing, "HELD_CELLS", held)
@@ -324,8 +400,12 @@ def test_stages_are_the_plain_ones_on_hard_rows(spark, tmp_path, toxic_rows):
         assert r.text == want and r.n_chars == (len(want) if want != before[i].text else before[i].n_chars) and r.found == before[i].found
 
     four = taken(corpus_pipeline.mixed(spark, three, sf))
-    chance = {r.doc_id: r.sampled for r in mixing.mix(three.drop("topic"), bounded=True).collect()}
-    assert four.dtypes == columns and Counter(map(tuple, four.collect())) == Counter(tuple(r) for r in three.collect() if chance[r.doc_id])
+    kept = three.collect()
+    plain = plain_mixing([(r.doc_id, r.text, r.source, r.lang) for r in kept], topics.fit(three))
+    sure = [(r, draw < p) for r, (_, _, p, draw) in zip(kept, plain, strict=True) if abs(draw - p) > 1e-3]
+    sampled = Counter(map(tuple, four.collect()))
+    assert four.dtypes == columns and len(sure) > 0.9 * len(kept) and all((tuple(r) in sampled) == taken for r, taken in sure)
+    assert sum(sampled.values()) <= sum(taken for _, taken in sure) + len(kept) - len(sure) and {taken for _, taken in sure} == {True, False}
 
     from tokenizers import Tokenizer
     import public_tokenizers
