@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from arborel.functions.languages import known_language
 
 RULE = "id string, language string, type string, query string, message string, capture string, regex string, scope_query string, severity string, analyzer string"
+#: Entries of a category that one row holds, about.
+PAGE = 10_000
 #: Metadata stays text until it is normalized: its values are single or lists.
 SCHEMA = f"id string, kind string, language string, title string, guideline string, metadata string, rule struct<{RULE.replace(' string', ':string')}>, good_example string, bad_example string"
 
@@ -71,18 +73,25 @@ def export(entries: DataFrame) -> DataFrame:
 
 
 def exported_groups(entries: DataFrame, path: str, *, category: str = "category") -> bool:
-    """[I13] One JSON text for each category under path, the largest first, with its entries in order of their ids; false,
-    and nothing is written, if an entry has an error."""
+    """[I13] One JSON text for each page of a category under path, the largest category first, with its entries in order of
+    their ids; false, and nothing is written, if an entry has an error."""
     if not entries.where("error is not null").isEmpty():
         return False
-    groups(entries, category=category).select(F.to_json(F.struct("slug", "count", "languages", "entries")).alias("value"), "count", "slug").orderBy(F.desc("count"), "slug").select("value").write.mode("overwrite").text(path)
+    rows = groups(entries, category=category)
+    rows.select(F.to_json(F.struct("slug", "page", "pages", "count", "languages", "entries")).alias("value"), "count", "slug", "page").orderBy(F.desc("count"), "slug", "page").select("value").write.mode("overwrite").text(path)
     return True
 
 
 def groups(entries: DataFrame, *, category: str = "category") -> DataFrame:
-    """[C9, I14] (slug, count, rules, patterns, languages, entries) of each category of the metadata; entries without one, or
-    with an empty list of them, are uncategorized."""
+    """[C9, I14] (slug, page, pages, count, rules, patterns, languages, entries) of each category of the metadata; entries
+    without one, or with an empty list of them, are uncategorized. A category of over PAGE entries goes on several pages
+    of about that many, dealt by a hash of their ids, so that none has to fit a task as a whole."""
     slug = F.coalesce(F.nullif(F.get(F.col("meta")[category], F.lit(0)), F.lit("")), F.lit("uncategorized"))
     row = F.struct("id", "kind", "language", "title", "guideline", "good_example", "bad_example")
-    per = entries.groupBy(slug.alias("slug")).agg(F.count("*").alias("count"), F.count_if(F.col("kind") == "rule").alias("rules"), F.count_if(F.col("kind") == "pattern").alias("patterns"), F.array_sort(F.collect_set("language")).alias("languages"), F.array_sort(F.collect_list(row)).alias("entries"))
-    return per
+    of = entries.select(slug.alias("slug"), row.alias("entry"))
+    per = of.groupBy("slug").agg(F.count("*").alias("count"), F.count_if(F.col("entry.kind") == "rule").alias("rules"), F.count_if(F.col("entry.kind") == "pattern").alias("patterns"), F.array_sort(F.collect_set("entry.language")).alias("languages"))
+    per = per.withColumn("pages", F.ceil(F.col("count") / PAGE).cast("int"))
+    # dealt out anew, so that the join can split a category of very many entries
+    own = per.select("slug", "pages").repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    paged = of.join(own, "slug").groupBy("slug", F.pmod(F.xxhash64("entry.id"), F.col("pages")).cast("int").alias("page")).agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    return paged.join(per, "slug").select("slug", "page", "pages", "count", "rules", "patterns", "languages", "entries")

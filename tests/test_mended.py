@@ -52,6 +52,18 @@ def test_empty_lists_in_convention_files(spark, tmp_path):
     assert conventions.exported_groups(found, str(tmp_path / "out")) and spark.read.text(str(tmp_path / "out")).count() == 2
 
 
+def test_large_categories_go_on_pages(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(conventions, "PAGE", 7)
+    entries = [{"id": f"e{i:03}", "language": "py", "good_example": "x", "metadata": {"category": "big" if i < 90 else "small"}} for i in range(95)]
+    (tmp_path / "x.json").write_text(json.dumps(entries))
+    found = conventions.quarantined(conventions.read(spark, str(tmp_path)))
+    got = conventions.groups(found).collect()
+    big = [r for r in got if r.slug == "big"]
+    assert {(r["count"], r.pages) for r in big} == {(90, 13)}
+    assert len(big) > 6 and sorted(e.id for r in big for e in r.entries) == [f"e{i:03}" for i in range(90)]
+    assert all([e.id for e in r.entries] == sorted(e.id for e in r.entries) for r in big) and len([r for r in got if r.slug == "small"]) == 1
+
+
 NAN, INF = float("nan"), float("inf")
 VECTORS = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [NAN, 1.0]), (3, [None, 1.0]), (4, [1.0, -INF]), (5, None), (6, []), (7, [1.0]), (8, [-1.0, 0.0]), (None, [1.0, 1.0]), (9, [0.5, 0.5])]
 
