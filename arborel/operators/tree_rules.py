@@ -97,7 +97,8 @@ def violations(nodes: DataFrame, pages: DataFrame, rules: list[TreeRule], id_col
     (id, dialect); rules hold for pages of their dialects, unless these cannot hold them. pre is 0 for what is missing in
     a whole tree. An analysis gets the nodes of all pages at once and reasons within each."""
     spark = nodes.sparkSession
-    out = [spark.createDataFrame([], "rule_id string, message string, severity string, pre int, type string, snippet string").crossJoin(pages.where("false").select(id_col))]
+    none = F.lit("")
+    out = [pages.where("false").select(id_col, none.alias("rule_id"), none.alias("message"), none.alias("severity"), F.lit(0).alias("pre"), none.alias("type"), none.alias("snippet"))]
     text = lambda node: F.substring(node["text"], 1, SNIPPET).alias("snippet")
     for r in rules:
         own = [F.lit(r.id).alias("rule_id"), F.lit(r.message).alias("message"), F.lit(r.severity).alias("severity")]
@@ -110,8 +111,7 @@ def violations(nodes: DataFrame, pages: DataFrame, rules: list[TreeRule], id_col
             continue
         found = matches(nodes, id_col, r.pattern)
         if r.type == "require":
-            none = [F.lit(0).alias("pre"), F.lit("").alias("type"), F.lit("").alias("snippet")]
-            out.append(pages.join(found, id_col, "left_anti").select(id_col, *own, *none))
+            out.append(pages.join(found, id_col, "left_anti").select(id_col, *own, F.lit(0).alias("pre"), none.alias("type"), none.alias("snippet")))
             continue
         if r.type == "require_in":
             found = within(nodes, matches(nodes, id_col, r.scope), found, id_col)

@@ -416,16 +416,45 @@ def g3_review(spark, sf_dir):
     return got.select("doc_id", "violations", F.md5("fix").alias("fix_md5"), "fix_violations", "fix_verified")
 
 
-def g6_review_prompts(spark, sf_dir):
-    """Prompts for a review: each document with what was found and the rules of its language."""
+def _found_and_rules(spark, sf_dir):
+    """Documents with what was found in them and the rules of their language, as hits."""
     docs, found = _violations(spark, sf_dir, ("forbid", "require"))
     row = F.struct("start_line", "start_col", "rule_id", "message", "snippet")
     per = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("found"))
-    hit = lambda r: F.struct(F.lit("rule").alias("kind"), F.lit(r.id).alias("id"), F.lit(r.message).alias("title"), F.lit(r.severity).alias("guideline"), F.lit("").alias("example"), F.lit("").alias("language"), F.lit(1.0).alias("score"))
-    hits = F.array_compact(F.array(*(F.when(F.lit(r.language is None) | (F.col("lang") == (r.language or "")), hit(r)) for r in sorted(RULES, key=lambda r: r.id))))
-    prompt = prompts.review(F.coalesce("text", F.lit("")), F.col("lang"), F.col("found"), hits, F.when(F.col("source") == "src1", F.lit("shorter")))
-    of = docs.join(per, "doc_id", "left").join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
-    return of.select("doc_id", F.md5(prompt).alias("prompt_md5"), F.length(prompt).cast("long").alias("n"))
+    hits = F.array_compact(F.array(*(F.when(F.lit(r.language is None) | (F.col("lang") == (r.language or "")), _rule_hit(r)) for r in sorted(RULES, key=lambda r: r.id))))
+    return docs.join(per, "doc_id", "left").join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id").withColumn("hits", hits)
+
+
+def _rule_hit(r):
+    return F.struct(F.lit("rule").alias("kind"), F.lit(r.id).alias("id"), F.lit(r.message).alias("title"), F.lit(r.severity).alias("guideline"), F.lit("").alias("example"), F.lit("").alias("language"), F.lit(1.0).alias("score"))
+
+
+def _sized(of, id_col, prompt):
+    return of.select(id_col, F.md5(prompt).alias("prompt_md5"), F.length(prompt).cast("long").alias("n"))
+
+
+def g6_review_prompts(spark, sf_dir):
+    """Prompts for a review: each document with what was found and the rules of its language."""
+    of = _found_and_rules(spark, sf_dir)
+    return _sized(of, "doc_id", prompts.review(F.coalesce("text", F.lit("")), F.col("lang"), F.col("found"), F.col("hits"), F.when(F.col("source") == "src1", F.lit("shorter"))))
+
+
+def g6_correction_prompts(spark, sf_dir):
+    """Prompts for another try, for each document in which something was found."""
+    of = _found_and_rules(spark, sf_dir).where("found is not null")
+    return _sized(of, "doc_id", prompts.correction(F.concat(F.lit("for "), "source"), F.col("lang"), F.coalesce("text", F.lit("")), F.col("found"), F.col("hits")))
+
+
+def g6_generation_prompts(spark, sf_dir):
+    """Prompts for new texts: each benchmark item as a task, with the rules of all languages and the best documents."""
+    docs, items = _docs(spark, sf_dir), load(spark, sf_dir, "benchmark")
+    best = lexical.score_queries(docs, "doc_id", F.col("text"), items, "item_id", F.col("text"), 3)
+    id_ = F.col("doc_id").cast("string")
+    hit = F.struct(F.lit("pattern").alias("kind"), id_.alias("id"), F.concat(F.lit("document "), id_).alias("title"), F.lit("").alias("guideline"), F.coalesce(F.substring("text", 1, 60), F.lit("")).alias("example"), F.col("lang").alias("language"), F.round(F.round("raw", 4), 1).alias("score"))
+    per = best.join(docs, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", hit.alias("hit")))).alias("of"))
+    rows = F.array(*map(_rule_hit, sorted((r for r in RULES if r.language is None), key=lambda r: r.id)))
+    of = items.join(per, "item_id", "left").withColumn("hits", F.when(F.col("of").isNull(), rows).otherwise(F.concat(rows, F.col("of.hit"))))
+    return _sized(of, "item_id", prompts.generation(F.col("text"), F.lit("text"), F.col("hits"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("item "), F.col("item_id").cast("string")))))
 
 
 def c2_unit_shapes(spark, sf_dir):
@@ -801,3 +830,9 @@ ORACLE_SQL |= {
     "s12_index_hybrid": ORACLE_SQL["s7_hybrid_search"].replace(_BM25, _bm25_of("d3")),
     "s12_index_batch": f"{_batch_of(1, 'documents')} UNION ALL {_batch_of(3, 'd3')}",
 }
+
+_TOP = ORACLE_SQL["g1_retrieve_batch"].replace("rank <= 5", "rank <= 3")
+ORACLE_SQL |= {
+    "g6_generation_prompts": f"WITH b AS ({_TOP}), h AS (SELECT item_id, string_agg('- document ' || doc_id || printf(' (%.2f)', round(score, 1)) || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || '```' || lang || chr(10) || substr(text, 1, 60) || chr(10) || '```' ELSE '' END, chr(10) ORDER BY rank) AS patterns FROM b JOIN documents USING (doc_id) GROUP BY item_id), p AS (SELECT item_id, concat_ws(chr(10), 'Write this text.', '## Task' || chr(10) || text, CASE WHEN item_id % 2 = 0 THEN '## Around it' || chr(10) || '```text' || chr(10) || 'item ' || item_id || chr(10) || '```' END, '## Rules' || chr(10) || '" + "\\n".join(f"- {r.id}: {r.message}\\n  {r.severity}" for r in sorted(RULES, key=lambda r: r.id) if r.language is None).replace("\\n", "' || chr(10) || '") + f"', '## Patterns' || chr(10) || patterns, 'Answer with one fenced block.') AS prompt FROM benchmark LEFT JOIN h USING (item_id)) SELECT item_id, md5(prompt) AS prompt_md5, length(prompt) AS n FROM p",
+    "g6_correction_prompts": ORACLE_SQL["g6_review_prompts"].replace("'Review this text; take the findings as given.', CASE WHEN source = 'src1' THEN '## Change' || chr(10) || 'shorter' END, ", "'This text fails its check; mend what was found and nothing else.', '## Task' || chr(10) || 'for ' || source, ").replace("'Answer with a review and the mended text in one fenced block.'", "'Answer with one fenced block.'").replace("LEFT JOIN s USING", "JOIN s USING"),
+}
