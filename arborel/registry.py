@@ -561,7 +561,7 @@ def i14_empty_lists(spark, sf_dir):
     meta = F.struct(category.alias("category"), F.when(F.col("doc_id") % 2 == 0, none).otherwise(F.array("lang")).alias("tags"))
     entry = F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("py").alias("language"), meta.alias("metadata"), F.lit("x").alias("good_example"))
     path = fresh_path(spark)
-    _docs(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value")).select("value").write.text(path)
+    _docs(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value")).write.partitionBy("part").text(path)
     found = conventions.groups(conventions.quarantined(conventions.read(spark, path, "*.txt")).where("error is null"))
     return found.select("slug", "count", F.md5(F.array_join("entries.id", ",")).alias("ids_md5"))
 
