@@ -24,6 +24,8 @@ SYMBOLS = CHUNKS * CHUNK_SIZE
 MOST_ERRORS = 2 * CHUNKS - 1
 #: Members of a key, and of a family, that meet in one task; larger groups meet block by block.
 KEY_BLOCK, FAMILY_BLOCK = 512, 128
+#: Close pairs of a key's rows, for each of these rows, up to which they are written down.
+DENSE = 8
 
 _rng = np.random.default_rng(3)
 _FACTOR = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,7 +142,8 @@ def _close_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
 
 def _asked_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(family, a, b): pairs of close signatures, of which a is not linked yet, each under its first common key only. Rows
-    of one block meet where both blocks are it, those of two where these two meet."""
+    of one block meet where both blocks are it, those of two where these two meet. Where more than DENSE times as many
+    pairs as rows are close, the rows' families are told, with null in place of pairs."""
     part, whole = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +151,10 @@ def _asked_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             S = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             n, tag, own, linked = t.column("n").to_numpy(), t.column("key").to_numpy() & 63, t.column("own").to_numpy(), t.column("linked").to_numpy(zero_copy_only=False)
             crossed = t.column("bi").to_numpy() != t.column("bj").to_numpy()
-            left, right = [], []
+            left, right, dense = [], [], []
             for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 asks = x + np.flatnonzero(~linked[x:y])
-                rows = np.arange(x, y)
+                rows, own_left, own_right, pairs = np.arange(x, y), [], [], 0
                 for a in np.array_split(asks, -(-len(asks) // 64)) if len(asks) else ():
                     fits = part * np.maximum(n[a][:, None], n[rows]) <= whole * np.minimum(n[a][:, None], n[rows])
                     # of two that are not linked the first asks
@@ -163,11 +166,22 @@ def _asked_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
                         q, r = a[i[k : k + 50_000]], rows[j[k : k + 50_000]]
                         wrong = S[q] != S[r]
                         ok = (wrong.sum(1) <= MOST_ERRORS) & (_first_key(wrong) == tag[q])
-                        left.append(q[ok])
-                        right.append(r[ok])
+                        own_left.append(q[ok])
+                        own_right.append(r[ok])
+                        pairs += int(ok.sum())
+                    if pairs > DENSE * len(rows):
+                        dense.append(asks)
+                        break
+                else:
+                    left += own_left
+                    right += own_right
             ids, family = t.column("id").combine_chunks(), t.column("family").combine_chunks()
             a, b = (np.concatenate(z) if z else np.zeros(0, int) for z in (left, right))
             yield pa.RecordBatch.from_arrays([family.take(pa.array(a)), ids.take(pa.array(a)), ids.take(pa.array(b))], names=["family", "a", "b"])
+            if dense:
+                full = family.take(pa.array(np.concatenate(dense))).unique()
+                none = pa.nulls(len(full), ids.type)
+                yield pa.RecordBatch.from_arrays([full, none, none], names=["family", "a", "b"])
 
     kind = dict(meeting.dtypes)["id"]
     return meeting.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, f"family {kind}, a {kind}, b {kind}")
@@ -281,11 +295,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     opened = stored(tried.join(dealt(open_.select("family")), "family"))
     pairs = stored(_asked_pairs(_met(reps.select("id", "n", "sig").join(opened, "id")), similarity))
     # sets that are sent, by pairs and by blocks
-    counts = pairs.groupBy("family").agg(F.count("*").alias("pairs"))
-    open_ = open_.join(counts, "family", "left").withColumn("by_pairs", 2 * F.coalesce("pairs", F.lit(0)) <= F.col("members") * F.col("ask_blocks") + F.col("askers") * F.col("all_blocks"))
+    counts = pairs.groupBy("family").agg(F.count("*").alias("pairs"), F.max(F.col("a").isNull()).alias("dense"))
+    fewer = 2 * F.coalesce("pairs", F.lit(0)) <= F.col("members") * F.col("ask_blocks") + F.col("askers") * F.col("all_blocks")
+    open_ = open_.join(counts, "family", "left").withColumn("by_pairs", fewer & ~F.coalesce("dense", F.lit(False)))
     open_ = stored(open_)
     mine = lambda side: sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}"))
-    few = pairs.join(dealt(open_.where("by_pairs").select("family")), "family").select("a", "b")
+    few = pairs.where("a is not null").join(dealt(open_.where("by_pairs").select("family")), "family").select("a", "b")
     few = few.join(mine("a"), "a").join(mine("b"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
     links = links.union(few.where(whole * F.col("common") >= part * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
 
