@@ -1,91 +1,114 @@
 """Analyses of a tree by what is used where: sums over elements, attributes and values within each tree.
 
 Nodes are those of markup_tree. An element's attributes are its members; its type is what declares them. What proves
-nothing gives no finding. Each analyzer gives (id, pre, message), at the first element of the type that it is about.
+nothing gives no finding. Each analyzer gives (id, pre, message, type, text), at the first element of the type that it is about, or at
+the element. It reads the nodes once and groups them within trees only, so nodes that are dealt by tree stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A value that is written out, and not put together elsewhere.
 LITERAL = r"^[^{}$]*\z"
 
 
-def _members(nodes: DataFrame, id_col: str) -> DataFrame:
-    """(id, type, pre, name, value) of each attribute."""
-    return nodes.select(id_col, "type", "pre", F.explode("attrs").alias("name", "value"))
+def _attrs() -> Column:
+    return F.coalesce("attrs", F.create_map().cast("map<string,string>"))
 
 
-def _elements(nodes: DataFrame, id_col: str) -> DataFrame:
-    """(id, type, n, first) of each type of element."""
-    return nodes.groupBy(id_col, "type").agg(F.count("*").alias("n"), F.min("pre").alias("first"))
+def _types(nodes: DataFrame, id_col: str, **sums: Column) -> DataFrame:
+    """(id, type, pre, text, sums) of each type of element: where its first one stands, and sums over its elements."""
+    per = nodes.groupBy(id_col, "type").agg(F.min(F.struct("pre", "text")).alias("_first"), *(c.alias(k) for k, c in sums.items()))
+    return per.select(id_col, "type", "_first.pre", "_first.text", *sums)
+
+
+def _every(sets: Column) -> Column:
+    """What all of the sets have in common."""
+    return F.aggregate(sets, F.get(sets, F.lit(0)), F.array_intersect)
 
 
 def _listed(names: Column, sep: str = ", ") -> Column:
     return F.array_join(F.array_sort(names), sep)
 
 
+def _said(found: DataFrame, id_col: str, message: Column) -> DataFrame:
+    return found.select(id_col, "pre", message.alias("message"), "type", "text")
+
+
 def exclusive_members(nodes: DataFrame, id_col: str) -> DataFrame:
     """[A1] Types of element with two optional attributes at least (some of their elements have them, some don't) that come in
     groups which never meet: two distinct sets of them are used at least, and no attribute is in two of them."""
-    members = _members(nodes, id_col)
-    uses = members.groupBy(id_col, "type", "name").agg(F.count("*").alias("uses"))
-    optional = uses.join(_elements(nodes, id_col), [id_col, "type"]).where("uses < n").select(id_col, "type", "name", "first")
-    sets = members.join(optional, [id_col, "type", "name"]).groupBy(id_col, "type", "pre").agg(F.array_sort(F.collect_set("name")).alias("set"), F.min("first").alias("first"))
-    distinct = sets.groupBy(id_col, "type", "set").agg(F.min("first").alias("first"))
+    per = _types(nodes, id_col, all=F.collect_set(F.array_sort(F.map_keys(_attrs()))))
+    # optional is what not all elements have
+    per = per.withColumn("every", _every(F.col("all"))).withColumn("of", F.array_distinct(F.filter(F.transform("all", lambda s: F.array_except(s, "every")), lambda s: F.size(s) > 0)))
     # the sets are disjoint if each name is in one of them
-    per = distinct.groupBy(id_col, "type").agg(F.count("*").alias("sets"), F.sum(F.size("set")).alias("names"), F.size(F.array_distinct(F.flatten(F.collect_list("set")))).alias("distinct"), F.array_sort(F.collect_list("set")).alias("of"), F.min("first").alias("pre"))
-    groups = F.array_join(F.transform("of", lambda s: F.concat(F.lit("{"), F.array_join(s, ", "), F.lit("}"))), " / ")
-    found = per.where((F.col("sets") >= 2) & (F.col("names") == F.col("distinct")))
-    return found.select(id_col, "pre", F.concat("type", F.lit(" is used with "), groups).alias("message"))
+    names = F.flatten("of")
+    found = per.where((F.size("of") >= 2) & (F.size(names) == F.size(F.array_distinct(names))))
+    groups = F.array_join(F.transform(F.array_sort("of"), lambda s: F.concat(F.lit("{"), F.array_join(s, ", "), F.lit("}"))), " / ")
+    return _said(found, id_col, F.concat("type", F.lit(" is used with "), groups))
 
 
 def exclusive_flags(nodes: DataFrame, id_col: str) -> DataFrame:
     """[A3] Types of element with two flags at least (attributes that are true or false somewhere) of which two are each
     set alone somewhere and never two at once. A flag with any other value proves nothing."""
-    members = _members(nodes, id_col)
-    flags = members.where("value in ('true', 'false')").groupBy(id_col, "type", "name").agg(F.lit(True).alias("flag"))
-    of = members.join(flags.drop("flag"), [id_col, "type", "name"])
-    per = of.groupBy(id_col, "type", "pre").agg(F.count_if(F.col("value") == "true").alias("set"), F.max(F.when(F.col("value") == "true", F.col("name"))).alias("alone"), F.max(~F.col("value").isin("true", "false")).alias("open"), F.collect_set("name").alias("names"))
-    per = per.groupBy(id_col, "type").agg(F.max("set").alias("most"), F.max("open").alias("open"), F.collect_set("alone").alias("alone"), F.size(F.array_distinct(F.flatten(F.collect_set("names")))).alias("flags"))
-    found = per.where("flags >= 2 and most = 1 and not open and size(alone) >= 2").join(_elements(nodes, id_col), [id_col, "type"])
-    return found.select(id_col, F.col("first").alias("pre"), F.concat("type", F.lit(" is never set to two of "), _listed(F.col("alone"))).alias("message"))
+    names = lambda keep: F.array_sort(F.map_keys(F.map_filter(_attrs(), lambda _, v: keep(v))))
+    flag = lambda v: v.isin("true", "false")
+    per = _types(nodes, id_col, set=F.collect_set(names(lambda v: v == "true")), flags=F.collect_set(names(flag)), others=F.collect_set(names(lambda v: ~flag(v))))
+    per = per.withColumn("flags", F.array_distinct(F.flatten("flags"))).withColumn("open", F.arrays_overlap(F.flatten("others"), "flags"))
+    alone = F.array_distinct(F.flatten("set"))
+    found = per.where((F.size("flags") >= 2) & ~F.col("open") & F.forall("set", lambda s: F.size(s) <= 1) & (F.size(alone) >= 2))
+    return _said(found, id_col, F.concat("type", F.lit(" is never set to two of "), _listed(alone)))
 
 
 def closed_domains(nodes: DataFrame, id_col: str) -> DataFrame:
     """[A4] Attributes that all elements of a type have, two elements at least, with a value written out, of two distinct ones
     at least. An attribute of that name on another type of element shows that others use it too: no finding."""
-    members = _members(nodes, id_col)
-    uses = members.groupBy(id_col, "type", "name").agg(F.count("*").alias("uses"), F.min(F.col("value").rlike(LITERAL)).alias("closed"), F.collect_set("value").alias("values"))
-    shared = members.groupBy(id_col, "name").agg(F.min("type").alias("low"), F.max("type").alias("high")).where("low <> high").select(id_col, "name")
-    found = uses.where("closed and uses >= 2 and size(values) >= 2").join(shared, [id_col, "name"], "left_anti").join(_elements(nodes, id_col), [id_col, "type"]).where("uses = n")
-    return found.select(id_col, F.col("first").alias("pre"), F.concat("type", F.lit("."), "name", F.lit(" is one of "), _listed(F.col("values"), " | ")).alias("message"))
+    own = lambda e: F.transform(e, lambda p: p["key"])
+    per = _types(nodes, id_col, all=F.collect_set(F.map_entries(_attrs())), n=F.count("*"))
+    per = per.select(id_col, "type", "pre", "text", "n", _every(F.transform("all", own)).alias("every"), F.array_distinct(F.flatten("all")).alias("pairs"))
+    # the names of each type, side by side: one that is there twice is shared
+    used = F.flatten(F.collect_list(F.array_distinct(own("pairs"))).over(Window.partitionBy(id_col)))
+    per = per.withColumn("used", used).where("n >= 2")
+    per = per.select("*", F.explode(F.filter("every", lambda x: F.size(F.filter("used", lambda u: u == x)) == 1)).alias("name"))
+    values = F.transform(F.filter("pairs", lambda p: p["key"] == F.col("name")), lambda p: p["value"])
+    found = per.withColumn("values", values).where((F.size("values") >= 2) & F.forall("values", lambda v: v.rlike(LITERAL)))
+    return _said(found, id_col, F.concat("type", F.lit("."), "name", F.lit(" is one of "), _listed(F.col("values"), " | ")))
 
 
 def unchanged_values(nodes: DataFrame, id_col: str) -> DataFrame:
     """[A6] Elements with an id and a value that no other element changes: none sets the id again, and none of type set or
     unset names it, wherever in the tree."""
-    own = nodes.where(F.col("attrs")["id"].isNotNull()).select(id_col, "pre", "type", F.col("attrs")["id"].alias("name"), F.col("attrs")["value"].alias("value"))
-    changed = nodes.where(F.col("type").isin("set", "unset") & F.col("attrs")["ref"].isNotNull()).select(id_col, F.col("attrs")["ref"].alias("name"))
-    again = own.groupBy(id_col, "name").agg(F.count("*").alias("n")).where("n > 1").select(id_col, "name")
-    kept = own.where(F.col("value").rlike(LITERAL)).join(changed.unionByName(again).distinct(), [id_col, "name"], "left_anti")
-    return kept.select(id_col, "pre", F.concat("name", F.lit(" is always "), "value").alias("message"))
+    a, row = lambda c: F.col("attrs")[c], F.struct("pre", "type", "text", F.col("attrs")["value"].alias("value"))
+    own = F.when(a("id").isNotNull(), F.struct(a("id").alias("name"), row.alias("own")))
+    changed = F.when(F.col("type").isin("set", "unset") & a("ref").isNotNull(), F.struct(a("ref").alias("name"), F.lit(None).cast("struct<pre:int,type:string,text:string,value:string>").alias("own")))
+    of = nodes.select(id_col, F.explode(F.array_compact(F.array(own, changed))).alias("x")).select(id_col, "x.name", "x.own")
+    # a name that one element has and none changes
+    per = of.groupBy(id_col, "name").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n = 1 and own is not null").select(id_col, "name", "own.*")
+    return _said(per.where(F.col("value").rlike(LITERAL)), id_col, F.concat("name", F.lit(" is always "), "value"))
 
 
 def known_values(nodes: DataFrame, id_col: str) -> DataFrame:
     """[A7] Values written out where a name is known for them, by a chain of three references: a list (type list, with id)
     holds items with a name and a value, of which the first of a value counts; a kind (type kind, with id) is of a list;
     an element with an attribute kind is of that kind, and its attribute value should be the item's name. A kind that is
-    defined twice with different lists, and a list that is, prove nothing."""
+    defined twice with different lists, and a list that is, prove nothing.
+
+    Each reference is a window over what has the key and what refers to it, within a tree."""
     a = lambda c: F.col("attrs")[c]
-    lists = nodes.where((F.col("type") == "list") & a("id").isNotNull()).select(id_col, F.col("pre").alias("list_pre"), a("id").alias("list"))
-    lists = lists.groupBy(id_col, "list").agg(F.min("list_pre").alias("list_pre"), F.count("*").alias("n")).where("n = 1").drop("n")
-    items = nodes.where((F.col("type") == "item") & a("name").isNotNull() & a("value").isNotNull()).select(id_col, F.col("parent").alias("list_pre"), F.col("pre").alias("item_pre"), a("name").alias("name"), a("value").alias("value"))
-    first = items.groupBy(id_col, "list_pre", "value").agg(F.min_by("name", "item_pre").alias("name"))
-    kinds = nodes.where((F.col("type") == "kind") & a("id").isNotNull() & a("of").isNotNull()).select(id_col, a("id").alias("kind"), a("of").alias("list"))
-    kinds = kinds.groupBy(id_col, "kind").agg(F.min("list").alias("list"), F.max("list").alias("other")).where("list = other").drop("other")
-    uses = nodes.where(~F.col("type").isin("list", "item", "kind") & a("kind").isNotNull() & a("value").isNotNull()).select(id_col, "pre", a("kind").alias("kind"), a("value").alias("value"))
-    found = uses.join(kinds, [id_col, "kind"]).join(lists, [id_col, "list"]).join(first, [id_col, "list_pre", "value"])
-    return found.select(id_col, "pre", F.concat("value", F.lit(" is "), "list", F.lit("."), "name").alias("message"))
+    role = F.when((F.col("type") == "list") & a("id").isNotNull(), "list")
+    role = role.when((F.col("type") == "item") & a("name").isNotNull() & a("value").isNotNull(), "item")
+    role = role.when((F.col("type") == "kind") & a("id").isNotNull() & a("of").isNotNull(), "kind")
+    role = role.when(~F.col("type").isin("list", "item", "kind") & a("kind").isNotNull() & a("value").isNotNull(), "use")
+    of = nodes.select(id_col, "pre", "type", "text", "parent", role.alias("role"), a("id").alias("own"), a("name").alias("name"), a("value").alias("value"), a("of").alias("of"), a("kind").alias("by")).where("role is not null")
+    is_ = lambda r, c: F.when(F.col("role") == r, F.col(c))
+    over = lambda *keys: Window.partitionBy(id_col, *keys)
+    of = of.withColumn("kind", F.coalesce(is_("kind", "own"), is_("use", "by")))
+    low, high = (f(is_("kind", "of")).over(over("kind")) for f in (F.min, F.max))
+    of = of.withColumn("list", F.coalesce(is_("list", "own"), F.when((F.col("role") == "use") & (low == high), low)))
+    lists, at = F.count(is_("list", "pre")).over(over("list")), F.min(is_("list", "pre")).over(over("list"))
+    of = of.withColumn("list_pre", F.coalesce(is_("item", "parent"), F.when((F.col("role") == "use") & F.col("list").isNotNull() & (lists == 1), at)))
+    first = F.min_by(is_("item", "name"), is_("item", "pre")).over(over("list_pre", "value"))
+    of = of.where("role in ('item', 'use') and list_pre is not null").withColumn("name", first)
+    return _said(of.where("role = 'use' and name is not null"), id_col, F.concat("value", F.lit(" is "), "list", F.lit("."), "name"))

@@ -17,7 +17,7 @@ from arborel.operators.patterns import Either, Pattern, captures_of, matches, wi
 from arborel.operators.rules import SNIPPET
 
 TYPES = ("forbid", "require", "require_in", "naming", "analysis")
-#: The analyzers by name: each gives (id, pre, message) of what it finds in the nodes.
+#: The analyzers by name: each gives (id, pre, message, type, text) of what it finds in the nodes.
 ANALYZERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "exclusive-members": analyzers.exclusive_members,
     "exclusive-flags": analyzers.exclusive_flags,
@@ -105,9 +105,9 @@ def violations(nodes: DataFrame, pages: DataFrame, rules: list[TreeRule], id_col
         at = lambda node, own=own: [id_col, *own, node["pre"].alias("pre"), node["type"].alias("type"), text(node)]
         whole = nodes.select(id_col, "pre", F.struct("pre", "type", "text").alias("_node"))
         if r.type == "analysis":
-            found = ANALYZERS[r.analyzer](nodes, id_col).join(whole, [id_col, "pre"])
+            found = ANALYZERS[r.analyzer](nodes, id_col)
             said = F.concat(F.lit(f"{r.message}: "), F.col("message")).alias("message")
-            out.append(found.select(id_col, own[0], said, own[2], "pre", F.col("_node.type").alias("type"), text(F.col("_node"))))
+            out.append(found.select(id_col, own[0], said, own[2], "pre", "type", F.substring("text", 1, SNIPPET).alias("snippet")))
             continue
         found = matches(nodes, id_col, r.pattern)
         if r.type == "require":

@@ -32,8 +32,12 @@ TREE_RULES = [
 ANALYSES = {name: [TreeRule(name, "analysis", f"[{name}]", analyzer=name)] for name in ("exclusive-members", "exclusive-flags", "closed-domain", "unchanged-values", "known-values")}
 
 
+#: Order lines that a task gets, about.
+LINES = 200_000
+
+
 def _pages(spark, sf_dir) -> DataFrame:
-    return load(spark, sf_dir, "pages")
+    return markup.by_page(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
 
 
 def _tree(spark, sf_dir) -> DataFrame:
@@ -67,11 +71,17 @@ def r2_siblings(spark, sf_dir):
     return matches(_tree(spark, sf_dir), "page_id", BODY_PARTS).select("page_id", "pre", F.col("first.pre").alias("first"), F.col("ad.pre").alias("ad"), F.col("then.type").alias("then"))
 
 
+def _lines_by_page(spark, sf_dir) -> DataFrame:
+    """Lines dealt by their orders, LINES a task: all that follows stays within orders, and needs no other shuffle."""
+    lines = load(spark, sf_dir, "lineitem").withColumn("page", F.col("l_orderkey"))
+    return lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES)), "page")
+
+
 def _order_lines(spark, sf_dir, line, begin, end="</order>") -> DataFrame:
     """(page, html): a page for each order, with what line gives for each of its lines in order."""
-    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("text")).alias("line"), "l_linestatus")
+    lines = _lines_by_page(spark, sf_dir).select("page", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("text")).alias("line"), "l_linestatus")
     # an order has few lines
-    per = lines.groupBy("page").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.max("l_linestatus").alias("status"))
+    per = lines.groupBy("page").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.max("l_linestatus").alias("status"))
     end = F.when(F.col("page") % 5 == 0, "").otherwise(end)
     return per.select("page", F.concat(begin, F.array_join(F.col("lines.text"), ""), end).alias("html"))
 
@@ -93,8 +103,8 @@ def _marked_orders(spark, sf_dir) -> DataFrame:
 def _listed_orders(spark, sf_dir) -> DataFrame:
     item = F.format_string('<item name="p%d" value="%d"></item>', F.col("l_partkey") % 7, F.col("l_suppkey") % 4)
     use = F.format_string('<use kind="m" value="%d"></use>', F.col("l_linenumber") % 4)
-    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", item.alias("item"), use.alias("use")).alias("line"))
-    per = lines.groupBy("page").agg(F.array_sort(F.collect_list("line")).alias("l"))
+    lines = _lines_by_page(spark, sf_dir).select("page", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", item.alias("item"), use.alias("use")).alias("line"))
+    per = lines.groupBy("page").agg(F.sort_array(F.collect_list("line")).alias("l"))
     of = lambda c: F.array_join(F.col(f"l.{c}"), "")
     twice = F.when(F.size("l") > 5, '<kind id="m" of="other"></kind>').otherwise("")
     return per.select("page", F.concat(F.lit('<doc><list id="modes">'), of("item"), F.lit('</list><kind id="m" of="modes"></kind>'), twice, of("use"), F.lit("</doc>")).alias("html"))
@@ -145,7 +155,7 @@ def r3_tree_violations(spark, sf_dir):
 
 def _analysis(spark, sf_dir, name, pages):
     dialect = F.when(F.col("page") % 4 == 1, "xhtml").otherwise("html")
-    tree = written(markup.markup_tree(pages, "page", "html", dialect))
+    tree = markup.markup_tree(pages, "page", "html", dialect)
     found = tree_rules.violations(tree, pages.select("page", dialect.alias("dialect")), ANALYSES[name], "page")
     return found.select("page", "message", "pre", "type")
 
