@@ -6,13 +6,14 @@ a split leaves and the matches themselves alternate, so a match ends where the s
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborel.functions.columns import let, running
+
 #: The base rules. Where a rule's match always covers a whole run of its characters, the pattern starts only at a run's
 #: beginning (or where the last match ended) and never gives characters back, so long runs cost no more than their length.
 BASE = {
@@ -30,7 +31,6 @@ GENERATORS = {
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+",
 }
 _NEEDS = {"email": "@", "handle": "@", "phone": "+"}
-_BLOCK = 256
 _ASSIGNED = r"[=:]\s?[\"']?$"
 _CONTEXT = r"(?i)(password|passwd|secret|token|api.?key|access.?key|mail|phone|tel|card|address)\W{0,4}$"
 FEATURES = ("generator", "length", "digits", "dots", "domain", "opening", "luhn", "letters", "context", "assigned", "hex")
@@ -72,30 +72,13 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _running(x: Column, start: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
-    """For each element of x (a column or what _let names) the values of those before it joined, from start on. It goes by
-    blocks, so that long arrays stay cheap."""
-    add = lambda a, r: join(a, value(r))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK)))
-
-    def folded(blocks: Column) -> Column:
-        return _let(F.transform(blocks, lambda b: F.aggregate(b, start, add)), lambda sums: F.flatten(F.transform(blocks, lambda b, i: _let(F.aggregate(F.slice(sums, F.lit(1), i), start, lambda a, n: join(a, n)), lambda before: F.transform(b, lambda _, j: F.aggregate(F.slice(b, F.lit(1), j), before, add))))))
-
-    return F.when(F.size(x) > 0, _let(blocks, folded)).otherwise(F.array().cast("array<int>"))
-
-
 _SPANS = "array<struct<s:int,e:int,x:string,before:string>>"
 
 
 def _spans(m: Column, gaps: Column) -> Column:
     """Spans of matches m with the end of what stands before each; gaps: the texts before them."""
     steps = F.zip_with(gaps, m, lambda g, x: F.struct((F.length(g) + F.length(x)).alias("n"), F.length(x).alias("own"), x.alias("x"), F.substring(g, -16, 16).alias("before")))
-    found = _let(steps, lambda rows: F.zip_with(rows, _running(rows, F.lit(0), lambda r: r["n"], lambda a, n: a + n), lambda r, a: F.struct((a + r["n"] - r["own"]).alias("s"), (a + r["n"]).alias("e"), r["x"].alias("x"), r["before"].alias("before"))))
+    found = let(steps, lambda rows: F.zip_with(rows, running(rows, F.lit(0), lambda r: r["n"], lambda a, n: a + n), lambda r, a: F.struct((a + r["n"] - r["own"]).alias("s"), (a + r["n"]).alias("e"), r["x"].alias("x"), r["before"].alias("before"))))
     return F.when(F.size(m) > 0, found).otherwise(F.array()).cast(_SPANS)
 
 
@@ -103,14 +86,14 @@ def _apart(found: Column, taken: Column) -> Column:
     """Those of found that overlap none of taken, by one sweep over both in the order of their starts."""
 
     def kept(rows: Column) -> Column:
-        before = _running(rows, F.lit(0), lambda r: F.when(r["i"] < 0, r["e"]).otherwise(0), F.greatest)
-        after = _let(F.reverse(rows), lambda back: F.reverse(_running(back, F.lit(2**31 - 1), lambda r: F.when(r["i"] < 0, r["s"]).otherwise(2**31 - 1), F.least)))
+        before = running(rows, F.lit(0), lambda r: F.when(r["i"] < 0, r["e"]).otherwise(0), F.greatest)
+        after = let(F.reverse(rows), lambda back: F.reverse(running(back, F.lit(2**31 - 1), lambda r: F.when(r["i"] < 0, r["s"]).otherwise(2**31 - 1), F.least)))
         free = F.zip_with(rows, F.arrays_zip(before.alias("before"), after.alias("after")), lambda r, n: F.when((r["i"] >= 0) & (n["before"] <= r["s"]) & (n["after"] >= r["e"]), r["i"]))
         return F.transform(F.array_sort(F.array_compact(free)), lambda i: F.get(found, i))
 
     place = lambda c, i: F.struct(c["s"].alias("s"), c["e"].alias("e"), i.alias("i"))
     both = F.array_sort(F.concat(F.transform(taken, lambda c: place(c, F.lit(-1))), F.transform(found, place)))
-    return F.when((F.size(found) > 0) & (F.size(taken) > 0), _let(both, kept)).otherwise(found)
+    return F.when((F.size(found) > 0) & (F.size(taken) > 0), let(both, kept)).otherwise(found)
 
 
 def _features(generator: str, c: Column) -> Column:
@@ -306,5 +289,5 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(pieces, ""), cut(wide, last, (F.octet_length(wide) / 4).cast("int")))
 
     order = F.array_sort(F.transform(spans, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
-    parts = _let(order, lambda o: F.struct(F.encode(text, "UTF-32").alias("wide"), o.alias("order"), _running(o, F.lit(0), lambda c: c["e"], F.greatest).alias("reach")))
-    return F.when(F.size(spans) > 0, _let(parts, done)).otherwise(text)
+    parts = let(order, lambda o: F.struct(F.encode(text, "UTF-32").alias("wide"), o.alias("order"), running(o, F.lit(0), lambda c: c["e"], F.greatest).alias("reach")))
+    return F.when(F.size(spans) > 0, let(parts, done)).otherwise(text)

@@ -9,13 +9,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arborel.functions.columns import let, running
 from arborel.functions.languages import rule_languages
 from arborel.functions.metadata import matches
 
 TYPES = ("forbid", "require", "require_in", "naming")
 #: Fixed value: characters of a violation's snippet.
 SNIPPET = 200
-_BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -133,19 +133,19 @@ def _matches(text: str, pattern: str, first: bool, before: bool = False) -> Colu
     the pattern has two groups: at is where the second starts, after what the first matches, and got is what it holds.
     Starts are sums of what split leaves between matches and the matches; they go by blocks, so many matches stay cheap."""
     found = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    whole, parts = found(0), F.split(text, pattern, -1)
-    # split leaves no piece before an empty match at the start
-    gaps = F.when(F.size(parts) <= F.size(whole), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
-    lead = F.transform(found(1), lambda x: F.octet_length(x)) if before else F.transform(whole, lambda _: F.lit(0))
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), (found(2) if before else whole).alias("got"), lead.alias("lead"))
-    rows = F.slice(rows, 1, 1) if first else rows
-    size = lambda x: F.octet_length(x["gap"]) + F.octet_length(x["whole"])
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda b: F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK)))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + size(x)))
-    start = F.transform(blocks, lambda _, i: F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    at = lambda b, i, x: F.aggregate(F.slice(b, F.lit(1), i), F.lit(0), lambda a, y: a + size(y)) + F.octet_length(x["gap"]) + x["lead"]
-    each = F.flatten(F.zip_with(blocks, start, lambda b, a: F.transform(b, lambda x, i: F.struct((a + at(b, i, x)).alias("at"), x["whole"].alias("whole"), x["got"].alias("got")))))
-    return F.when(F.size(whole) > 0, each)
+    seen = F.struct(found(0).alias("whole"), F.split(text, pattern, -1).alias("parts"), *((found(1).alias("lead"), found(2).alias("got")) if before else ()))
+
+    def rows(x: Column) -> Column:
+        # split leaves no piece before an empty match at the start
+        gaps = F.when(F.size(x["parts"]) <= F.size(x["whole"]), F.concat(F.array(F.lit("")), x["parts"])).otherwise(x["parts"])
+        lead = F.transform(x["lead"], lambda s: F.octet_length(s)) if before else F.transform(x["whole"], lambda _: F.lit(0))
+        of = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(x["whole"])).alias("gap"), x["whole"].alias("whole"), x["got" if before else "whole"].alias("got"), lead.alias("lead"))
+        return F.slice(of, 1, 1) if first else of
+
+    size = lambda r: F.octet_length(r["gap"]) + F.octet_length(r["whole"])
+    place = lambda r, start: F.struct((start + F.octet_length(r["gap"]) + r["lead"]).alias("at"), r["whole"].alias("whole"), r["got"].alias("got"))
+    each = lambda of: F.when(F.size(of) > 0, F.zip_with(of, running(of, F.lit(0), size, lambda a, n: a + n), place))
+    return let(seen, lambda x: let(rows(x), each))
 
 
 def violations(docs: DataFrame, lines: DataFrame, rules: list[Rule], id_col: str, language_col: str, *, first: bool = False) -> DataFrame:
