@@ -36,8 +36,8 @@ _CONTEXT = r"(?i)(password|passwd|secret|token|api.?key|access.?key|mail|phone|t
 FEATURES = ("generator", "length", "digits", "dots", "domain", "opening", "luhn", "letters", "context", "assigned", "hex")
 #: What a weak label tests is no feature of its generator: trees learn how else such candidates look.
 HIDDEN = {"handle": ("domain",), "number": ("opening", "luhn"), "secret": ("context", "assigned")}
-#: Documents that training reads at most (about), by a hash of their ids, and the parts of them that calibrate in turn.
-SAMPLE_DOCS, FOLDS = 20_000, 5
+#: Parts of the documents that calibrate in turn.
+FOLDS = 5
 TREES, RATE, PRECISION = 20, 0.4, 0.98
 #: Fixed value: the mark that a decoder takes for the byte order.
 _ORDER = "0000FEFF"
@@ -215,22 +215,20 @@ def calibrated(score: np.ndarray, count: np.ndarray, positive: np.ndarray) -> fl
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> Trees:
-    """Trees from the candidates of about SAMPLE_DOCS documents, counted by their features. Each generator has its own
-    threshold, set on scores from trees that have not seen the document: each of FOLDS parts of the documents is scored
-    by trees that the other parts give."""
-    size = docs.count()
+    """Trees from the candidates of all documents, counted by their features, of which there are few kinds. Each generator
+    has its own threshold, set on scores from trees that have not seen the document: each of FOLDS parts of the documents is
+    scored by trees that the other parts give."""
     hashed = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("pii"))
-    draw = F.pmod(hashed, F.lit(1 << 20)) / float(1 << 20)
-    some = docs.where(draw < SAMPLE_DOCS / max(size, 1)).select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(hashed), F.lit(FOLDS)).alias("fold"))
+    own = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(hashed), F.lit(FOLDS)).alias("fold"))
     seen = F.concat(*(F.transform(f"_c_{k}", lambda c: F.struct(c["f"].alias("f"), _weak_label(k, c).cast("int").alias("y"))) for k in GENERATORS))
-    kinds = _candidates(some, "text").select("fold", F.explode(seen).alias("c")).groupBy("c.f", "fold").agg(F.count("*").alias("n"), F.sum("c.y").alias("p")).orderBy("f", "fold").collect()
+    kinds = _candidates(own, "text").select("fold", F.explode(seen).alias("c")).groupBy("c.f", "fold").agg(F.count("*").alias("n"), F.sum("c.y").alias("p")).orderBy("f", "fold").collect()
     if not kinds:
         return Trees([], 0.0, float("inf"))
     X, n, y = np.array([r["f"] for r in kinds], int), np.array([r["n"] for r in kinds], float), np.array([r["p"] for r in kinds], float)
     fold = np.array([r["fold"] for r in kinds])
     model, score = boost(X, n, y), np.zeros(len(X))
-    for own in (fold == k for k in np.unique(fold)):
-        score[own] = (boost(X[~own], n[~own], y[~own]) if not own.all() else model).scores(X[own])
+    for part in (fold == k for k in np.unique(fold)):
+        score[part] = (boost(X[~part], n[~part], y[~part]) if not part.all() else model).scores(X[part])
     for i, k in enumerate(GENERATORS):
         of = X[:, FEATURES.index("generator")] == i
         model.thresholds[k] = calibrated(score[of], n[of], y[of])
