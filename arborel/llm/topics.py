@@ -1,7 +1,7 @@
-"""Topics of texts: clusters of their words, by spherical k-means on a sample.
+"""Topics of texts: clusters of their words, by spherical k-means on all texts.
 
-Words fall into DIMS buckets by a hash. A bucket weighs the more the fewer of the sample's texts have it; a text is the
-direction of its weighted counts, and its topic the nearest of the centres.
+Words fall into DIMS buckets by a hash. A bucket weighs the more the fewer of the texts have it; a text is the direction of
+its weighted counts, and its topic the nearest of the centres. A sample only tells where the centres start.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, drawn, text_chunks
+from arborel.llm.common import PARTS, added_up, as_bytes, drawn, pieces, stored, text_chunks
 from arborel.llm.shingles import word_hashes
 
 DIMS, TOPICS = 2048, 8
-#: Texts that the centres are made from (about), starts, and rounds of each.
+#: Texts that the centres start from (about), starts, and rounds of each, and of all texts at most.
 SAMPLE, TRIALS, ROUNDS = 1_500, 4, 25
+#: Share by which a round over all texts brings them nearer to their centres, if it is not the last.
+GAIN = 1e-4
 #: The topic of a text without words, or without any that weighs.
 NO_TOPIC = "none"
 
@@ -69,22 +71,87 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], topics: int = TOPICS, seed:
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", topics: int = TOPICS, sample: int = SAMPLE) -> dict | None:
-    """Topics of about sample texts, drawn by a hash of their ids and whole; None if none of them has a word."""
+    """Topics of all texts, the largest first; None if none of them has a word. Centres start from about sample texts, drawn
+    by a hash of their ids, and then move in rounds over all texts until these get hardly nearer. Words are counted once;
+    a round sums each task's texts by their centres, in pieces, and the driver holds the centres only."""
     of = docs.select(F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"))
     draw = F.pmod(F.xxhash64("_id", F.lit("topic")), F.lit(1 << 30)) / float(1 << 30)
-    picked = of.select("_text", draw.alias("_draw")).where(F.col("_draw") < sample / max(1, docs.count()))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "_text"):
-            found = [np.unique(buckets([t])[1], return_counts=True) for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([0] * len(found), pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["draw", "y", "at", "times"])
-
-    rows = drawn(picked.mapInArrow(counted, "draw double, y int, at array<long>, times array<long>"), ["at", "times"])
-    return train([lists for _, lists in rows], topics)
+            n = len(batch)
+            word, bucket = buckets(as_bytes(batch.column(0)))
+            key, times = np.unique(word.astype(np.int64) * DIMS + bucket, return_counts=True)
+            ends = pa.array(np.searchsorted(key, np.arange(n + 1) * DIMS), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % DIMS, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([0] * n, pa.int32()), *lists], names=["draw", "y", "at", "times"])
+
+    rows = of.select("_text", draw.alias("draw")).mapInArrow(counted, "draw double, y int, at array<int>, times array<int>")
+    held = stored(rows.where(F.size("at") > 0))
+    n = held.count()
+    if not n:
+        return None
+    start = train([lists for _, lists in drawn(held.where(F.col("draw") < sample / max(1, n)), ["at", "times"])], topics)
+    # of few texts the draw may hold none that weighs
+    start = start or train([lists for _, lists in drawn(held.orderBy("draw").limit(sample), ["at", "times"])], topics)
+    return None if start is None else _settled(held, start, n)
+
+
+def _parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, times) of a batch's counts."""
+    at, times = (batch.column(batch.schema.get_field_index(c)) for c in ("at", "times"))
+    return np.repeat(np.arange(len(batch)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy().astype(float)
+
+
+def _settled(held: DataFrame, start: dict, n: int) -> dict:
+    """start with the weights of all texts, and the centres that rounds over all of them end at."""
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMS)
+        for batch in batches:
+            total += np.bincount(_parts(batch)[1], minlength=DIMS)
+        yield pieces(total)
+
+    own = held.select("at", "times")
+    weights = np.log((1 + n) / (1 + added_up(own.mapInArrow(having, PARTS), DIMS)))
+    k = start["centres"].shape[1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = np.where(start["weights"][:, None] > 0, start["centres"] / start["weights"][:, None], 0.0)
+
+    def nearest(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        shared = held.sparkSession.sparkContext.broadcast((weights, centres))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, c = shared.value
+            total = np.zeros(k * DIMS + k + 1)
+            for batch in batches:
+                text, bucket, x = _parts(batch)
+                x = x * w[bucket]
+                size = np.sqrt(np.bincount(text, weights=x * x, minlength=len(batch)))
+                x = x / np.where(size > 0, size, 1)[text]
+                z = np.stack([np.bincount(text, weights=x * one[bucket], minlength=len(batch)) for one in c.T], 1)
+                best = z.argmax(1)
+                total[: k * DIMS] += np.bincount(best[text] * DIMS + bucket, weights=x, minlength=k * DIMS)
+                total[k * DIMS : -1] += np.bincount(best[size > 0], minlength=k)
+                total[-1] += z.max(1)[size > 0].sum()
+            yield pieces(total)
+
+        total = added_up(own.mapInArrow(run, PARTS), k * DIMS + k + 1)
+        shared.unpersist()
+        return total[: k * DIMS].reshape(k, DIMS).T, total[k * DIMS : -1], float(total[-1])
+
+    before, size = -1.0, np.zeros(k)
+    for _ in range(ROUNDS):
+        sums, size, fit = nearest(unit)
+        if fit <= before * (1 + GAIN):
+            break
+        before, length = fit, np.linalg.norm(sums, axis=0)
+        unit = np.where(length > 0, sums / np.where(length > 0, length, 1), unit)
+    return {"weights": weights.astype(np.float32), "centres": np.ascontiguousarray(unit[:, np.argsort(-size, kind="stable")] * weights[:, None])}
 
 
 def with_topics(docs: DataFrame, model: dict | None, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with n_tokens (its words) and topic, t0 being the largest of the sample; texts that are null or without words
+    """docs with n_tokens (its words) and topic, t0 being the largest; texts that are null or without words
     that weigh have NO_TOPIC, as have all without a model. Further columns stay, however they are named; those of the added
     names are replaced."""
     own = [f"_{i}" for i in range(len(docs.columns))]
