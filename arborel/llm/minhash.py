@@ -140,21 +140,24 @@ def _close_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return meeting.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _asked_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _asked_pairs(meeting: DataFrame, similarity: tuple[int, int], *, told: bool = False) -> DataFrame:
     """(family, a, b): pairs of close signatures, of which a is not linked yet, each under its first common key only. Rows
-    of one block meet where both blocks are it, those of two where these two meet. Where more than DENSE times as many
-    pairs as rows are close, the rows' families are told, with null in place of pairs."""
+    of one block meet where both blocks are it, those of two where these two meet. told: (family, pairs) instead, how many
+    a task has, null where more than DENSE times as many pairs as rows are close; no pair is written."""
     part, whole = similarity
+    names = ["family", "pairs"] if told else ["family", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in grouped(batches, ["key", "bi", "bj"]):
             S = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             n, tag, own, linked = t.column("n").to_numpy(), t.column("key").to_numpy() & 63, t.column("own").to_numpy(), t.column("linked").to_numpy(zero_copy_only=False)
             crossed = t.column("bi").to_numpy() != t.column("bj").to_numpy()
-            left, right, dense = [], [], []
+            ids, families = t.column("id").combine_chunks(), t.column("family").combine_chunks().dictionary_encode()
+            of, known = families.indices.to_numpy(), families.dictionary
+            left, right, pairs, dense = [], [], np.zeros(len(known), np.int64), np.zeros(len(known), bool)
             for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 asks = x + np.flatnonzero(~linked[x:y])
-                rows, own_left, own_right, pairs = np.arange(x, y), [], [], 0
+                rows, met = np.arange(x, y), 0
                 for a in np.array_split(asks, -(-len(asks) // 64)) if len(asks) else ():
                     fits = part * np.maximum(n[a][:, None], n[rows]) <= whole * np.minimum(n[a][:, None], n[rows])
                     # of two that are not linked the first asks
@@ -166,25 +169,25 @@ def _asked_pairs(meeting: DataFrame, similarity: tuple[int, int]) -> DataFrame:
                         q, r = a[i[k : k + 50_000]], rows[j[k : k + 50_000]]
                         wrong = S[q] != S[r]
                         ok = (wrong.sum(1) <= MOST_ERRORS) & (_first_key(wrong) == tag[q])
-                        own_left.append(q[ok])
-                        own_right.append(r[ok])
-                        pairs += int(ok.sum())
-                    if pairs > DENSE * len(rows):
-                        dense.append(asks)
+                        met += int(ok.sum())
+                        if told:
+                            pairs += np.bincount(of[q[ok]], minlength=len(known))
+                        else:
+                            left.append(q[ok])
+                            right.append(r[ok])
+                    if told and met > DENSE * len(rows):
+                        dense[of[asks]] = True
                         break
-                else:
-                    left += own_left
-                    right += own_right
-            ids, family = t.column("id").combine_chunks(), t.column("family").combine_chunks()
-            a, b = (np.concatenate(z) if z else np.zeros(0, int) for z in (left, right))
-            yield pa.RecordBatch.from_arrays([family.take(pa.array(a)), ids.take(pa.array(a)), ids.take(pa.array(b))], names=["family", "a", "b"])
-            if dense:
-                full = family.take(pa.array(np.concatenate(dense))).unique()
-                none = pa.nulls(len(full), ids.type)
-                yield pa.RecordBatch.from_arrays([full, none, none], names=["family", "a", "b"])
+            if told:
+                some = np.flatnonzero(dense | (pairs > 0))
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(some)), pa.array(pairs[some], mask=dense[some])], names=names)
+            else:
+                a, b = (np.concatenate(z) if z else np.zeros(0, int) for z in (left, right))
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(of[a])), ids.take(pa.array(a)), ids.take(pa.array(b))], names=names)
 
     kind = dict(meeting.dtypes)["id"]
-    return meeting.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, f"family {kind}, a {kind}, b {kind}")
+    schema = f"family {kind}, pairs long" if told else f"family {kind}, a {kind}, b {kind}"
+    return meeting.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -293,14 +296,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     open_ = tried.groupBy("family").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("askers")).where("askers > 0 and members > 2")
     open_ = stored(open_.withColumns({"ask_blocks": blocks("askers"), "all_blocks": blocks("members")}))
     opened = stored(tried.join(dealt(open_.select("family")), "family"))
-    pairs = stored(_asked_pairs(_met(reps.select("id", "n", "sig").join(opened, "id")), similarity))
-    # sets that are sent, by pairs and by blocks
-    counts = pairs.groupBy("family").agg(F.count("*").alias("pairs"), F.max(F.col("a").isNull()).alias("dense"))
+    # sets that are sent, by pairs and by blocks; pairs are counted first, and written for the families that go by pairs only
+    asked = reps.select("id", "n", "sig").join(opened, "id")
+    counts = _asked_pairs(_met(asked), similarity, told=True).groupBy("family").agg(F.sum("pairs").alias("pairs"), F.max(F.col("pairs").isNull()).alias("dense"))
     fewer = 2 * F.coalesce("pairs", F.lit(0)) <= F.col("members") * F.col("ask_blocks") + F.col("askers") * F.col("all_blocks")
-    open_ = open_.join(counts, "family", "left").withColumn("by_pairs", fewer & ~F.coalesce("dense", F.lit(False)))
-    open_ = stored(open_)
+    open_ = stored(open_.join(counts, "family", "left").withColumn("by_pairs", fewer & ~F.coalesce("dense", F.lit(False))))
+    by_pairs = dealt(open_.where("by_pairs and pairs > 0").select("family"))
+    few = stored(_asked_pairs(_met(asked.join(by_pairs, "family")), similarity)).select("a", "b")
     mine = lambda side: sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("shingles").alias(f"s_{side}"))
-    few = pairs.where("a is not null").join(dealt(open_.where("by_pairs").select("family")), "family").select("a", "b")
     few = few.join(mine("a"), "a").join(mine("b"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
     links = links.union(few.where(whole * F.col("common") >= part * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
 
