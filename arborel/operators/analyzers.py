@@ -30,7 +30,7 @@ def _every(sets: Column) -> Column:
 
 
 def _listed(names: Column, sep: str = ", ") -> Column:
-    return F.array_join(F.array_sort(names), sep)
+    return F.array_join(F.sort_array(names), sep)
 
 
 def _said(found: DataFrame, id_col: str, message: Column) -> DataFrame:
@@ -40,7 +40,9 @@ def _said(found: DataFrame, id_col: str, message: Column) -> DataFrame:
 def exclusive_members(nodes: DataFrame, id_col: str) -> DataFrame:
     """[A1] Types of element with two optional attributes at least (some of their elements have them, some don't) that come in
     groups which never meet: two distinct sets of them are used at least, and no attribute is in two of them."""
-    per = _types(nodes, id_col, all=F.collect_set(F.array_sort(F.map_keys(_attrs()))))
+    per = _types(nodes, id_col, all=F.collect_set(F.sort_array(F.map_keys(_attrs()))))
+    # types whose elements all have the same attributes have no optional ones
+    per = per.where(F.size("all") >= 2)
     # optional is what not all elements have
     per = per.withColumn("every", _every(F.col("all"))).withColumn("of", F.array_distinct(F.filter(F.transform("all", lambda s: F.array_except(s, "every")), lambda s: F.size(s) > 0)))
     # the sets are disjoint if each name is in one of them
@@ -53,7 +55,7 @@ def exclusive_members(nodes: DataFrame, id_col: str) -> DataFrame:
 def exclusive_flags(nodes: DataFrame, id_col: str) -> DataFrame:
     """[A3] Types of element with two flags at least (attributes that are true or false somewhere) of which two are each
     set alone somewhere and never two at once. A flag with any other value proves nothing."""
-    names = lambda keep: F.array_sort(F.map_keys(F.map_filter(_attrs(), lambda _, v: keep(v))))
+    names = lambda keep: F.sort_array(F.map_keys(F.map_filter(_attrs(), lambda _, v: keep(v))))
     flag = lambda v: v.isin("true", "false")
     per = _types(nodes, id_col, set=F.collect_set(names(lambda v: v == "true")), flags=F.collect_set(names(flag)), others=F.collect_set(names(lambda v: ~flag(v))))
     per = per.withColumn("flags", F.array_distinct(F.flatten("flags"))).withColumn("open", F.arrays_overlap(F.flatten("others"), "flags"))
@@ -64,17 +66,24 @@ def exclusive_flags(nodes: DataFrame, id_col: str) -> DataFrame:
 
 def closed_domains(nodes: DataFrame, id_col: str) -> DataFrame:
     """[A4] Attributes that all elements of a type have, two elements at least, with a value written out, of two distinct ones
-    at least. An attribute of that name on another type of element shows that others use it too: no finding."""
-    own = lambda e: F.transform(e, lambda p: p["key"])
-    per = _types(nodes, id_col, all=F.collect_set(F.map_entries(_attrs())), n=F.count("*"))
-    per = per.select(id_col, "type", "pre", "text", "n", _every(F.transform("all", own)).alias("every"), F.array_distinct(F.flatten("all")).alias("pairs"))
+    at least. An attribute of that name on another type of element shows that others use it too: no finding.
+
+    A name and its value are one text: texts are told apart by hashes, structs only by comparing each with each."""
+    name, value = lambda p: F.substring_index(p, "=", 1), lambda p: F.substring(p, F.instr(p, "=") + 1, F.length(p))
+    # a name holds no =; a value that is null is not written out
+    pairs = F.transform(F.map_entries(_attrs()), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("{"))))
+    per = _types(nodes, id_col, all=F.collect_list(pairs), n=F.count("*"))
+    per = per.withColumn("pairs", F.array_distinct(F.flatten("all"))).withColumn("names", F.transform("pairs", name))
     # the names of each type, side by side: one that is there twice is shared
-    used = F.flatten(F.collect_list(F.array_distinct(own("pairs"))).over(Window.partitionBy(id_col)))
-    per = per.withColumn("used", used).where("n >= 2")
-    per = per.select("*", F.explode(F.filter("every", lambda x: F.size(F.filter("used", lambda u: u == x)) == 1)).alias("name"))
-    values = F.transform(F.filter("pairs", lambda p: p["key"] == F.col("name")), lambda p: p["value"])
-    found = per.withColumn("values", values).where((F.size("values") >= 2) & F.forall("values", lambda v: v.rlike(LITERAL)))
-    return _said(found, id_col, F.concat("type", F.lit("."), "name", F.lit(" is one of "), _listed(F.col("values"), " | ")))
+    used = F.flatten(F.collect_list(F.array_distinct("names")).over(Window.partitionBy(id_col)))
+    per = per.withColumn("used", used).where("n >= 2").withColumn("every", _every(F.transform("all", lambda e: F.transform(e, name))))
+    # of the names that all have those with several values, which no other type has
+    several = F.filter("every", lambda x: (F.size(F.array_remove("names", x)) <= F.size("names") - 2) & (F.size(F.array_remove("used", x)) == F.size("used") - 1))
+    values = lambda x: F.sort_array(F.transform(F.filter("pairs", lambda p: p.startswith(F.concat(x, F.lit("=")))), value))
+    said = F.filter(F.transform(several, lambda x: F.struct(x.alias("name"), values(x).alias("values"))), lambda d: F.forall(d["values"], lambda v: v.rlike(LITERAL)))
+    # told apart before they become rows; outer, as Spark asks first whether other explodes have rows, and works it all out twice
+    found = per.select(id_col, "type", "pre", "text", F.explode_outer(said).alias("_d")).where("_d is not null").select("*", "_d.*")
+    return _said(found, id_col, F.concat("type", F.lit("."), "name", F.lit(" is one of "), F.array_join("values", " | ")))
 
 
 def unchanged_values(nodes: DataFrame, id_col: str) -> DataFrame:
