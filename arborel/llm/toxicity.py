@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import as_bytes, stored, text_chunks
+from arborel.llm.common import PARTS, added_up, as_bytes, pieces, stored, text_chunks
 from arborel.llm.shingles import INVERSE, ODD, powers, stretches
 
 BUCKETS = 1 << 18
 #: Lengths in bytes of a token's prefixes and of its suffix that are features beside the whole token.
 PREFIXES, SUFFIX = (4, 5, 6), 4
-#: Labelled documents of each kind that training may use (about), tokens of a chain, into which longer ones are cut, and
-#: tokens of all chains of a kind.
-SAMPLE_PER_LABEL, CHAIN_TOKENS, SAMPLE_TOKENS = 2_500, 20_000, 2_000_000
+#: Tokens of a chain, into which longer texts are cut for training, and tokens up to which all chains are summed over on
+#: the driver.
+CHAIN_TOKENS, SAMPLE_TOKENS = 20_000, 4_000_000
+#: Nats a token that the last step over all chains may promise.
+GAIN = 2.5e-4
 #: Tokens that a step of training holds at once.
-_BLOCK = 200_000
+_BLOCK = 1_000_000
 _STEPS = 256
 
 _TOKEN = np.full(256, 32, np.uint8)
@@ -161,112 +161,222 @@ def _summary(p: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.stack((np.log(most / (1 - most)), np.log1p(total)), 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-2) -> np.ndarray:
-    """Weights of the columns and of a constant, by Newton steps over weighted rows."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
+def chains(emission: np.ndarray, size: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """marginals with pairs, of whole chains of the sizes (at least one token each): a step advances all chains that have
+    so many tokens, as the odds of the two labels."""
+    order = np.argsort(-size, kind="stable")
+    first, steps = (np.cumsum(size) - size)[order], int(size.max())
+    on = len(size) - np.searchsorted(size[order][::-1], np.arange(steps), side="right")
+    bound = np.append(0, np.cumsum(on))
+    at = np.concatenate([first[:n] + t for t, n in enumerate(on.tolist())])
+    odds = np.exp(np.clip(emission, -30, 30))[at]
+    (a, b), (c, d) = np.exp(trans)
+    forward, before, seen = np.empty(len(at)), np.empty(len(at)), np.empty(len(at))
+    r = odds[: on[0]] * np.exp(start[1] - start[0])
+    forward[: on[0]] = r
+    ends = bound.tolist()
+    for x, y in zip(ends[1:-1], ends[2:], strict=True):
+        r = before[x:y] = r[: y - x]
+        r = odds[x:y] * (b + d * r) / (a + c * r)
+        forward[x:y] = r
+    v = np.ones(0)
+    for x, y in zip(ends[-2::-1], ends[:0:-1], strict=True):
+        back = np.ones(y - x)
+        back[: len(v)] = (c + d * v) / (a + b * v)
+        forward[x:y] *= back
+        v = seen[x:y] = odds[x:y] * back
+    p = np.empty(len(at))
+    p[at] = forward / (1 + forward)
+    r, v = before[on[0] :], seen[on[0] :]
+    z = 1 / (a + c * r + (b + d * r) * v)
+    one, two, both = b * (v @ z), c * (r @ z), d * ((r * z) @ v)
+    begun = p[np.cumsum(size) - size].sum()
+    return p, np.array([[len(r) - one - two - both, one], [two, both]]), np.array([len(size) - begun, begun])
+
+
+#: Chains of about _BLOCK tokens: labels, tokens of each, each token's place among the distinct ones, and their features.
+_BLOCKS = "y binary, size binary, token binary, features binary"
+
+
+def _read(y, size, token, features) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(y, np.int32), np.frombuffer(size, np.int32), np.frombuffer(token, np.int32), np.frombuffer(features, np.int32).reshape(-1, len(PREFIXES) + 2)
+
+
+def _packed(y: np.ndarray, size: np.ndarray, features: np.ndarray) -> tuple[bytes, ...]:
+    f = features.astype(np.int64)
+    _, head = np.unique(f[:, 0] | f[:, 1] << 18 | f[:, 2] << 36, return_inverse=True)
+    _, first, token = np.unique(head << 36 | f[:, 3] << 18 | f[:, 4], return_index=True, return_inverse=True)
+    return tuple(x.astype(np.int32).tobytes() for x in (y, size, token, features[first]))
+
+
+def _chains_of(batches: Iterator[pa.RecordBatch], longest: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the texts (text, y); a text of over longest tokens is several chains."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _packed(*map(np.concatenate, zip(*held, strict=True)))], names=["y", "size", "token", "features"])
+    for batch in text_chunks(batches, "_text", 1 << 20):
+        found = tokens(as_bytes(batch.column(0)))
+        n = np.bincount(found["of"], minlength=len(batch))
+        parts = -(-n // longest)
+        size = np.full(parts.sum(), longest)
+        size[np.cumsum(parts)[n > 0] - 1] = (n - (parts - 1) * longest)[n > 0]
+        if len(size):
+            held.append((np.repeat(batch.column(1).to_numpy(), parts), size, found["features"]))
+        if sum(len(h[2]) for h in held) >= block:
+            yield pack()
+            held = []
+    if held:
+        yield pack()
+
+
+def _total(blocks: DataFrame | list[tuple], of: Callable[..., np.ndarray], size: int) -> np.ndarray:
+    """The sum of a vector of each block; over the tasks, or here over a list of blocks."""
+    if isinstance(blocks, list):
+        return sum((of(*b) for b in blocks), np.zeros(size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for i in range(len(batch)):
+                total += of(*(c[i].as_buffer() for c in batch.columns))
+        yield pieces(total)
+
+    return added_up(blocks.mapInArrow(run, PARTS), size)
+
+
+def _each(blocks: DataFrame | list[tuple], of: Callable[..., tuple[bytes, bytes]]) -> DataFrame | list[tuple]:
+    """Two buffers (y, x) of each block."""
+    if isinstance(blocks, list):
+        return [of(*b) for b in blocks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in of(*(c[i].as_buffer() for c in batch.columns))], names=["y", "x"])
+
+    return stored(blocks.mapInArrow(run, "y binary, x binary"))
+
+
+def _logistic(rows: DataFrame | list[tuple], columns: int, n: int, weights: tuple[float, float], l2: float = 1e-2) -> np.ndarray:
+    """Weights of the columns and of a constant, by Newton steps over n rows, which weigh what their label does."""
+    k = columns + 1
+    w, ridge = np.zeros(k), l2 * n**0.5
+
+    def step(y, x) -> np.ndarray:
+        y, x = np.frombuffer(y, np.int32), np.frombuffer(x).reshape(-1, columns)
+        x, weight = np.hstack((x, np.ones((len(x), 1)))), np.where(y > 0, weights[1], weights[0])
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + l2 * len(x) ** 0.5 * np.eye(len(w)), x.T @ (weight * (y - q)) - l2 * len(x) ** 0.5 * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        return np.concatenate((((x * (weight * q * (1 - q))[:, None]).T @ x).ravel(), x.T @ (weight * (y - q))))
+
+    for _ in range(50):
+        s = _total(rows, step, k * k + k)
+        move = np.linalg.solve(s[: k * k].reshape(k, k) + ridge * np.eye(k), s[k * k :] - ridge * w)
+        w = w + np.clip(move, -2, 2)
+        if np.abs(move).max() < 1e-8:
             break
     return w
 
 
-def _token_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Of each feature whether it marks a toxic token: seen in several toxic documents and hardly in clean ones."""
+def _seen(rows: Iterable[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """How many clean and toxic chains hold each feature, and how many there are."""
     seen = np.zeros((2, BUCKETS))
     for f, y in zip(rows, toxic, strict=True):
         seen[int(y), np.unique(f)] += 1
-    share = (seen[1] + 0.5) / (toxic.sum() + 1), (seen[0] + 0.5) / ((1 - toxic).sum() + 1)
-    return (seen[1] >= 3) & (share[0] >= 20 * share[1]) & (seen[1] >= 10 * seen[0])
+    return np.append(seen.ravel(), (len(toxic) - toxic.sum(), toxic.sum()))
 
 
-def train(rows: pa.Table, toxic_share: float | None = None, *, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:
-    """A model of chains (y, features), whose features are never copied. Tokens of toxic documents with a marking feature
-    are labelled toxic, all others clean; AdaGrad on the conditional log likelihood of all chains at once, gathered block
-    by block; then a logistic score of a document's summary, whose rows weigh as much as their label among all documents
-    (toxic_share)."""
+def _marks(seen: np.ndarray) -> np.ndarray:
+    """Of each feature whether it marks a toxic token: seen in several toxic documents and hardly in clean ones."""
+    (clean, toxic), (n, m) = seen[:-2].reshape(2, -1), seen[-2:]
+    return (toxic >= 3) & ((toxic + 0.5) / (m + 1) >= 20 * (clean + 0.5) / (n + 1)) & (toxic >= 10 * clean)
+
+
+def _token_labels(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    return _marks(_seen(rows, toxic))
+
+
+def train(blocks: DataFrame | list[tuple], toxic_share: float | None = None, *, first: list[tuple] | None = None, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5) -> dict:
+    """A model of all chains of the blocks (_BLOCKS). Tokens of toxic documents with a marking feature are labelled toxic,
+    all others clean; AdaGrad on the conditional log likelihood of all chains at once; then a logistic score of a chain's
+    summary, whose rows weigh as much as their label among all documents (toxic_share). Each count, gradient and Newton
+    step is a sum over all blocks. The likelihood has one maximum only, so the steps may begin with those of the first
+    blocks, if some are given; then steps over all blocks follow until one promises to gain less than GAIN."""
     width = len(PREFIXES) + 2
-    toxic = rows["y"].to_numpy().astype(float)
-    feats, cuts, size = [], [], 0
-    for chunk in rows["features"].chunks:
-        offsets, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
-        cuts += [(values, a, b) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    feats = [values[a:b].reshape(-1, width) for values, a, b in cuts]
-    marks = _token_labels(feats, toxic)
-    blocks, first = [], 0
-    for i, (values, _, b) in enumerate(cuts):
-        whole = i + 1 == len(cuts) or cuts[i + 1][0] is not values
-        if whole or b - cuts[first][1] >= _BLOCK * width:
-            X = values[cuts[first][1] : b].reshape(-1, width)
-            of = np.repeat(np.arange(i + 1 - first, dtype=np.int32), [len(f) for f in feats[first : i + 1]])
-            y = marks[X].any(1) & (toxic[first : i + 1][of] > 0)
-            blocks.append((X, of, np.diff(of, prepend=-1) != 0, y, i + 1 - first))
-            first, size = i + 1, size + len(X)
-    size = max(1, size)
+
+    def seen(*block) -> np.ndarray:
+        y, size, token, features = _read(*block)
+        ends = np.cumsum(size)
+        return _seen((features[np.unique(token[b - n : b])] for b, n in zip(ends.tolist(), size.tolist(), strict=True)), y)
+
+    found = _total(blocks, seen, 2 * BUCKETS + 2)
+    marks, (clean, toxic) = _marks(found), found[-2:]
     w, start, trans = np.zeros(BUCKETS, np.float32), np.zeros(2), np.zeros((2, 2))
-    gw, gs, gt = np.full(BUCKETS, 1e-3, np.float32), np.full(2, 1.0), np.full((2, 2), 1.0)
-    pairs, firsts = np.zeros((2, 2)), np.zeros(2)
-    for _, _, new, y, _ in blocks:
+    gw, gs, gt, before = np.full(BUCKETS, 1e-3, np.float32), np.full(2, 1.0), np.full((2, 2), 1.0), 0
+
+    def gradient(*block) -> np.ndarray:
+        """Counted less expected: features, pairs of labels, first labels; and the tokens."""
+        label, size, token, features = _read(*block)
+        y = marks[features].any(1)[token] & (np.repeat(label, size) > 0)
+        p, counts, begun = chains(w[features].sum(1, dtype=float)[token], size, start, trans)
+        off = np.repeat(np.bincount(token, weights=y - p, minlength=len(features)), width)
+        new = np.zeros(len(y), bool)
+        new[np.cumsum(size) - size] = True
         inner = np.flatnonzero(~new)
-        np.add.at(pairs, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
-        firsts += (new & ~y).sum(), (new & y).sum()
-    for _ in range(epochs):
-        d, counts, begun = -size * l2 * w.astype(float), np.zeros((2, 2)), np.zeros(2)
-        for X, _, new, y, _ in blocks:
-            p, c, f = marginals(w[X].sum(1, dtype=float), new, start, trans, pairs=True)
-            d += np.bincount(X.ravel(), weights=np.repeat(y - p, width), minlength=BUCKETS)
-            counts += c
-            begun += f
-        ds, dt = (firsts - begun) / size, (pairs - counts) / size
-        gw += d**2
-        gs += ds**2 * size
-        gt += dt**2 * size
-        w += rate * d / np.sqrt(gw)
-        start += rate * ds * np.sqrt(size) / np.sqrt(gs)
-        trans += rate * dt * np.sqrt(size) / np.sqrt(gt)
-    s = np.concatenate([_summary(marginals(w[X].sum(1, dtype=float), new, start, trans), of, n) for X, of, new, _, n in blocks])
-    share = toxic.mean() if toxic_share is None else toxic_share
-    weight = np.where(toxic > 0, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
-    *top, bias = _logistic(s, toxic, weight)
+        pairs = np.bincount(2 * y[inner - 1] + y[inner], minlength=4)
+        firsts = (new & ~y).sum(), (new & y).sum()
+        return np.concatenate((np.bincount(features.ravel(), weights=off, minlength=BUCKETS), pairs - counts.ravel(), firsts - begun, [len(y)]))
+
+    for of in [blocks] if first is None else [first, blocks]:
+        for _ in range(epochs):
+            g = _total(of, gradient, BUCKETS + 7)
+            size = max(1, g[-1])
+            d, dt, ds = g[:BUCKETS] - size * l2 * w, g[BUCKETS:-3].reshape(2, 2) / size, g[-3:-1] / size
+            if before and size != before:  # what steps were taken before counts as if they had been over as many tokens
+                gw, gs, gt = gw * np.float32((size / before) ** 2), gs * size / before, gt * size / before
+            before = size
+            gw = (gw + d**2).astype(np.float32)
+            gs = gs + ds**2 * size
+            gt = gt + dt**2 * size
+            move = rate * d / np.sqrt(gw), rate * ds * np.sqrt(size) / np.sqrt(gs), rate * dt * np.sqrt(size) / np.sqrt(gt)
+            w, start, trans = (w + move[0]).astype(np.float32), start + move[1], trans + move[2]
+            gain = (d @ move[0]) / size + ds @ move[1] + (dt * move[2]).sum()
+            if first is not None and of is blocks and gain < GAIN:
+                break
+
+    def summary(*block) -> tuple[bytes, bytes]:
+        y, size, token, features = _read(*block)
+        p = chains(w[features].sum(1, dtype=float)[token], size, start, trans)[0]
+        return y.tobytes(), _summary(p, np.repeat(np.arange(len(size)), size), len(size)).tobytes()
+
+    mean = toxic / max(1, clean + toxic)
+    share = mean if toxic_share is None else toxic_share
+    weights = (1 - share) / max(1 - mean, 1e-9), share / max(mean, 1e-9)
+    *top, bias = _logistic(_each(blocks, summary), 2, int(clean + toxic), weights)
     return {"w": w, "start": start, "trans": trans, "top": np.array(top), "bias": float(bias)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE_PER_LABEL) -> dict | None:
-    """A model of the documents with a label of 0 or 1; None without any. About sample documents of either label are
-    used, by a hash of their ids (so few that their ids can be broadcast), each whole: those of over CHAIN_TOKENS tokens
-    as several chains. Of the chains of a label those count, in the order of a hash, that begin within the first
-    SAMPLE_TOKENS tokens."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
+def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> dict | None:
+    """A model of all documents with a label of 0 or 1; None without any. Each is used whole: those of over CHAIN_TOKENS
+    tokens as several chains. Up to SAMPLE_TOKENS tokens in all are summed over on the driver. More are summed over in
+    tasks, from blocks that are written once, and the driver has about so many for the steps to begin with."""
+    known = stored(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")))
     counts = dict(known.groupBy("_y").count().collect())
-    share = F.when(F.col("_y") == 1, sample / max(1, counts.get(1, 0))).otherwise(sample / max(1, counts.get(0, 0)))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("toxic")), F.lit(1 << 20)) / float(1 << 20)
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known.select(F.col(id_col).alias("_id"), "_y", draw.alias("_draw")).where(F.col("_draw") < share)), "_id")
-
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "_text", 1 << 20):
-            rows = []
-            for text, y, place in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = tokens([text])["features"]
-                for a in range(0, len(found), CHAIN_TOKENS):
-                    part = found[a : a + CHAIN_TOKENS]
-                    rows.append((zlib.crc32(f"{place} {a}".encode()), y, len(part), part.ravel()))
-            order, y, size, features = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(y, pa.int32()), pa.array(size, pa.int64()), pa.array(features, pa.list_(pa.int32()))], names=["order", "y", "size", "features"])
-
-    made = stored(picked.select("_text", F.col("_y").cast("int"), "_draw").mapInArrow(chains, "order long, y int, size long, features array<int>"))
-    within = F.lit(False)
-    sizes = made.select("y", "order", "size").toArrow().sort_by([("order", "ascending")])
-    for label in (0, 1):
-        of = sizes.filter(pa.compute.equal(sizes["y"], label))
-        size = of["size"].to_numpy()
-        if len(size):
-            last = np.flatnonzero(np.cumsum(size) - size < SAMPLE_TOKENS)[-1]
-            within |= (F.col("y") == label) & (F.col("order") <= of["order"][int(last)].as_py())
-    rows = made.where(within).orderBy("order", "y").select("y", "features").toArrow()
-    return train(rows, counts.get(1, 0) / sum(counts.values())) if len(rows) else None
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known.select(F.col(id_col).alias("_id"), "_y"), "_id")
+    longest, block = CHAIN_TOKENS, _BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _chains_of(batches, longest, block)
+
+    made = stored(picked.select("_text", "_y").mapInArrow(run, _BLOCKS))
+    size = made.agg(F.sum(F.octet_length("token") / 4)).first()[0]
+    if not size:
+        return None
+    held = lambda df: [tuple(r) for r in df.toArrow().to_pandas().itertuples(index=False)]
+    share = counts.get(1, 0) / sum(counts.values())
+    if size <= SAMPLE_TOKENS:
+        return train(held(made), share)
+    mark = F.xxhash64("y", "size", "token")
+    some = [r[0] for r in made.select(mark.alias("m")).orderBy("m").limit(max(1, SAMPLE_TOKENS // _BLOCK)).collect()]
+    return train(made, share, first=held(made.where(mark.isin(some))))
 
 
 def _scored(m: dict, t: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
