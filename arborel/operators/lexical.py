@@ -34,11 +34,14 @@ def doc_lengths(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
 
 
 def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
-    """[T5, T11] One row: docs, terms, avg_doc_len. Documents are measured before their tokens are counted."""
+    """[T5, T11] One row: docs, terms, avg_doc_len. Texts are tokenized once: each gives its distinct terms, and a null
+    with its length."""
     tokens = docs.select(tokenize(text).alias("tokens"))
-    sizes = tokens.agg(F.count("*").alias("docs"), F.coalesce(F.round(F.avg(F.size("tokens")), 1), F.lit(0.0)).alias("avg_doc_len"))
-    terms = tokens.select(F.explode("tokens").alias("term")).agg(F.count_distinct("term").alias("terms"))
-    return sizes.join(terms).select("docs", "terms", "avg_doc_len")
+    terms = tokens.select(F.size("tokens").alias("dl"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))).alias("term"))
+    per = terms.groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length"))
+    # only the null has a length
+    sums = per.agg(F.coalesce(F.sum(F.when(F.col("term").isNull(), F.col("n"))), F.lit(0)).alias("docs"), F.count("term").alias("terms"), F.sum("length").alias("length"))
+    return sums.select("docs", "terms", F.coalesce(F.round(F.col("length") / F.nullif("docs", F.lit(0)), 1), F.lit(0.0)).alias("avg_doc_len"))
 
 
 def document_frequency(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
