@@ -75,6 +75,24 @@ def usable(vector: Column) -> Column:
     return finite(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+#: Bits of the filter of among, and of one of its rows.
+ID_BITS, _ID_ROW = 1 << 24, 1 << 15
+
+
+def among(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id may be among ids (one column): all that are and, as ids go to ID_BITS bits by their hashes, a
+    few others. The bits are broadcast, so that a join with ids need not shuffle what has no partner. Ids of a type whose
+    equal values may have unequal hashes, or of two types, are not filtered."""
+    key = ids.columns[0]
+    if dict(df.dtypes)[id_col] != dict(ids.dtypes)[key] or dict(df.dtypes)[id_col] not in ("int", "bigint", "string"):
+        return df
+    at = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(ID_BITS))
+    row, bit = lambda c: F.floor(at(c) / _ID_ROW).cast("int"), lambda c: at(c) % _ID_ROW
+    bits = ids.select(row(key).alias("_row"), bit(key).alias("_bit")).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(bits["_bits"], F.floor(bit(id_col) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.join(F.broadcast(bits), (row(id_col) == bits["_row"]) & (F.getbit(byte, (bit(id_col) % 8).cast("int")) == 1), "left_semi")
+
+
 #: Groups of tasks whose vectors are summed before those of all, and numbers of a piece.
 SHARES, PIECE = 64, 2048
 PARTS = "piece int, share int, part binary"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborel.llm.common import PARTS, added_up, as_bytes, pieces, stored, text_chunks
+from arborel.llm.common import PARTS, added_up, among, as_bytes, pieces, stored, text_chunks
 from arborel.llm.shingles import INVERSE, ODD, powers, stretches
 
 BUCKETS = 1 << 18
@@ -229,7 +229,8 @@ def _chains_of(batches: Iterator[pa.RecordBatch], longest: int, block: int) -> I
 
 
 def _total(blocks: DataFrame | list[tuple], of: Callable[..., np.ndarray], size: int) -> np.ndarray:
-    """The sum of a vector of each block; over the tasks, or here over a list of blocks."""
+    """The sum of a vector of each block; over the tasks, or here over a list of blocks. There are as many tasks as cores at
+    most, each with its blocks one after another, so the vectors that are shuffled don't grow with the blocks."""
     if isinstance(blocks, list):
         return sum((of(*b) for b in blocks), np.zeros(size))
 
@@ -240,7 +241,7 @@ def _total(blocks: DataFrame | list[tuple], of: Callable[..., np.ndarray], size:
                 total += of(*(c[i].as_buffer() for c in batch.columns))
         yield pieces(total)
 
-    return added_up(blocks.mapInArrow(run, PARTS), size)
+    return added_up(blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, PARTS), size)
 
 
 def _each(blocks: DataFrame | list[tuple], of: Callable[..., tuple[bytes, bytes]]) -> DataFrame | list[tuple]:
@@ -357,10 +358,12 @@ def train(blocks: DataFrame | list[tuple], toxic_share: float | None = None, *,
 def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> dict | None:
     """A model of all documents with a label of 0 or 1; None without any. Each is used whole: those of over CHAIN_TOKENS
     tokens as several chains. Up to SAMPLE_TOKENS tokens in all are summed over on the driver. More are summed over in
-    tasks, from blocks that are written once, and the driver has about so many for the steps to begin with."""
+    tasks, from blocks that are written once, and the driver has about so many for the steps to begin with. Texts without a
+    label are left out before the texts are shuffled."""
     known = stored(labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")))
     counts = dict(known.groupBy("_y").count().collect())
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known.select(F.col(id_col).alias("_id"), "_y"), "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    picked = among(texts, "_id", known.select(id_col)).join(known.select(F.col(id_col).alias("_id"), "_y"), "_id")
     longest, block = CHAIN_TOKENS, _BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
