@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from arborel.functions.text import bm25_term, idf, tokenize
-from arborel.operators.lexical import best_documents
+from arborel.operators.lexical import best_documents, term_counts
 from arborel.operators.lexical import postings as counted
 from arborel.sources import versions
 from arborel.sources.tables import written
@@ -29,11 +29,12 @@ SEGMENTS = 8
 
 
 def _documents(docs: DataFrame, id_col: str, text: Column, segment: int) -> tuple[DataFrame, DataFrame]:
-    """(id, dl, segment) and (term, id, tf, dl, segment)."""
-    of = written(docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).withColumn("dl", F.size("tokens").cast("long")))
-    posted = of.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    """(id, dl, segment) and (term, id, tf, dl, segment). A document's terms are counted where it is read; only postings
+    are shuffled, once, to their buckets."""
+    of = written(term_counts(docs, id_col, text))
     mark = F.lit(segment).alias("segment")
-    return of.select("id", "dl", mark), posted.select("term", "id", "tf", "dl", mark)
+    posted = of.select("id", "dl", F.inline(F.arrays_zip("terms", "tf")).alias("term", "tf"))
+    return of.select("id", "dl", mark), posted.select("term", "id", F.col("tf").cast("long").alias("tf"), "dl", mark)
 
 
 def _files(length: int, buckets: int) -> int:

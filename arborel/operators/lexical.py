@@ -19,8 +19,8 @@ from arborel.sources.tables import written
 
 #: Query terms of a block, documents and terms of a block, and cells of a matrix that a step holds.
 BATCH_TERMS, BLOCK_DOCS, BLOCK_TERMS, _CELLS = 2_000, 16_384, 1_000_000, 2_000_000
-#: Bits of the filter of the terms that are asked.
-FILTER_BITS, _BUCKET = 1 << 22, 1 << 15
+#: Bits of the filter of the terms that are asked, and tokens that a task counts at once.
+FILTER_BITS, _BUCKET, _TOKENS = 1 << 22, 1 << 15, 500_000
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -76,28 +76,32 @@ def score_query(docs: DataFrame, id_col: str, text: Column, query: str, keep: tu
     return raw.select(id_col, *keep, (F.col("raw") / F.lit(best)).alias("bm25"))
 
 
-def term_counts(docs: DataFrame, id_col: str, text: Column, asked: DataFrame) -> DataFrame:
-    """(id, dl, terms, tf) of each document: the distinct terms that asked (term) may hold, with their counts. A filter of
-    FILTER_BITS bits tells them, of a fixed size whatever is asked; it lets some other terms pass too."""
-    at = F.crc32(F.col("term").cast("binary")) % FILTER_BITS
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in asked.select("term").distinct().groupBy(F.floor(at / _BUCKET).cast("int").alias("b")).agg(F.bitmap_construct_agg(at % _BUCKET).alias("bits")).collect():
-        bits[r["b"] * _BUCKET // 8 : (r["b"] + 1) * _BUCKET // 8] = np.frombuffer(r["bits"], np.uint8)
+def term_counts(docs: DataFrame, id_col: str, text: Column, asked: DataFrame | None = None) -> DataFrame:
+    """(id, dl, terms, tf) of each document: its distinct terms with their counts; if asked (term) is given, those that it
+    may hold. A filter of FILTER_BITS bits tells them, of a fixed size whatever is asked; it lets some other terms pass too.
+    A task counts the terms of about _TOKENS tokens at once."""
+    bits = None if asked is None else np.zeros(FILTER_BITS // 8, np.uint8)
+    if asked is not None:
+        at = F.crc32(F.col("term").cast("binary")) % FILTER_BITS
+        for r in asked.select("term").distinct().groupBy(F.floor(at / _BUCKET).cast("int").alias("b")).agg(F.bitmap_construct_agg(at % _BUCKET).alias("bits")).collect():
+            bits[r["b"] * _BUCKET // 8 : (r["b"] + 1) * _BUCKET // 8] = np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in _parts(batches):
             tokens = batch.column(1)
             size = np.diff(tokens.offsets.to_numpy())
             coded = tokens.flatten().dictionary_encode()
-            hashed = np.fromiter((zlib.crc32(t.encode()) % FILTER_BITS for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-            passed = (bits[hashed >> 3] >> (hashed & 7) & 1).astype(bool)
             code = coded.indices.to_numpy()
-            kept = passed[code] if len(code) else np.zeros(0, bool)
-            of = np.repeat(np.arange(len(batch)), size)[kept]
-            width = max(1, len(passed))
-            key, tf = np.unique(of * width + code[kept], return_counts=True)
+            of = np.repeat(np.arange(len(batch)), size)
+            if bits is not None:
+                hashed = np.fromiter((zlib.crc32(t.encode()) % FILTER_BITS for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+                passed = (bits[hashed >> 3] >> (hashed & 7) & 1).astype(bool)
+                kept = passed[code] if len(code) else np.zeros(0, bool)
+                of, code = of[kept], code[kept]
+            width = max(1, len(coded.dictionary))
+            key, tf = np.unique(of * width + code, return_counts=True)
             ends = np.searchsorted(key, np.arange(len(batch) + 1) * width).astype(np.int32)
             terms = coded.dictionary.take(pa.array(key % width))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), terms), pa.ListArray.from_arrays(pa.array(ends), pa.array(tf.astype(np.float64)))], names=["id", "dl", "terms", "tf"])
@@ -106,6 +110,16 @@ def term_counts(docs: DataFrame, id_col: str, text: Column, asked: DataFrame) ->
     return docs.select(F.col(id_col).alias("id"), tokenize(text).alias("tokens")).mapInArrow(run, f"id {kind}, dl long, terms array<string>, tf array<double>")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of (id, tokens) with about _TOKENS tokens, one document at least."""
+    for batch in batches:
+        ends = batch.column(1).offsets.to_numpy()
+        cut = np.flatnonzero(np.diff((ends[1:] - ends[0]) // _TOKENS, prepend=0))
+        bounds = sorted({0, *cut.tolist(), len(batch)})
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def score_queries(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_col: str, query_text: Column, k: int) -> DataFrame:
     """[G1, T8, S11] (query, id, rank, raw): the k best documents of each of many queries. Scores are rounded to six
     places, and ties go to smaller ids.
